@@ -29,9 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from foliant.llm.pieces import PieceCache, in_parts
+from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector
 from foliant.session import ship
 
 #: Parts above which a word is merged with a heap instead of scans.
@@ -74,7 +74,7 @@ class WordBpe:
             self.token[i] = word
         self._words, self._common = regex.compile(WORDS), re.compile(WORDS_COMMON)
         self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = PieceCache(lambda pieces: map(self.merge, pieces))
+        self.cache = PieceCache(lambda pieces: flattened(map(self.merge, pieces)))
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece; a special token is its own piece."""
@@ -138,7 +138,8 @@ class WordBpe:
         return [y for i, x in enumerate(self._marks.split(text)) for y in ([x] if i % 2 else self._plain(x))]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids, at = self.cache([self.pieces(x) for x in texts])
+        with no_collector():
+            ids, at = self.cache([self.pieces(x) for x in texts])
         return [ids[at[i] : at[i + 1]] for i in range(len(texts))]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -169,7 +170,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     own = [f for f in rows.schema.fields if f.name != "__text"]
     schema = StructType(list(own))
     if ids:
-        schema = schema.add("bpe_ids", "array<int>")
+        schema = schema.add("bpe_ids", ArrayType(IntegerType()))
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 
 
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Keeps the cycle collector from walking millions of strings; nothing here makes cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def flattened(lists: Iterable[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists, and all their members."""
+    found = list(lists)
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    return lens, np.fromiter(chain.from_iterable(found), np.uint32, int(lens.sum()))
+
+
 class _Slots(dict):
     """Gives each new key the next number; known keys are found at the speed of a dict."""
 
@@ -16,12 +38,12 @@ class _Slots(dict):
 
 
 class PieceCache:
-    """Ids of pieces, kept flat. ``encode`` gets distinct pieces and returns a list of ids for each.
+    """Ids of pieces, kept flat. ``encode`` gets distinct pieces and returns how many ids each has, and all their ids.
 
     Past ``max_pieces`` pieces the cache starts anew before the next call, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], max_pieces: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_pieces: int = 500_000):
         self._encode, self._max = encode, max_pieces
         self._clear()
 
@@ -38,9 +60,7 @@ class PieceCache:
         new = list(self._slots)[self._known :] if self._known == 0 else _tail(self._slots, self._known)
         if not new:
             return
-        found = list(self._encode(new))
-        lens = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lens.sum()))
+        lens, flat = self._encode(new)
         n, k = len(self._slots), self._known
         self._at, self._len, self._ids = self._room(self._at, n), self._room(self._len, n), self._room(self._ids, self._used + len(flat))
         self._len[k:n] = lens
@@ -53,7 +73,7 @@ class PieceCache:
         if len(self._slots) > self._max:
             self._clear()
         slot_of = self._slots.__getitem__
-        each = [np.array(list(map(slot_of, x)), np.int64) for x in texts]
+        each = [np.fromiter(map(slot_of, x), np.int64, len(x)) for x in texts]
         self._learn()
         slots = np.concatenate(each) if each else np.zeros(0, np.int64)
         lens = self._len[slots]

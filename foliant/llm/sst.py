@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.bpe import UNCOMMON
 from foliant.llm.common import text_of
-from foliant.llm.pieces import PieceCache, in_parts
+from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector
 from foliant.session import ship
 
 #: The pattern of the byte-level tokenizer, in the form for all of Unicode and in one for common letters.
@@ -55,6 +55,8 @@ MAGIC = b"FOLSST01"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
 MANIFEST = "part long, seq long, file string, n_docs long, n_ids long, first_key binary, last_key binary"
 BITS, HASHES = 10, 7
+#: New words that one call of the library encodes.
+_AT_ONCE = 200
 
 
 class ByteBpe:
@@ -68,7 +70,36 @@ class ByteBpe:
         self.special = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._pieces, self._common = regex.compile(PIECES), re.compile(PIECES_COMMON)
-        self.cache = PieceCache(lambda new: [x.ids for x in self._library.encode_batch_fast(new, add_special_tokens=False)])
+        self.cache = PieceCache(self._encode_new)
+        vocab = self._library.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a letter of a token stands for a byte
+        for token, i in vocab.items():
+            self._bytes[i] = len(token)
+
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words with a space before them are encoded many in one call: a text of such words falls into just
+        those pieces, and a token's bytes tell which of them it belongs to. Other pieces are encoded one by one."""
+        joint = [i for i, p in enumerate(new) if p[0] == " " and p[1:].isalpha() and not UNCOMMON.search(p)]
+        chunks = [joint[i : i + _AT_ONCE] for i in range(0, len(joint), _AT_ONCE)]
+        found = [np.array(x.ids, np.uint32) for x in self._library.encode_batch_fast(["".join([new[i] for i in c]) for c in chunks], add_special_tokens=False)]
+        alone = sorted(set(range(len(new))) - set(joint))
+        lens, order = np.zeros(len(new), np.int64), np.array(joint + alone, np.int64)
+        for chunk, ids in zip(chunks, found, strict=True):
+            ends = np.cumsum(self._bytes[ids])
+            wanted = np.cumsum([len(new[i].encode()) for i in chunk])
+            at = np.searchsorted(ends, wanted)
+            if not (ends[at] == wanted).all():
+                raise ValueError("the tokenizer joins words")
+            lens[chunk] = np.diff(at, prepend=-1)
+        single, rest = flattened(x.ids for x in self._library.encode_batch_fast([new[i] for i in alone], add_special_tokens=False))
+        lens[alone] = single
+        flat = np.concatenate([*found, rest])
+        # From the order of the calls to that of the pieces.
+        sizes = lens[order]
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = np.cumsum(sizes) - sizes
+        ends = np.cumsum(lens)
+        return lens, flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))]
 
     def _plain(self, text: str) -> list[str]:
         return (self._pieces if UNCOMMON.search(text) else self._common).findall(text)
@@ -79,7 +110,8 @@ class ByteBpe:
         return [y for i, x in enumerate(self._marks.split(text)) for y in ([x] if i % 2 else self._plain(x))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache([self.pieces(x) for x in texts])
+        with no_collector():
+            return self.cache([self.pieces(x) for x in texts])
 
 
 _LOADED: dict[str, ByteBpe] = {}
