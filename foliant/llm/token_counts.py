@@ -77,7 +77,8 @@ def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", t
     new = _counts(dealt, model).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # A cache that two runs append to may hold a digest twice, with the same count.
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # They are written, so that a digest of many rows is split where the rows are joined.
+    counts = written(spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return rows.join(counts, "digest").select(key, "n_bytes", "n_tokens")
 
 
