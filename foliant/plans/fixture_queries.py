@@ -421,3 +421,58 @@ def p18_titles(spark, sf_dir):
 def a26_joined_contexts(spark, sf_dir):
     parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array("lang", "source", F.col("n_chars").cast("string"))).alias("i", "content"))
     return evals.joined_contexts(parts, "doc_id", "i", "content").select("doc_id", F.get(evals.split_contexts(F.col("contexts")), F.lit(1)).alias("second"))
+
+
+_COVER = "UNITED STATES SECURITIES AND EXCHANGE COMMISSION\nFORM 10-K\nANNUAL REPORT PURSUANT TO SECTION 13 OR 15(d)\nfor the fiscal year ended December 31, 2019\nAcme, Inc.\n(Exact Name of Registrant as Specified in its Charter)"
+FILING = Fixture(
+    "path string,page_number int,text string",
+    (
+        ("a/acme-inc/NASDAQ_ACME_2020.pdf", 1, "letter to holders\nAcme, Inc."),
+        ("a/acme-inc/NASDAQ_ACME_2020.pdf", 2, _COVER),
+        ("a/acme-inc/NASDAQ_ACME_2020.pdf", 3, "Acme, Inc.\nItem 1. Business ..... 4\nItem 1A. Risk ..... 5\nItem 7. Results ..... 6"),
+        ("a/acme-inc/NASDAQ_ACME_2020.pdf", 4, "Acme, Inc.\nItem 1. Business\n" + "we make things " * 120 + "account-\nants"),
+        ("a/acme-inc/NASDAQ_ACME_2020.pdf", 5, "Acme, Inc.\nItem 1A. Risk\n" + "risk is high " * 60 + "\nTotal assets $ 1,234 1,100"),
+        ("b/other-corp/NASDAQ_OTH_2018.pdf", 1, None),
+        ("b/other-corp/NASDAQ_OTH_2018.pdf", 2, "nothing of note"),
+    ),
+)
+
+
+@query()
+def f09_clean_documents(spark, sf_dir):
+    return cleaning.clean_documents(cleaning.clean_pages(FILING.df(spark), "path"), "path").drop("full_text", "cover_text")
+
+
+@query(f"SELECT path, coalesce(min(page_number) FILTER (regexp_matches(text, '(?is)UNITED.{{0,400}}FORM.{{0,400}}REPORT')) - 1, 0) AS cutoff, coalesce(bool_or(regexp_matches(text, '(?is)UNITED.{{0,400}}FORM.{{0,400}}REPORT')), false) AS found FROM {FILING.sql} GROUP BY path")
+def f01_front_matter(spark, sf_dir):
+    return cleaning.front_matter(FILING.df(spark), "path")
+
+
+@query()
+def f41_mismatch_scan(spark, sf_dir):
+    return cleaning.mismatch_scan(FILING.df(spark))
+
+
+@query(rf"SELECT path, count(*) AS pages, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))) AS BIGINT) AS words FROM {FILING.sql} GROUP BY path")
+def f40_file_profile(spark, sf_dir):
+    return cleaning.file_profile(FILING.df(spark)).select("path", "pages", "words")
+
+
+@query()
+def p_ingest_filing(spark, sf_dir):
+    from foliant.plans.ingest import chunk_pages
+
+    return chunk_pages(FILING.df(spark)).drop("content")
+
+
+@query()
+def c07_answers(spark, sf_dir):
+    from foliant.functions import vectors
+    from foliant.plans.answer import answer
+
+    embed = vectors.embed(lambda: vectors.hashing_encoder(64))
+    names = spark.createDataFrame([("apple-inc", 0), ("antares-pharma-inc", 1), ("applied-materials-inc", 2)], "company string, r int")
+    docs = table(spark, sf_dir, "documents").withColumn("r", (F.col("doc_id") % 7).cast("int")).join(F.broadcast(names), "r")
+    none = lambda t: F.lit(None).cast(t)
+    chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "company", F.lit("").alias("ticker"), F.lit(2022).alias("fiscal_year"), none("string").alias("form_type"), none("string").alias("accounting_standard"), F.col("lang").alias("canonical_section"), F.col("source").alias("source_file"), none("int").alias("page_start"), none("int").alias("page_end"), F.lit(False).alias("company_name_mismatch"), embed(F.col("text")).alias("embedding"))
+    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), chunks, embed).select("question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources"))
