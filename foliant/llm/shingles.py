@@ -37,8 +37,11 @@ def words_of(text: str) -> list[bytes]:
 def _hashes(words: list[bytes], k: int) -> np.ndarray:
     line = b" ".join(words)
     up, down = _power_tables()
-    if len(line) > len(up):  # words longer than a part: hash each shingle by itself
-        return np.array([_long(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)], np.uint64)
+    if len(line) > len(up):
+        n = len(words) - k + 1
+        if n == 1:  # a shingle longer than a part
+            return np.array([_long(line)], np.uint64)
+        return np.concatenate([_hashes(words[: n // 2 + k - 1], k), _hashes(words[n // 2 :], k)])
     raw = np.frombuffer(line, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate([[0], gaps + 1])[: len(words) - k + 1], np.concatenate([gaps, [len(line)]])[k - 1 :]
@@ -48,8 +51,7 @@ def _hashes(words: list[bytes], k: int) -> np.ndarray:
 
 
 def _long(s: bytes) -> int:
-    h = power = 0
-    power = 1
+    h, power = 0, 1
     for c in s:
         h, power = (h + (c + 1) * power) & (1 << 64) - 1, power * _BASE & (1 << 64) - 1
     return int(mixed(np.array([h], np.uint64))[0])
