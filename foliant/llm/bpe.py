@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector
+from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
 from foliant.session import ship
 
 #: Parts above which a word is merged with a heap instead of scans.
@@ -56,7 +56,9 @@ class WordBpe:
     """The encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        self._path, self._library = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -120,8 +122,19 @@ class WordBpe:
                     heapq.heappush(heap, (s, x))
         return [x for x in ids if x >= 0]
 
+    def _split_by_library(self, text: str) -> list[str]:
+        """Pieces of a text with characters whose class only the library's tables tell."""
+        from tokenizers import Tokenizer
+
+        if self._library is None:
+            self._library = Tokenizer.from_file(self._path)
+        normal = self._library.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
+            if UNCOMMON.search(text) and unassigned().search(text):
+                return self._split_by_library(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case letter by letter, without the rule for a final sigma
                 text = text.replace("Σ", "σ")

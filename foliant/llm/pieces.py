@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -22,6 +26,15 @@ def no_collector() -> Iterator[None]:
             gc.enable()
 
 
+@cache
+def unassigned() -> re.Pattern:
+    """Finds characters that this Python's Unicode tables don't know. What they are then depends on the library's tables."""
+    free = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(free, [-2, *free], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(free, [*free[1:], -2], strict=True) if after != c + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 def flattened(lists: Iterable[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of lists, and all their members."""
     found = list(lists)

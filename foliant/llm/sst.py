@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.bpe import UNCOMMON
 from foliant.llm.common import text_of
-from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector
+from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
 from foliant.session import ship
 
 #: The pattern of the byte-level tokenizer, in the form for all of Unicode and in one for common letters.
@@ -102,6 +102,8 @@ class ByteBpe:
         return lens, flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))]
 
     def _plain(self, text: str) -> list[str]:
+        if UNCOMMON.search(text) and unassigned().search(text):
+            return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
         return (self._pieces if UNCOMMON.search(text) else self._common).findall(text)
 
     def pieces(self, text: str) -> list[str]:

@@ -14,7 +14,7 @@ from foliant.llm import bpe, pieces, sst, token_counts
 
 ODD = [
     None, "", " ", "a", "Hello  World\n\n\tIt's 2024, they'll see!!", "ΑΣ ΣΑΣ Σ", "İstanbul ŞİŞ ﬁ ½ ² Ⅷ", "é é naïve", "日本語のテキスト 한국어 русский", "😀👍🏽 emoji", "a<|endoftext|>b <|startoftext|> c", "\x1c\x1d x\x85y z w", "x" * 700, "ab" * 3000,
-    "don't DON'T 'Re 've", "1234567890", "tab\tsep\r\nnew", "a​b", "<|endoftext|>", "ǅ ǆ Ĳ ĳ ŉ", "_under_score__ __", "¼½¾ªº¹", "mixed123abc456", "'''s ''t",
+    "don't DON'T 'Re 've", "1234567890", "tab\tsep\r\nnew", "a​b", "<|endoftext|>", "ǅ ǆ Ĳ ĳ ŉ", "_under_score__ __", "¼½¾ªº¹", "mixed123abc456", "a\u0558b \u1c89\u1c8a1", "x\U000323b0y \ua7cb'S \ua7dc", "'''s ''t",
 ]
 
 
