@@ -1,6 +1,6 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
-The model is a logistic regression on which words a text has. For each labelled sentence that names a group of
+The model is a logistic regression on which words, and which beginnings of words, a text has. For each labelled sentence that names a group of
 people, twins are made in which the identity term is swapped for others of its kind; a squared penalty
 on the change of score between text and twin keeps the terms themselves from counting, so that a neutral mention of a
 group is no reason to reject.
@@ -52,6 +52,8 @@ _SWAPS = {w: [v for v in line.split() if v != w] for line in IDENTITY for w in l
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 _WORDS_SQL = r"(?U)[^\w]+"
+#: Letters of a word's beginnings that count beside the word.
+STARTS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ class Model:
     bias: float
 
     def score(self, words: set[str]) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(words & self.weights.keys()))
+        z = self.bias + sum(self.weights[w] for w in sorted(features_of(words) & self.weights.keys()))
         return float(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
@@ -69,6 +71,14 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def features_of(words: set[str]) -> set[str]:
+    """Words, and their beginnings under a mark."""
+    out = set(words)
+    for k in STARTS:
+        out.update(["^" + w[:k] for w in words if len(w) > k])
+    return out
+
+
 def twins(text: str, each: int = 2) -> list[set[str]]:
     """The word sets of texts in which the identity terms of one sentence are swapped."""
     low = text.lower()
@@ -92,7 +102,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_train: int, key: str, text:
     return rows.groupBy("d").agg(F.max("__y").alias("y"), F.first("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 20_000, least_z: float = 4.0, least_docs: int = 3, penalty: float = 1.0, l2: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 20_000, least_z: float = 4.0, least_docs: int = 3, penalty: float = 1.0, l2: float = 0.01, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of ``label``; the caller leaves out of ``labels`` what it must not see. ``penalty`` weighs the change of
     score between a text and its twins; ``l2`` the size of weights."""
     ship(docs.sparkSession)
@@ -104,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     if not ones or ones == total:
         return Model({}, flat)
     base = ones / total
-    words = train.select("y", F.explode(F.array_distinct(F.split(F.lower("text"), _WORDS_SQL))).alias("w")).where("w != ''")
+    own = F.array_distinct(F.split(F.lower("text"), _WORDS_SQL))
+    starts = [F.transform(F.filter(own, _longer(k)), _start(k)) for k in STARTS]
+    words = train.select("y", F.explode(F.array_distinct(F.concat(own, *starts))).alias("w")).where("w != ''")
     counts = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where(F.col("n") >= least_docs)
     z = (F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     picked = counts.withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "w").limit(max_features)
@@ -115,9 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
         for batch in batches:
             out = []
             for y, d, whole in zip(*(batch.column(c).to_pylist() for c in ("y", "d", "text")), strict=True):
-                own = set(WORD.findall(whole.lower()))
-                pairs = [sorted(number[w] for w in t if w in number) for t in twins(whole)]
-                mine = sorted(number[w] for w in own if w in number)
+                pairs = [sorted(number[w] for w in features_of(t) if w in number) for t in twins(whole)]
+                mine = sorted(number[w] for w in features_of(set(WORD.findall(whole.lower()))) if w in number)
                 out.append({"y": y, "d": d, "x": mine, "twins": [t for t in pairs if t != mine]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("d", pa.string()), ("x", pa.list_(pa.int32())), ("twins", pa.list_(pa.list_(pa.int32())))]))
 
@@ -126,12 +137,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     return Model(dict(zip(features, w.tolist(), strict=True)), b)
 
 
+def _longer(k: int):
+    return lambda w: F.length(w) > k
+
+
+def _start(k: int):
+    return lambda w: F.concat(F.lit("^"), F.substring(w, 1, k))
+
+
 def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = [len(r) for r in rows]
     return np.repeat(np.arange(len(rows)), lens), np.array([i for r in rows for i in r], np.int64)
 
 
-def _fit(xs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], m: int, flat: float, penalty: float, l2: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _fit(xs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], m: int, flat: float, penalty: float, l2: float, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Full-batch Adam on log loss + penalty * mean (score change)^2 + l2 * |w|^2 / n; the same for the same rows."""
     row, col = _flat(xs)
     a_row, a_col = _flat([a for a, _ in pairs])
