@@ -47,7 +47,7 @@ class Fixture:
     @property
     def sql(self) -> str:
         columns = [c.split()[0] for c in self.schema.split(",")]
-        types = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+        types = {"string": "VARCHAR", "int": "BIGINT", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
         def value(v) -> str:
             if v is None:
