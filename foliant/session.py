@@ -9,8 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What Spark takes if nobody says otherwise, and what texts need: a worker and its task hold a few batches each.
+DEFAULT_BATCH, TEXT_BATCH = "67108864b", "8388608b"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once a context, so that workers import what the driver imports."""
+    """Sends this package to the executors, once a context, so that workers import what the driver imports; and, unless the session says
+    otherwise, keeps batches to workers small."""
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_BYTES, TEXT_BATCH)
     context = spark.sparkContext
     if getattr(context, "_foliant_shipped", False):
         return spark
