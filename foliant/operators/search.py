@@ -80,12 +80,23 @@ def top_k_approximate(rows: DataFrame, query: Sequence[float], k: int = 5, vecto
 
 def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id", query_key: str = "query_id", on: Sequence[str] = ()) -> DataFrame:
     """V02 for many questions at once: ``queries(query_key, query_vector, *on)`` meet the chunks that agree on ``on``."""
-    pairs = chunks.join(queries, list(on)) if on else chunks.join(F.broadcast(queries))
+    pairs = chunks.join(queries, list(on)) if on else against_all(chunks, queries, query_key)
     rank = F.row_number().over(_by(query_key, key))
     scored = pairs.withColumn("similarity", vectors.cosine_similarity(F.col(vector), F.col("query_vector")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= clamped(k))
 
 
+def against_all(chunks: DataFrame, queries: DataFrame, query_key: str = "query_id", most: int = 5_000) -> DataFrame:
+    """Every query with every chunk: queries are sent to the chunks, ``most`` or so at a time."""
+    n = max(1, -(-queries.count() // most))
+    out = None
+    for i in range(n):
+        block = queries if n == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(n)) == i)
+        pairs = chunks.join(F.broadcast(block))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def _by(part: str, key: str):
     from pyspark.sql import Window
 

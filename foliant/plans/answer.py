@@ -24,7 +24,7 @@ def answer(questions: DataFrame, entities: DataFrame, chunks: DataFrame, embed:
     rows = search.filtered(chunks)
     q = known.select(F.col("question_id").alias("query_id"), F.col("company").alias("asked_company"), F.col("fiscal_year").alias("asked_year"), "query_vector")
     scoped = rows.join(q.where("asked_company IS NOT NULL"), (F.col("company") == F.col("asked_company")) & (F.col("asked_year").isNull() | (F.col("fiscal_year") == F.col("asked_year"))))
-    open_ = rows.join(F.broadcast(q.where("asked_company IS NULL")))  # a batch of questions, against all chunks
+    open_ = search.against_all(rows, q.where("asked_company IS NULL"))
     pairs = scoped.unionByName(open_).withColumn("similarity", search.vectors.cosine_similarity(F.col("embedding"), F.col("query_vector")))
     top = pairs.withColumn("rank", F.row_number().over(search._by("query_id", "id"))).where(F.col("rank") <= search.clamped(k))
     source = F.struct("rank", F.col("id").cast("string").alias("chunk_id"), *SOURCE_FIELDS, F.col("similarity").alias("relevance_score"), "content", snippet(F.col("content")).alias("text_snippet"), "company_name_mismatch")

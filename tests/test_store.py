@@ -41,6 +41,10 @@ def test_filter_comes_before_search(spark, parts):
     hits = search.top_k(rows.where("company = 39"), [1.0, 0.0], 5).collect()
     assert len(hits) == 5 and [h.id for h in hits] == sorted((h.id for h in hits), key=lambda i: (i % 3, i))
     assert [h.id for h in search.top_k_scan(rows, [1.0, 0.0], 5).collect()] == [h.id for h in search.top_k(rows, [1.0, 0.0], 5).collect()] == [0, 3, 6, 9, 12]
+    asked = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(7)], "query_id long, query_vector array<double>")
+    assert search.batch_top_k(rows, asked, 2).count() == 14
+    blocks = search.against_all(rows, asked, most=3)
+    assert blocks.count() == 7 * 400
     assert search.clamped(0) == 1 and search.clamped(99) == 20
 
 
