@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -30,3 +33,27 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(target))
     context._foliant_shipped = True
     return spark
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives free pages back, or nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a worker that lives on after the task: what the task no longer needs goes back to the system."""
+
+    def over(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return over
