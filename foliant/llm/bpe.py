@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
-from foliant.session import ship
+from foliant.session import released, ship
 
 #: Parts above which a word is merged with a heap instead of scans.
 LONG = 256
 _NONE = 1 << 60
+#: Pieces that a worker remembers, some 40 MB.
+CACHED = 200_000
 
 #: The pattern of the word tokenizer, in the form for all of Unicode and in one for common letters.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -76,7 +78,7 @@ class WordBpe:
             self.token[i] = word
         self._words, self._common = regex.compile(WORDS), re.compile(WORDS_COMMON)
         self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = PieceCache(lambda pieces: flattened(map(self.merge, pieces)))
+        self.cache = PieceCache(lambda pieces: flattened(map(self.merge, pieces)), CACHED)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece; a special token is its own piece."""
@@ -200,4 +202,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
                 columns.append(pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)

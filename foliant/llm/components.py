@@ -16,7 +16,9 @@ from foliant.llm.common import written
 
 
 def _star(edges: DataFrame, node: str, least: DataFrame) -> DataFrame:
-    return edges.join(least, node)
+    """Edges with their node's minimum. The minima are dealt anew, so that the join's two sides are shuffled for it alone and
+    the edges of a hot node can be split."""
+    return edges.join(least.hint("rebalance"), node)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -13,7 +13,7 @@ shuffle, on shingles alone, and the texts only of documents with candidates foll
 
 Words are runs of letters and digits and all beyond ASCII, with A-Z in lower case. Null or empty texts have no
 words and aren't contaminated; an item without words is no item. A null item id counts as the empty string.
-Repeated documents each get a row; empty tables give an empty result, or one without hits. Other columns aren't read.
+Columns named like results are replaced. Repeated documents each get a row; empty tables give an empty result, or one without hits. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     """``docs`` without its text, with ``n_words``, ``n_hit`` (words inside a window), and ``hit_items`` (sorted)."""
     windows = written(item_windows(items, item, text, window), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # three values at most
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "hit_items")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), words_of(text_of(f"`{text}`")).alias("words"))
     if not sizes:
         return rows.select("doc.*", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items"))

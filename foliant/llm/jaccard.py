@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import text_of, written
 from foliant.llm.components import connected_components
 from foliant.llm.shingles import by_group, least_linked, mixed, shingle_hashes, sketch
-from foliant.session import ship
+from foliant.session import released, ship
 
 SHINGLE, THRESHOLD, SKETCH = 5, 0.8, 64
 #: Texts in a block of a bucket, texts and shingles in a block of a cluster.
@@ -77,7 +77,7 @@ def _sketched(docs: DataFrame, key: str, text: str, t: int, k: int) -> DataFrame
                 out.append(sketch(hashes, t).astype("<u4").tobytes() if len(hashes) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "digest", "sketch"])
 
-    return rows.mapInArrow(run, f"key {kind}, digest binary, sketch binary")
+    return rows.mapInArrow(released(run), f"key {kind}, digest binary, sketch binary")
 
 
 def _paths(rows: DataFrame, t: int, threshold: float, runs: int) -> DataFrame:
@@ -95,7 +95,7 @@ def _paths(rows: DataFrame, t: int, threshold: float, runs: int) -> DataFrame:
                     if len(row):
                         yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(ids[row])], names=["path", "id"])
 
-    return rows.mapInArrow(run, "path long, id long")
+    return rows.mapInArrow(released(run), "path long, id long")
 
 
 def _in_blocks(rows: DataFrame, group: Column, blocks: Column) -> DataFrame:
@@ -144,7 +144,7 @@ def _bucket_edges(leaves: DataFrame, t: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     dealt = leaves.select("g", "id", "sketch", "block", "cross").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -202,7 +202,7 @@ def _verified(members: DataFrame, threshold: float) -> DataFrame:
             yield batch_of()
 
     dealt = members.select("g", "id", "set", "copies", "block", "cross").repartition("g").sortWithinPartitions("g")
-    return dealt.mapInArrow(run, "id long, links long, top long")
+    return dealt.mapInArrow(released(run), "id long, links long, top long")
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             columns = [c for i, c in enumerate(batch.columns) if i != place]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x.astype("<u8").tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], names=[*(f.name for f in fields), "set", "n"])
 
-    return rows.mapInArrow(run, rows.schema.__class__(list(fields)).add("set", "binary").add("n", "long"))
+    return rows.mapInArrow(released(run), rows.schema.__class__(list(fields)).add("set", "binary").add("n", "long"))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 64, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = 500_000) -> DataFrame:
@@ -233,7 +233,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, rec
     for level in range(1, depth + 1):
         paths = written(step, "paths")
         sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        shared = written(paths.join(sizes, "path"), "buckets")
+        shared = written(paths.join(sizes.hint("rebalance"), "path"), "buckets")  # dealt anew: a hot path is split
         done = shared if level == depth else shared.where(F.col("size") <= small)
         leaves = done if leaves is None else leaves.unionByName(done)
         if level < depth:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import ship
+from foliant.session import released, ship
 
 MOST_BYTES = 64 << 20
 KINDS = ("assign", "access", "hex")
@@ -266,7 +266,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_refused"])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, {RESULT}")
+    return rows.mapInArrow(released(run), f"`{key}` {kind}, {RESULT}")
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -293,4 +293,4 @@ def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
             new = pa.array([masked(v.as_py()) for v in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], new, *batch.columns[place + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import fresh_path, text_of, written
 from foliant.llm.pieces import in_parts
-from foliant.session import ship
+from foliant.session import released, ship
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _LOADED: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -53,7 +53,7 @@ def _counts(texts: DataFrame, path: str) -> DataFrame:
                 counts = [len(x) for x in sp.encode(found[a:b], num_threads=1)]
                 yield pa.RecordBatch.from_arrays([digests.slice(a, b - a), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
-    return texts.mapInArrow(run, "digest binary, n_tokens long")
+    return texts.mapInArrow(released(run), "digest binary, n_tokens long")
 
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import text_of, written
-from foliant.session import ship
+from foliant.session import released, ship
 
 #: Terms by kind; a term is swapped for others of its line.
 IDENTITY = (
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
                 out.append({"y": y, "d": d, "x": mine, "twins": [t for t in pairs if t != mine]})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("d", pa.string()), ("x", pa.list_(pa.int32())), ("twins", pa.list_(pa.list_(pa.int32())))]))
 
-    rows = sorted(train.mapInArrow(run, "y int, d string, x array<int>, twins array<array<int>>").collect(), key=lambda r: r["d"])
+    rows = sorted(train.mapInArrow(released(run), "y int, d string, x array<int>, twins array<array<int>>").collect(), key=lambda r: r["d"])
     w, b = _fit([r["x"] for r in rows], np.array([r["y"] for r in rows], float), [(r["x"], t) for r in rows for t in r["twins"]], len(features), flat, penalty, l2)
     return Model(dict(zip(features, w.tolist(), strict=True)), b)
 
@@ -192,4 +192,4 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", score: st
             found = [model.score(set(WORD.findall((v.as_py() or "").lower()))) for v in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, score])
 
-    return rows.mapInArrow(run, rows.schema.__class__(list(rows.schema.fields)).add(score, "double"))
+    return rows.mapInArrow(released(run), rows.schema.__class__(list(rows.schema.fields)).add(score, "double"))

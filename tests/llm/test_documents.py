@@ -139,7 +139,7 @@ def test_windows_are_those_of_all_places(spark, docs_of, few, short):
     texts += [f"{prose(rng, 20)} {passages[1].upper()} {prose(rng, 5)}", passages[0], passages[0] + "; " + passages[0], " ".join(passages[3].split()[50:70]), " ".join(passages[2].split()[:12])]
     texts.append(prose(rng, 4000) + " " + passages[0])  # found, but under a twentieth
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    found = decontam.find_windows(docs_of(texts).withColumn("n_chars", F.lit(None).cast("long")), table, max_broadcast=few)
+    found = decontam.find_windows(docs_of(texts).withColumn("n_hit", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("gram", F.lit(1)), table, max_broadcast=few)
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.hit_items) for r in found.collect())
     assert got == sorted(brute_windows(enumerate(texts), items))
     flags = {r.doc_id: r.bad for r in found.withColumn("bad", decontam.contaminated()).collect()}
