@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from foliant.llm.bpe import UNCOMMON
 from foliant.llm.common import text_of
 from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
-from foliant.session import ship
+from foliant.session import released, ship
 
 #: The pattern of the byte-level tokenizer, in the form for all of Unicode and in one for common letters.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,6 +57,8 @@ MANIFEST = "part long, seq long, file string, n_docs long, n_ids long, first_key
 BITS, HASHES = 10, 7
 #: New words that one call of the library encodes.
 _AT_ONCE = 200
+#: Pieces that a worker remembers, some 160 MB: most of the time goes into new pieces.
+CACHED = 800_000
 
 
 class ByteBpe:
@@ -70,7 +72,7 @@ class ByteBpe:
         self.special = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._pieces, self._common = regex.compile(PIECES), re.compile(PIECES_COMMON)
-        self.cache = PieceCache(self._encode_new)
+        self.cache = PieceCache(self._encode_new, CACHED)
         vocab = self._library.get_vocab(with_added_tokens=False)
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a letter of a token stands for a byte
         for token, i in vocab.items():
@@ -301,7 +303,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     store.create_dir(base, recursive=True)
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(released(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -342,7 +344,7 @@ def read_documents(spark: SparkSession, folder: str, ids: bool = False) -> DataF
 
     shards = [x[:2] for x in _shards(ship(spark), folder)]
     files = spark.createDataFrame(shards, "file string, start long").repartition(max(1, len(shards)))
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(released(run), schema)
 
 
 def lookup(spark: SparkSession, folder: str, key: int | None) -> list[list[int]]:
