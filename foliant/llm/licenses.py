@@ -174,8 +174,10 @@ def paragraph_licences(docs: DataFrame, least_p: float = 0.6, least_inside: floa
     c = trained()
     spark = docs.sparkSession
     telling = F.array(*(F.lit(w) for w in sorted(c.telling)))
+    # A line with a telling word has that word's longest part among its runs of letters and digits.
+    parts = F.array(*(F.lit(p) for p in sorted({max(re.split("[.-]", w), key=len) for w in c.telling})))
     kept = [F.col(f"`{x}`") for x in docs.columns if x != text]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*kept).alias("doc"), F.filter(F.transform(F.split(text_of(f"`{text}`"), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda s: s["text"].rlike(_telling_pattern(c))).alias("lines"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*kept).alias("doc"), F.filter(F.transform(F.split(text_of(f"`{text}`"), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda s: F.arrays_overlap(F.split(F.lower(s["text"]), "[^a-z0-9]+"), parts)).alias("lines"))
     lines = rows.select("row", "doc", F.explode("lines").alias("l")).select("row", "doc", "l.line", _words(F.col("l.text")).alias("words")).where(F.arrays_overlap("words", telling))
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
     grams = lines.select("row", "doc", "line", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
@@ -194,11 +196,6 @@ def paragraph_licences(docs: DataFrame, least_p: float = 0.6, least_inside: floa
     return named.select("row", "doc", "line", family.alias("family"), "p", F.round(inside, 6).alias("inside"), (sure & (inside >= least_inside)).alias("confirmed"))
 
 
-def _telling_pattern(c: Classifier) -> str:
-    """Finds every line with a telling word, and some more."""
-    return "(?i)" + "|".join(sorted({re.escape(w[:5]) for w in c.telling}))
-
-
 def document_licences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, ``n_paragraphs`` (lines with text), ``n_licences``, ``licences`` (confirmed families, sorted, joined by
     commas) and ``best_p`` (null without any)."""
