@@ -39,6 +39,8 @@ LONG = 256
 _NONE = 1 << 60
 #: Pieces that a worker remembers, some 40 MB.
 CACHED = 200_000
+#: Characters that are cut into pieces at a time; their pieces and ids take some 40 MB.
+PART = 1_000_000
 
 #: The pattern of the word tokenizer, in the form for all of Unicode and in one for common letters.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -47,6 +49,13 @@ WORDS_COMMON = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 UNCOMMON = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
 
+def is_common(text: str) -> bool:
+    """Whether the forms of a pattern agree on ``text``."""
+    if text.isascii():
+        return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return not UNCOMMON.search(text)
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte: itself if printable Latin-1, else the next free letter from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -135,12 +144,12 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            if UNCOMMON.search(text) and unassigned().search(text):
+            if not is_common(text) and unassigned().search(text):
                 return self._split_by_library(text)
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case letter by letter, without the rule for a final sigma
                 text = text.replace("Σ", "σ")
-        common = not UNCOMMON.search(text)
+        common = is_common(text)
         text = text.lower()
         if common:
             return self._common.findall(text)
@@ -192,7 +201,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
         bpe = loaded(path)
         for batch in batches:
             texts = batch.column(len(own)).to_pylist()
-            for a, b in in_parts(texts):
+            for a, b in in_parts(texts, PART):
                 found = bpe.encode(texts[a:b])
                 columns = batch.slice(a, b - a).columns[:-1]
                 if ids:
