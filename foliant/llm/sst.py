@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.bpe import UNCOMMON
+from foliant.llm.bpe import UNCOMMON, is_common
 from foliant.llm.common import text_of
 from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
 from foliant.session import released, ship
@@ -104,9 +104,11 @@ class ByteBpe:
         return lens, flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))]
 
     def _plain(self, text: str) -> list[str]:
-        if UNCOMMON.search(text) and unassigned().search(text):
+        if is_common(text):
+            return self._common.findall(text)
+        if unassigned().search(text):
             return [text[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(text)]
-        return (self._pieces if UNCOMMON.search(text) else self._common).findall(text)
+        return self._pieces.findall(text)
 
     def pieces(self, text: str) -> list[str]:
         if self._marks is None or not any(x in text for x in self.special):
