@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontam, jaccard, secrets, toxicity
-from foliant.llm.common import table, written
+from foliant.llm.common import table, text_of, written
 
 REJECT_AT = 0.7
 
@@ -30,15 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id in each class of near duplicates."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_least(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by ``benchmark``."""
-    found = decontam.find_windows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    gone = written(found.where(decontam.contaminated()).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    few = gone.count() <= 2_000_000  # a row is an id
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """Documents that aren't contaminated by ``benchmark``. The verdict hangs on the text alone, so texts are dropped by their digest, not by an id
+    that may be missing or repeated."""
+    digest = F.unhex(F.md5(text_of().cast("binary")))
+    found = decontam.find_windows(docs.select(digest.alias("__gone"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = written(found.where(decontam.contaminated()).select("__gone").distinct(), "contaminated")
+    few = gone.count() <= 2_000_000  # a row is a digest
+    return docs.join(F.broadcast(gone) if few else gone, digest == gone["__gone"], "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,8 +219,13 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(released(run), rows.schema.__class__(list(fields)).add("set", "binary").add("n", "long"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 64, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = 500_000) -> DataFrame:
-    """Per row: ``key``, ``class_id`` (least key in its class) and ``n_links`` (other rows it is linked to)."""
+def classes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """Per row: ``key``, ``class_id`` (least key in its class) and ``n_links`` (other rows it is linked to); ``options`` are those of ``_classed``."""
+    return _classed(docs, key=key, **options).drop("digest")
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 64, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = 500_000) -> DataFrame:
+    """``classes`` with the text's ``digest``."""
     ship(docs.sparkSession)
     rows = written(_sketched(docs, key, text, t, k), "sketches")
     grouped = rows.groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
@@ -258,7 +263,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, rec
     full = written(texts.select("id", "digest", "first_key", "copies", (F.length("sketch") > 0).alias("worded")).join(per_text, "id", "left"), "members")
     names = full.where("component IS NOT NULL").groupBy("component").agg(F.min("first_key").alias("name"))
     named = full.join(names, "component", "left").select("digest", "worded", F.coalesce("name", "first_key").alias("name"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
-    return rows.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), F.when(F.col("worded"), F.col("name")).otherwise(F.col("key")).alias("class_id"), F.when(F.col("worded"), F.col("n")).otherwise(0).cast("long").alias("n_links"))
+    return rows.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), F.when(F.col("worded"), F.col("name")).otherwise(F.col("key")).alias("class_id"), F.when(F.col("worded"), F.col("n")).otherwise(0).cast("long").alias("n_links"), "digest")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", max_broadcast: int = 2_000_000, **options) -> DataFrame:
@@ -266,3 +271,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", max_broadcast: int = 2_000_00
     gone = written(classes(docs, key=key, **options).where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__gone")).distinct(), "dropped")
     few = gone.count() <= max_broadcast  # a row is a key
     return docs.join(F.broadcast(gone) if few else gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def keep_least(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 1_000_000, **options) -> DataFrame:
+    """``docs`` without the rows whose key isn't their class's least. A row is told by its key and its text's digest, on which its verdict
+    hangs, so no row goes for another of the same or no key; rows that repeat the kept key stay."""
+    judged = _classed(docs, key=key, text=text, **options)
+    gone = written(judged.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__gone"), F.col("digest").alias("__digest")).distinct(), "dropped")
+    few = gone.count() <= max_broadcast  # a row is a key and a digest
+    same = docs[key].eqNullSafe(gone["__gone"]) & (F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary"))) == gone["__digest"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
