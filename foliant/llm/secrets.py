@@ -7,8 +7,12 @@ content and the part of the text that it came from; one that was seen before (a
 isn't taken again. What a layer holds is mapped to the whole text: through in-place codes to the characters
 that the match was decoded from, through base64 to the whole run.
 
-A layer is decompressed up to ``MOST_BYTES``; a larger one isn't unwrapped and is counted in ``n_refused``, so a
-small file that would unpack to terabytes can't stop a task. Work is a narrow map, a text at a time.
+A base64 run is decoded at each of its four alignments, by itself and joined with the runs of the lines around it, so a
+layer is found behind letters that aren't part of it. Where not all bytes are text, the stretches of ASCII among them are layers (all that
+a pattern can match is ASCII), mapped to the characters that they were decoded from. Compressed streams are looked for at every byte, and
+unpacked member after member as far as they are sound.
+
+A layer is decompressed up to ``MOST_BYTES``; a larger one isn't unwrapped and is counted in ``n_refused``. Work is a narrow map, a text at a time.
 
 Null and empty texts have no spans. Equal rows give equal results. An empty table gives an empty result. Other
 columns aren't read by ``find_secrets`` and are kept by ``mask_secrets``.
@@ -20,14 +24,13 @@ import binascii
 import bz2
 import hashlib
 import html
-import io
 import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -48,6 +51,16 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&(?:\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 #: The shortest secret, a name, a sign and eight characters, makes nineteen characters of base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Base64 over several lines.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+#: What a pattern can match in bytes that aren't all text: fourteen characters of ASCII at least, the shortest secret.
+STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+#: How gzip, zlib, bzip2, xz and Zstandard begin.
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
+LONGEST_MAGIC = 10
+#: Bytes that are unpacked at once.
+BLOCK = 4 << 20
 
 Span = tuple[int, int, str]
 
@@ -127,13 +140,10 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), at or [0], to or [(0, 0, False)])
 
 
-def _percent(run: str) -> list[tuple[str, int]] | None:
-    """Characters of a run of percent codes and how many places each takes; None if it isn't UTF-8."""
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except ValueError:
-        return None
-    return [(c, 3 * len(c.encode())) for c in text]
+def _percent(run: str) -> list[tuple[str, int]]:
+    """Characters of a run of percent codes and how many places each takes; a byte that isn't UTF-8 is a replacement character."""
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
+    return [("\ufffd", 3) if 0xDC80 <= ord(c) <= 0xDCFF else (c, 3 * len(c.encode())) for c in text]
 
 
 def _escape(run: str) -> list[tuple[str, int]] | None:
@@ -144,68 +154,97 @@ def _escape(run: str) -> list[tuple[str, int]] | None:
     for m in re.finditer(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})", run):
         code = int(m[1] or m[2] or m[3] or m[4], 16)
         if code > 0x10FFFF:
-            return None
+            code = 0xFFFD
         if 0xDC00 <= code < 0xE000 and out and 0xD800 <= ord(out[-1][0]) < 0xDC00:
             high = out.pop()
             out.append((chr(0x10000 + ((ord(high[0]) - 0xD800) << 10) + code - 0xDC00), high[1] + len(m[0])))
         else:
             out.append((chr(code), len(m[0])))
         at = m.end()
-    if at != len(run) or any(0xD800 <= ord(c) < 0xE000 for c, _ in out):
+    if at != len(run):
         return None
-    return out
+    return [("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c, n) for c, n in out]
+
 
+def _pieces(raw: bytes | memoryview) -> Iterator[bytes]:
+    return (bytes(raw[a : a + 4096]) for a in range(0, len(raw), 4096))
 
-def _inflate(raw: bytes) -> bytes | None:
-    """What ``raw`` unpacks to, itself if it isn't compressed, None if that is too much."""
+
+def _unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a compressed stream unpacks to, in blocks, member after member, as far as it is sound."""
+    most, head = min(BLOCK, MOST_BYTES), b""
+    while len(head) < LONGEST_MAGIC and (more := next(chunks, b"")):
+        head += more
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MOST_BYTES + 1)
-            if not d.eof and len(out) <= MOST_BYTES:
-                return raw
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, MOST_BYTES + 1)
-        elif raw[:6] == b"\xfd7zXZ\0":
-            out = lzma.LZMADecompressor().decompress(raw, MOST_BYTES + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)).read(MOST_BYTES + 1)
-        else:
-            return raw
+        if head[:4] == b"\x28\xb5\x2f\xfd":
+            reader = zstandard.ZstdDecompressor().stream_reader(_Source(head, chunks), read_across_frames=True)
+            while out := reader.read(most):
+                yield out
+            return
+        while MAGIC.match(head):
+            d = bz2.BZ2Decompressor() if head[:3] == b"BZh" else lzma.LZMADecompressor() if head[:1] == b"\xfd" else zlib.decompressobj(47)
+            data = head
+            while not d.eof:
+                out = d.decompress(data, most)
+                if out:
+                    yield out
+                data = getattr(d, "unconsumed_tail", b"")
+                if not d.eof and not data and getattr(d, "needs_input", len(out) < most) and not (data := next(chunks, b"")):
+                    return
+            head = d.unused_data
+            while len(head) < LONGEST_MAGIC and (more := next(chunks, b"")):
+                head += more
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return raw
-    return None if len(out) > MOST_BYTES else out
+        return
+
+
+class _Source:
+    """Chunks as what ``zstandard`` reads from."""
+
+    def __init__(self, head: bytes, chunks: Iterator[bytes]):
+        self.held, self.chunks = head, chunks
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.held or next(self.chunks, b"")
+        out, self.held = (data, b"") if n < 0 else (data[:n], data[n:])
+        return out
 
 
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 
 
-def _unpacked(run: str) -> tuple[str | None, bool]:
-    """The text inside a base64 run, or None; and whether it was too large."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None, False
-    try:
-        raw = binascii.a2b_base64(body.encode().translate(_STANDARD) + b"=" * (-len(body) % 4))
-    except ValueError:
-        return None, False
-    seen = set()
-    while True:  # compressed in compressed, until it no longer changes or comes round
-        mark = hashlib.blake2b(raw, digest_size=16).digest()
-        if mark in seen:
-            break
-        seen.add(mark)
-        out = _inflate(raw)
-        if out is None:
-            return None, True
-        if out is raw:
-            break
-        raw = out
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None, False
-    return text, False
+class Run:
+    """Base64 in a layer: its characters without what is between lines, and where each of them is."""
+
+    __slots__ = ("at", "body", "end", "layer", "to")
+
+    def __init__(self, layer: Layer, m: re.Match, wrapped: bool):
+        self.layer, self.end = layer, m.end()
+        parts = [(x.start(), x[0]) for x in LETTERS.finditer(m[0])] if wrapped else [(0, m[0].rstrip("="))]
+        self.body = "".join(x for _, x in parts)
+        self.to = [m.start() + i for i, _ in parts]
+        self.at = list(accumulate((len(x) for _, x in parts[:-1]), initial=0))
+
+    def place(self, i: int) -> int:
+        k = bisect_right(self.at, i) - 1
+        return self.to[k] + i - self.at[k]
+
+    def origin(self, a: int, b: int) -> tuple[int, int]:
+        """Where characters ``a`` to ``b`` come from; the last ones with the signs that fill them up."""
+        return self.layer.origin(self.place(a), self.end if b >= len(self.body) else self.place(b - 1) + 1)
+
+    def decoded(self, shift: int) -> bytes:
+        body = self.body[shift:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        return binascii.a2b_base64(body.encode().translate(_STANDARD) + b"=" * (-len(body) % 4))
+
+    def part(self, shift: int, m: re.Match) -> Layer:
+        """A stretch of what was decoded; each three bytes map to their four characters."""
+        at, to = [], []
+        for g in range(m.start() // 3, (m.end() - 1) // 3 + 1):
+            at.append(max(0, 3 * g - m.start()))
+            to.append((*self.origin(shift + 4 * g, min(shift + 4 * g + 4, len(self.body))), False))
+        return Layer(m[0].decode("ascii"), at, to)
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
@@ -214,7 +253,7 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
     spans = set(base)
     seen: set[tuple] = set()
     work: deque[Layer] = deque([Layer(text, [0], [(0, len(text), True)])])
-    layers = refused = 0
+    layers = n_large = 0
 
     def push(layer: Layer, origin: tuple[int, int]) -> None:
         nonlocal layers
@@ -227,19 +266,72 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
             spans.add((*layer.origin(start, end), kind))
         work.append(layer)
 
-    while work:
-        layer = work.popleft()
-        if "%" in layer.text and (new := _in_place(layer, PERCENT, _percent)):
-            push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
-        if ("\\" in layer.text or "&" in layer.text) and (new := _in_place(layer, ESCAPE, _escape)):
-            push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
-        for m in BASE64.finditer(layer.text):
-            inner, large = _unpacked(m[0])
-            refused += large
+    def push_whole(raw: bytes, origin: tuple[int, int]) -> None:
+        """A layer of its own, or its stretches of text if not all of it is text."""
+        try:
+            inner = raw.decode()
+        except UnicodeDecodeError:
+            for m in STRETCH.finditer(raw):
+                push(Layer(m[0].decode("ascii"), [0], [(*origin, False)]), origin)
+        else:
             if inner:
-                origin = layer.origin(m.start(), m.end())
                 push(Layer(inner, [0], [(*origin, False)]), origin)
-    return base, sorted(spans, key=_order), layers, refused
+
+    def unpack(stream: Callable[[], Iterator[bytes]], origin: tuple[int, int], marks: frozenset = frozenset()) -> None:
+        """What a compressed stream holds, and what is compressed in that, until it comes round. A stream is opened again for what is in it."""
+        nonlocal n_large
+        held, blocks = bytearray(), _unpacked(stream())
+        for block in blocks:
+            held += block
+            if len(held) > MOST_BYTES:
+                break
+        whole, mark = len(held) <= MOST_BYTES, hashlib.blake2b(held, digest_size=16).digest()
+        if mark in marks:
+            return
+        inside = MAGIC.match(held) is not None
+        if whole:
+            raw = bytes(held)
+            push_whole(raw, origin)
+            if inside:
+                unpack(lambda: _pieces(raw), origin, marks | {mark})
+            return
+        n_large += 1
+
+    def unwrap(run: Run, wrapped: bool) -> None:
+        for shift in range(4):
+            raw = run.decoded(shift)
+            if shift == 0 and not wrapped and _is_text(raw) and len(run.body) % 4 != 1:
+                push_whole(raw, run.origin(0, len(run.body)))
+            else:
+                for m in STRETCH.finditer(raw):
+                    push(run.part(shift, m), run.origin(shift, len(run.body)))
+            for m in MAGIC.finditer(raw):
+                unpack(lambda raw=raw, at=m.start(): _pieces(memoryview(raw)[at:]), run.origin(shift + 4 * (m.start() // 3), len(run.body)))
+
+    def drain() -> None:
+        while work:
+            layer = work.popleft()
+            if "%" in layer.text and (new := _in_place(layer, PERCENT, _percent)):
+                push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
+            if ("\\" in layer.text or "&" in layer.text) and (new := _in_place(layer, ESCAPE, _escape)):
+                push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
+            for m in BASE64.finditer(layer.text):
+                unwrap(Run(layer, m, False), False)
+            if "\n" in layer.text or "\r" in layer.text:
+                for m in WRAPPED.finditer(layer.text):
+                    if len(m[0]) >= 20 and len((run := Run(layer, m, True)).body) >= 19:
+                        unwrap(run, True)
+
+    drain()
+    return base, sorted(spans, key=_order), layers, n_large
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _listed(spans: list[Span]) -> str:

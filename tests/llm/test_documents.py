@@ -213,6 +213,21 @@ def test_cycles_and_bombs_end(monkeypatch):
     assert secrets.find(f"see {bomb}")[3] == 1
 
 
+def test_layers_are_found_in_whatever_is_around_them():
+    b64, zipped = (lambda raw: base64.b64encode(raw).decode()), (lambda raw: gzip.compress(raw))
+    lines = lambda s: "\r\n".join(s[i : i + 76] for i in range(0, len(s), 76))
+    secret, rest = SECRET.encode(), prose(random.Random(6), 200, 99_999).encode()
+    cases = [
+        "see https://files.example.org/" + b64(secret), "A" + b64(secret), "ab_" + b64(secret), "a/b-" + b64(zipped(secret)),
+        "sent:\r\n" + lines(b64(zipped(rest + secret))) + "\r\nbye to all", "sent:\n" + lines(b64(rest[:52] + secret + rest)),
+        b64(zipped(b"none") + zipped(secret)), b64(zipped(zipped(secret))), b64(zipped(b"x^2 " + rest + secret)), b64(b"\xff\xfe " + secret + b" \xff"), b64(zipped(secret + b"\xff")),
+        "%FF" + "".join(f"%{x:02X}" for x in secret), "\\ud800" + "".join(f"\\u{x:04x}" for x in secret),
+    ]
+    for i, text in enumerate(cases):
+        assert "assign" in {k for *_, k in secrets.find(text)[1]}, i
+    assert [cases[0][a:b] for a, b, _ in secrets.find(cases[0])[1]] == [b64(secret)]
+
+
 def test_find_and_mask(spark, docs_of):
     b64 = wrapped()[0]
     texts = [None, "", "plain", f"a {SECRET} b", f"x {b64} y", "token=aaaaaaaa token=bbbbbbbb", "é " * 100 + SECRET]
