@@ -472,7 +472,7 @@ def c07_answers(spark, sf_dir):
 
     embed = vectors.embed(lambda: vectors.hashing_encoder(64))
     names = spark.createDataFrame([("apple-inc", 0), ("antares-pharma-inc", 1), ("applied-materials-inc", 2)], "company string, r int")
-    docs = table(spark, sf_dir, "documents").withColumn("r", (F.col("doc_id") % 7).cast("int")).join(F.broadcast(names), "r")
+    docs = table(spark, sf_dir, "documents").withColumn("r", (F.col("doc_id") % 7).cast("int")).join(F.broadcast(names), "r", "left").withColumn("company", F.coalesce("company", "source"))
     none = lambda t: F.lit(None).cast(t)
     chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "company", F.lit("").alias("ticker"), F.lit(2022).alias("fiscal_year"), none("string").alias("form_type"), none("string").alias("accounting_standard"), F.col("lang").alias("canonical_section"), F.col("source").alias("source_file"), none("int").alias("page_start"), none("int").alias("page_end"), F.lit(False).alias("company_name_mismatch"), embed(F.col("text")).alias("embedding"))
     return answer(QUESTIONS.df(spark), ENTITIES.df(spark), chunks, embed).select("question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources"))
