@@ -12,7 +12,9 @@ layer is found behind letters that aren't part of it. Where not all bytes are te
 a pattern can match is ASCII), mapped to the characters that they were decoded from. Compressed streams are looked for at every byte, and
 unpacked member after member as far as they are sound.
 
-A layer is decompressed up to ``MOST_BYTES``; a larger one isn't unwrapped and is counted in ``n_refused``. Work is a narrow map, a text at a time.
+A layer that unpacks to more than ``MOST_BYTES`` isn't held whole: it is scanned to its end in overlapping blocks and counted in
+``n_refused``, and ``mask_secrets`` masks all that it comes from, as a layer in it that is longer than the overlap may be cut. The time is that of what
+it unpacks to. Work is a narrow map, a text at a time.
 
 Null and empty texts have no spans. Equal rows give equal results. An empty table gives an empty result. Other
 columns aren't read by ``find_secrets`` and are kept by ``mask_secrets``.
@@ -59,8 +61,8 @@ STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 #: How gzip, zlib, bzip2, xz and Zstandard begin.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 LONGEST_MAGIC = 10
-#: Bytes that are unpacked at once.
-BLOCK = 4 << 20
+#: Bytes of a large layer that are scanned at once, and that each scan has in common with the one before.
+BLOCK, OVERLAP = 4 << 20, 1 << 20
 
 Span = tuple[int, int, str]
 
@@ -247,12 +249,13 @@ class Run:
         return Layer(m[0].decode("ascii"), at, to)
 
 
-def find(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans (both in order), layers unwrapped, and layers refused."""
+def _found(text: str) -> tuple[list[Span], list[Span], int, set[tuple[int, int]], int]:
+    """``find``, with where the large layers come from before their number."""
     base = scan(text)
     spans = set(base)
     seen: set[tuple] = set()
     work: deque[Layer] = deque([Layer(text, [0], [(0, len(text), True)])])
+    large: set[tuple[int, int]] = set()
     layers = n_large = 0
 
     def push(layer: Layer, origin: tuple[int, int]) -> None:
@@ -296,6 +299,17 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
                 unpack(lambda: _pieces(raw), origin, marks | {mark})
             return
         n_large += 1
+        large.add(origin)
+        step, tail = min(BLOCK, MOST_BYTES), b""
+        first, held = [bytes(held[a : a + step]) for a in range(0, len(held), step)], bytearray()
+        while block := first.pop(0) if first else next(blocks, b""):
+            part = tail + block
+            for m in STRETCH.finditer(part):
+                push(Layer(m[0].decode("ascii"), [0], [(*origin, False)]), origin)
+            drain()  # so that only one block is held
+            tail = part[-OVERLAP:]
+        if inside:
+            unpack(lambda: _unpacked(stream()), origin, marks | {mark})
 
     def unwrap(run: Run, wrapped: bool) -> None:
         for shift in range(4):
@@ -323,7 +337,7 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
                         unwrap(run, True)
 
     drain()
-    return base, sorted(spans, key=_order), layers, n_large
+    return base, sorted(spans, key=_order), layers, large, n_large
 
 
 def _is_text(raw: bytes) -> bool:
@@ -334,6 +348,12 @@ def _is_text(raw: bytes) -> bool:
     return True
 
 
+def find(text: str) -> tuple[list[Span], list[Span], int, int]:
+    """Base spans, all spans (both in order), layers unwrapped, and layers too large to be held whole."""
+    base, spans, layers, _, n_large = _found(text)
+    return base, spans, layers, n_large
+
+
 def _listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
@@ -361,28 +381,33 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.mapInArrow(released(run), f"`{key}` {kind}, {RESULT}")
 
 
+def masked(whole: str | None, mark: str) -> str | None:
+    """A text with every span masked, and what a layer too large to be held comes from; overlapping spans are masked as one."""
+    if not whole:
+        return whole
+    _, found, _, large, _ = _found(whole)
+    spans = sorted([*found, *((a, b, "large") for a, b in large)], key=lambda s: s[:2])
+    if not spans:
+        return whole
+    joined: list[list[int]] = []
+    for start, end, _ in spans:
+        if joined and start < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    cuts = [0, *(x for s in joined for x in s), len(whole)]
+    return mark.join(whole[a:b] for a, b in list(pairwise(cuts))[::2])
+
+
 def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its text replaced by ``mark``; overlapping spans are masked as one."""
+    """``docs`` with every span of its text replaced by ``mark``, and what a layer too large to be held comes from; overlapping spans are masked as one."""
     ship(docs.sparkSession)
 
-    def masked(whole: str | None) -> str | None:
-        spans = find(whole)[1] if whole else []
-        if not spans:
-            return whole
-        joined: list[list[int]] = []
-        for start, end, _ in spans:
-            if joined and start < joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], end)
-            else:
-                joined.append([start, end])
-        cuts = [0, *(x for s in joined for x in s), len(whole)]
-        return mark.join(whole[a:b] for a, b in list(pairwise(cuts))[::2])
-
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = pa.array([masked(v.as_py()) for v in batch.column(place)], pa.string())
+            new = pa.array([masked(v.as_py(), mark) for v in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], new, *batch.columns[place + 1 :]], names=batch.schema.names)
 
     return docs.mapInArrow(released(run), docs.schema)

@@ -228,6 +228,19 @@ def test_layers_are_found_in_whatever_is_around_them():
     assert [cases[0][a:b] for a, b, _ in secrets.find(cases[0])[1]] == [b64(secret)]
 
 
+def test_large_layers_are_scanned_to_their_end(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 20_000)
+    monkeypatch.setattr(secrets, "BLOCK", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    far = b"x y " * 20_000
+    for at in (0, 977, 985, 70_000):
+        for raw in (gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]), gzip.compress(gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]))):
+            _, spans, _, n = secrets.find("see " + base64.b64encode(raw).decode())
+            assert [k for *_, k in spans] == ["assign"] and n == 1
+    held = "see " + base64.b64encode(gzip.compress(far)).decode()  # nothing is found, but a layer in it could be cut
+    assert secrets.masked(held + " end", "[SECRET]") == "see [SECRET] end"
+
+
 def test_find_and_mask(spark, docs_of):
     b64 = wrapped()[0]
     texts = [None, "", "plain", f"a {SECRET} b", f"x {b64} y", "token=aaaaaaaa token=bbbbbbbb", "é " * 100 + SECRET]
