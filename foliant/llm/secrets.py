@@ -4,7 +4,9 @@ A text is scanned for assignments, access keys and hex keys. Then its layers are
 Unicode escapes and character references in place; base64 runs, and what is compressed in them, as texts of
 their own. Each new layer is scanned and unwrapped in turn until there is none left. A layer is known by its
 content and the part of the text that it came from; one that was seen before (a cycle, or two ways to one layer)
-isn't taken again. What a layer holds is mapped to the whole text: through in-place codes to the characters
+isn't taken again. Escapes within escapes make a layer a pass, ``DEEP`` times; what is nested deeper is decoded to its end in one walk, so the time
+for any nesting is in proportion to the text. (A match that uses the digits of an escape which is itself nested deeper than that, and goes with it, isn't
+found.) What a layer holds is mapped to the whole text: through in-place codes to the characters
 that the match was decoded from, through base64 to the whole run.
 
 A base64 run is decoded at each of its four alignments, by itself and joined with the runs of the lines around it, so a
@@ -53,6 +55,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+|&(?:\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 #: The shortest secret, a name, a sign and eight characters, makes nineteen characters of base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+#: One escape that ends where a text does, and what it can end with; none is longer than ``LONGEST_UNIT``.
+UNIT = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&(?:\#[0-9]{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+ANY_UNIT, LAST_UNIT = re.compile(UNIT), re.compile(f"(?:{UNIT})\\Z")
+UNIT_ENDS, LONGEST_UNIT = frozenset("0123456789abcdefABCDEF;}"), 34
+#: Passes of escapes within escapes that each make a layer; what is nested deeper is decoded to its end in one more.
+DEEP = 8
 LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 #: Base64 over several lines.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
@@ -87,10 +95,10 @@ class Layer:
     """A text and how its places map to the whole text: ``at[i]`` is where piece i begins here; ``to[i]`` says where it came
     from and whether its characters map one to one."""
 
-    __slots__ = ("at", "text", "to")
+    __slots__ = ("at", "depth", "text", "to")
 
-    def __init__(self, text: str, at: list[int], to: list[tuple[int, int, bool]]):
-        self.text, self.at, self.to = text, at, to
+    def __init__(self, text: str, at: list[int], to: list[tuple[int, int, bool]], depth: int = 0):
+        self.text, self.at, self.to, self.depth = text, at, to, depth
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, max(start, end - 1)) - 1
@@ -100,46 +108,116 @@ class Layer:
         return first, a + end - self.at[j] if direct else b
 
 
-def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with each match decoded, or None if nothing changes."""
-    parts, at, to, n, last = [], [], [], 0, 0
+class _Rewrite:
+    """A layer in the making, out of another one's pieces in their order."""
+
+    def __init__(self, layer: Layer):
+        self.layer, self.parts, self.at, self.to, self.n = layer, [], [], [], 0
 
-    def put(piece: str, start: int, end: int, direct: bool) -> None:
-        nonlocal n
+    def put(self, piece: str, start: int, end: int, direct: bool) -> None:
+        """``piece`` stands for the old layer's ``start`` to ``end``; if ``direct``, it is that text."""
+        layer = self.layer
         if not piece:
             return
-        if direct:  # follow the pieces of this layer, so that places keep mapping one to one
-            k = bisect_right(layer.at, start) - 1
-            while start < end:
-                stop = min(end, layer.at[k + 1]) if k + 1 < len(layer.at) else end
-                own = piece[: stop - start]
-                parts.append(own)
-                at.append(n)
-                a, b, one = layer.to[k]
-                to.append((a + start - layer.at[k], a + stop - layer.at[k], True) if one else (a, b, False))
-                n, piece, start, k = n + len(own), piece[stop - start :], stop, k + 1
+        if not direct:
+            self.parts.append(piece)
+            self.at.append(self.n)
+            self.to.append((*layer.origin(start, end), False))
+            self.n += len(piece)
             return
-        parts.append(piece)
-        at.append(n)
-        to.append((*layer.origin(start, end), False))
-        n += len(piece)
+        k = bisect_right(layer.at, start) - 1  # follow the pieces of the old layer, so that places keep mapping one to one
+        while start < end:
+            stop = min(end, layer.at[k + 1]) if k + 1 < len(layer.at) else end
+            own = piece[: stop - start]
+            self.parts.append(own)
+            self.at.append(self.n)
+            a, b, one = layer.to[k]
+            self.to.append((a + start - layer.at[k], a + stop - layer.at[k], True) if one else (a, b, False))
+            self.n, piece, start, k = self.n + len(own), piece[stop - start :], stop, k + 1
+
+    def done(self) -> Layer:
+        return Layer("".join(self.parts), self.at or [0], self.to or [(0, 0, False)], self.layer.depth + 1)
+
 
-    changed = False
+def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The layer with each match decoded once, or None if nothing changes."""
+    new, last, changed = _Rewrite(layer), 0, False
     for m in pattern.finditer(layer.text):
         units = decode(m[0])
         if units is None:
             continue
         changed = True
-        put(layer.text[last : m.start()], last, m.start(), True)
+        new.put(layer.text[last : m.start()], last, m.start(), True)
         place = m.start()
         for piece, used in units:
-            put(piece, place, place + used, False)
+            new.put(piece, place, place + used, False)
             place += used
         last = m.end()
     if not changed:
         return None
-    put(layer.text[last:], last, len(layer.text), True)
-    return Layer("".join(parts), at or [0], to or [(0, 0, False)])
+    new.put(layer.text[last:], last, len(layer.text), True)
+    return new.done()
+
+
+def _innermost(layer: Layer) -> Layer:
+    """The layer with its escapes decoded until none is left, in one walk: each escape is decoded when its last character comes, and what it
+    gives may be part of the next."""
+    text, new, n = layer.text, _Rewrite(layer), len(layer.text)
+    tail: list[tuple[str, int, int, int]] = []  # characters that may still be part of an escape: start, end, and the byte if it is but that
+
+    def settle(keep: int) -> None:
+        for c, a, b, byte in tail[: max(0, len(tail) - keep)]:
+            new.put("\ufffd" if byte >= 0 else c, a, b, byte == -1)
+        del tail[: max(0, len(tail) - keep)]
+
+    def shrink() -> bool:
+        """Decodes the escape or the UTF-8 sequence that the tail ends in, if there is one."""
+        if tail[-1][3] >= 0:
+            k = next((k for k in range(1, min(4, len(tail)) + 1) if tail[-k][3] < 0x80 or tail[-k][3] >= 0xC0), 0)
+            raw = bytes(x[3] for x in tail[-k:]) if k and all(x[3] >= 0 for x in tail[-k:]) else b""
+            try:
+                made = raw.decode()
+            except UnicodeDecodeError:
+                return False
+            if not made:
+                return False
+        else:
+            if tail[-1][0] not in UNIT_ENDS or not (m := LAST_UNIT.search("".join(x[0] for x in tail[-LONGEST_UNIT:]))):
+                return False
+            k, unit = len(m[0]), m[0]
+            if unit[0] == "%":
+                byte = int(unit[1:], 16)
+                made = chr(byte) if byte < 0x80 else ""
+                if not made:
+                    tail[-k:] = [("\0", tail[-k][1], tail[-1][2], byte)]
+                    return True
+            else:
+                units = _escape(unit)
+                if units is None:
+                    return False
+                made = "".join(c for c, _ in units)
+        a, b = tail[-k][1], tail[-1][2]
+        tail[-k:] = [(c, a, b, -2) for c in made]
+        return True
+
+    at = hot = 0
+    while at < n:
+        if not hot:  # nothing decoded is near: on to the next escape
+            m = next((m for m in ANY_UNIT.finditer(text, max(0, at - LONGEST_UNIT)) if m.end() > at), None)
+            stop = max(at, (m.end() if m else n) - 2 * LONGEST_UNIT)
+            if not m or m.start() >= at:
+                settle(0)
+            new.put(text[at:stop], at, stop, True)
+            at, hot = stop, (m.end() - stop) if m else n - stop
+            continue
+        tail.append((text[at], at, at + 1, -1))
+        at, hot = at + 1, hot - 1
+        while tail and shrink():
+            hot = 2 * LONGEST_UNIT
+        if len(tail) > 4 * LONGEST_UNIT:
+            settle(2 * LONGEST_UNIT)
+    settle(0)
+    return new.done()
 
 
 def _percent(run: str) -> list[tuple[str, int]]:
@@ -325,10 +403,17 @@ def _found(text: str) -> tuple[list[Span], list[Span], int, set[tuple[int, int]]
     def drain() -> None:
         while work:
             layer = work.popleft()
-            if "%" in layer.text and (new := _in_place(layer, PERCENT, _percent)):
-                push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
-            if ("\\" in layer.text or "&" in layer.text) and (new := _in_place(layer, ESCAPE, _escape)):
-                push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
+            rewritten: list[Layer | None] = []
+            if layer.depth < DEEP:
+                if "%" in layer.text:
+                    rewritten.append(_in_place(layer, PERCENT, _percent))
+                if "\\" in layer.text or "&" in layer.text:
+                    rewritten.append(_in_place(layer, ESCAPE, _escape))
+            elif layer.depth == DEEP and ANY_UNIT.search(layer.text):
+                rewritten.append(_innermost(layer))
+            for new in rewritten:
+                if new:
+                    push(new, (0, len(text)) if layer.to[0][2] or len(layer.to) > 1 else layer.to[0][:2])
             for m in BASE64.finditer(layer.text):
                 unwrap(Run(layer, m, False), False)
             if "\n" in layer.text or "\r" in layer.text:
