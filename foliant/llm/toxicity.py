@@ -8,7 +8,8 @@ group is no reason to reject.
 The fit takes at most ``max_train`` labelled documents (those of least hash, so any size of table gives one
 sample), one of each distinct text. Words that stand apart between the labels by ``least_z`` standard
 errors become features, ``max_features`` at most. Candidates are counted and twins made on executors; the driver gets
-feature numbers only. Scoring is a narrow map over whole texts.
+feature numbers only: those of each text once, and of each twin those that it loses or gains, so its memory grows with the sample's
+texts and not with their squares. Scoring is a narrow map over whole texts.
 
 Null texts count as empty and get the score of a text without features. Null labels are ignored; of repeated
 labels the larger holds. With no labels, or only one kind, all scores are the smoothed share of label 1
@@ -18,6 +19,7 @@ labels the larger holds. With no labels, or only one kind, all scores are the sm
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,27 +73,36 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _of_word(word: str) -> list[str]:
+    return [word, *("^" + word[:k] for k in STARTS if len(word) > k)]
+
+
 def features_of(words: set[str]) -> set[str]:
     """Words, and their beginnings under a mark."""
-    out = set(words)
-    for k in STARTS:
-        out.update(["^" + w[:k] for w in words if len(w) > k])
-    return out
-
-
-def twins(text: str, each: int = 2) -> list[set[str]]:
-    """The word sets of texts in which the identity terms of one sentence are swapped."""
-    low = text.lower()
-    sentences = [WORD.findall(s) for s in SENTENCE.findall(low)]
-    out = []
-    for i, own in enumerate(sentences):
+    return {f for w in words for f in _of_word(w)}
+
+
+def twin_changes(text: str, each: int = 2) -> list[tuple[set[str], set[str]]]:
+    """For each twin of a text, in which the identity terms of one sentence are swapped: the features that it loses and those that it gains.
+
+    A twin is told by its few changes, so all twins of a text take room and time in proportion to it.
+    """
+    sentences = [WORD.findall(s) for s in SENTENCE.findall(text.lower())]
+    swaps: list[Counter[str]] = []
+    for own in sentences:
         terms = [w for w in own if w in _SWAPS]
-        if not terms:
-            continue
-        rest = {w for j, s in enumerate(sentences) if j != i for w in s}
-        for k in range(each):
-            out.append(rest | {_SWAPS[w][k % len(_SWAPS[w])] if w in _SWAPS else w for w in own})
-    return out
+        for k in range(each if terms else 0):
+            change: Counter[str] = Counter()
+            for w in terms:
+                change.subtract(_of_word(w))
+                change.update(_of_word(_SWAPS[w][k % len(_SWAPS[w])]))
+            swaps.append(change)
+    if not swaps:
+        return []
+    touched = {f for change in swaps for f in change}
+    has = Counter(f for own in sentences for w in own for f in _of_word(w) if f in touched)
+    changes = [({f for f, n in c.items() if has[f] and has[f] + n == 0}, {f for f, n in c.items() if n > 0 and not has[f]}) for c in swaps]
+    return [c for c in changes if c[0] or c[1]]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_train: int, key: str, text: str, label: str) -> DataFrame:
@@ -106,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     """A model of ``label``; the caller leaves out of ``labels`` what it must not see. ``penalty`` weighs the change of
     score between a text and its twins; ``l2`` the size of weights."""
     ship(docs.sparkSession)
-    train = written(_sample(docs, labels, max_train, key, text, label), "toxicity-sample")
+    train = written(_sample(docs, labels, max_train, key, text, label), "toxicity-sample", size=max_train * 8192)
     n = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     total, ones = n[0], n[1]
     share = (ones + 1) / (total + 2)
@@ -123,17 +134,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     features = [r["w"] for r in picked.collect()]
     number = {w: i for i, w in enumerate(features)}
 
+    numbers, many = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))
+    schema = pa.schema([("y", pa.int32()), ("d", pa.string()), ("x", numbers), ("gone", many), ("new", many)])
+
+    def numbered(words: set[str]) -> list[int]:
+        return sorted(number[w] for w in words if w in number)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for y, d, whole in zip(*(batch.column(c).to_pylist() for c in ("y", "d", "text")), strict=True):
-                pairs = [sorted(number[w] for w in features_of(t) if w in number) for t in twins(whole)]
-                mine = sorted(number[w] for w in features_of(set(WORD.findall(whole.lower()))) if w in number)
-                out.append({"y": y, "d": d, "x": mine, "twins": [t for t in pairs if t != mine]})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("y", pa.int32()), ("d", pa.string()), ("x", pa.list_(pa.int32())), ("twins", pa.list_(pa.list_(pa.int32())))]))
-
-    rows = sorted(train.mapInArrow(released(run), "y int, d string, x array<int>, twins array<array<int>>").collect(), key=lambda r: r["d"])
-    w, b = _fit([r["x"] for r in rows], np.array([r["y"] for r in rows], float), [(r["x"], t) for r in rows for t in r["twins"]], len(features), flat, penalty, l2)
+                changes = [(numbered(gone), numbered(new)) for gone, new in twin_changes(whole)]
+                changes = [c for c in changes if c[0] or c[1]]
+                out.append({"y": y, "d": d, "x": numbered(features_of(set(WORD.findall(whole.lower())))), "gone": [c[0] for c in changes], "new": [c[1] for c in changes]})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    kinds = "y int, d string, x array<int>, gone array<array<int>>, new array<array<int>>"
+    rows = sorted(train.mapInArrow(released(run), kinds).collect(), key=lambda r: r["d"])
+    changes = [(i, gone, new) for i, r in enumerate(rows) for gone, new in zip(r["gone"], r["new"], strict=True)]
+    w, b = _fit([r["x"] for r in rows], np.array([r["y"] for r in rows], float), changes, len(features), flat, penalty, l2)
     return Model(dict(zip(features, w.tolist(), strict=True)), b)
 
 
@@ -150,28 +169,47 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), lens), np.array([i for r in rows for i in r], np.int64)
 
 
-def _fit(xs: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], m: int, flat: float, penalty: float, l2: float, rounds: int = 1000) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on log loss + penalty * mean (score change)^2 + l2 * |w|^2 / n; the same for the same rows."""
-    row, col = _flat(xs)
-    a_row, a_col = _flat([a for a, _ in pairs])
-    b_row, b_col = _flat([b for _, b in pairs])
-    n, p = len(xs), len(pairs)
-    w, b = np.zeros(m), flat
-    mom, var, mom_b, var_b = np.zeros(m), np.zeros(m), 0.0, 0.0
+class _Loss:
+    """Mean log loss + ``penalty`` * mean (score change between text and twin)^2 + ``l2`` * |w|^2 / n, and its slope.
 
-    def sigmoid(z: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    ``changes`` are (row, features lost, features gained): a twin's score is its text's, with what it loses and gains.
+    """
 
-    for t in range(1, rounds + 1):
-        s = sigmoid(b + np.bincount(row, w[col], n))
-        e = (s - y) / n
-        g, gb = np.bincount(col, e[row], m) + 2 * l2 / n * w, float(e.sum())
+    def __init__(self, xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int], list[int]]], m: int, penalty: float, l2: float):
+        self.row, self.col = _flat(xs)
+        self.of = np.array([r for r, _, _ in changes], np.int64)
+        self.lost_row, self.lost = _flat([gone for _, gone, _ in changes])
+        self.won_row, self.won = _flat([new for _, _, new in changes])
+        self.y, self.m, self.penalty, self.l2 = y, m, penalty, l2
+
+    def at(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        n, p = len(self.y), len(self.of)
+        z = b + np.bincount(self.row, w[self.col], n)
+        s = _sigmoid(z)
+        e = (s - self.y) / n
+        loss = float(-np.log(np.clip(np.where(self.y == 1, s, 1 - s), 1e-300, None)).mean() + self.l2 / n * (w @ w))
+        g = 2 * self.l2 / n * w
         if p:
-            sa, sb = sigmoid(b + np.bincount(a_row, w[a_col], p)), sigmoid(b + np.bincount(b_row, w[b_col], p))
-            d = 2 * penalty * (sa - sb) / p
-            da, db = d * sa * (1 - sa), -d * sb * (1 - sb)
-            g += np.bincount(a_col, da[a_row], m) + np.bincount(b_col, db[b_row], m)
-            gb += float(da.sum() + db.sum())
+            sa, sb = s[self.of], _sigmoid(z[self.of] + np.bincount(self.won_row, w[self.won], p) - np.bincount(self.lost_row, w[self.lost], p))
+            loss += float(self.penalty * ((sa - sb) ** 2).mean())
+            d = 2 * self.penalty * (sa - sb) / p
+            db = -d * sb * (1 - sb)
+            e = e + np.bincount(self.of, d * sa * (1 - sa) + db, n)
+            g = g + np.bincount(self.won, db[self.won_row], self.m) - np.bincount(self.lost, db[self.lost_row], self.m)
+        return loss, g + np.bincount(self.col, e[self.row], self.m), float(e.sum())
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _fit(xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int], list[int]]], m: int, flat: float, penalty: float, l2: float, rounds: int = 1000) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on ``_Loss``; the same for the same rows."""
+    loss = _Loss(xs, y, changes, m, penalty, l2)
+    w, b = np.zeros(m), flat
+    mom, var, mom_b, var_b = np.zeros(m), np.zeros(m), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        _, g, gb = loss.at(w, b)
         rate = 0.1 if t <= rounds // 2 else 0.02
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
         mom_b, var_b = 0.9 * mom_b + 0.1 * gb, 0.999 * var_b + 0.001 * gb * gb
