@@ -6,9 +6,10 @@ one text for each distinct digest that has none, appends those counts to the cac
 it. Normalisation must not change a count; white space and case do under this tokenizer, so it only turns
 a missing text into the empty one.
 
-Texts cross the network once: only rows that stand for a missing digest are sent, to deal them evenly.
-The digests are a small written table, so texts are digested once. A digest shared by a third of the rows is
-one row on the cache's side; its many rows on the other side are split by adaptive execution.
+While the missing digests are few, as with a warm cache, they are sent to all executors and their texts are encoded where they are read:
+no text is shuffled. Where they are too many for that, as with an empty cache, texts cross the network once, to be dealt
+evenly. Digests are a small written table. A digest shared by a third of the rows is one row on the cache's side; its many rows on
+the other side are split by adaptive execution. Of rows that repeat id and text one is encoded.
 
 A null text counts as empty, with 0 tokens. Repeated rows each get a row. A null document id is kept. An
 empty table leaves the cache as it is and returns no rows. Other columns aren't read.
@@ -24,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import fresh_path, text_of, written
+from foliant.llm.common import BROADCAST_BYTES, fits, fresh_path, passing, text_of, written
 from foliant.llm.pieces import in_parts
 from foliant.session import released, ship
 
@@ -62,20 +63,31 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_bytes`` (UTF-8) and ``n_tokens`` of every row; ``cache`` is the folder of stored counts."""
+def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+    """``key``, ``n_bytes`` (UTF-8) and ``n_tokens`` of every row; ``cache`` is the folder of stored counts. Up to ``max_broadcast`` bytes of
+    missing digests and their keys are sent to all executors."""
     spark, version = ship(docs.sparkSession), tokenizer_version(model)
     content = text_of(text)
     digest = F.unhex(F.sha2(content, 256))
     rows = written(docs.select(F.col(key), digest.alias("digest"), F.octet_length(content).cast("long").alias("n_bytes")), "digests")
-    stored = open_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    # One row for each missing digest: the least key that has it. Null keys stand last.
-    missing = rows.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"))).alias("least")).join(stored, "digest", "left_anti").select("digest", F.col("least.key").alias("__key"))
-    # The missing digests are the built side, so texts aren't sorted.
-    texts = docs.select(F.col(key).alias("__key"), content.alias("__text"), digest.alias("digest"))
-    dealt = texts.join(missing.hint("shuffle_hash"), texts["__key"].eqNullSafe(missing["__key"]) & (texts["digest"] == missing["digest"])).select(texts["digest"], "__text")
-    new = _counts(dealt, model).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    with passing(spark) as at:
+        stored = open_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
+        # One row for each missing digest: the least key that has it (null keys stand last), and how many rows have both.
+        same = rows.groupBy("digest", key).agg(F.count("*").alias("n"))
+        least = same.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "n")).alias("least"))
+        missing = written(least.join(stored, "digest", "left_anti").select("digest", F.col("least.key").alias("__key"), (F.col("least.n") > 1).alias("__more")), "missing", at)
+        texts = docs.select(F.col(key).alias("__key"), content.alias("__text"), digest.alias("digest"))
+        # Where they aren't sent, the missing digests are the built side, so texts aren't sorted.
+        sent = F.broadcast(missing) if fits(missing, max_broadcast) else missing.hint("shuffle_hash")
+        wanted = texts.join(sent, texts["__key"].eqNullSafe(missing["__key"]) & (texts["digest"] == missing["digest"])).select(texts["digest"], "__text", "__more")
+        if missing.where("__more").isEmpty():
+            dealt = wanted.select("digest", "__text")
+        else:
+            found = written(wanted, "wanted", at)
+            once = found.where("__more").groupBy("digest").agg(F.first("__text").alias("__text"))
+            dealt = found.where("NOT __more").select("digest", "__text").unionByName(once)
+        new = _counts(dealt, model)
+        new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # A cache that two runs append to may hold a digest twice, with the same count.
     # They are written, so that a digest of many rows is split where the rows are joined.
     counts = written(spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
