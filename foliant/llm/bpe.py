@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a contiguous rank array.
 
 ``encode_documents`` turns texts into the ids of a word-level BPE (a ``tokenizers`` JSON file whose
-pieces end in a suffix) and decodes them again. Merging is done here, not by the library: each short
+pieces end in a suffix) and decodes them again; a file whose steps aren't those of this module is refused. Merging is done here, not by the library: each short
 word holds its part boundaries and the rank of each adjacent pair in contiguous arrays; the smallest
 rank is found by a scan, its boundary deleted, and the two neighbouring ranks refreshed, until no pair
 has a rank. Words of more than ``LONG`` parts take a heap with the same order of merges, as a scan
@@ -45,6 +45,16 @@ PART = 1_000_000
 #: The pattern of the word tokenizer, in the form for all of Unicode and in one for common letters.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS_COMMON = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
+#: What a tokenizer file says of its steps if they are those of this module: normal form, pieces, decoder, and what is added.
+STEPS = [
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+    None,
+    None,
+]
 #: Outside these characters (control separators, number letters, scripts beyond Latin) the forms may differ.
 UNCOMMON = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 
@@ -71,6 +81,10 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [x.get("normalizers", x) for x in [spec["normalizer"] or {}]] + [(spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["decoder"], spec["post_processor"]]
+        odd = {"byte_fallback": False, "ignore_merges": False, "dropout": None, "continuing_subword_prefix": None, "unk_token": None}
+        if steps != STEPS or any(model.get(k, v) != v for k, v in odd.items()) or any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+            raise ValueError(f"{path}: a tokenizer of another kind; its steps are {steps}")
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
