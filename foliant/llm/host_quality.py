@@ -11,7 +11,8 @@ documents on the other side are split by adaptive execution. The driver sees thr
 
 A repeated five-word window is found by sorting a document's window hashes (64 bits) next to their places, which
 takes n log n for a document of n words. Null and empty texts have no words and fail the base rule. A null host
-is a host of its own. Repeated rows each count and each get a row. An empty table gives an empty result.
+is a host of its own. Repeated rows each count and each get a row. An empty table gives an empty result; columns other than id, host
+and text aren't read, whatever their names.
 """
 
 from __future__ import annotations

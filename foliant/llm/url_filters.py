@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import written
+from foliant.llm.common import fits, written
 from foliant.llm.components import connected_components
 
 ALLOW, BLOCK = "allow", "block"
@@ -121,4 +121,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     decided = members.groupBy("component").agg(F.max(F.when(F.col("decision") == ALLOW, 2).when(F.col("decision") == BLOCK, 1).otherwise(0)).alias("said"))
     alias = classes.join(decided.where("said > 0"), "component").select("node", F.when(F.col("said") == 2, ALLOW).otherwise(BLOCK).alias("inherited"))
     rows = with_rule(pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node")), rules)
-    return rows.join(alias, "node", "left").select(key, "host", "path", "rule", F.coalesce("decision", "inherited", F.lit(default)).alias("verdict"))
+    if fits(alias):
+        joined = rows.join(F.broadcast(alias), "node", "left")
+    else:  # pages without a node are dealt by a key of their own, which no alias has; a hot node is split
+        spread = F.coalesce("node", F.concat(F.lit("\0"), F.xxhash64(key).cast("string")))
+        joined = rows.withColumn("node", spread).join(alias.hint("rebalance"), "node", "left")
+    return joined.select(key, "host", "path", "rule", F.coalesce("decision", "inherited", F.lit(default)).alias("verdict"))
