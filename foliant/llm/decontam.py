@@ -9,7 +9,7 @@ begin before the document or end behind it are dropped, and the words of the res
 All steps are DataFrame expressions. Texts are read twice, in place, and never shuffled: once for the shingle
 counts and once for the join, in which a document's candidates carry only the words around them. Windows are
 sent to all executors while there are at most ``max_broadcast``; beyond that the shingle sets are joined by a
-shuffle, on shingles alone, and the texts only of documents with candidates follow.
+shuffle, on shingles alone, and the words follow from a written table with numbered rows.
 
 Words are runs of letters and digits and all beyond ASCII, with A-Z in lower case. Null or empty texts have no
 words and aren't contaminated; an item without words is no item. A null item id counts as the empty string.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import text_of, written
+from foliant.llm.common import fits, passing, text_of, written
 
 WINDOW, GRAM = 13, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,8 +58,16 @@ def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", wi
 
 
 def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, max_broadcast: int = 100_000) -> DataFrame:
-    """``docs`` without its text, with ``n_words``, ``n_hit`` (words inside a window), and ``hit_items`` (sorted)."""
-    windows = written(item_windows(items, item, text, window), "windows")
+    """``docs`` without its text, with ``n_words``, ``n_hit`` (words inside a window), and ``hit_items`` (sorted).
+
+    Up to ``max_broadcast`` windows, of ``BROADCAST_BYTES`` with the items that have them, are sent to all executors."""
+    with passing(docs.sparkSession) as at:
+        return _found(docs, items, text, item, window, max_broadcast, at)
+
+
+def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int, max_broadcast: int, at: list[str]) -> DataFrame:
+    size = window * (items.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    windows = written(item_windows(items, item, text, window), "windows", at, size)
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # three values at most
     kept = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "hit_items")]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), words_of(text_of(f"`{text}`")).alias("words"))
@@ -70,8 +78,8 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     gram = F.when(F.col("size") == sizes[0], _gram(F.col("words"), F.col("offset"), sizes[0]))
     for n in sizes[1:]:
         gram = gram.when(F.col("size") == n, _gram(F.col("words"), F.col("offset"), n))
-    parts = written(parts.withColumn("gram", gram), "shingles")
-    few = windows.count() <= max_broadcast
+    parts = written(parts.withColumn("gram", gram), "shingles", at)
+    few = windows.count() <= max_broadcast and fits(windows)
     sent = F.broadcast if few else (lambda df: df)
 
     # How often each shingle stands in the documents.
@@ -79,10 +87,12 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: st
     seen = rows.select(F.explode(_grams(F.col("words"), sizes)).alias("g")).select("g.gram").join(sent(known), "gram").groupBy("gram").count()
     # Each window under its rarest shingle; a window with a shingle that no document has is in none.
     rarest = parts.join(seen, "gram", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "gram")).alias("p"), F.first("n").alias("n"), F.first("items").alias("items"))
-    prefixes = written(rarest.where("p.count > 0").select("p.gram", "p.offset", "words", "n", "items"), "prefixes")
+    prefixes = written(rarest.where("p.count > 0").select("p.gram", "p.offset", "words", "n", "items"), "prefixes", size=size)
 
-    # Rows stay apart by where they were read: an id may be missing or repeated.
+    # Rows stay apart by where they were read: an id may be missing or repeated. Where numbers are used twice, they are written.
     placed = rows.withColumn("row", F.monotonically_increasing_id())
+    if not few:
+        placed = written(placed, "numbered")
     around = 2 * window - 1
 
     def context(words: Column, at: Column) -> Column:
@@ -102,8 +112,8 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: st
         joined = placed.join(pairs, "row", "left").select("row", "doc", F.size("words").alias("n_words"), context(F.col("words"), F.col("at")).alias("c"), "offset", "n", "items", "window")
 
     start = F.col("c.at") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.slice(F.col("c.near"), F.greatest(start - F.col("c.low") + 1, F.lit(1)), F.coalesce("n", F.lit(0))) == F.col("window"))
-    judged = joined.select("row", "doc", "n_words", F.when(fits, F.struct(start.alias("start"), (start + F.col("n")).alias("end"))).alias("hit"), F.when(fits, F.col("items")).alias("items"))
+    inside = (start >= 0) & (start + F.col("n") <= F.col("n_words")) & (F.slice(F.col("c.near"), F.greatest(start - F.col("c.low") + 1, F.lit(1)), F.coalesce("n", F.lit(0))) == F.col("window"))
+    judged = joined.select("row", "doc", "n_words", F.when(inside, F.struct(start.alias("start"), (start + F.col("n")).alias("end"))).alias("hit"), F.when(inside, F.col("items")).alias("items"))
     by_doc = judged.groupBy("row").agg(F.first("doc").alias("doc"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_set("hit")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
     covered = F.aggregate(
         "spans",
