@@ -11,12 +11,14 @@ columns of ``docs`` are carried.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontam, jaccard, secrets, toxicity
-from foliant.llm.common import table, text_of, written
+from foliant.llm.common import digest_of, fits, table, written
 
 REJECT_AT = 0.7
 
@@ -25,22 +27,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under ``REJECT_AT``; the model is fitted to the labelled ones among ``docs``."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score_documents(docs, model, score="__score").where(F.col("__score") < REJECT_AT).drop("__score")
+    score = f"score-{uuid.uuid4().hex}"  # no column of ``docs``
+    return toxicity.score_documents(docs, model, score=score).where(F.col(f"`{score}`") < REJECT_AT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id in each class of near duplicates."""
-    return jaccard.keep_least(docs)
+    """One row of each class of near duplicates: the one of least id."""
+    return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by ``benchmark``. The verdict hangs on the text alone, so texts are dropped by their digest, not by an id
     that may be missing or repeated."""
-    digest = F.unhex(F.md5(text_of().cast("binary")))
+    digest = digest_of(F.col("text"))
     found = decontam.find_windows(docs.select(digest.alias("__gone"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = written(found.where(decontam.contaminated()).select("__gone").distinct(), "contaminated")
-    few = gone.count() <= 2_000_000  # a row is a digest
-    return docs.join(F.broadcast(gone) if few else gone, digest == gone["__gone"], "left_anti")
+    gone = written(found.where(decontam.contaminated()).select("__gone").distinct(), "contaminated", size=32 * docs.count())
+    return docs.join(F.broadcast(gone) if fits(gone) else gone, digest == gone["__gone"], "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,9 +82,11 @@ def sketch(hashes: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
-def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """The rows of each key (a column of longs) as a table; rows must come sorted by it. Holds one group at a time."""
+def by_group(batches: Iterator[pa.RecordBatch], key: str, once: str | None = None) -> Iterator[pa.Table]:
+    """The rows of each key (a column of longs) as a table; rows must come sorted by it. Holds one group at a time, and of rows that agree in
+    ``once`` (a column of longs) one of each batch that isn't held yet."""
     held: list[pa.RecordBatch] = []
+    seen: set[int] = set()
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -94,8 +96,15 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and keys[a] != last:
                 yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
+                held, seen = [], set()
+            part = batch.slice(a, b - a)
+            if once is not None:
+                own = part.column(once).to_pylist()
+                fresh = [i not in seen for i in own]
+                if held and not all(fresh):
+                    part = part.filter(pa.array(fresh, pa.bool_()))
+                seen.update(own)
+            held.append(part)
             last = keys[a]
     if held:
         yield pa.Table.from_batches(held)

@@ -1,14 +1,19 @@
 """Near duplicates, decontamination, secrets, toxicity, licences and host rules against brute force and planted cases."""
 
 import base64
+import bz2
 import collections
 import gzip
 import itertools
+import math
 import random
 import re
+import textwrap
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, host_quality, jaccard, licenses, secrets, shingles, toxicity
@@ -99,10 +104,46 @@ def test_classes_without_broadcast_and_with_odd_ids(spark, docs_of):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df, max_broadcast=0).collect()), key=repr)
     assert got == sorted([(None, 3, 3), (7, 3, 3), (7, 3, 3), (3, 3, 3), (None, None, 0), (9, 9, 0), (None, None, 0)], key=repr)
     kept = jaccard.keep_one(df, max_broadcast=0)
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [3, 9]
+    assert sorted(((r.doc_id, r.text, r.class_id) for r in kept.collect()), key=repr) == sorted([(3, a + " x", "clash"), (None, b, "clash"), (9, None, "clash"), (None, None, "clash")], key=repr)
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_one_row_of_repeated_rows_stays(spark, few):
+    a, b = prose(random.Random(1), 50), prose(random.Random(2), 50)
+    rows = [(None, a, 1, {"k": 1})] * 30 + [(None, a, 2, {"k": 2})] * 3 + [(5, b, 1, None), (5, b + " x", 1, None), (None, "", 1, None), (None, None, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, top map<string, int>").repartition(7)
+    got = [(r.class_id, r.n_links) for r in jaccard.classes(df, max_broadcast=few).collect() if r.n_links]
+    assert sorted(got, key=repr) == [(5, 1)] * 2 + [(None, 32)] * 33
+    kept = [tuple(r) for r in jaccard.keep_one(df, max_broadcast=few).collect()]
+    assert len(kept) == 4 and kept.count(rows[0]) + kept.count(rows[30]) == 1 and sum(r[0] == 5 for r in kept) == 1
+    assert jaccard.keep_one(df.limit(0), max_broadcast=few).count() == 0
+
+
+def test_blocks_of_a_large_cluster_are_cut_by_size(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 4)
+    rng = random.Random(3)
+    base = prose(rng, 400, 10**6).split()
+    # Each text is a tenth longer than the one before: one chain whose ends have nothing to do with each other.
+    texts = [" ".join(base[: int(30 * 1.1**i)]) for i in range(27)] + [" ".join(base[:60]) + f" t{i}" for i in range(9)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs_of(texts)).collect()) == brute_classes(texts)
+    members = spark.createDataFrame([(1, n) for n in (10, 12, 100, 101, 102, 103, 104, 5000)], "cluster long, n long")
+    assert jaccard._layout(members, 0.8).first().bands == {10: 1, 11: 1, 20: 2, 38: 1}
+
+
+def test_runs_reach_the_recall():
+    for depth in (1, 2, 3):
+        n = jaccard.runs_for(0.999, depth)
+        assert jaccard.missed(depth, n) <= 0.001 < jaccard.missed(depth, n - 1)
+    # Drawn rather than computed: the sketches' agreement, then runs of chosen tokens.
+    rng, found, tries = random.Random(1), 0, 4000
+    for _ in range(tries):
+        same = sum(rng.random() < 0.8 for _ in range(64))
+        path = lambda d: d == 0 or any(rng.random() < 1 / 51.2 and path(d - 1) for _ in range(same))
+        found += any(path(2) for _ in range(5))
+    assert abs(found / tries - (1 - jaccard.missed(2, 5))) < 0.03
+
+
 def test_keep_one_keeps_what_is_alone(spark, docs_of):
     texts = near_texts()
     want = {top for _, top, _ in brute_classes(texts)}
@@ -213,6 +254,53 @@ def test_cycles_and_bombs_end(monkeypatch):
     assert secrets.find(f"see {bomb}")[3] == 1
 
 
+def encoded(rng, text):
+    """A text under one to four encodings."""
+    ways = [
+        lambda x: "".join(f"%{b:02x}" for b in x.encode()), lambda x: "".join(f"\\u{ord(c):04X}" for c in x), lambda x: "".join(f"&#{ord(c)};" for c in x),
+        lambda x: "".join(f"%{ord(c):02X}" if rng.random() < 0.5 else c for c in x), lambda x: base64.b64encode(x.encode()).decode(), lambda x: base64.urlsafe_b64encode(x.encode()).decode(),
+        *(lambda x, pack=pack: base64.b64encode(pack(x.encode())).decode() for pack in (gzip.compress, zlib.compress, bz2.compress, zstandard.compress)),
+    ]
+    for _ in range(rng.randint(1, 4)):
+        text = rng.choice(ways)(text)
+    return text
+
+
+def test_layers_of_any_nesting_are_found():
+    for seed in range(150):
+        rng = random.Random(seed)
+        inner = encoded(rng, f"my {SECRET} is")
+        before, after = prose(rng, 30), prose(rng, 30)
+        text = f"{before} {inner} {after}"
+        spans = [(a, b) for a, b, kind in secrets.find(text)[1] if kind == "assign"]
+        assert spans and all(len(before) < a < b <= len(before) + 1 + len(inner) for a, b in spans), seed
+
+
+def test_escapes_nested_deep_are_decoded_in_one_walk():
+    def passes(t):
+        while True:
+            layer = secrets.Layer(t, [0], [(0, len(t), True)])
+            new = secrets._in_place(layer, secrets.PERCENT, secrets._percent) or secrets._in_place(layer, secrets.ESCAPE, secrets._escape)
+            if new is None:
+                return t
+            t = new.text
+
+    rng = random.Random(1)
+    ways = ["%{:02x}", "%{:02X}", "\\u{:04x}", "\\x{:02x}", "&#{};", "&#x{:x};", "\\u{{{:x}}}"]
+    for trial in range(400):
+        text = "".join(rng.choice("ab%&<;\\x41u0 é") for _ in range(rng.randint(1, 8))) if trial % 2 else "token=abcd1234 &x"
+        for _ in range(rng.randint(0, 6)):
+            way = rng.choice(ways)
+            text = "".join(way.format(ord(c)) if ord(c) < 128 and rng.random() < 0.4 else c for c in text)
+        got = secrets._innermost(secrets.Layer(text, [0], [(0, len(text), True)]))
+        assert got.text == passes(text)
+        assert all(0 <= a < b <= len(text) for a, b in (got.origin(i, i + 1) for i in range(len(got.text))))
+    for n in (20, 50_000):  # far from quadratic, or this would not end
+        chain = "x %" + "25" * n + "41KIAABCDEFGHIJKLMNOP y"
+        assert (2, len(chain) - 2, "access") in secrets.find(chain)[1]
+        assert secrets.find("&" + "amp;" * n + "#116;oken=abcd1234efgh")[1][-1][2] == "assign"
+
+
 def test_layers_are_found_in_whatever_is_around_them():
     b64, zipped = (lambda raw: base64.b64encode(raw).decode()), (lambda raw: gzip.compress(raw))
     lines = lambda s: "\r\n".join(s[i : i + 76] for i in range(0, len(s), 76))
@@ -290,10 +378,58 @@ def test_neutral_mentions_count_for_less_with_the_penalty(spark, docs_of):
     assert weight(fair) < weight(plain)
 
 
-def test_twins_swap_only_identity_terms():
-    got = toxicity.twins("The Women sang. A dog ran.")
-    assert {"men", "girls"} == {w for t in got for w in t} - {"the", "sang", "a", "dog", "ran"}
-    assert toxicity.twins("No group here.") == []
+def brute_twins(text, each=2):
+    """Feature sets of whole twins."""
+    sentences = [toxicity.WORD.findall(x) for x in toxicity.SENTENCE.findall(text.lower())]
+    for i, own in enumerate(sentences):
+        for k in range(each if any(w in toxicity._SWAPS for w in own) else 0):
+            swapped = [toxicity._SWAPS[w][k % len(toxicity._SWAPS[w])] if w in toxicity._SWAPS else w for w in own]
+            yield toxicity.features_of({w for j, x in enumerate(sentences) for w in (swapped if i == j else x)})
+
+
+def test_twins_are_told_by_what_they_lose_and_gain():
+    rng = random.Random(4)
+    vocabulary = ["women", "men", "girls", "muslim", "muslims", "womanly", "mental", "dog", "sang", "the", "frauen", "."]
+    texts = ["The Women sang. A dog ran.", "No group here.", *(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(200))]
+    for t in texts:
+        whole = toxicity.features_of(set(toxicity.WORD.findall(t.lower())))
+        got = [whole - gone | new for gone, new in toxicity.twin_changes(t)]
+        assert got == [x for x in brute_twins(t) if x != whole], t
+    assert {"men", "girls"} == {w for _, new in toxicity.twin_changes(texts[0]) for w in new if w[0] != "^"} and toxicity.twin_changes(texts[1]) == []
+    long = "The women met the muslims. " * 20_000
+    assert sum(len(a) + len(b) for a, b in toxicity.twin_changes(long)) <= 40_000 * 12
+
+
+def test_the_slope_is_that_of_the_loss_over_whole_twins():
+    rng = np.random.default_rng(2)
+    m, n = 12, 9
+    xs = [sorted(rng.choice(m, rng.integers(0, 6), replace=False).tolist()) for _ in range(n)]
+    y = (rng.random(n) < 0.4).astype(float)
+    changes = [(int(r), xs[r][:1], [j for j in range(m) if j not in xs[r]][: int(rng.integers(0, 3))]) for r in rng.integers(0, n, 14)]
+    w, b = rng.normal(size=m), 0.3
+    loss = toxicity._Loss(xs, y, changes, m, 1.7, 0.05)
+
+    def brute(w, b):
+        score = lambda own: 1 / (1 + math.exp(-(b + sum(w[j] for j in own))))
+        fit = -sum(math.log(score(x) if v else 1 - score(x)) for x, v in zip(xs, y, strict=True)) / n
+        fair = sum((score(xs[r]) - score(set(xs[r]) - set(gone) | set(new))) ** 2 for r, gone, new in changes) / len(changes)
+        return fit + 1.7 * fair + 0.05 / n * float(w @ w)
+
+    value, g, gb = loss.at(w, b)
+    assert value == pytest.approx(brute(w, b))
+    step = np.eye(m) * 1e-6
+    assert g == pytest.approx([(brute(w + s, b) - brute(w - s, b)) / 2e-6 for s in step], abs=1e-6)
+    assert gb == pytest.approx((brute(w, b + 1e-6) - brute(w, b - 1e-6)) / 2e-6, abs=1e-6)
+
+
+def test_scores_are_those_of_plain_sums(spark, docs_of):
+    docs, labels = labelled(spark, docs_of, 300)
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score_documents(docs.unionByName(docs_of([None, "", "slur1 " * 50_000])), model).collect():
+        own = set(re.findall(r"\w+", (r.text or "").lower()))
+        starts = {"^" + w[:k] for w in own for k in (4, 5, 6) if len(w) > k}
+        z = model.bias + sum(model.weights.get(f, 0) for f in own | starts)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)))
 
 
 def test_scores_of_odd_rows(spark, docs_of):
@@ -319,14 +455,71 @@ def test_families_are_named_and_others_unknown(spark, docs_of):
 
 
 def test_cut_notices_are_found_and_rows_stay(spark, docs_of):
-    texts = ["Released under the MIT License\nx\nLicensed under CC BY-NC 4.0.", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0 by Acme"]
-    docs = docs_of(texts).withColumn("licences", F.lit("clash"))
-    docs = docs.unionByName(docs)
-    got = sorted((r.doc_id, r.licences, r.n_licences, r.n_paragraphs) for r in licenses.document_licences(docs).collect())
-    assert got == [(0, "cc-by-nc,mit", 2, 3)] * 2 + [(1, "apache", 1, 1)] * 2
+    texts = ["Released under the MIT License\nx\nLicensed under CC BY-NC 4.0.", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0 by Acme\n\nother"]
+    docs = docs_of(texts).withColumn("licences", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("units", F.lit(1))
+    docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).limit(1))
+    got = sorted(((r.doc_id, r.licences, r.n_licences, r.n_paragraphs) for r in licenses.document_licences(docs).collect()), key=repr)
+    assert got == sorted([(0, "cc-by-nc,mit", 2, 1)] * 2 + [(1, "apache", 1, 2)] * 2 + [(None, "cc-by-nc,mit", 2, 1)], key=repr)
     assert licenses.document_licences(docs.limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_seen_whole(spark, docs_of):
+    for family in ("mit", "bsd", "gpl", "cc0"):
+        body = "\n\n".join(textwrap.fill(t, 60) for t in licenses.TEXTS[family])
+        got = licenses.document_licences(docs_of(["Some prose first.\n\n" + body.replace("\n", "\r\n") + "\n\nmore prose " * 5000])).first()
+        assert family in got.licences.split(","), family
+
+
+#: Wording that isn't in the templates, and sentences that aren't in the training.
+UNSEEN = (
+    ("mit", "This software is published under the MIT licence."), ("mit", "Code is MIT licensed, see LICENSE.md"), ("mit", "License MIT (c) 2020 Jane Doe"), ("apache", "This product is distributed under the Apache License 2.0, see the LICENSE file."),
+    ("apache", "The code is Apache 2.0 licensed"), ("gpl", "This package is free software under the GNU GPL, version 3 or later."), ("gpl", "Distributed under the GPLv3 license, without warranty"), ("gpl", "Licence: GNU General Public License v2.0"),
+    ("lgpl", "The library may be used under the LGPL, version 2.1."), ("agpl", "Server code is released under AGPLv3"), ("bsd", "This module is made available under the 3-clause BSD license."), ("bsd", "Released under a BSD 2-Clause license by the University."),
+    ("mpl", "The browser engine is covered by the Mozilla Public License 2.0"), ("isc", "Published under the ISC license."), ("zlib", "It uses the zlib license."), ("boost", "Distributed under the Boost Software License 1.0. See accompanying file LICENSE_1_0.txt"),
+    ("epl", "All content is under the Eclipse Public License, version 2.0."), ("cc-by", "Photo by A. Smith, CC BY 4.0"), ("cc-by", "This article is shared under a Creative Commons Attribution 4.0 licence"), ("cc-by-sa", "Wikipedia text, CC BY-SA 3.0"),
+    ("cc-by-nc", "Images are under CC BY-NC 4.0 unless noted"), ("cc-by-nd", "Video is CC BY-ND 4.0"), ("cc0", "The data set is under CC0 1.0"), ("unlicense", "This code is in the public domain under the Unlicense."), ("proprietary", "(c) 2021 Acme Corp. All rights reserved. Confidential and proprietary."),
+)
+NEUTRAL = (
+    "The MIT campus is in Cambridge.", "He renewed his driver license.", "The Apache tribe signed a treaty.", "Our license plates are green.", "The state licensing board fined the doctor.", "Copyright disputes are common in music.",
+    "The commons committee met.", "A creative writing course.", "The BSD conference was held in Ottawa.", "Under the new law, a license is needed to fish.", "All rights and duties pass to the heir.", "GNU is an animal and a project.",
+    "The warranty on the car expired.", "Permission to land was granted.", "The zlib file was corrupt.", "They boost the signal before the eclipse.", "The public domain was a topic of debate.", "The film was released under a new title.",
+)
+
+
+def brute_paragraph(text):
+    """(family, p, cover, inside) of one paragraph by plain Python, or None without an anchor or a known gram."""
+    c = licenses.trained()
+    if not licenses.ANCHORS & set(re.split("[^a-z0-9]+", text.lower())):
+        return None
+    words = licenses.words_of(text)
+    known = set(c.grams).union(*(licenses.pairs_of(licenses.words_of(t), c.telling) for ts in licenses.TEMPLATES.values() for t in ts))
+    if not known & licenses.grams_of(words, c.telling):
+        return None
+    family, p = c.judged(words)
+    if family == licenses.UNKNOWN or p < 0.6:
+        return licenses.UNKNOWN, round(p, 5), 0.0, 0.0
+    return family, round(p, 5), *(round(x, 5) for x in licenses.compared(words, family, c.telling))
+
+
+def test_paragraphs_are_judged_as_by_plain_python(spark, docs_of):
+    rng = random.Random(8)
+    texts = [t for _, t in UNSEEN] + list(NEUTRAL) + [t for ts in licenses.TEMPLATES.values() for t in ts[::3]]
+    texts += [" ".join(prose(rng, 5).split() + [w for w in rng.choice(texts).split() if rng.random() < 0.8]) for _ in range(60)]
+    got = {r.doc.doc_id: (r.family, round(r.p, 5), round(r.cover, 5), round(r["inside"], 5)) for r in licenses.paragraph_licences(docs_of([t.replace(". ", " ") for t in texts])).collect()}
+    want = {i: brute_paragraph(t.replace(". ", " ")) for i, t in enumerate(texts)}
+    assert got.keys() == {i for i, v in want.items() if v}
+    for i, v in got.items():
+        assert v[0] == want[i][0] and v[1:] == pytest.approx(want[i][1:], abs=2e-5), (texts[i], v, want[i])
+
+
+def test_wording_outside_the_templates(spark, docs_of):
+    rows = {r.doc.doc_id: r for r in licenses.paragraph_licences(docs_of([t for _, t in UNSEEN])).collect()}
+    named = sum(rows[i].family == f for i, (f, _) in enumerate(UNSEEN) if i in rows)
+    sure = sum(rows[i].family == f and rows[i].confirmed for i, (f, _) in enumerate(UNSEEN) if i in rows)
+    assert named >= 23 and sure >= 16, (named, sure)
+    assert not licenses.paragraph_licences(docs_of(list(NEUTRAL))).where("confirmed").count()
+
+
 # ------------------------------------------------------------------ host rules
 
 
