@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import canonical_uuid
 from foliant.operators.batches import upserted
+from foliant.operators.numbering import numbered
 
 ROLES, RATINGS = ("user", "assistant"), ("up", "down")
 
@@ -37,10 +38,9 @@ def turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
     of an id that is no UUID are left out."""
     ok = turns.withColumn("conversation_id", canonical_uuid(F.col("conversation_id"))).where("conversation_id IS NOT NULL")
     two = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("flag")), F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("confidence_flag").alias("flag"))))
-    rows = ok.select("conversation_id", "at", two.alias("m"))
-    base = messages.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("base"))  # one row
-    number = F.row_number().over(Window.orderBy("at", "conversation_id", "m.k"))
-    new = rows.withColumn("n", number).join(F.broadcast(base)).select((F.col("base") + F.col("n")).alias("id"), "conversation_id", "m.role", "m.content", F.col("m.flag").alias("confidence_flag"), F.col("at").alias("created_at"))
+    rows = ok.select("conversation_id", "at", two.alias("m")).select("conversation_id", "at", "m.k", "m.role", "m.content", F.col("m.flag").alias("confidence_flag"))
+    last = messages.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
+    new = numbered(rows, ["at", "conversation_id", "k"], last + 1).select("id", "conversation_id", "role", "content", "confidence_flag", F.col("at").alias("created_at"))
     return messages.unionByName(new, allowMissingColumns=True)
 
 

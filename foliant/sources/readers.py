@@ -14,8 +14,8 @@ from foliant.sources.schemas import CHUNK_FILE, PAGES, TABLES
 
 
 def pdf_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """PDF files under a folder with path and size (and content), by path. Endings in capitals count."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pdf,PDF}").load(root)
+    """PDF files under a folder with path and size (and content), by path. Endings in capitals don't count."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
     return rows.select("path", "length", *(["content"] if content else [])).orderBy("path")
 
 
@@ -53,6 +53,30 @@ def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_FILE).option("ignoreCorruptFiles", True).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
+def chunk_file_status(spark: SparkSession, path: str) -> DataFrame:
+    """S05's isolation: (file, n_rows, error) of each chunk file, by file; a file that can't be read has its error and stops nothing."""
+    files = ship(spark).read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        wanted = {"text", "source_file", "embedding"}
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    file = pq.ParquetFile(pa.BufferReader(content))
+                    lacking = wanted - set(file.schema_arrow.names)
+                    n = sum(b.num_rows for b in file.iter_batches(8192))  # a broken page shows only when it is read
+                    rows.append((name, n, f"ValueError: no column {sorted(lacking)}" if lacking else None))
+                except Exception as e:  # a file's failure is a row of the result
+                    rows.append((name, None, f"{type(e).__name__}: {str(e)[:500]}"))
+            yield pd.DataFrame(rows, columns=["file", "n_rows", "error"]).astype({"n_rows": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, "file string, n_rows long, error string").orderBy("file")
+
+
 def as_chunks(rows: DataFrame) -> DataFrame:
     """Chunk-file rows as store rows. NaN is null; a missing year is 0, a missing name empty; the mismatch keeps its null. Chunks
     are numbered by their stored number, then page and text, from 0 in each file."""
@@ -99,6 +123,12 @@ def companies(rows: DataFrame, limit: int | None = None) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
+def databases(spark: SparkSession) -> DataFrame:
+    """Tables of the session's catalogue with their columns: (table, column, type, place)."""
+    rows = [(t.name, c.name, c.dataType, i) for t in spark.catalog.listTables() for i, c in enumerate(spark.catalog.listColumns(t.name))]
+    return spark.createDataFrame(rows, "table string, column string, type string, place int")
+
+
 def catalog(rows: DataFrame) -> list[tuple[str, str, bool]]:
     """A table's columns with type and whether they may be null."""
     return [(f.name, f.dataType.simpleString(), f.nullable) for f in rows.schema.fields]

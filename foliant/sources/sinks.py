@@ -1,7 +1,8 @@
 """Sinks: staged table writes, chunk loads, deletes, logs and reports.
 
-Parquet tables know no transactions. A write goes to a folder of its own beside the table and then takes the table's place by two
-renames; a run that dies before leaves the old table, and repeating a load gives the same table.
+Parquet tables know no transactions. A table is written to a folder of its own beside the old one and then takes its place by two
+renames. A run that dies before them leaves the old table; one that dies between them leaves it under its ``.old-`` name, from which
+``recovered`` (called by each load and delete) brings it back. Repeating a load gives the same table.
 """
 
 from __future__ import annotations
@@ -14,51 +15,87 @@ from pyspark.sql import functions as F
 
 from foliant.functions.vectors import checked
 from foliant.operators.batches import latest, upserted
+from foliant.operators.numbering import numbered
+from foliant.session import fresh_path
 from foliant.sources.readers import stored
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Brings back the old table where a run died between the renames of ``replace_table``; whether it did."""
+    at, store = _place(spark, path)
+    if store.exists(at):
+        return False
+    old = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*"))
+    if not old:
+        return False
+    return bool(store.rename(max((x for x in old), key=lambda x: x.getModificationTime()).getPath(), at))
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Writes beside ``path``, then swaps."""
     spark = df.sparkSession
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(new)
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    store = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if store.exists(at(path)):
-        store.rename(at(path), at(old))
-    store.rename(at(new), at(path))
-    store.delete(at(old), True)
+    at, store = _place(spark, path)
+    if store.exists(at):
+        store.rename(at, _place(spark, old)[0])
+    store.rename(_place(spark, new)[0], at)
+    store.delete(_place(spark, old)[0], True)
 
 
 def load_chunks(spark: SparkSession, folder: str, chunks: DataFrame, dimension: int) -> None:
     """Chunks of any number of documents. A document that comes again replaces its row and all its chunks. Numbers of documents and
-    chunks follow the order of source file and place, after those that are kept."""
+    chunks follow the order of source file and place, after those that are kept.
+
+    Where all documents are new, as in most loads, both tables are appended to and nothing stored is read but ids and files. Chunks
+    are written before documents, so a run that dies between them is one whose documents aren't loaded yet; loading them again
+    replaces the chunks.
+    """
+    for name in ("documents", "rag_chunks"):
+        recovered(spark, f"{folder}/{name}")
+    stages = [fresh_path(spark, what) for what in ("numbered", "numbered", "known")]
     good = chunks.withColumn("embedding", checked(F.col("embedding"), dimension))
-    docs = stored(spark, folder, "documents")
+    docs, old = stored(spark, folder, "documents"), stored(spark, folder, "rag_chunks")
     fields = ("source_file", "company", "ticker", "fiscal_year", "form_type", "accounting_standard")
     one = latest(good, ["source_file"], [F.col("chunk_index")]).select(*fields).withColumn("indexed_at", F.current_timestamp())
-    known = one.join(docs.select("source_file", "id", "company_id"), "source_file", "left")
-    base = docs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = known.where("id IS NULL").drop("id").withColumn("id", F.row_number().over(_by("source_file")) + F.lit(base).cast("long"))
-    merged = upserted(docs, known.where("id IS NOT NULL").unionByName(fresh), ["source_file"]).select(*docs.columns)
-    replace_table(merged, f"{folder}/documents")
-    docs = stored(spark, folder, "documents")
-    old = stored(spark, folder, "rag_chunks")
-    kept = old.join(one.select("source_file"), "source_file", "left_anti")
-    base = kept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = good.join(docs.select(F.col("id").alias("document_id"), "source_file"), "source_file").withColumn("created_at", F.current_timestamp())
-    numbered = added.withColumn("id", F.row_number().over(_by("source_file", "chunk_index")) + F.lit(base).cast("long"))
-    replace_table(kept.unionByName(numbered, allowMissingColumns=True).select(*old.columns), f"{folder}/rag_chunks")
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*columns)
+    one.join(docs.select("source_file", "id", "company_id"), "source_file", "left").write.parquet(stages[2])
+    known = spark.read.parquet(stages[2])  # what is loaded may hang on the store, so it is settled before that changes
+    top = docs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = numbered(known.where("id IS NULL").drop("id"), ["source_file"], top + 1, stage=stages[0])
+    again = known.where("id IS NOT NULL")
+    ids = again.unionByName(fresh).select("source_file", F.col("id").alias("document_id"))
+    kept = old.join(known.select("source_file"), "source_file", "left_anti")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = good.join(ids, "source_file").withColumn("created_at", F.current_timestamp())
+    rows = _filled(numbered(added, ["source_file", "chunk_index"], top + 1, stage=stages[1]), old)
+    replaced = not old.join(known.select("source_file"), "source_file", "left_semi").isEmpty()
+    if replaced:
+        replace_table(kept.unionByName(rows), f"{folder}/rag_chunks")
+    else:
+        rows.write.mode("append").parquet(f"{folder}/rag_chunks")
+    if again.isEmpty():
+        _filled(fresh, docs).write.mode("append").parquet(f"{folder}/documents")
+    else:
+        replace_table(upserted(docs, again.unionByName(fresh), ["source_file"]).select(*docs.columns), f"{folder}/documents")
+    for path in stages:
+        at, store = _place(spark, path)
+        store.delete(at, True)
+
+
+def _filled(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``like``; missing ones are null."""
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields))
 
 
 def delete_all(spark: SparkSession, folder: str) -> int:
     """Empties documents and chunks; the number of documents there were."""
+    for name in ("rag_chunks", "documents"):
+        recovered(spark, f"{folder}/{name}")
     n = stored(spark, folder, "documents").count()
     for name in ("rag_chunks", "documents"):
         rows = stored(spark, folder, name)
@@ -68,6 +105,7 @@ def delete_all(spark: SparkSession, folder: str) -> int:
 
 def delete_where(spark: SparkSession, folder: str, table: str, condition: Column) -> int:
     """Drops the rows for which the condition holds (a null keeps a row); how many."""
+    recovered(spark, f"{folder}/{table}")
     rows = stored(spark, folder, table)
     gone = F.coalesce(condition, F.lit(False))
     n = rows.where(gone).count()
@@ -97,6 +135,26 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
     return "\n".join([line(rows.columns), line("---" for _ in rows.columns), *(line(r) for r in head)])
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file, wherever Spark can write; an old one is replaced."""
+    at, store = _place(spark, path)
+    out = store.create(at, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
+
+
 def laid_out(chunks: DataFrame, path: str) -> None:
     """The layout that stands in for indexes: a folder a year, files sorted by company, so filters prune both."""
     chunks.repartitionByRange("fiscal_year", "company").sortWithinPartitions("fiscal_year", "company", "ticker").write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
+
+
+def analyzed(spark: SparkSession, table: str, columns: Sequence[str] = ()) -> None:
+    """Statistics of a catalogue table, for the optimizer: rows and bytes, and where asked for those of columns."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(f'`{c}`' for c in columns)}" if columns else ""))
+
+
+def explained(df: DataFrame, mode: str = "formatted") -> str:
+    """A query's plan as text."""
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))

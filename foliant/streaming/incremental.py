@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +27,56 @@ def ingest(spark: SparkSession, source: str, schema: StructType | str, load: Cal
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class QuotaSpent(Exception):
+    """An outside service takes no more for now: the run ends, and the next one goes on with the same batch."""
+
+
+class TimedOut(Exception):
+    """A batch took too long: it is left out, and the run goes on."""
+
+
+#: What errors of services say when a quota is spent.
+QUOTA_MARKERS = ("RESOURCE_EXHAUSTED", "429", "quota", "ResourceExhausted", "GenerateRequestsPerDayPerProjectPerModel")
+
+
+def kind_of(error: BaseException) -> str:
+    """``quota``, ``timeout`` or ``error``."""
+    said = str(error).lower()
+    if isinstance(error, QuotaSpent) or any(m.lower() in said for m in QUOTA_MARKERS):
+        return "quota"
+    if isinstance(error, (TimedOut, TimeoutError)) or "timeout" in type(error).__name__.lower() or "timeout" in said:
+        return "timeout"
+    return "error"
+
+
+def run_batches(spark: SparkSession, source: str, schema: StructType | str, load: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1) -> dict[str, int | bool]:
+    """``ingest`` to its end, for loads that call a service with limits. A spent quota ends the run, and its batch comes first in the next
+    one; a batch that times out is passed over, and put back to ``source`` for the next run; any other error is raised. How many batches were
+    done and passed over, and whether a quota ended the run."""
+    outcome: dict[str, int | bool] = {"done": 0, "skipped": 0, "quota": False}
+
+    def guarded(batch: DataFrame, number: int) -> None:
+        try:
+            load(batch, number)
+        except Exception as e:
+            kind = kind_of(e)
+            if kind == "timeout":
+                batch.write.mode("append").parquet(source)  # a run takes only the files that were there when it began
+                outcome["skipped"] += 1
+                return
+            outcome["quota"] = kind == "quota"
+            raise
+        outcome["done"] += 1
+
+    query = ingest(spark, source, schema, guarded, checkpoint, files_per_batch)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not outcome["quota"]:
+            raise
+    return outcome
+
+
 def event_windows(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour", ts: str = "ts", key: str = "event_type") -> DataFrame:
     """Extension: counts and sums by event-time window; rows later than ``late`` are dropped when streaming."""
     timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
