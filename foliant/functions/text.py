@@ -32,12 +32,15 @@ LABELS = {
     "total operating expenses": "total operating expenses",
     "gross profit": "gross profit",
 }
+#: Fixed value: a dot leader.
 DOT_LEADER = r"\.(?:\s?\.){3,}"
+#: White space of any script, as the insides of a character class: faster than ``(?U)\s``, and with the four separators of ASCII.
+SPACES = r"\t-\r\x1C- \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
 def lines(text: Column) -> Column:
@@ -46,7 +49,7 @@ def lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(text, f"[{SPACES}]+"), lambda t: t != "")
 
 
 def is_toc(text: Column, least: int = 3) -> Column:
@@ -77,14 +80,15 @@ def normalize_space(text: Column) -> Column:
 
 def is_numeric(token: Column, ratio: float = 0.6) -> Column:
     """F16: digits make up ``ratio`` of what is left without money signs and the like."""
-    core = F.regexp_replace(token, r"(?U)[$,%()\-.\s]", "")
+    core = F.regexp_replace(token, rf"[$,%()\-.{SPACES}]", "")
     return (F.length(core) > 0) & (F.length(F.regexp_replace(core, r"[^\p{Nd}]", "")) >= ratio * F.length(core))
 
 
 def numeric_density(text: Column) -> Column:
-    """the share of numeric tokens; 0 for no tokens."""
-    all_tokens = tokens(text)
-    return F.coalesce(F.try_divide(F.size(F.filter(all_tokens, lambda t: is_numeric(t))).cast("double"), F.size(all_tokens)), F.lit(0.0))
+    """the share of numeric tokens; 0 for no tokens. Only tokens with a digit are looked at one by one."""
+    digits = F.regexp_extract_all(text, F.lit(rf"(?<![^{SPACES}])[^{SPACES}\p{{Nd}}]*+\p{{Nd}}[^{SPACES}]*+"), F.lit(0))
+    numeric = F.size(F.filter(digits, lambda t: is_numeric(t))).cast("double")
+    return F.coalesce(F.try_divide(numeric, F.regexp_count(text, F.lit(f"[^{SPACES}]+"))), F.lit(0.0))
 
 
 def paragraph_count(text: Column) -> Column:
@@ -149,8 +153,8 @@ def first_year(text: Column) -> Column:
 
 
 def names_ticker(question: Column, ticker: Column) -> Column:
-    """the upper-cased question has the ticker as a whole word."""
-    return (ticker != "") & F.array_contains(F.split(F.upper(question), r"(?U)\W+"), F.upper(ticker))
+    """the upper-cased question has the ticker, whatever signs are in it, as a whole word."""
+    return (ticker != "") & F.rlike(F.upper(question), F.concat(F.lit(r"(?U)\b\Q"), F.upper(ticker), F.lit(r"\E\b")))
 
 
 def slashes(path: Column) -> Column:
@@ -183,6 +187,23 @@ def as_number(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def source_record(source: Column, index: Column) -> Column:
+    """A source as the page shows it: blank strings and numbers that aren't finite are null, a missing id is ``source-`` and its place, a
+    missing title the file, the company or the id, a missing snippet the content."""
+
+    def text(name: str) -> Column:
+        return as_string(source[name])
+
+    own = F.coalesce(text("chunk_id"), F.concat(F.lit("source-"), index.cast("string")))
+    return F.struct(
+        own.alias("chunk_id"),
+        F.coalesce(text("title"), text("source_file"), text("company"), own).alias("title"),
+        *(text(n).alias(n) for n in ("company", "ticker", "form_type")),
+        *(as_number(source[n].cast("double")).alias(n) for n in ("fiscal_year", "page_start", "page_end", "relevance_score")),
+        F.coalesce(text("text_snippet"), text("content")).alias("text_snippet"),
+    )
+
+
 def page_range(start: Column, end: Column) -> Column:
     """X03."""
     return F.when(start.isNull() & end.isNull(), None).when(end.isNull() | (start == end), start.cast("string")).when(start.isNull(), end.cast("string")).otherwise(F.concat_ws("–", start.cast("string"), end.cast("string")))

@@ -12,7 +12,6 @@ LEAST_SECTION = 30
 JOINER = 2  # characters between two pages
 ITEM = r"(?imd)^\s*ITEM\s*(\d+[A-Z]?(?:\.\d+)?(?:\.[A-Z])?)\.?[\s—-]"
 PART = r"(?imd)^\s*PART\s*([IVX]+)\b"
-_MARK = "\x01"
 
 
 def window_starts(n: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Column:
@@ -23,15 +22,23 @@ def window_starts(n: Column, window: int = WINDOW, overlap: int = OVERLAP) -> Co
 
 def word_chunks(docs: DataFrame, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """A row a window: ``chunk_index``, ``content``, ``char_start``, ``char_end``. Units end in one space each; a document of
-    none but the empty unit has no chunk. Other columns are kept."""
-    kept = [c for c in docs.columns if c != text]
-    units = docs.select(*kept, F.col(text).alias("__t"), F.split(F.col(text), " ").alias("__u")).where(F.length(text) > 0)
-    placed = units.select(*kept, "__u", F.posexplode(window_starts(F.size("__u"), window, overlap)).alias("chunk_index", "__s"))
-    n = F.size("__u")
-    body = F.array_join(F.slice("__u", F.col("__s") + 1, F.lit(window)), " ")
-    content = F.when(F.col("__s") + window < n, F.concat(body, F.lit(" "))).otherwise(body)
-    start = F.when(F.col("__s") == 0, 0).otherwise(F.length(F.array_join(F.slice("__u", F.lit(1), F.col("__s")), " ")) + 1)
-    rows = placed.select(*kept, "chunk_index", content.alias("content"), start.alias("char_start"))
+    none but the empty unit has no chunk. Other columns are kept.
+
+    Windows are cut before rows are made, so that no row carries its whole document, and their places are running sums."""
+    kept, step = [c for c in docs.columns if c != text], window - overlap
+    units = docs.where(F.length(text) > 0).select(*kept, F.split(F.col(text), " ").alias("__u"))
+    starts, n = window_starts(F.size("__u"), window, overlap), F.size("__u")
+
+    def content(s: Column) -> Column:
+        body = F.array_join(F.slice("__u", s + 1, F.lit(window)), " ")
+        return F.when(s + window < n, F.concat(body, F.lit(" "))).otherwise(body)
+
+    # From one window's start to the next: the units between, each with its space.
+    steps = F.transform(starts, lambda s: F.aggregate(F.slice("__u", s + 1, F.lit(step)), F.lit(0), lambda a, u: a + F.length(u) + 1))
+    places = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    cut = units.select(*kept, F.transform(starts, content).alias("__c"), places.alias("__p"))
+    pairs = F.zip_with("__c", F.slice("__p", F.lit(1), F.size("__c")), lambda c, p: F.struct(c.alias("content"), p.alias("char_start")))
+    rows = cut.select(*kept, F.posexplode(pairs).alias("chunk_index", "__w")).select(*kept, "chunk_index", "__w.content", "__w.char_start")
     return rows.withColumn("char_end", F.col("char_start") + F.length("content"))
 
 
@@ -39,12 +46,12 @@ def boundaries(text: Column) -> Column:
     """(start, label) of Item and Part headings, by start. A heading begins at its first character or at blank lines before it."""
 
     def found(pattern: str, label: str) -> Column:
-        marked = F.regexp_replace(text, pattern, _MARK + "$0" + _MARK + "$1" + _MARK)
-        pieces = F.split(marked, _MARK)  # text, heading, name, text, heading, name, ...
-        lengths = F.transform(pieces, lambda p, i: F.when(i % 3 == 2, 0).otherwise(F.length(p)))
-        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        rows = F.transform(pieces, lambda p, i: F.struct(F.get(ends, i - 1).alias("start"), F.concat(F.lit(label), F.lit(" "), F.upper(p)).alias("label"), i.alias("i")))
-        return F.transform(F.filter(rows, lambda r: r["i"] % 3 == 2), lambda r: F.struct(r["start"].alias("start"), r["label"].alias("label")))
+        between = F.split(text, pattern)  # what is before, between and behind the headings
+        heads, names = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (0, 1))
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(heads)), heads, lambda a, h: F.struct(F.length(a).alias("before"), F.length(h).alias("own")))
+        ends = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["before"] + x["own"])))
+        starts = F.zip_with(F.slice(ends, F.lit(1), F.size(heads)), steps, lambda e, x: e + x["before"])
+        return F.zip_with(starts, names, lambda at, name: F.struct(at.alias("start"), F.concat(F.lit(label), F.lit(" "), F.upper(name)).alias("label")))
 
     return F.array_sort(F.concat(found(ITEM, "Item"), found(PART, "Part")), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
 
