@@ -70,6 +70,7 @@ def split_contexts(contexts: Column) -> Column:
     return F.split(contexts, SEPARATOR)
 
 
-def tagged(rows: DataFrame, run_tag: str) -> DataFrame:
-    """Results of a run carry its tag, which partitions what is stored."""
-    return rows.withColumn("run_tag", F.lit(run_tag))
+def tagged(rows: DataFrame, run_tag: str | Column) -> DataFrame:
+    """Results of a run carry its tag, which partitions what is stored; no tag is the empty one."""
+    tag = F.lit(run_tag) if isinstance(run_tag, str) else run_tag
+    return rows.withColumn("run_tag", F.coalesce(tag, F.lit("")))

@@ -51,10 +51,10 @@ def year_pairs(facts: DataFrame) -> DataFrame:
 
 
 def stratified(facts: DataFrame, n: int, key: Column, seed: int = SEED, share: float = MAX_A_SHARE) -> DataFrame:
-    """``n`` facts, one a company, in turns over first letters; ``A`` gets at most ``share``. The order within a letter is that of a seeded
-    hash of ``key``: alike in distribution to a shuffle, and the same on each run."""
+    """``n`` facts, one a company, in turns over first letters; ``A`` gets at most ``share``. The order within a letter is that of the MD5 of ``key``
+    and the seed: alike in distribution to a shuffle, and the same on each run."""
     letter = F.upper(F.substring(F.coalesce(F.nullif("ticker", F.lit("")), F.col("company")), 1, 1))
-    rows = facts.withColumn("letter", letter).withColumn("__h", F.xxhash64(key, F.lit(seed)))
+    rows = facts.withColumn("letter", letter).withColumn("__h", F.md5(F.concat(key, F.lit(f"|{seed}"))))
     one = rows.withColumn("__c", F.row_number().over(Window.partitionBy("company").orderBy("__h", "label", "value"))).where("__c = 1")
     turn = one.withColumn("turn", F.row_number().over(Window.partitionBy("letter").orderBy("__h", "company")))
     capped = turn.where((F.col("letter") != "A") | (F.col("turn") <= int(n * share)))
@@ -67,7 +67,7 @@ def absent(spark: SparkSession, corpus: DataFrame, ticker: str = "ticker", limit
     return known.join(corpus.select(F.upper(ticker).alias("ticker")).distinct(), "ticker", "left_anti").orderBy("place").limit(limit).select("ticker", "name")
 
 
-def questions(facts: DataFrame, category: str, template: str) -> DataFrame:
+def questions(facts: DataFrame, category: str, template: str, source: str = "mined", truth: Column | None = None) -> DataFrame:
     """a question a fact. ``template`` may name {company}, {typo}, {ticker}, {label} and {year}."""
     name = T.display_name(F.col("company"))
     parts = {"{company}": name, "{typo}": T.misspelt(name), "{ticker}": F.col("ticker"), "{label}": F.col("label"), "{year}": F.col("fiscal_year").cast("string")}
@@ -75,8 +75,8 @@ def questions(facts: DataFrame, category: str, template: str) -> DataFrame:
     for k, v in parts.items():
         if k in template:
             q = F.replace(q, F.lit(k), v)
-    truth = F.concat(F.upper(F.substring("label", 1, 1)), F.lower(F.substring("label", 2, 1000)), F.lit(": "), "value", F.lit(" ("), name, F.lit(", FY"), F.col("fiscal_year").cast("string"), F.lit(")"))
-    return facts.select(F.lit(category).alias("category"), q.alias("question"), "company", "ticker", "fiscal_year", truth.alias("ground_truth_answer"))
+    fact = F.concat(F.upper(F.substring("label", 1, 1)), F.lower(F.substring("label", 2, 1000)), F.lit(": "), "value", F.lit(" ("), name, F.lit(", FY"), F.col("fiscal_year").cast("string"), F.lit(")"))
+    return facts.select(F.lit(category).alias("category"), q.alias("question"), "company", "ticker", "fiscal_year", (fact if truth is None else truth).alias("ground_truth_answer"), F.lit(source).alias("source"))
 
 
 def question_set(parts: list[DataFrame], quotas: list[int]) -> DataFrame:
@@ -85,4 +85,80 @@ def question_set(parts: list[DataFrame], quotas: list[int]) -> DataFrame:
     for i, (part, n) in enumerate(zip(parts, quotas, strict=True)):
         rows = part.orderBy("company", "question").limit(n).withColumn("__part", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
+    # As many rows as the quotas allow.
     return out.withColumn("id", F.row_number().over(Window.orderBy("__part", "company", "question"))).drop("__part")
+
+
+#: The categories of the evaluation set with their quotas, in order.
+QUOTAS = {
+    "exact_fact": 13, "fuzzy_no_ticker": 13, "fiscal_year_discrimination": 8, "disambiguation": 6, "typo_tolerance": 4, "multi_year_comparison": 4, "language_parity": 2,
+    "not_found_structural": 4, "not_found_fictional": 3, "off_topic": 4, "subjective_gate": 5, "edge_case_garbled": 2,
+}
+#: What mined questions ask.
+ASKED = "What was {company}'s {label} in fiscal {year}?"
+ASKED_BY_TICKER = "What was {ticker}'s {label} in fiscal {year}?"
+ASKED_WITH_TYPO = "What was {typo}'s {label} in fiscal {year}?"
+ASKED_OVER_YEARS = "How did {company}'s {label} change across the years shown in its FY{year} filing?"
+ASKED_IN_SPANISH = "¿Cuál fue el {label} de {company} en el año fiscal {year}?"
+#: Questions that aren't mined: names that exist nowhere, other topics, verdicts, and garbled wording.
+FICTIONAL = ("Zorvex Dynamics", "Halcyon Retort Industries", "Nimbus Vale Corp")
+OFF_TOPIC = ("What's a good recipe for lasagna?", "Explain how photosynthesis works.", "Write a Python function that reverses a string.", "Who won the 2022 FIFA World Cup?")
+VERDICTS = (
+    "Should I invest in Apple?", "Is Apple a good long-term holding?", "What would you recommend for my portfolio regarding Apple?",
+    "¿Cuál es la mejor acción para invertir ahora?", "¿Conviene comprar acciones de Apple ahora?",
+)
+GARBLED = ("aple inc revenu fiscal 2022 wat was it", "AAPL 2022 2021 2020 net sales???")
+#: Our own wording of what is expected of them.
+EXPECTED = {
+    "not_found_structural": "A real company that the corpus lacks: the answer says so and uses no other company's filing.", "not_found_fictional": "No such company: nothing is resolved.",
+    "off_topic": "Out of scope: refused, without figures.", "subjective_gate": "Advice is asked for: no verdict is given.", "edge_case_garbled": "Garbled, but it names Apple and a year.",
+}
+
+
+def evaluation_set(facts: DataFrame, corpus: DataFrame, quotas: dict[str, int] = QUOTAS) -> DataFrame:
+    """(id, category, question, company, ticker, fiscal_year, ground_truth_answer, source) of all twelve categories, each up to its quota.
+
+    ``facts`` are those of ``fact_lines`` with ``n_figures`` and ``source_line``; ``corpus(company, ticker)`` is what there is. Lines of up to three figures
+    are single facts, of two to four comparisons. Names, typos and Spanish take companies that no category before them took.
+    """
+    spark = facts.sparkSession
+    key = F.concat(F.col("company"), F.col("label"), F.col("fiscal_year").cast("string"))
+    single, multi = year_specific(facts.where("n_figures <= 3")), facts.where("n_figures BETWEEN 2 AND 4")
+    parts: dict[str, DataFrame] = {}
+
+    def free(rows: DataFrame) -> DataFrame:
+        """Facts of companies that no question asks about yet."""
+        for part in parts.values():  # each has as many rows as its quota at most
+            rows = rows.join(F.broadcast(part.select("company").distinct()), "company", "left_anti")
+        return rows
+
+    def mined(category: str, pool: DataFrame, template: str, source: str, **more) -> None:
+        parts[category] = questions(stratified(pool, quotas[category], key), category, template, source, **more)
+
+    mined("exact_fact", single.where(F.coalesce("ticker", F.lit("")) != ""), ASKED_BY_TICKER, "mined:ticker")
+    mined("fuzzy_no_ticker", free(single), ASKED, "mined:name")
+
+    years = year_pairs(single).orderBy(F.md5(F.concat("company", F.lit(f"|{SEED}"))), "company").limit(-(-quotas["fiscal_year_discrimination"] // 2))
+    both = F.explode(F.array(F.struct(F.col("first_year").alias("fiscal_year"), F.col("first_value").alias("value")), F.struct(F.col("last_year").alias("fiscal_year"), F.col("last_value").alias("value"))))
+    ticker = single.groupBy("company").agg(F.min("ticker").alias("ticker"))
+    pairs = years.select("company", "label", both.alias("y")).select("company", "label", "y.fiscal_year", "y.value").join(ticker, "company")
+    parts["fiscal_year_discrimination"] = questions(pairs, "fiscal_year_discrimination", ASKED, "mined:year-pair").limit(quotas["fiscal_year_discrimination"])
+
+    alike = confusable(corpus).select(F.explode(F.array("first", "second")).alias("company"))
+    last = single.join(alike, "company", "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("company").orderBy(F.col("fiscal_year").desc(), "label", "value"))).where("__r = 1").drop("__r")
+    parts["disambiguation"] = questions(last.orderBy("company").limit(quotas["disambiguation"]), "disambiguation", ASKED, "mined:confusable")
+    mined("typo_tolerance", free(single), ASKED_WITH_TYPO, "mined:typo")
+    mined("multi_year_comparison", multi, ASKED_OVER_YEARS, "mined:multiyear", truth=F.concat(F.lit("Most recent year first: "), "source_line"))
+    mined("language_parity", free(single), ASKED_IN_SPANISH, "mined:es")
+
+    def written(category: str, rows: list[tuple[str, str | None, str | None, int | None]]) -> None:
+        made = [(category, q, c, t, y, EXPECTED[category], "handwritten") for q, c, t, y in rows[: quotas[category]]]
+        parts[category] = spark.createDataFrame(made, "category string, question string, company string, ticker string, fiscal_year int, ground_truth_answer string, source string")
+
+    lacking = [(f"What was {r['name']}'s total revenue in fiscal 2022?", None, r["ticker"], 2022) for r in absent(spark, corpus, limit=quotas["not_found_structural"]).collect()]  # a few of KNOWN
+    written("not_found_structural", lacking)
+    written("not_found_fictional", [(f"What is {n}'s main product line?", None, None, None) for n in FICTIONAL])
+    written("off_topic", [(q, None, None, None) for q in OFF_TOPIC])
+    written("subjective_gate", [(q, None, None, None) for q in VERDICTS])
+    written("edge_case_garbled", [(q, "apple-inc", "AAPL", 2022) for q in GARBLED])
+    return question_set([p.withColumn("fiscal_year", F.col("fiscal_year").cast("int")) for p in parts.values()], [quotas[c] for c in parts])

@@ -102,7 +102,7 @@ def statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def token_risk(chunks: DataFrame, wanted: DataFrame, keys: Sequence[str], content: str = "content", key: str = "id", k: int = 5, cap: int | None = None, most: int = 60_000) -> DataFrame:
     """Per wanted filter the characters of its ``k`` longest chunks, as tokens, and whether that is too much."""
     rows = chunks.where(F.length(content) < cap) if cap else chunks
-    near = rows.join(F.broadcast(wanted.select(*keys).distinct()), list(keys)).select(*keys, key, F.length(content).alias("len"))
+    near = rows.select(*keys, key, F.length(content).alias("len")).join(wanted.select(*keys).distinct(), list(keys))  # lengths cross the network, no texts
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("len").desc(), key))).where(F.col("r") <= k)
     return ranked.groupBy(*keys).agg(F.sum("len").alias("chars")).select(*keys, "chars", (F.col("chars") / CHARS_PER_TOKEN).alias("tokens"), (F.col("chars") > most).alias("risky"))
 

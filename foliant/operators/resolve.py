@@ -10,15 +10,19 @@ from foliant.functions.udfs import sequence_ratio
 from foliant.session import ship
 
 THRESHOLD = 0.8
+_BETWEEN = r"(?U)\W+"
 
 
 def by_ticker(questions: DataFrame, entities: DataFrame, key: str = "question_id", question: str = "question") -> DataFrame:
-    """E01, first path: the first entity (by company, ticker) whose ticker is a word of the upper-cased question.
-
-    Words are joined to tickers, so questions meet only the entities they name."""
-    words = questions.select(key, F.explode(F.array_distinct(F.split(F.upper(question), r"(?U)\W+"))).alias("t")).where("t <> ''")
-    known = entities.where(F.coalesce("ticker", F.lit("")) != "").select(F.upper("ticker").alias("t"), "company", "ticker")
-    return words.join(known, "t").groupBy(key).agg(F.min(F.struct("company", "ticker")).alias("e")).select(key, "e.company", F.lit(1.0).alias("score"))
+    """E01, first path: the first entity (by company, ticker) whose ticker is a whole word of the upper-cased question.
+
+    Words are joined to the first word of each ticker, so questions meet only the entities they may name; a ticker with signs in it, as BRK.B,
+    is then looked for as it is."""
+    words = questions.select(key, F.col(question).alias("__q"), F.explode(F.array_distinct(F.split(F.upper(question), _BETWEEN))).alias("t")).where("t <> ''")
+    known = entities.where(F.coalesce("ticker", F.lit("")) != "").select(F.upper("ticker").alias("__ticker"), "company", "ticker")
+    first = F.get(F.filter(F.split("__ticker", _BETWEEN), lambda w: w != ""), 0)
+    met = words.join(known.withColumn("t", first), "t").where((F.col("__ticker") == F.col("t")) | T.names_ticker(F.col("__q"), F.col("__ticker")))
+    return met.groupBy(key).agg(F.min(F.struct("company", "ticker")).alias("e")).select(key, "e.company", F.lit(1.0).alias("score"))
 
 
 def by_name(questions: DataFrame, entities: DataFrame, key: str = "question_id", question: str = "question", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,10 +23,13 @@ def answer(questions: DataFrame, entities: DataFrame, chunks: DataFrame, embed:
     known = resolve.resolve(asked, entities).withColumn("query_vector", embed(F.col("question")))
     rows = search.filtered(chunks)
     q = known.select(F.col("question_id").alias("query_id"), F.col("company").alias("asked_company"), F.col("fiscal_year").alias("asked_year"), "query_vector")
-    scoped = rows.join(q.where("asked_company IS NOT NULL"), (F.col("company") == F.col("asked_company")) & (F.col("asked_year").isNull() | (F.col("fiscal_year") == F.col("asked_year"))))
-    open_ = search.against_all(rows, q.where("asked_company IS NULL"))
-    pairs = scoped.unionByName(open_).withColumn("similarity", search.vectors.cosine_similarity(F.col("embedding"), F.col("query_vector")))
-    top = pairs.withColumn("rank", F.row_number().over(search._by("query_id", "id"))).where(F.col("rank") <= search.clamped(k))
+    named = (F.col("company") == F.col("asked_company")) & (F.col("asked_year").isNull() | (F.col("fiscal_year") == F.col("asked_year")))
+    pairs = rows.select("id", "embedding", "company", "fiscal_year").join(q.where("asked_company IS NOT NULL"), named)
+    scored = pairs.select("query_id", "id", search.vectors.cosine_similarity(F.col("embedding"), F.col("query_vector")).alias("similarity"))
+    scoped = scored.withColumn("rank", F.row_number().over(search._by("query_id", "id"))).where(F.col("rank") <= search.clamped(k))
+    open_ = search.batch_scan(rows, q.where("asked_company IS NULL"), k)
+    # The best are found by key and score; what they say is joined to those few.
+    top = scoped.unionByName(open_).join(rows.drop("embedding"), "id")
     source = F.struct("rank", F.col("id").cast("string").alias("chunk_id"), *SOURCE_FIELDS, F.col("similarity").alias("relevance_score"), "content", snippet(F.col("content")).alias("text_snippet"), "company_name_mismatch")
     found = top.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
     joined = known.join(found, known["question_id"] == found["query_id"], "left").drop("query_id", "query_vector")
