@@ -45,7 +45,7 @@ def v03_unfiltered_topk(spark, sf_dir):
     return _hits(search.top_k_scan(table(spark, sf_dir, "embeddings"), _seventh(spark, sf_dir), 10, key="vec_id", columns=["label"]))
 
 
-@query()
+@query(f"SELECT vec_id, CAST(label AS BIGINT) AS label, round(list_cosine_similarity({VECTOR}, q), 6) AS similarity FROM embeddings, {_Q} ORDER BY list_cosine_similarity({VECTOR}, q) DESC, vec_id LIMIT 10")
 def v03_lsh_topk(spark, sf_dir):
     return _hits(search.top_k_approximate(table(spark, sf_dir, "embeddings"), _seventh(spark, sf_dir), 10, key="vec_id"))
 
@@ -75,10 +75,11 @@ def v08_token_statistics(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).select("item_id", F.get("v", F.lit(0)).alias("n"), F.get("v", F.lit(1)).alias("letters"), F.get("v", F.lit(2)).alias("codes"))
 
 
-@query()
+@query(r"SELECT item_id, 64 AS dimension, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END :: DOUBLE AS squared FROM benchmark")
 def v07_embed(spark, sf_dir):
     encode = V.embed(lambda: V.hashing_encoder(64))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(encode(F.col("text"))).alias("dimension"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", encode(F.col("text")).alias("v"))
+    return rows.select("item_id", F.size("v").alias("dimension"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("squared"))
 
 
 @query("SELECT e.vec_id, e.vec_id // 10 AS document_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings a WHERE a.vec_id = 14 AND e.vec_id <> 14 AND e.vec_id // 10 = 1 AND e.vec_id % 10 BETWEEN 2 AND 6")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from foliant.functions import filing, gate
 from foliant.functions import text as T
 from foliant.functions.udfs import sequence_ratio
-from foliant.operators import batches, chatlog, chunk, profile, resolve, search, sections
+from foliant.operators import batches, chatlog, chunk, evals, profile, resolve, search, sections
 from foliant.plans.corpus_queries import CHUNKS, chunks_of
-from foliant.plans.fixture_queries import ANSWERS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, QUESTIONS, REPLIES, STRUCTURED
+from foliant.plans.fixture_queries import ANSWERS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, QUESTIONS, REPLIES, SECTIONS_CTE, STRUCTURED
 from foliant.plans.registry import Fixture, query, table
+from foliant.plans.sql_parts import LABELS_SQL, SIGNIFICANT, label_key_sql, normal_name_sql, registrant_sql, uuid_sql
 from foliant.sources import readers
 
 c = F.col
@@ -48,7 +49,11 @@ def s04_to_download(spark, sf_dir):
 FILES = Fixture("source_file string,chunk_index string,text string,page_start double,page_end double,ticker string,company string,fiscal_year double,mismatch boolean", (("f1", "0", "a", 1.0, 2.0, "T", "c", 2020.0, None), ("f1", "10", "c", float("nan"), None, None, None, None, False), ("f1", "9", "b", 3.0, 3.0, "T", "c", float("nan"), True), ("f2", "x", None, None, None, "", "d", 2021.0, None)))
 
 
-@query("SELECT * FROM (VALUES ('f1', 0::BIGINT, 'a', 1::BIGINT, 2::BIGINT, 'T', 'c', 2020::BIGINT, NULL::BOOLEAN), ('f1', 1, 'b', 3, 3, 'T', 'c', 0, true), ('f1', 2, 'c', NULL, NULL, '', '', 0, false), ('f2', 0, '', NULL, NULL, '', 'd', 2021, NULL)) AS t(source_file, chunk_index, content, page_start, page_end, ticker, company, fiscal_year, company_name_mismatch)")
+def _int_sql(c: str) -> str:
+    return f"CASE WHEN NOT isnan({c}) THEN CAST({c} AS BIGINT) END"
+
+
+@query(f"SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY TRY_CAST(chunk_index AS INTEGER) NULLS LAST, page_start, text) - 1 AS chunk_index, coalesce(text, '') AS content, {_int_sql('page_start')} AS page_start, {_int_sql('page_end')} AS page_end, coalesce(ticker, '') AS ticker, coalesce(company, '') AS company, coalesce({_int_sql('fiscal_year')}, 0) AS fiscal_year, mismatch AS company_name_mismatch FROM {FILES.sql}")
 def s05_chunk_files(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     meta = F.struct("company", "ticker", "fiscal_year", none("string").alias("form_type"), none("string").alias("accounting_standard"), none("string").alias("canonical_section"), c("mismatch").alias("company_name_mismatch"), none("double").alias("numeric_density"))
@@ -71,7 +76,7 @@ def p17_snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), T.snippet(c("text")).alias("snippet"), T.token_estimate(F.length("text")).alias("tokens"))
 
 
-@query()
+@query("SELECT CAST(e.vec_id AS BIGINT) AS chunk_id, 'co3' AS company, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, 'text ' || e.vec_id AS text_snippet, '{''company'': [''co3''], ''fiscal_year'': 2020}' AS filters FROM embeddings e, embeddings q WHERE q.vec_id = 7 AND e.label = 3 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 3")
 def v12_retrieve(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     rows = table(spark, sf_dir, "embeddings")
@@ -86,7 +91,7 @@ def j04_section_candidates(spark, sf_dir):
     return sections.candidates(ITEMS.df(spark)).select("form_type", "item", "text", F.array_join("sections", ",").alias("sections"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Item 1', 7::BIGINT, 2526::BIGINT), (1, 'Item 1A', 2526, 2743), (1, 'Item 7', 2775, 3031), (3, 'Item 5', 27, 190)) AS t(doc, label, start, \"end\")")
+@query(f"WITH {SECTIONS_CTE} SELECT doc, label, start, \"end\" FROM sections")
 def w03_section_spans(spark, sf_dir):
     return chunk.sections(STRUCTURED.df(spark), "doc").select("doc", "label", "start", "end")
 
@@ -94,7 +99,7 @@ def w03_section_spans(spark, sf_dir):
 LABELS = Fixture("id int,raw string,name string", ((1, "Total Stockholders’ Equity", "Acme Holdings, Inc."), (2, "Net income (loss)", "group-holdings-inc"), (3, "Net income (loss) before taxes", "the_big/co.ltd"), (4, "NET  SALES", "inc"), (5, None, None)))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'total stockholders'' equity', 'acme holdings  inc', 'acme'), (2, 'net income', 'group holdings inc', 'group'), (3, NULL, 'the big co ltd', 'the big'), (4, 'total net sales', 'inc', 'inc'), (5, NULL, NULL, NULL)) AS t(id, label, normal, core)")
+@query(rf"WITH n AS (SELECT *, {normal_name_sql('name')} AS normal FROM {LABELS.sql}) SELECT n.id, l.label, n.normal, array_to_string(list_filter(regexp_split_to_array(regexp_replace(trim(n.normal), '(\S)(?:\s+(?:{'|'.join(T.CORPORATE)}))+$', '\1'), '\s+'), lambda x: x <> ''), ' ') AS core FROM n LEFT JOIN {LABELS_SQL} l ON l.name = {label_key_sql('n.raw')}")
 def f31_labels_and_names(spark, sf_dir):
     normal = T.normal_name(c("name"))
     return LABELS.df(spark).select("id", T.label_name(c("raw")).alias("label"), normal.alias("normal"), F.array_join(T.core_tokens(normal), " ").alias("core"))
@@ -117,22 +122,22 @@ def f38_slashes(spark, sf_dir):
     return PATHS.df(spark).select("path", T.slashes(c("path")).alias("slashed"))
 
 
-@query()
+@query(f"SELECT path, registrant AS name, array_to_string(list_sort({SIGNIFICANT.format('registrant')}), ' ') AS tokens, regexp_replace(lower(registrant), '[^a-z0-9]', '', 'g') AS collapsed FROM ({registrant_sql(PATHS.sql)})")
 def f22_registrant(spark, sf_dir):
     name = filing.registrant_name(c("cover"))
     return PATHS.df(spark).select("path", name.alias("name"), F.array_join(F.array_sort(filing.significant_tokens(name)), " ").alias("tokens"), filing.collapsed(name).alias("collapsed"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso, substr(sha256(event_type || '#' || user_id), 1, 8) AS stable FROM events WHERE event_id < 50")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso, substr(sha256(event_type || '#' || user_id), 1, 8) AS stable FROM events")
 def m02_iso_and_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 50")
+    rows = table(spark, sf_dir, "events")
     return rows.select("event_id", T.iso_time(c("ts").cast("timestamp")).alias("iso"), T.stable_id(c("event_type"), c("user_id")).alias("stable"))
 
 
 NUMBERS = Fixture("id int,x double", ((1, 2020.0), (2, float("nan")), (3, None), (4, float("inf")), (5, 1.23456)))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 2020.0::DOUBLE, 2020.0::DOUBLE), (2, NULL, NULL), (3, NULL, NULL), (4, NULL, NULL), (5, 1.23456, 1.2346)) AS t(id, finite, rounded)")
+@query(f"SELECT id, CASE WHEN isfinite(x) THEN x END AS finite, round(CASE WHEN isfinite(x) THEN x END, 4) AS rounded FROM {NUMBERS.sql}")
 def m04_numbers(spark, sf_dir):
     finite = T.as_number(c("x"))
     return NUMBERS.df(spark).select("id", finite.alias("finite"), T.rounded(finite).alias("rounded"))
@@ -143,10 +148,12 @@ def e08_notices(spark, sf_dir):
     return REPLIES.df(spark).select("id", gate.with_notice(gate.with_notice(c("answer"), gate.LOW_NOTICE), gate.LOW_NOTICE).alias("noted"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2020::BIGINT, '{\"company\":\"a\",\"fiscal_year\":\"2020\"}'), ('b', NULL, '{\"company\":\"b\"}'), (NULL, NULL, '{}')) AS t(company, fiscal_year, filters)")
+FILTERS = Fixture("company string,fiscal_year int", (("a", 2020), ("b", None), (None, None), (None, 0)))
+
+
+@query(f"""SELECT company, fiscal_year, '{{' || concat_ws(',', '"company":"' || company || '"', '"fiscal_year":"' || fiscal_year || '"') || '}}' AS filters FROM {FILTERS.sql}""")
 def e02_filters(spark, sf_dir):
-    rows = spark.createDataFrame([("a", 2020), ("b", None), (None, None)], "company string, fiscal_year int")
-    return rows.select("company", "fiscal_year", F.to_json(resolve.filters(c("company"), c("fiscal_year"))).alias("filters"))
+    return FILTERS.df(spark).select("company", "fiscal_year", F.to_json(resolve.filters(c("company"), c("fiscal_year"))).alias("filters"))
 
 
 @query(f"SELECT question_id, question, 'system_unavailable' AS flag, 0::BIGINT AS n_sources FROM {QUESTIONS.sql}")
@@ -169,27 +176,21 @@ STORED = Fixture("id long,conversation_id string,role string,content string,conf
 TURNS = Fixture("conversation_id string,at long,question string,answer string,confidence_flag string", (("6F9619FF8B86D011B42D00C04FC964FF", 9, "q2", "a2", "ok"), ("6f9619ff-8b86-d011-b42d-00c04fc964ff", 5, "q1", "a1", "low_confidence"), ("nope", 6, "x", "y", "ok")))
 
 
-@query("SELECT * FROM (VALUES (4::BIGINT, 'user', 'old', NULL, 1::BIGINT), (5, 'user', 'q1', NULL, 5), (6, 'assistant', 'a1', 'low_confidence', 5), (7, 'user', 'q2', NULL, 9), (8, 'assistant', 'a2', 'ok', 9)) AS t(id, role, content, confidence_flag, created_at)")
+@query(f"""WITH t AS (SELECT *, {uuid_sql('conversation_id')} AS conv FROM {TURNS.sql}), two AS (SELECT conv, "at" AS t, 0 AS k, 'user' AS role, question AS content, NULL AS flag FROM t WHERE conv IS NOT NULL UNION ALL SELECT conv, "at", 1, 'assistant', answer, confidence_flag FROM t WHERE conv IS NOT NULL)
+SELECT id, role, content, confidence_flag, created_at FROM {STORED.sql} UNION ALL SELECT (SELECT max(id) FROM {STORED.sql}) + row_number() OVER (ORDER BY t, conv, k), role, content, flag, t FROM two""")
 def c04_save_turn(spark, sf_dir):
     return chatlog.turn(STORED.df(spark), TURNS.df(spark)).select("id", "role", "content", "confidence_flag", "created_at")
 
 
-@query("SELECT lang AS run_tag, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT coalesce(lang, '') AS run_tag, count(*) AS n FROM documents GROUP BY 1")
 def p19_run_tags(spark, sf_dir):
-    from foliant.operators.evals import tagged
-
-    docs = table(spark, sf_dir, "documents")
-    parts = [tagged(docs.where(c("lang") == x).select("doc_id"), x) for x in ("en", "fr", "de", "es")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("run_tag").agg(F.count("*").alias("n"))
+    return evals.tagged(table(spark, sf_dir, "documents").select("doc_id", "lang"), c("lang")).groupBy("run_tag").agg(F.count("*").alias("n"))
 
 
 SOURCES = Fixture("id int,title string,company string,section string,start int,stop int", ((1, "a/b/c.pdf", "Acme", "risk", 1, 3), (2, "x.pdf", "", None, 2, 2), (3, "", None, "mdna", None, None)))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'c', 'Acme · risk · 1–3'), (2, 'x', '2'), (3, '', 'mdna')) AS t(id, file, preview)")
+@query(f"SELECT id, regexp_replace(list_reverse(string_split(title, '/'))[1], '\\.pdf$', '') AS file, concat_ws(' · ', nullif(company, ''), nullif(section, ''), CASE WHEN start IS NULL THEN CAST(stop AS VARCHAR) WHEN stop IS NULL OR start = stop THEN CAST(start AS VARCHAR) ELSE start || '–' || stop END) AS preview FROM {SOURCES.sql}")
 def x03_source_previews(spark, sf_dir):
     return SOURCES.df(spark).select("id", T.base_name(c("title")).alias("file"), T.dotted(c("company"), c("section"), T.page_range(c("start"), c("stop"))).alias("preview"))
 
@@ -198,3 +199,22 @@ def x03_source_previews(spark, sf_dir):
 def p04_without_cid(spark, sf_dir):
     rows = chunks_of(spark, sf_dir).where(~profile.has_cid(c("content")))
     return rows.groupBy("company", c("canonical_section").alias("lang")).agg(F.count("*").alias("n"))
+
+
+SHOWN = Fixture("place int,chunk_id string,title string,source_file string,company string,fiscal_year double,content string,text_snippet string", ((0, "7", "T", "f.pdf", "c", 2020.0, "body", "snip"), (1, " ", "", "f.pdf", "c", float("nan"), "body", " "), (2, None, None, " ", "", float("inf"), None, None), (3, "k", None, None, None, None, "", "s")))
+
+
+@query(f"""WITH s AS (SELECT place, nullif(trim(chunk_id), '') AS own, nullif(trim(title), '') AS title, nullif(trim(source_file), '') AS file, nullif(trim(company), '') AS company, fiscal_year, nullif(trim(content), '') AS content, nullif(trim(text_snippet), '') AS snip FROM {SHOWN.sql})
+SELECT place, coalesce(own, 'source-' || place) AS chunk_id, coalesce(title, file, company, own, 'source-' || place) AS title, company, CASE WHEN isfinite(fiscal_year) THEN fiscal_year END AS fiscal_year, coalesce(snip, content) AS text_snippet FROM s""")
+def x02_source_records(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    rows = SHOWN.df(spark)
+    source = F.struct("chunk_id", "title", "source_file", "company", "fiscal_year", "content", "text_snippet", *(none.alias(n) for n in ("ticker", "form_type", "page_start", "page_end", "relevance_score")))
+    shown = rows.select("place", T.source_record(source, c("place")).alias("r"))
+    return shown.select("place", "r.chunk_id", "r.title", "r.company", "r.fiscal_year", "r.text_snippet")
+
+
+@query("SELECT vec_id AS query_id, unnest(CASE WHEN embedding[1] * 100 >= 7 THEN ['apple-annual-report-2025', 'apple-investor-relations-summary'] ELSE ['general-financial-market-overview'] END) AS id FROM embeddings")
+def v09_mock_retriever(spark, sf_dir):
+    asked = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("query_id"), F.transform("embedding", lambda x: x * 100).alias("query_vector"))
+    return search.mock_retrieve(asked).select("query_id", "id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from foliant.functions import filing, gate, udfs
 from foliant.functions import text as T
 from foliant.operators import batches, chatlog, chunk, cleaning, evals, facts, resolve, sections
-from foliant.plans.registry import Fixture, query, table
+from foliant.plans.registry import SQL, Fixture, query, table
+from foliant.plans.sql_parts import LABELS_SQL, display_sql, label_key_sql, registrant_sql, typo_sql, uuid_sql, words_sql
 
 TEXTS = Fixture(
     "id int,text string",
@@ -108,17 +109,13 @@ def f21_accounting(spark, sf_dir):
     return PATHS.df(spark).select("path", filing.accounting_standard(filing.form_type(F.col("cover")), F.col("cover")).alias("standard"))
 
 
-_SIG = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace({}, '(?i)\b(inc|incorporated|corp|corporation|co|company|ltd|limited|llc|lp|l\.p|plc|holdings|group|the)\b\.?', ' ', 'g')), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: length(t) >= 3))"
-
-
-@query(rf"""WITH n AS (SELECT path, cover, list_reverse(string_split(replace(path, '\', '/'), '/'))[2] AS folder, trim(regexp_extract(cover, '(?i)([^\n]{{3,120}})\n\(Exact\s*Name\s*of\s*Registrant\s*as\s*Specified\s*in\s*its\s*Charter\)', 1)) AS name FROM {PATHS.sql}),
-s AS (SELECT *, {_SIG.format("folder")} AS ours, {_SIG.format("name")} AS theirs, regexp_replace(lower(folder), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b, {_SIG.format("regexp_extract(cover, '(?i)formerly" + chr(92) + "s+(?:known" + chr(92) + "s+as|named)" + chr(92) + "s+([^.,]{3,80})', 1)")} AS old FROM n)
-SELECT path, nullif(CASE WHEN regexp_matches(name, '(?i)^commission\s+file\s+number') THEN '' ELSE name END, '') AS registrant, CASE WHEN name = '' OR regexp_matches(name, '(?i)^commission\s+file\s+number') OR len(ours) = 0 OR len(theirs) = 0 THEN NULL ELSE NOT (list_has_any(ours, theirs) OR (a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a))) OR list_has_any(old, ours)) END AS mismatch FROM s""")
+@query(registrant_sql(PATHS.sql))
 def f25_mismatch(spark, sf_dir):
     return PATHS.df(spark).select("path", filing.registrant_name(F.col("cover")).alias("registrant"), filing.name_mismatch(filing.company(F.col("path")), F.col("cover")).alias("mismatch"))
 
 
-@query()
+@query(f"""SELECT path, a.company, a.ticker, b.form_type, c.fiscal_year, c.matches AS year_matches_file, d.standard AS accounting_standard, e.registrant AS registrant_name, e.mismatch AS company_name_mismatch
+FROM ({SQL["f18_filename_meta"]}) a JOIN ({SQL["f19_form_type"]}) b USING (path) JOIN ({SQL["f20_fiscal_year"]}) c USING (path) JOIN ({SQL["f21_accounting"]}) d USING (path) JOIN ({SQL["f25_mismatch"]}) e USING (path)""")
 def f26_metadata(spark, sf_dir):
     return cleaning.document_metadata(PATHS.df(spark), "path", "cover")
 
@@ -163,12 +160,27 @@ def j03_section_asof(spark, sf_dir):
 STRUCTURED = Fixture("doc int,text string", ((1, "PART I\n\nItem 1. Business\n" + "word " * 500 + "\n  ITEM 1A. Risk\n" + "risk " * 40 + "\nItem 2. Short\nfew words\nPART II\nItem 7. Results\n" + "sum " * 60), (2, "no headings " * 10), (3, "Items of note\nPART X marks\nItem 5 - end " + "tail " * 30)))
 
 
-@query()
+def _heads_sql(pattern: str, label: str) -> str:
+    """Starts and labels of headings: what is before, between and behind them, and the headings themselves, summed up."""
+    return f"""SELECT doc, text, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, '{label} ' || upper(n[i]) AS label
+FROM (SELECT doc, text, b, h, n, unnest(generate_series(1, len(h))) AS i FROM (SELECT doc, text, string_split_regex(text, '{pattern}') AS b, regexp_extract_all(text, '{pattern}') AS h, regexp_extract_all(text, '{pattern}', 1) AS n FROM {STRUCTURED.sql}))"""
+
+
+_HEADS = _heads_sql(r"(?im)^\s*ITEM\s*(\d+[A-Z]?(?:\.\d+)?(?:\.[A-Z])?)\.?[\s—-]", "Item") + " UNION ALL " + _heads_sql(r"(?im)^\s*PART\s*([IVX]+)\b", "Part")
+SECTIONS_CTE = f"""heads AS ({_HEADS}),
+ended AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start), length(text)) AS "end" FROM heads),
+sections AS (SELECT doc, text, start, "end", label FROM ended WHERE len({words_sql('substr(text, start + 1, "end" - start)')}) >= 30)"""
+
+
+@query(f"SELECT doc, start, label FROM ({_HEADS})")
 def f11_boundaries(spark, sf_dir):
     return STRUCTURED.df(spark).select("doc", F.explode(chunk.boundaries(F.col("text"))).alias("b")).select("doc", "b.start", "b.label")
 
 
-@query()
+@query(rf"""WITH {SECTIONS_CTE},
+bodies AS (SELECT d.doc, s.label, coalesce(s.start, 0) AS section_start, string_split(regexp_replace(CASE WHEN s.label IS NULL THEN d.text ELSE substr(d.text, s.start + 1, s."end" - s.start) END, '^\s+|\s+$', '', 'g'), ' ') AS u FROM {STRUCTURED.sql} d LEFT JOIN sections s USING (doc)),
+w AS (SELECT *, unnest(generate_series(0, CAST(greatest(ceil((len(u) - 350) / 300.0), 0) AS BIGINT))) AS i FROM bodies)
+SELECT doc, label, CASE WHEN label LIKE 'Item%' THEN trim(replace(label, 'Item', '')) END AS item, CASE WHEN label LIKE 'Part%' THEN trim(replace(label, 'Part', '')) END AS part, section_start, i AS chunk_index, length(array_to_string(u[i * 300 + 1:i * 300 + 350], ' ')) + CASE WHEN i * 300 + 350 < len(u) THEN 1 ELSE 0 END AS n FROM w""")
 def f13_structure_chunks(spark, sf_dir):
     rows = chunk.structure_chunks(STRUCTURED.df(spark), "doc")
     return rows.select("doc", "label", chunk.item_number(F.col("label")).alias("item"), chunk.part_number(F.col("label")).alias("part"), "section_start", "chunk_index", F.length("content").alias("n"))
@@ -182,7 +194,7 @@ def f15_chunk_id(spark, sf_dir):
     return NAMES.df(spark).select("company", chunk.chunk_id(F.col("company"), F.col("year"), F.col("i")).alias("chunk_id"))
 
 
-@query("SELECT * FROM (VALUES ('apple-inc', 'Apple', 'Aple'), ('9f-inc', '9f Inc', '9f Ince'), ('AMD-corp', 'Amd Corp', 'Amd Corpe'), ('group-holdings', 'Group Holdings', 'Group Holdngs')) AS t(company, name, typo)")
+@query(f"SELECT company, name, {typo_sql('name')} AS typo FROM (SELECT company, {display_sql('company')} AS name FROM {NAMES.sql})")
 def f29_display_names(spark, sf_dir):
     name = T.display_name(F.col("company"))
     return NAMES.df(spark).select("company", name.alias("name"), T.misspelt(name).alias("typo"))
@@ -200,7 +212,15 @@ FILED = Fixture(
 )
 
 
-@query("SELECT * FROM (VALUES ('acme-inc', 'ACME', 2020::BIGINT, 'total assets', '$1,234', 2::BIGINT), ('acme-inc', 'ACME', 2020, 'net income', '246', 2), ('acme-inc', 'ACME', 2021, 'total assets', '$1,500', 2), ('acme-inc', 'ACME', 2021, 'total net sales', '999,999.5', 3), ('acme-tools', 'ACMT', 2020, 'research and development expense', '(2,367)', 2), ('acme-tools', 'ACMT', 2020, 'total stockholders'' equity', '$(4,000)', 1), ('acme-tools', 'ACMT', 2021, 'research and development expense', '(2,367)', 2)) AS t(company, ticker, fiscal_year, label, value, n_figures)")
+_NUM_SQL = r"\$?\s*\(?\s*\d[\d,]*(?:\.\d+)?\s*\)?"
+_COL_SQL = rf"(?:{_NUM_SQL}|(?:[—–-]+|n/?a))"
+_LINE_SQL = rf"^([A-Za-z][A-Za-z''’()&/,.\s-]{{2,60}}?)\s*[:.]?\s*({_COL_SQL}(?:\s+{_COL_SQL}){{0,7}})\s*$"
+
+
+@query(rf"""WITH l AS (SELECT company, ticker, fiscal_year, trim(unnest(string_split(content, chr(10)))) AS line FROM {FILED.sql}),
+p AS (SELECT company, ticker, fiscal_year, regexp_extract(line, '{_LINE_SQL}', 1) AS raw, regexp_extract_all(regexp_extract(line, '{_LINE_SQL}', 2), '{_COL_SQL}') AS c FROM l WHERE length(line) BETWEEN 10 AND 320 AND NOT regexp_matches(line, '(?i)per share|per diluted|%|percent') AND regexp_matches(line, '{_LINE_SQL}'))
+SELECT company, ticker, fiscal_year, l.label, regexp_replace(trim(c[1]), '\s+', '', 'g') AS value, len(c) AS n_figures FROM p JOIN {LABELS_SQL} l ON l.name = {label_key_sql('p.raw')}
+WHERE len(c) BETWEEN 1 AND 6 AND NOT regexp_matches(trim(c[1]), '^(?:[—–-]+|n/?a)$') AND length(regexp_replace(c[1], '[^0-9]', '', 'g')) >= 3""")
 def f32_fact_lines(spark, sf_dir):
     return facts.fact_lines(FILED.df(spark)).drop("source_line")
 
@@ -226,23 +246,41 @@ def j14_year_pairs(spark, sf_dir):
     return facts.year_pairs(FACTS.df(spark))
 
 
-@query()
+@query(f"""WITH h AS (SELECT *, upper(left(coalesce(nullif(ticker, ''), company), 1)) AS letter, md5(company || label || '|{facts.SEED}') AS h FROM {FACTS.sql}),
+one AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY company ORDER BY h, label, value) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY letter ORDER BY h, company) AS turn FROM one)
+SELECT letter, turn, company, fiscal_year FROM t WHERE letter <> 'A' OR turn <= 2 ORDER BY turn, letter LIMIT 6""")
 def w07_stratified(spark, sf_dir):
     return facts.stratified(FACTS.df(spark), 6, F.concat("company", "label")).select("letter", "turn", "company", "fiscal_year")
 
 
-@query("SELECT * FROM (VALUES ('MSFT', 'Microsoft'), ('TSLA', 'Tesla'), ('GOOGL', 'Alphabet'), ('NVDA', 'NVIDIA')) AS t(ticker, name)")
+_KNOWN_SQL = "(VALUES " + ", ".join(f"({i}, '{t}', '{n}')" for i, (t, n) in enumerate(facts.KNOWN.items())) + ") AS k(place, ticker, name)"
+
+
+@query(f"SELECT ticker, name FROM {_KNOWN_SQL} WHERE ticker NOT IN (SELECT upper(ticker) FROM {FACTS.sql}) ORDER BY place LIMIT 4")
 def j12_absent(spark, sf_dir):
     return facts.absent(spark, FACTS.df(spark))
 
 
-@query()
+_MINED_SQL = f"(SELECT *, {display_sql('company')} AS name FROM {FACTS.sql})"
+
+
+@query(f"""WITH q AS (SELECT 0 AS part, 'exact_fact' AS category, 'What was ' || ticker || '''s ' || label || ' in fiscal ' || fiscal_year || '?' AS question, * FROM {_MINED_SQL}
+UNION ALL SELECT 1, 'typo_tolerance', 'What was ' || {typo_sql('name')} || '''s ' || label || ' in fiscal ' || fiscal_year || '?', * FROM {_MINED_SQL}),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY company, question) AS r FROM q)
+SELECT row_number() OVER (ORDER BY part, company, question) AS id, category, question, company, ticker, fiscal_year, upper(left(label, 1)) || lower(substr(label, 2)) || ': ' || value || ' (' || name || ', FY' || fiscal_year || ')' AS ground_truth_answer, 'mined' AS source FROM r WHERE r <= CASE part WHEN 0 THEN 3 ELSE 2 END""")
 def f42_questions(spark, sf_dir):
     rows = FACTS.df(spark)
-    parts = [facts.questions(rows, "exact_fact", "What was {ticker}'s {label} in fiscal {year}?"), facts.questions(rows, "typo_tolerance", "What was {typo}'s {label} in fiscal {year}?")]
+    parts = [facts.questions(rows, "exact_fact", facts.ASKED_BY_TICKER), facts.questions(rows, "typo_tolerance", facts.ASKED_WITH_TYPO)]
     return facts.question_set(parts, [3, 2])
 
 
+@query()
+def f42_evaluation_set(spark, sf_dir):
+    rows = FACTS.df(spark).withColumns({"n_figures": (F.col("fiscal_year") - 2017).cast("int"), "source_line": F.concat("label", F.lit(" "), "value")})
+    return facts.evaluation_set(rows, FACTS.df(spark).select("company", "ticker").distinct())
+
+
 SCORES_A = Fixture("id string,m1 double,m2 double", (("1", 0.2, 0.9), ("2", 0.7, 0.4), ("3", 0.6, None), ("4", 1.0, 0.5), ("9", 0.1, 0.1)))
 SCORES_B = Fixture("id string,m1 double,m2 double", (("1", 0.3, 0.8), ("2", 0.4, 0.6), ("3", 0.6, 0.3), ("4", 0.9, 0.5)))
 
@@ -269,9 +307,12 @@ def p14_complete(spark, sf_dir):
     return evals.complete(SCORES_A.df(spark), ["m1", "m2"])
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0.25::DOUBLE), (2, 1.0), (3, 0.0), (4, 0.833333)) AS t(id, ap)")
+RANKED = Fixture("id int,rank int,v double", tuple((i, r, v) for i, vs in enumerate(([0.0, 0.0, 0.0, 1.0], [1.0, 1.0], [0.0], [1.0, 0.0, 1.0], [0.0, 1.0, 1.0, 0.0, 1.0])) for r, v in enumerate(vs, 1)))
+
+
+@query(f"SELECT id, round(coalesce(sum(hits / rank) FILTER (v = 1), 0) / (sum(v) + 1e-10), 6) AS ap FROM (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY rank) AS hits FROM {RANKED.sql}) GROUP BY id")
 def a27_average_precision(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [0.0, 0.0, 0.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0]), (4, [1.0, 0.0, 1.0])], "id int, v array<double>")
+    rows = RANKED.df(spark).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda x: x["v"]).alias("v"))
     return rows.select("id", F.round(evals.average_precision(F.col("v")), 6).alias("ap"))
 
 
@@ -285,7 +326,7 @@ def u01_merge_outputs(spark, sf_dir):
     return batches.merged(ANSWERS.df(spark), LIVE.df(spark))
 
 
-@query("SELECT '3' AS id")
+@query(f"SELECT id FROM {ANSWERS.sql} UNION SELECT id FROM {LIVE.sql} EXCEPT (SELECT id FROM {ANSWERS.sql} WHERE {_USABLE} UNION SELECT id FROM {LIVE.sql} WHERE {_USABLE})")
 def u02_failed_ids(spark, sf_dir):
     return batches.failed_ids(ANSWERS.df(spark), LIVE.df(spark))
 
@@ -386,7 +427,8 @@ KNOWN_CHATS = Fixture("id string,user_id long,title string,created_at long,updat
 ASKED = Fixture("id string,user_id long,title string,at long", (("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7, "new", 10), ("00000000-0000-0000-0000-000000000001", 8, "new", 11), ("00000000-0000-0000-0000-000000000002", None, "fresh", 12), ("bad", 1, "x", 13)))
 
 
-@query("SELECT * FROM (VALUES ('6f9619ff-8b86-d011-b42d-00c04fc964ff', 7::BIGINT, 'old', 1::BIGINT, 10::BIGINT), ('00000000-0000-0000-0000-000000000001', 5, 'kept', 2, 11), ('00000000-0000-0000-0000-000000000002', NULL, 'fresh', 12, 12)) AS t(id, user_id, title, created_at, updated_at)")
+@query(f"""WITH a AS (SELECT {uuid_sql('id')} AS id, user_id, title, "at" AS t FROM {ASKED.sql}), n AS (SELECT id, arg_min(user_id, t) AS user_id, arg_min(title, t) AS title, min(t) AS first_at, max(t) AS last_at FROM a WHERE id IS NOT NULL GROUP BY id)
+SELECT coalesce(k.id, n.id) AS id, coalesce(k.user_id, n.user_id) AS user_id, coalesce(k.title, n.title) AS title, coalesce(k.created_at, n.first_at) AS created_at, coalesce(n.last_at, k.updated_at) AS updated_at FROM {KNOWN_CHATS.sql} k FULL JOIN n ON k.id = n.id""")
 def c02_ensure_conversation(spark, sf_dir):
     return chatlog.ensured(KNOWN_CHATS.df(spark), ASKED.df(spark))
 
@@ -438,7 +480,21 @@ FILING = Fixture(
 )
 
 
-@query()
+_COVER_SQL = "regexp_matches(coalesce(text, ''), '(?is)UNITED.{0,400}FORM.{0,400}REPORT')"
+_KEPT_CTE = f"""placed AS (SELECT path, page_number, coalesce(text, '') AS text, row_number() OVER (PARTITION BY path ORDER BY page_number) - 1 AS place, {_COVER_SQL} AS cover FROM {FILING.sql}),
+fronts AS (SELECT path, coalesce(min(place) FILTER (cover), 0) AS cutoff, bool_or(cover) AS found FROM placed GROUP BY path),
+kept AS (SELECT p.*, cutoff, found, found AND place = cutoff AS is_cover FROM placed p JOIN fronts USING (path) WHERE place >= cutoff)"""
+_DEHYPHENATED = r"regexp_replace(body, '([a-z])-\n([a-z])', '\1\2', 'g')"
+
+
+@query(rf"""WITH {_KEPT_CTE},
+lines AS (SELECT path, page_number, is_cover, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM kept),
+counts AS (SELECT path, count(*) AS pages FROM kept GROUP BY path),
+shares AS (SELECT path, line FROM (SELECT DISTINCT path, page_number, trim(line) AS line FROM lines) JOIN counts USING (path) WHERE line <> '' GROUP BY path, line, pages HAVING count(*) >= 0.6 * pages),
+bare AS (SELECT l.* FROM lines l WHERE is_cover OR NOT EXISTS (SELECT 1 FROM shares s WHERE s.path = l.path AND s.line = trim(l.line))),
+pages AS (SELECT k.path, k.page_number, k.is_cover, k.cutoff, k.found, coalesce(string_agg(b.line, chr(10) ORDER BY b.n), '') AS body, count(*) FILTER (regexp_matches(trim(b.line), '^.+?\.(?:\s?\.){{3,}}\s*\d+\s*$')) AS leaders FROM kept k LEFT JOIN bare b ON b.path = k.path AND b.page_number = k.page_number GROUP BY k.path, k.page_number, k.is_cover, k.cutoff, k.found),
+typed AS (SELECT *, NOT is_cover AND leaders >= 3 AS toc, len(regexp_extract_all(body, '\b\w{{15,}}\b')) AS glued, len({words_sql(_DEHYPHENATED)}) AS words FROM pages)
+SELECT path, any_value(found) AS cover_found, any_value(cutoff) AS cutoff, count(*) AS n_pages, count(*) FILTER (toc) AS n_toc_pages, CAST(sum(glued) AS BIGINT) AS glued_words, CAST(coalesce(sum(words) FILTER (NOT toc AND NOT is_cover), 0) AS BIGINT) AS word_count, sum(glued) > 20 AS glued_flag, coalesce(sum(words) FILTER (NOT toc AND NOT is_cover), 0) < 500 AS few_words_flag FROM typed GROUP BY path""")
 def f09_clean_documents(spark, sf_dir):
     return cleaning.clean_documents(cleaning.clean_pages(FILING.df(spark), "path"), "path").drop("full_text", "cover_text")
 
@@ -448,7 +504,7 @@ def f01_front_matter(spark, sf_dir):
     return cleaning.front_matter(FILING.df(spark), "path")
 
 
-@query()
+@query(f"SELECT path, registrant AS registrant_name, mismatch AS company_name_mismatch FROM ({registrant_sql(f'(WITH {_KEPT_CTE} SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS cover FROM kept WHERE page_number <= 30 AND place < cutoff + 8 GROUP BY path)')})")
 def f41_mismatch_scan(spark, sf_dir):
     return cleaning.mismatch_scan(FILING.df(spark))
 

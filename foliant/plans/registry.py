@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ class Fixture:
 
     @property
     def sql(self) -> str:
-        columns = [c.split()[0] for c in self.schema.split(",")]
+        columns = [f'"{c.split()[0]}"' for c in self.schema.split(",")]
         types = {"string": "VARCHAR", "int": "BIGINT", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
         def value(v) -> str:
@@ -54,6 +55,8 @@ class Fixture:
                 return "NULL"
             if isinstance(v, bool):
                 return str(v).lower()
+            if isinstance(v, float) and not math.isfinite(v):
+                return f"'{v}'::DOUBLE"
             return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
         body = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in self.rows)

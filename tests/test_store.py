@@ -1,10 +1,15 @@
 """Search, store, resumable batches and streams."""
 
+import collections
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import search
-from foliant.sources import readers, schemas, sinks
+from foliant.operators import facts, search
+from foliant.operators.numbering import numbered
+from foliant.sources import pdf, readers, schemas, sinks
 from foliant.streaming import incremental
 
 
@@ -43,11 +48,96 @@ def test_filter_comes_before_search(spark, parts):
     assert [h.id for h in search.top_k_scan(rows, [1.0, 0.0], 5).collect()] == [h.id for h in search.top_k(rows, [1.0, 0.0], 5).collect()] == [0, 3, 6, 9, 12]
     asked = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(7)], "query_id long, query_vector array<double>")
     assert search.batch_top_k(rows, asked, 2).count() == 14
-    blocks = search.against_all(rows, asked, most=3)
-    assert blocks.count() == 7 * 400
+    blocks = search.batch_scan(rows, asked, 2, block=3)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, search.batch_scan(rows, asked, 2).collect()))
     assert search.clamped(0) == 1 and search.clamped(99) == 20
 
 
+def test_a_batch_of_questions_gets_what_each_gets_alone(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(300, 8)).round(1)
+    m[7] = 0
+    rows = spark.createDataFrame([(i, m[i].tolist() if i != 9 else None, f"text {i}") for i in range(300)], "id long, embedding array<float>, content string").repartition(5)
+    q = [*rng.normal(size=(5, 8)).tolist(), [0.0] * 8]
+    asked = spark.createDataFrame([(f"q{j}", v) for j, v in enumerate(q)] + [("none", None)], "query_id string, query_vector array<double>")
+    got = search.batch_top_k(rows, asked, 4).collect()
+    for j, v in enumerate(q[:5]):
+        alone = [(r.id, round(r.similarity, 9)) for r in search.top_k(rows, v, 4).collect()]
+        assert [(r.id, round(r.similarity, 9)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == f"q{j}"] == alone
+    assert all(r.content == f"text {r.id}" for r in got)
+    scoped = search.batch_top_k(rows.withColumn("g", F.col("id") % 2), asked.withColumn("g", F.lit(1).cast("long")), 3, on=["g"]).where("query_id = 'q0'").collect()
+    assert len(scoped) == 3 and all(r.id % 2 for r in scoped)
+
+
+def test_approximate_search_finds_nine_of_ten(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    m = np.concatenate([c + 0.25 * rng.normal(size=(50, 32)) for c in centres]) * rng.uniform(0.2, 5, size=(2000, 1))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>").repartition(4).cache()
+    hits = 0
+    for i in range(0, 2000, 200):
+        q = m[i].tolist()
+        hits += len({r.id for r in search.top_k_approximate(rows, q, 10).collect()} & {r.id for r in search.top_k_scan(rows, q, 10).collect()})
+    assert hits >= 90, hits
+
+
+def test_numbers_follow_the_order(spark):
+    rng = random.Random(1)
+    keys = [(rng.randint(0, 50), rng.randint(0, 9)) for _ in range(2000)]
+    got = numbered(spark.createDataFrame(keys, "a int, b int").repartition(7), ["a", "b"], 11).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(11, 2011)) and [(r.a, r.b) for r in got] == sorted(keys)
+    assert numbered(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_a_table_comes_back_after_a_run_that_died_between_renames(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(3).write.parquet(f"{path}.old-abc")
+    assert sinks.recovered(spark, path) and spark.read.parquet(path).count() == 3 and not sinks.recovered(spark, path)
+
+
+def test_errors_of_services_are_told_apart():
+    kinds = [(incremental.QuotaSpent("x"), "quota"), (ValueError("HTTP 429"), "quota"), (TimeoutError(), "timeout"), (ValueError("read timeout"), "timeout"), (ValueError("broken"), "error")]
+    assert [incremental.kind_of(e) for e, _ in kinds] == [k for _, k in kinds]
+
+
+def test_other_errors_end_a_run(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in")
+
+    def load(batch, number):
+        raise ValueError("broken")
+
+    with pytest.raises(Exception, match="broken"):
+        incremental.run_batches(spark, f"{tmp_path}/in", "id long", load, f"{tmp_path}/mark")
+
+
+def test_texts_of_pdf_pages():
+    texts = ["Item 1. (Business) \\ now\nsecond line", "", "a  b"]
+    for packed in (True, False):
+        assert pdf.page_texts(pdf.simple_pdf(texts, packed)) == texts
+    page = b"BT /F1 9 Tf [(Re) 20 (venue) -300 (grew)] TJ 0 -12 Td <0041> Tj (\\101\\(x\\)) ' ET"
+    table = b"1 beginbfchar <0041> <00C9> endbfchar 1 beginbfrange <0100> <0102> <0061> endbfrange"
+    raw = b"%%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R]/Resources<</Font<</F1 4 0 R>>>>>> endobj 3 0 obj <</Type/Page/Contents [5 0 R]>> endobj 4 0 obj <</Type/Font/Subtype/Type1>> endobj 5 0 obj <</Length %d>> stream\n%s\nendstream endobj" % (len(page), page)
+    assert pdf.page_texts(raw) == ["Revenue grew\n\x00A\nA(x)"]
+    wide = raw.replace(b"/Subtype/Type1>>", b"/Subtype/Type0/ToUnicode 6 0 R>>").replace(page, page.replace(b"(\\101\\(x\\)) '", b"<00410101> '")) + b" 6 0 obj <</Length 9>> stream\n" + table + b"\nendstream endobj"
+    assert pdf.page_texts(wide)[0].endswith("É\nÉb")
+    for bad in (b"", b"plain", b"%PDF-1.4 /Encrypt 3 0 R"):
+        with pytest.raises(ValueError):
+            pdf.page_texts(bad)
+
+
+def test_the_evaluation_set_has_all_categories(spark):
+    names = ["acme", *(f"{chr(97 + i % 26)}{'orth' if i < 26 else 'elta'}" for i in range(45))]
+    rows = [(f"{n}-tools-inc", n[:3].upper() if i % 4 else None, y, "net income", str(1000 * i + y), 2, f"net income {1000 * i + y} {y}") for i, n in enumerate(names) for y in (2019, 2020)]
+    rows += [("acme-works", "ACW", 2020, "gross profit", "77", 1, "gross profit 77")]
+    facts_ = spark.createDataFrame(rows, "company string, ticker string, fiscal_year int, label string, value string, n_figures int, source_line string")
+    got = facts.evaluation_set(facts_, facts_.select("company", "ticker").distinct()).collect()
+    by = collections.Counter(r.category for r in got)
+    assert list(dict.fromkeys(r.category for r in sorted(got, key=lambda r: r.id))) == list(facts.QUOTAS) and [r.id for r in sorted(got, key=lambda r: r.id)] == list(range(1, len(got) + 1))
+    assert all(by[k] <= n for k, n in facts.QUOTAS.items()) and by["exact_fact"] == 13 and by["off_topic"] == 4 and by["fiscal_year_discrimination"] == 8 and by["disambiguation"] == 2
+    taken = [{r.company for r in got if r.category == k} for k in ("exact_fact", "fuzzy_no_ticker", "typo_tolerance", "language_parity")]
+    assert all(not a & b for i, a in enumerate(taken) for b in taken[:i])
+
+
 def test_filter_reaches_the_scan(spark, tmp_path):
     spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("company"), F.lit(2020).alias("fiscal_year")).write.parquet(f"{tmp_path}/t")
     plan = search.filtered(spark.read.parquet(f"{tmp_path}/t"), company=["1"], fiscal_year=2020)._jdf.queryExecution().executedPlan().toString()
@@ -65,7 +155,8 @@ def test_csv_keeps_ids_as_strings(spark, tmp_path):
 def test_bad_files_are_rows(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.pdf").write_bytes(b"one|two")
-    (tmp_path / "d" / "b.PDF").write_bytes(b"!")
+    (tmp_path / "d" / "b.pdf").write_bytes(b"!")
+    (tmp_path / "d" / "c.PDF").write_bytes(b"not listed")
 
     def extract(raw):
         if raw == b"!":

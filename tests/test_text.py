@@ -49,6 +49,36 @@ def test_boundaries_are_where_re_finds_them(spark):
     assert [(b.start, b.label) for b in got] == want
 
 
+def test_boundaries_of_texts_with_control_characters(spark):
+    text = "a\x01b\nItem 1. x\n\x01\x02 Part II\nPART II\n"
+    got = spark.createDataFrame([(text,), ("",), ("none",)], "t string").select(chunk.boundaries(F.col("t")).alias("b")).collect()
+    assert [[(b.start, b.label) for b in r.b] for r in got] == [[(text.index("Item"), "Item 1"), (text.index("PART"), "Part II")], [], []]
+
+
+def test_chunks_of_a_long_document(spark):
+    words = [f"w{i % 97}" + "x" * (i % 5) for i in range(200_000)]
+    rows = chunk.word_chunks(spark.createDataFrame([(1, " ".join(words))], "d int, text string")).orderBy("chunk_index").collect()
+    assert len(rows) == 1 + -(-(200_000 - 350) // 300)
+    at = 0
+    for i, r in enumerate(rows):
+        assert r.chunk_index == i and r.char_start == at and r.content.split(" ")[:2] == words[i * 300 : i * 300 + 2]
+        at += len(" ".join(words[i * 300 : (i + 1) * 300])) + 1
+
+
+def test_tickers_with_signs(spark):
+    q = spark.createDataFrame([(1, "How did BRK.B do in 2020?"), (2, "brk.b, then"), (3, "BRKXB or BRK"), (4, "the BF-B share"), (5, "AAL in 2022"), (6, "AALX")], "question_id int, question string")
+    e = spark.createDataFrame([("berkshire", "BRK.B"), ("brown-forman", "BF-B"), ("american", "AAL"), ("odd", ".")], "company string, ticker string")
+    assert {r.question_id: r.company for r in resolve.by_ticker(q, e).collect()} == {1: "berkshire", 2: "berkshire", 4: "brown-forman", 5: "american"}
+    pairs = q.crossJoin(e.where("company <> 'odd'")).select("question_id", "company", T.names_ticker(F.col("question"), F.col("ticker")).alias("named")).where("named").collect()
+    assert {(r.question_id, r.company) for r in pairs} == {(1, "berkshire"), (2, "berkshire"), (4, "brown-forman"), (5, "american")}
+
+
+def test_white_space_is_that_of_every_script(spark):
+    codes = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, t string").select("c", F.size(T.tokens(F.col("t"))).alias("n"), T.strip(F.substring("t", 2, 1)).alias("s")).collect()
+    assert {r.c for r in rows if r.n == 2} == {r.c for r in rows if r.s == ""} == {c for c in codes if chr(c).isspace()}
+
+
 def test_refusals_and_flags(spark):
     df = spark.createDataFrame([("The text does not include it",), ("y" * 395 + " not contain",), ("fine",)], "a string")
     assert [r[0] for r in df.select(gate.is_refusal(F.col("a"))).collect()] == [True, False, False]
