@@ -25,9 +25,9 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_BYTES, fits, fresh_path, passing, text_of, written
+from foliant.llm.common import BROADCAST_BYTES, fits, passing, text_of, written
 from foliant.llm.pieces import in_parts
-from foliant.session import released, ship
+from foliant.session import fresh_path, released, ship
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _LOADED: dict[str, sentencepiece.SentencePieceProcessor] = {}

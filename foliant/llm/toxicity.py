@@ -79,7 +79,10 @@ def _of_word(word: str) -> list[str]:
 
 def features_of(words: set[str]) -> set[str]:
     """Words, and their beginnings under a mark."""
-    return {f for w in words for f in _of_word(w)}
+    out = set(words)
+    for k in STARTS:
+        out.update(["^" + w[:k] for w in words if len(w) > k])
+    return out
 
 
 def twin_changes(text: str, each: int = 2) -> list[tuple[set[str], set[str]]]:
