@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontam, host_quality, jaccard, licenses, secrets, sst, token_counts, toxicity, url_filters
-from foliant.llm.common import fresh_path, table
+from foliant.llm.common import table
+from foliant.session import fresh_path
 
 RULES = [
     ("com", "/", "allow"),
@@ -148,5 +149,23 @@ FROM p LEFT JOIN own ON p.host = own.host AND p.path = own.path LEFT JOIN class
 """
 
 
+#: Shingles of all pairs, and classes as what can be reached by links.
+OP9_SQL = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s FROM d WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+tops AS (SELECT a, min(b) AS top FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a)
+SELECT doc_id, coalesce(least(top, doc_id), doc_id) AS class_id, coalesce(n, 0) AS n_links
+FROM d LEFT JOIN tops ON tops.a = doc_id LEFT JOIN counts ON counts.a = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op7_host_quality": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_url_filters": OP1_SQL, "op9_jaccard": OP9_SQL, "op7_host_quality": OP7_SQL, "op10_decontamination": OP10_SQL}
