@@ -66,7 +66,7 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: st
 
 
 def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int, max_broadcast: int, at: list[str]) -> DataFrame:
-    size = window * (items.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    size = 32 * window * (items.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     windows = written(item_windows(items, item, text, window), "windows", at, size)
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # three values at most
     kept = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "hit_items")]

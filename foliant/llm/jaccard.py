@@ -40,7 +40,7 @@ from foliant.llm.shingles import by_group, least_linked, mixed, shingle_hashes,
 from foliant.session import released, ship
 
 SHINGLE, THRESHOLD, SKETCH = 5, 0.8, 64
-#: Texts in a block of a bucket, texts and shingles in a block of a cluster.
+#: Texts in a block of a bucket, texts of a cluster that is one block, and shingles in a block of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 1024, 512, 400_000
 
 
@@ -146,13 +146,14 @@ def _layout(members: DataFrame, threshold: float) -> DataFrame:
     """For each cluster of ``members(cluster, n)`` that is more than one block: the number of blocks of each of its bands.
 
     Bands of size are each 1 / threshold as wide as the one before, so texts of a link are in one band or in two that follow each other.
-    A cluster has some hundred bands at most, as sizes double in four.
+    A cluster has some hundred bands at most, as sizes double in four. A row goes to as many groups as there are blocks that it meets, so
+    blocks grow with their cluster, from a fourth of ``CLUSTER_BLOCK`` to twice that: a small one has groups for many tasks, a large one few copies.
     """
     sizes = members.groupBy("cluster", _band(threshold).alias("band")).agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    parts = F.greatest(F.ceil(F.col("texts") / CLUSTER_BLOCK), F.ceil(F.col("shingles") / CLUSTER_SHINGLES)).cast("long")
-    bands = F.map_from_entries(F.collect_list(F.struct("band", parts.alias("parts"))))
-    whole = sizes.groupBy(F.col("cluster").alias("__cluster")).agg(F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), bands.alias("bands"))
-    return whole.where((F.col("texts") > CLUSTER_BLOCK) | (F.col("shingles") > CLUSTER_SHINGLES)).select("__cluster", "bands")
+    whole = sizes.groupBy(F.col("cluster").alias("__cluster")).agg(F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), F.collect_list(F.struct("band", "texts", "shingles")).alias("bands"))
+    block = F.least(F.lit(2 * CLUSTER_BLOCK), F.greatest(F.lit(max(1, CLUSTER_BLOCK // 4)), F.ceil(F.col("texts") / 24)))
+    parts = F.transform("bands", lambda b: F.struct(b["band"], F.greatest(F.ceil(b["texts"] / block), F.ceil(b["shingles"] / CLUSTER_SHINGLES)).cast("long")))
+    return whole.where((F.col("texts") > CLUSTER_BLOCK) | (F.col("shingles") > CLUSTER_SHINGLES)).select("__cluster", F.map_from_entries(parts).alias("bands"))
 
 
 def _band(threshold: float) -> Column:
@@ -160,7 +161,7 @@ def _band(threshold: float) -> Column:
 
 
 def _cluster_blocks(sets: DataFrame, layout: DataFrame, threshold: float) -> DataFrame:
-    """Texts of clusters in blocks of about ``CLUSTER_BLOCK`` texts and ``CLUSTER_SHINGLES`` shingles; blocks of bands that are not next
+    """Texts of clusters in blocks of their layout, with ``CLUSTER_SHINGLES`` shingles at most or so; blocks of bands that are not next
     to each other don't meet. A cluster without ``layout`` is one block."""
 
     def blocks(band: Column) -> Column:
@@ -234,9 +235,9 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(often)[number[keep]] - 1
     owner, width = owner[keep], int(often.sum())
     out = np.zeros((m, m), np.float32)
-    for a in range(0, width, 8192):
-        inside = (column >= a) & (column < a + 8192) if width > 8192 else slice(None)
-        has = np.zeros((m, min(8192, width - a)), np.float32)
+    for a in range(0, width, 4096):
+        inside = (column >= a) & (column < a + 4096) if width > 4096 else slice(None)
+        has = np.zeros((m, min(4096, width - a)), np.float32)
         has[owner[inside], column[inside] - a] = 1
         out += has @ has.T
     return out
@@ -303,7 +304,7 @@ def classes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     return _classed(docs, key=key, **options).select(key, "class_id", "n_links")
 
 
-def _classed(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 64, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 512, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """``classes`` with the text's ``digest`` and ``top``, the digest of the text that stands for the class under its least key (null for a
     text without words). Tables of up to ``max_broadcast`` bytes are sent to all executors."""
     spark = ship(docs.sparkSession)
@@ -352,8 +353,8 @@ def _clusters(worded: DataFrame, threshold: float, runs: int, depth: int, small:
     with passing(spark) as mine:
         leaves, before = None, worded
         for level in range(1, depth + 1):
-            # Paths are made twice, as that costs less than to write them.
-            paths = _paths(before, t, threshold, runs if level == 1 else 1)
+            # All texts' paths are made twice, as that costs less than to write them.
+            paths = _paths(before, t, threshold, runs) if level == 1 else written(_paths(before, t, threshold, 1), "paths", mine)
             sizes = paths.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
             shared = written(paths.join(sizes.hint("rebalance"), "path"), "buckets", mine, n_texts * runs * 24)  # dealt anew: a hot path is split
             more = shared.where(F.col("size") > small)

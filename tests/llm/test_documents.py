@@ -128,7 +128,10 @@ def test_blocks_of_a_large_cluster_are_cut_by_size(spark, docs_of, monkeypatch):
     texts = [" ".join(base[: int(30 * 1.1**i)]) for i in range(27)] + [" ".join(base[:60]) + f" t{i}" for i in range(9)]
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs_of(texts)).collect()) == brute_classes(texts)
     members = spark.createDataFrame([(1, n) for n in (10, 12, 100, 101, 102, 103, 104, 5000)], "cluster long, n long")
-    assert jaccard._layout(members, 0.8).first().bands == {10: 1, 11: 1, 20: 2, 38: 1}
+    assert jaccard._layout(members, 0.8).first().bands == {10: 1, 11: 1, 20: 5, 38: 1}
+    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 512)
+    many = spark.range(3000).select(F.lit(1).alias("cluster"), F.lit(100).alias("n")).unionByName(spark.range(100_000).select(F.lit(2), F.lit(3)).toDF("cluster", "n")).unionByName(spark.range(500).select(F.lit(3), F.lit(9)).toDF("cluster", "n"))
+    assert {r[0]: r.bands for r in jaccard._layout(many, 0.8).collect()} == {1: {20: 24}, 2: {4: 98}}
 
 
 def test_runs_reach_the_recall():
