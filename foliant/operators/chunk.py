@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import strip
+from foliant.session import spread
 
 WINDOW, OVERLAP = 350, 50
 LEAST_SECTION = 30
@@ -26,7 +27,7 @@ def word_chunks(docs: DataFrame, text: str = "text", window: int = WINDOW, overl
 
     Windows are cut before rows are made, so that no row carries its whole document, and their places are running sums."""
     kept, step = [c for c in docs.columns if c != text], window - overlap
-    units = docs.where(F.length(text) > 0).select(*kept, F.split(F.col(text), " ").alias("__u"))
+    units = spread(docs).where(F.length(text) > 0).select(*kept, F.split(F.col(text), " ").alias("__u"))
     starts, n = window_starts(F.size("__u"), window, overlap), F.size("__u")
 
     def content(s: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import filing, text as T
 from foliant.functions.udfs import clean_unicode
+from foliant.session import spread
 
 BOILERPLATE, REPORTED = 0.6, 0.3
 GLUED_FLAG, FEW_WORDS = 20, 500
@@ -25,7 +26,7 @@ def line_shares(pages: DataFrame, doc: str = "doc_id", text: str = "text", least
     """Lines that stand on at least ``least`` of their document's pages, once a page."""
     lines = F.array_distinct(F.filter(F.transform(T.lines(F.coalesce(text, F.lit(""))), T.strip), lambda x: x != ""))
     totals = pages.groupBy(doc).agg(F.count("*").alias("pages"))
-    counts = pages.select(doc, F.explode(lines).alias("line")).groupBy(doc, "line").agg(F.count("*").alias("n"))
+    counts = spread(pages.select(doc, text)).select(doc, F.explode(lines).alias("line")).groupBy(doc, "line").agg(F.count("*").alias("n"))
     return counts.join(totals, doc).withColumn("ratio", F.col("n") / F.col("pages")).where(F.col("ratio") >= least)
 
 

@@ -9,6 +9,7 @@ from foliant.functions import text as T
 from foliant.functions import vectors as V
 from foliant.operators import batches, chatlog, chunk, cleaning, profile, search
 from foliant.plans.registry import query, table
+from foliant.session import spread
 from foliant.streaming.incremental import event_sessions, event_windows
 
 
@@ -107,7 +108,7 @@ def f10_word_chunks(spark, sf_dir):
 c AS (SELECT doc_id, len(w) AS n, len(list_filter(list_transform(w, lambda x: regexp_replace(x, '[$,%()\-.\s]', '', 'g')), lambda x: length(x) > 0 AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 0.6 * length(x))) AS k FROM t)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE k / n END, 4) AS density, CASE WHEN n = 0 THEN false ELSE k / n >= 0.1 END AS dense FROM c""")
 def f17_numeric_density(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.numeric_density(F.col("text")).alias("d"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.numeric_density(F.col("text")).alias("d"))
     return rows.select("doc_id", T.rounded(F.col("d")).alias("density"), (F.col("d") >= 0.1).alias("dense"))
 
 

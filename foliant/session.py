@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -36,6 +36,20 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of input up to which rows of few files are dealt out, and bytes that are worth a task.
+SMALL_INPUT, TASK_INPUT = 256 << 20, 1 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt evenly over the cores if they come from a few small files. A file of one row group is one task however many cores there
+    are; larger inputs have more of both, and are left as they are."""
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size > SMALL_INPUT:
+        return rows
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_INPUT))
+    return rows if len(rows._jdf.inputFiles()) >= tasks else rows.repartition(tasks)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
