@@ -9,7 +9,7 @@ Measures are a written table of numbers, so texts are read once and never shuffl
 before the shuffle; a host with a third of all documents is one row on its side of the join back, and its
 documents on the other side are split by adaptive execution. The driver sees three sums.
 
-A repeated five-word window is found by sorting a document's window hashes (64 bits) next to their places, which
+A repeated five-word window is found by a document's window hashes (64 bits): where two are equal, they are sorted next to their places, which
 takes n log n for a document of n words. Null and empty texts have no words and fail the base rule. A null host
 is a host of its own. Repeated rows each count and each get a row. An empty table gives an empty result; columns other than id, host
 and text aren't read, whatever their names.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import text_of, written
+from foliant.session import spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -28,11 +29,17 @@ RUN = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
 
-def _repeated(words: Column) -> Column:
-    """Places of windows that stand in the text twice or more, ascending; ``words`` is a column of words."""
+def _hashes(words: Column) -> Column:
+    """A hash for each window of ``words``, a column of words, by place."""
     at = F.sequence(F.lit(0), F.size(words) - RUN)
-    hashed = F.transform(at, lambda i: F.struct(F.xxhash64(*(F.get(words, i + k) for k in range(RUN))).alias("h"), i.alias("at")))
-    return F.when(F.size(words) > RUN, F.sort_array(hashed))
+    hashed = F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(RUN))))
+    return F.when(F.size(words) > RUN, hashed)
+
+
+def _sorted(hashes: Column) -> Column:
+    """Hashes with their places, ascending, if two of them are equal: most texts need no sort."""
+    placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(placed))
 
 
 def measures(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
@@ -40,7 +47,7 @@ def measures(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
     content = text_of(text)
     words = F.array_remove(F.split(content, SPACE), "")
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    one = docs.select(F.col(key), F.col(host).alias("host"), words.alias("words"), lines.alias("lines"), F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    one = spread(docs.select(key, host, text)).select(F.col(key), F.col(host).alias("host"), words.alias("words"), lines.alias("lines"), F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
     two = one.select(
         key,
         "host",
@@ -48,8 +55,8 @@ def measures(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated(F.col("words")).alias("windows"),
-    )
+        _hashes(F.col("words")).alias("hashes"),
+    ).withColumn("windows", _sorted(F.col("hashes"))).drop("hashes")
     # One walk over the sorted windows keeps the places of those whose hash stands next to an equal one.
     first = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("at"))
     twice = F.zip_with(F.concat(F.array(first), "windows"), F.concat("windows", F.array(first)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
