@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import BROADCAST_BYTES, digest_of, fits, passing, text_of, written
 from foliant.llm.components import connected_components
 from foliant.llm.shingles import by_group, least_linked, mixed, shingle_hashes, sketch
-from foliant.session import released, ship
+from foliant.session import released, ship, spread
 
 SHINGLE, THRESHOLD, SKETCH = 5, 0.8, 64
 #: Texts in a block of a bucket, texts of a cluster that is one block, and shingles in a block of a cluster.
@@ -88,7 +88,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, t: int) -> np.ndarray:
 
 def _sketched(docs: DataFrame, key: str, text: str, t: int, k: int) -> DataFrame:
     """A row a row: ``key``, the text's digest, its sketch (empty without words), and the number ``n`` of its distinct shingles."""
-    rows = docs.select(F.col(key).alias("key"), digest_of(F.col(text)).alias("digest"), text_of(text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("key"), digest_of(F.col(text)).alias("digest"), text_of(text).alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +147,11 @@ def _layout(members: DataFrame, threshold: float) -> DataFrame:
 
     Bands of size are each 1 / threshold as wide as the one before, so texts of a link are in one band or in two that follow each other.
     A cluster has some hundred bands at most, as sizes double in four. A row goes to as many groups as there are blocks that it meets, so
-    blocks grow with their cluster, from a fourth of ``CLUSTER_BLOCK`` to twice that: a small one has groups for many tasks, a large one few copies.
+    blocks grow with their cluster, from an eighth of ``CLUSTER_BLOCK`` to twice that: a small one has groups for many tasks, a large one few copies.
     """
     sizes = members.groupBy("cluster", _band(threshold).alias("band")).agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
     whole = sizes.groupBy(F.col("cluster").alias("__cluster")).agg(F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), F.collect_list(F.struct("band", "texts", "shingles")).alias("bands"))
-    block = F.least(F.lit(2 * CLUSTER_BLOCK), F.greatest(F.lit(max(1, CLUSTER_BLOCK // 4)), F.ceil(F.col("texts") / 24)))
+    block = F.least(F.lit(2 * CLUSTER_BLOCK), F.greatest(F.lit(max(1, CLUSTER_BLOCK // 8)), F.ceil(F.col("texts") / 32)))
     parts = F.transform("bands", lambda b: F.struct(b["band"], F.greatest(F.ceil(b["texts"] / block), F.ceil(b["shingles"] / CLUSTER_SHINGLES)).cast("long")))
     return whole.where((F.col("texts") > CLUSTER_BLOCK) | (F.col("shingles") > CLUSTER_SHINGLES)).select("__cluster", F.map_from_entries(parts).alias("bands"))
 
