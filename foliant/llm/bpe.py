@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from foliant.llm.pieces import PieceCache, flattened, in_parts, no_collector, unassigned
-from foliant.session import released, ship
+from foliant.session import released, ship, spread
 
 #: Parts above which a word is merged with a heap instead of scans.
 LONG = 256
@@ -203,9 +203,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: bool =
     """
     ship(docs.sparkSession)
     results = ["bpe_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in results]
-    rows = docs.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
-    own = [f for f in rows.schema.fields if f.name != "__text"]
+    own = [f for f in docs.schema.fields if f.name != text and f.name not in results]
+    # Columns go by place, so that no name clashes.
+    kept = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(own)]
+    rows = spread(docs.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")))
     schema = StructType(list(own))
     if ids:
         schema = schema.add("bpe_ids", ArrayType(IntegerType()))

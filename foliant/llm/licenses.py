@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import text_of, written
+from foliant.session import spread
 
 UNKNOWN = "unknown"
 #: Paragraphs of licences and notices as licensors ask to place them, by family.
@@ -284,7 +285,7 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
     """A written row a row: ``row``, its other columns as ``doc``, ``n_paragraphs``, and ``units``: paragraphs and lines with an anchor."""
     kept = [F.col(f"`{x}`") for x in docs.columns if x != text]
     paragraphs = F.filter(F.split(text_of(f"`{text}`"), PARAGRAPH_END), lambda x: x.rlike(r"\S"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*kept, F.lit(None).cast("int").alias("__none")).alias("doc"), paragraphs.alias("paragraphs"))
+    rows = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.struct(*kept, F.lit(None).cast("int").alias("__none")).alias("doc"), paragraphs.alias("paragraphs"))
     named = F.filter(F.transform("paragraphs", lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda s: _has_anchor(s["text"]))
 
     def lines(s: Column) -> Column:

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import released, ship
+from foliant.session import released, ship, spread
 
 MOST_BYTES = 64 << 20
 KINDS = ("assign", "access", "hex")
@@ -449,7 +449,7 @@ RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` with the number of base matches of each kind, a digest of the base spans, all spans, and layers."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = spread(docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text")))
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,4 +495,4 @@ def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
             new = pa.array([masked(v.as_py(), mark) for v in batch.column(place)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], new, *batch.columns[place + 1 :]], names=batch.schema.names)
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return spread(docs).mapInArrow(released(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import BROADCAST_BYTES, fits, passing, text_of, written
 from foliant.llm.pieces import in_parts
-from foliant.session import fresh_path, released, ship
+from foliant.session import fresh_path, released, ship, spread
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
 _LOADED: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -76,7 +76,7 @@ def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", t
         same = rows.groupBy("digest", key).agg(F.count("*").alias("n"))
         least = same.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "n")).alias("least"))
         missing = written(least.join(stored, "digest", "left_anti").select("digest", F.col("least.key").alias("__key"), (F.col("least.n") > 1).alias("__more")), "missing", at)
-        texts = docs.select(F.col(key).alias("__key"), content.alias("__text"), digest.alias("digest"))
+        texts = spread(docs.select(F.col(key).alias("__key"), content.alias("__text"), digest.alias("digest")))
         # Where they aren't sent, the missing digests are the built side, so texts aren't sorted.
         sent = F.broadcast(missing) if fits(missing, max_broadcast) else missing.hint("shuffle_hash")
         wanted = texts.join(sent, texts["__key"].eqNullSafe(missing["__key"]) & (texts["digest"] == missing["digest"])).select(texts["digest"], "__text", "__more")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import text_of, written
-from foliant.session import released, ship
+from foliant.session import released, ship, spread
 
 #: Terms by kind; a term is swapped for others of its line.
 IDENTITY = (
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
     base = ones / total
     own = F.array_distinct(F.split(F.lower("text"), _WORDS_SQL))
     starts = [F.transform(F.filter(own, _longer(k)), _start(k)) for k in STARTS]
-    words = train.select("y", F.explode(F.array_distinct(F.concat(own, *starts))).alias("w")).where("w != ''")
+    words = spread(train).select("y", F.explode(F.array_distinct(F.concat(own, *starts))).alias("w")).where("w != ''")
     counts = words.groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("k")).where(F.col("n") >= least_docs)
     z = (F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     picked = counts.withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "w").limit(max_features)
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
             yield pa.RecordBatch.from_pylist(out, schema)
 
     kinds = "y int, d string, x array<int>, gone array<array<int>>, new array<array<int>>"
-    rows = sorted(train.mapInArrow(released(run), kinds).collect(), key=lambda r: r["d"])
+    rows = sorted(spread(train).mapInArrow(released(run), kinds).collect(), key=lambda r: r["d"])
     changes = [(i, gone, new) for i, r in enumerate(rows) for gone, new in zip(r["gone"], r["new"], strict=True)]
     w, b = _fit([r["x"] for r in rows], np.array([r["y"] for r in rows], float), changes, len(features), flat, penalty, l2)
     return Model(dict(zip(features, w.tolist(), strict=True)), b)
@@ -225,7 +225,7 @@ def _fit(xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int],
 def score_documents(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with ``score``, from whole texts alone; a column of that name is replaced."""
     ship(docs.sparkSession)
-    rows = docs.drop(score)
+    rows = spread(docs.drop(score))
     place = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

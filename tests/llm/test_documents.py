@@ -131,7 +131,17 @@ def test_blocks_of_a_large_cluster_are_cut_by_size(spark, docs_of, monkeypatch):
     assert jaccard._layout(members, 0.8).first().bands == {10: 1, 11: 1, 20: 5, 38: 1}
     monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 512)
     many = spark.range(3000).select(F.lit(1).alias("cluster"), F.lit(100).alias("n")).unionByName(spark.range(100_000).select(F.lit(2), F.lit(3)).toDF("cluster", "n")).unionByName(spark.range(500).select(F.lit(3), F.lit(9)).toDF("cluster", "n"))
-    assert {r[0]: r.bands for r in jaccard._layout(many, 0.8).collect()} == {1: {20: 24}, 2: {4: 98}}
+    assert {r[0]: r.bands for r in jaccard._layout(many, 0.8).collect()} == {1: {20: 32}, 2: {4: 98}}
+
+
+def test_links_of_a_group_in_many_blocks_are_those_of_one(spark, docs_of, monkeypatch):
+    rng = random.Random(6)
+    base = prose(rng, 60, 10**6).split()
+    texts = [" ".join(w if rng.random() > 0.02 else f"e{rng.randint(0, 99)}" for w in base) for _ in range(150)]
+    want = brute_classes(texts)
+    for block in (512, 40):
+        monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", block)
+        assert sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(docs_of(texts)).collect()) == want
 
 
 def test_runs_reach_the_recall():

@@ -1,13 +1,16 @@
 """The pipeline's stages against what each is for, and the registered queries with SQL against DuckDB."""
 
+import random
 from pathlib import Path
 
 import duckdb
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from foliant.llm import decontam, jaccard, queries, secrets
+from foliant.llm import bpe, decontam, host_quality, jaccard, licenses, queries, secrets, sst, token_counts, toxicity
 from foliant.llm.common import table
 
 DATA = "/root/testdata/sf0.001"
@@ -101,3 +104,30 @@ def test_contract_columns(spark):
         df = found[op](spark, DATA)
         assert columns.items() <= dict(df.dtypes).items(), op
         assert df.count() == (table(spark, DATA, "pages").count() if op == "op1" else n_docs), op
+
+
+def test_very_long_texts_and_clashing_columns(spark, tmp_path):
+    """A text of two hundred thousand words goes through each operator whole, beside short ones, with columns named like results and internals."""
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(200_000)) + " password=hunter2hunter2 Released under the MIT License."
+    texts = [long, "short text", None, long + " end"]
+    names = ["digest", "n_tokens", "key", "row", "words", "start", "score", "units", "sketch", "hits", "__text", "__key", "tie", "host"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").select("*", *(F.lit("clash").alias(n) for n in names))
+    by = lambda df, c: [r[c] for r in df.orderBy("doc_id").collect()]
+    assert by(bpe.encode_documents(docs, P.path("word_bpe_49k.json"), ids=False), "n_tokens")[1] == 2
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert by(bpe.encode_documents(docs, P.path("word_bpe_49k.json"), ids=False), "n_tokens")[0] == len(library.encode(long, add_special_tokens=False).ids)
+    counts = by(token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"), "n_tokens")
+    assert counts[2] == 0 and counts[3] > counts[0] > 200_000
+    assert by(secrets.find_secrets(docs), "n_assign") == [1, 0, 0, 1]
+    assert by(licenses.document_licences(docs), "licences") == ["mit", "", "", "mit"]
+    assert by(jaccard.classes(docs), "class_id") == [0, 1, 2, 0]
+    assert by(host_quality.measures(docs), "n_words") == [200_006, 2, 0, 200_007]
+    found = decontam.find_windows(docs, spark.createDataFrame([("i", " ".join(long.split()[1000:1020]))], "item_id string, text string"))
+    assert by(found, "n_hit") == [20, 0, 0, 20]
+    folder = f"file://{tmp_path}/shards"
+    sst.write_shards(docs, folder, P.path("byte_bpe_50k.json"), end_id=2)
+    sizes = by(sst.read_documents(spark, folder), "n_tokens")
+    assert sizes[2] == 1 and sizes[3] > sizes[0] > 200_000
+    scored = toxicity.score_documents(docs, toxicity.Model({"w1": 2.0}, -1.0))
+    assert [round(x, 3) for x in by(scored, "score")] == [0.731, 0.269, 0.269, 0.731]
