@@ -62,7 +62,11 @@ def fiscal_year(cover: Column, path: Column) -> Column:
 def accounting_standard(form: Column, cover: Column) -> Column:
     """US GAAP for a 10-K; for a 20-F the one box that is marked, else null."""
     block = F.regexp_extract(cover, r"(?is)basis of accounting.{0,600}", 0)
-    options = {"US GAAP": rf"{MARKED}\s*U\.?S\.?\s*GAAP", "IFRS": rf"{MARKED}\s*International\s+Financial\s+Reporting\s+Standards", "Other": rf"{MARKED}\s*Other"}
+    options = {
+        "US GAAP": rf"{MARKED}\s*U\.?S\.?\s*GAAP",
+        "IFRS": rf"{MARKED}\s*International\s+Financial\s+Reporting\s+Standards",
+        "Other": rf"{MARKED}\s*Other"
+    }
     marked = F.filter(F.array(*(F.when(block.rlike(p), F.lit(k)) for k, p in options.items())), lambda x: x.isNotNull())
     return F.when(form == "10-K", "US GAAP").when((form == "20-F") & (F.size(marked) == 1), F.get(marked, 0))
 
@@ -94,4 +98,6 @@ def name_mismatch(folder: Column, cover: Column) -> Column:
     a, b = collapsed(folder), collapsed(name)
     inside = (a != "") & (b != "") & (b.contains(a) | a.contains(b))
     renamed = F.exists(F.regexp_extract_all(cover, F.lit(RENAMED), F.lit(1)), lambda old: F.arrays_overlap(significant_tokens(old), ours))
-    return F.when(name.isNull() | (F.size(ours) <= 0) | (F.size(theirs) <= 0), None).otherwise(~(F.arrays_overlap(ours, theirs) | inside | renamed))
+    return F.when(
+        name.isNull() | (F.size(ours) <= 0) | (F.size(theirs) <= 0), None
+    ).otherwise(~(F.arrays_overlap(ours, theirs) | inside | renamed))

@@ -25,7 +25,10 @@ NOT_IN_FILINGS = "The retrieved filing excerpts do not contain this information.
 #: Our own wording of what is added to answers and prompts.
 LOW_NOTICE = "Note: the best excerpt for this question was a weak match, so its evidence may be only loosely related."
 UNVERIFIED_NOTICE = "Note: the company named by at least one source of this answer is still being verified; treat it as provisional."
-NOTES = {"unverified_source": "An excerpt's company is still being verified; don't present it as confirmed.", "low_confidence": "The excerpts match weakly; answer only what they support and say so first."}
+NOTES = {
+    "unverified_source": "An excerpt's company is still being verified; don't present it as confirmed.",
+    "low_confidence": "The excerpts match weakly; answer only what they support and say so first."
+}
 NOT_FOUND_ANSWER = "No filing of that company or period is available."
 NO_VERDICT_ANSWER = "No recommendation or opinion can be given; the figures of the filings can be shown instead."
 WEAK_ANSWER = "The excerpts that were found are too weak for a precise answer."
@@ -43,7 +46,12 @@ def is_subjective(question: Column) -> Column:
 
 def _best(sources: Column) -> Column:
     """The source of highest score, the first of equals; a null score counts as 0."""
-    scored = F.transform(sources, lambda s, i: F.struct(F.coalesce(s["relevance_score"], F.lit(0.0)).alias("score"), (-i).alias("first"), s["company"].alias("company")))
+    scored = F.transform(
+        sources,
+        lambda s, i: F.struct(
+            F.coalesce(s["relevance_score"], F.lit(0.0)).alias("score"), (-i).alias("first"), s["company"].alias("company")
+        )
+    )
     return F.array_max(scored)
 
 
@@ -84,7 +92,18 @@ def context(sources: Column) -> Column:
         def field(name: str) -> Column:
             return F.coalesce(s[name].cast("string"), F.lit("?"))
 
-        head = F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), field("company"), F.lit(" ("), field("ticker"), F.lit(") FY"), field("fiscal_year"), F.lit(" - "), field("canonical_section"))
+        head = F.concat(
+            F.lit("["),
+            (i + 1).cast("string"),
+            F.lit("] "),
+            field("company"),
+            F.lit(" ("),
+            field("ticker"),
+            F.lit(") FY"),
+            field("fiscal_year"),
+            F.lit(" - "),
+            field("canonical_section")
+        )
         body = F.coalesce(F.nullif(s["content"], F.lit("")), s["text_snippet"], F.lit(""))
         return F.concat(head, F.lit("\n"), body)
 
@@ -106,8 +125,15 @@ def with_notice(answer: Column, notice: str) -> Column:
 
 def answered(flag: Column, generated: Column) -> Column:
     """E09 after the model: (answer, flag), with canned answers, refusals and notices. ``generated`` may be null: no provider."""
-    text = F.when(flag == "entity_not_found", NOT_FOUND_ANSWER).when(flag == "subjective_no_verdict", NO_VERDICT_ANSWER).otherwise(F.coalesce(generated, F.when(flag == "low_confidence", WEAK_ANSWER).otherwise(NO_PROVIDER_ANSWER)))
+    text = F.when(flag == "entity_not_found", NOT_FOUND_ANSWER).when(flag == "subjective_no_verdict", NO_VERDICT_ANSWER).otherwise(
+        F.coalesce(generated, F.when(flag == "low_confidence", WEAK_ANSWER).otherwise(NO_PROVIDER_ANSWER))
+    )
     live = ~flag.isin("entity_not_found", "subjective_no_verdict")
-    noted = F.when(flag == "unverified_source", with_notice(text, UNVERIFIED_NOTICE)).when(flag == "low_confidence", with_notice(text, LOW_NOTICE)).otherwise(text)
+    noted = F.when(
+        flag == "unverified_source", with_notice(text, UNVERIFIED_NOTICE)
+    ).when(flag == "low_confidence", with_notice(text, LOW_NOTICE)).otherwise(text)
     refused = live & is_refusal(text)
-    return F.struct(F.when(refused, without_sentinel(text)).otherwise(noted).alias("answer"), F.when(refused, "no_answer_in_context").otherwise(flag).alias("flag"))
+    return F.struct(
+        F.when(refused, without_sentinel(text)).otherwise(noted).alias("answer"),
+        F.when(refused, "no_answer_in_context").otherwise(flag).alias("flag")
+    )

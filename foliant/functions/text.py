@@ -121,7 +121,9 @@ def misspelt(name: Column) -> Column:
     word = F.get(F.filter(words, lambda w: F.length(w) == longest), 0)
     half = F.floor(longest / 2).cast("int")
     cut = F.position(word, name) + half
-    return F.when(longest > 4, F.concat(F.substring(name, F.lit(1), cut - 1), F.substring(name, cut + 1, F.length(name)))).otherwise(F.concat(name, F.lit("e")))
+    return F.when(
+        longest > 4, F.concat(F.substring(name, F.lit(1), cut - 1), F.substring(name, cut + 1, F.length(name)))
+    ).otherwise(F.concat(name, F.lit("e")))
 
 
 def normal_label(raw: Column) -> Column:
@@ -206,7 +208,11 @@ def source_record(source: Column, index: Column) -> Column:
 
 def page_range(start: Column, end: Column) -> Column:
     """X03."""
-    return F.when(start.isNull() & end.isNull(), None).when(end.isNull() | (start == end), start.cast("string")).when(start.isNull(), end.cast("string")).otherwise(F.concat_ws("–", start.cast("string"), end.cast("string")))
+    return F.when(start.isNull() & end.isNull(), None).when(
+        end.isNull() | (start == end), start.cast("string")
+    ).when(start.isNull(), end.cast("string")).otherwise(
+        F.concat_ws("–", start.cast("string"), end.cast("string"))
+    )
 
 
 def dotted(*parts: Column) -> Column:

@@ -37,7 +37,9 @@ def segmented(word: str, cost: Mapping[str, float], unknown: float, longest: int
     best, back = [0.0], [0]
     low = word.lower()
     for i in range(1, len(word) + 1):
-        price, size = min((best[i - k] + cost.get(low[i - k : i], unknown * k if k == 1 else math.inf), k) for k in range(1, min(i, longest) + 1))
+        price, size = min(
+            (best[i - k] + cost.get(low[i - k : i], unknown * k if k == 1 else math.inf), k) for k in range(1, min(i, longest) + 1)
+        )
         best.append(price)
         back.append(size)
     out, i = [], len(word)
@@ -66,4 +68,7 @@ def deglue(words_by_rank: list[str]):
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """twice the matching characters over all characters."""
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(
+        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)],
+        dtype="float64"
+    )

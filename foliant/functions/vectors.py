@@ -43,7 +43,9 @@ def similarity_to(a: Column, v: Sequence[float]) -> Column:
 
 def checked(a: Column, dimension: int = DIMENSION) -> Column:
     """The vector; another dimension is an error."""
-    return F.when(a.isNull() | (F.size(a) == dimension), a).otherwise(F.raise_error(F.format_string("vector of %d numbers, not %d", F.size(a), F.lit(dimension))))
+    return F.when(a.isNull() | (F.size(a) == dimension), a).otherwise(
+        F.raise_error(F.format_string("vector of %d numbers, not %d", F.size(a), F.lit(dimension)))
+    )
 
 
 def to_text(a: Column) -> Column:

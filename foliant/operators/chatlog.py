@@ -16,7 +16,12 @@ def ensured(conversations: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked(id, user_id, title, at)`` merged in: new ids are added, known ones keep title and user and are touched. Ids that are no
     UUID are left out."""
     valid = asked.withColumn("id", canonical_uuid(F.col("id"))).where("id IS NOT NULL")
-    new = valid.groupBy("id").agg(F.min_by("user_id", F.struct(F.col("user_id").isNull(), F.col("at"))).alias("user_id"), F.min_by("title", "at").alias("title"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    new = valid.groupBy("id").agg(
+        F.min_by("user_id", F.struct(F.col("user_id").isNull(), F.col("at"))).alias("user_id"),
+        F.min_by("title", "at").alias("title"),
+        F.min("at").alias("created_at"),
+        F.max("at").alias("updated_at")
+    )
     return upserted(conversations, new, ["id"], ["user_id", "title", "created_at"])
 
 
@@ -25,7 +30,9 @@ def history(messages: DataFrame, conversation: str | None = None) -> DataFrame:
     if conversation is not None:
         return messages.where(F.col("conversation_id") == conversation).orderBy("id").select("role", "content")
     ordered = F.array_sort(F.collect_list(F.struct("id", "role", "content")))
-    return messages.groupBy("conversation_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("history"))
+    return messages.groupBy("conversation_id").agg(
+        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("history")
+    )
 
 
 def last_turns(history: Column, n: int = 6) -> Column:
@@ -37,10 +44,29 @@ def turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
     """Two rows a turn of ``turns(conversation_id, at, question, answer, confidence_flag)``, numbered after the last message. Turns
     of an id that is no UUID are left out."""
     ok = turns.withColumn("conversation_id", canonical_uuid(F.col("conversation_id"))).where("conversation_id IS NOT NULL")
-    two = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("flag")), F.struct(F.lit(1).alias("k"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("confidence_flag").alias("flag"))))
-    rows = ok.select("conversation_id", "at", two.alias("m")).select("conversation_id", "at", "m.k", "m.role", "m.content", F.col("m.flag").alias("confidence_flag"))
+    two = F.explode(
+        F.array(
+            F.struct(
+                F.lit(0).alias("k"),
+                F.lit("user").alias("role"),
+                F.col("question").alias("content"),
+                F.lit(None).cast("string").alias("flag")
+            ),
+            F.struct(
+                F.lit(1).alias("k"),
+                F.lit("assistant").alias("role"),
+                F.col("answer").alias("content"),
+                F.col("confidence_flag").alias("flag")
+            )
+        )
+    )
+    rows = ok.select("conversation_id", "at", two.alias("m")).select(
+        "conversation_id", "at", "m.k", "m.role", "m.content", F.col("m.flag").alias("confidence_flag")
+    )
     last = messages.agg(F.coalesce(F.max("id"), F.lit(0).cast("long"))).first()[0]
-    new = numbered(rows, ["at", "conversation_id", "k"], last + 1).select("id", "conversation_id", "role", "content", "confidence_flag", F.col("at").alias("created_at"))
+    new = numbered(rows, ["at", "conversation_id", "k"], last + 1).select(
+        "id", "conversation_id", "role", "content", "confidence_flag", F.col("at").alias("created_at")
+    )
     return messages.unionByName(new, allowMissingColumns=True)
 
 
@@ -51,7 +77,9 @@ def valid_messages(messages: DataFrame) -> DataFrame:
 
 def valid_feedback(feedback: DataFrame) -> DataFrame:
     """A known rating, a message and a conversation."""
-    return feedback.where(F.col("rating").isin(*RATINGS) & F.col("message_id").isNotNull() & canonical_uuid(F.col("conversation_id")).isNotNull())
+    return feedback.where(
+        F.col("rating").isin(*RATINGS) & F.col("message_id").isNotNull() & canonical_uuid(F.col("conversation_id")).isNotNull()
+    )
 
 
 def feedback_of(feedback: DataFrame, conversation: str) -> DataFrame:

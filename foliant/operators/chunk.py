@@ -49,17 +49,30 @@ def boundaries(text: Column) -> Column:
     def found(pattern: str, label: str) -> Column:
         between = F.split(text, pattern)  # what is before, between and behind the headings
         heads, names = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (0, 1))
-        steps = F.zip_with(F.slice(between, F.lit(1), F.size(heads)), heads, lambda a, h: F.struct(F.length(a).alias("before"), F.length(h).alias("own")))
+        steps = F.zip_with(
+            F.slice(between, F.lit(1), F.size(heads)),
+            heads,
+            lambda a, h: F.struct(F.length(a).alias("before"), F.length(h).alias("own"))
+        )
         ends = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["before"] + x["own"])))
         starts = F.zip_with(F.slice(ends, F.lit(1), F.size(heads)), steps, lambda e, x: e + x["before"])
-        return F.zip_with(starts, names, lambda at, name: F.struct(at.alias("start"), F.concat(F.lit(label), F.lit(" "), F.upper(name)).alias("label")))
+        return F.zip_with(
+            starts,
+            names,
+            lambda at, name: F.struct(at.alias("start"), F.concat(F.lit(label), F.lit(" "), F.upper(name)).alias("label"))
+        )
 
-    return F.array_sort(F.concat(found(ITEM, "Item"), found(PART, "Part")), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    return F.array_sort(
+        F.concat(found(ITEM, "Item"), found(PART, "Part")),
+        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
+    )
 
 
 def sections(docs: DataFrame, key: str, text: str = "text", least: int = LEAST_SECTION) -> DataFrame:
     """A row a section (``start``, ``end``, ``label``); sections of under ``least`` words are no sections, and the next raw heading ends one."""
-    rows = docs.select(key, F.col(text).alias("__t"), F.posexplode(boundaries(F.col(text))).alias("n", "b")).select(key, "__t", "n", "b.start", "b.label")
+    rows = docs.select(
+        key, F.col(text).alias("__t"), F.posexplode(boundaries(F.col(text))).alias("n", "b")
+    ).select(key, "__t", "n", "b.start", "b.label")
     end = F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("n")), F.length("__t"))
     words = F.size(F.filter(F.split(F.substring("__t", F.col("start") + 1, F.col("end") - F.col("start")), r"(?U)\s+"), lambda w: w != ""))
     return rows.withColumn("end", end).where(words >= least).select(key, "start", "end", "label")
@@ -68,8 +81,15 @@ def sections(docs: DataFrame, key: str, text: str = "text", least: int = LEAST_S
 def structure_chunks(docs: DataFrame, key: str, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """sections cut into word windows; a document without sections is one without label."""
     cut = docs.join(sections(docs, key, text), key, "left")
-    body = F.when(F.col("label").isNull(), F.col(text)).otherwise(F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))
-    return word_chunks(cut.select(key, "label", F.coalesce("start", F.lit(0)).alias("section_start"), strip(body).alias("__body")), "__body", window, overlap)
+    body = F.when(F.col("label").isNull(), F.col(text)).otherwise(
+        F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
+    )
+    return word_chunks(
+        cut.select(key, "label", F.coalesce("start", F.lit(0)).alias("section_start"), strip(body).alias("__body")),
+        "__body",
+        window,
+        overlap
+    )
 
 
 def item_number(label: Column) -> Column:
@@ -103,12 +123,28 @@ def with_pages(chunks: DataFrame, offsets: DataFrame, doc: str, page: str = "pag
         return F.when(at >= last["end"], last["page"]).otherwise(hit)
 
     joined = chunks.join(spans, doc, "left")
-    return joined.withColumn("page_start", page_of(F.col("char_start"))).withColumn("page_end", page_of(F.col("char_end") - 1)).drop("__pages")
+    return joined.withColumn(
+        "page_start", page_of(F.col("char_start"))
+    ).withColumn("page_end", page_of(F.col("char_end") - 1)).drop("__pages")
 
 
 def with_label(chunks: DataFrame, bounds: DataFrame, doc: str) -> DataFrame:
     """The label of the last boundary at or before each chunk's start: an as-of join by one sort of both."""
-    marks = bounds.select(doc, F.col("start").alias("__at"), F.lit(0).alias("__kind"), "label", *(F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema if f.name not in (doc, "label")))
-    rows = chunks.select(doc, F.col("char_start").cast("int").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("string").alias("label"), *(c for c in chunks.columns if c not in (doc, "label")))
+    marks = bounds.select(
+        doc,
+        F.col("start").alias("__at"),
+        F.lit(0).alias("__kind"),
+        "label",
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema if f.name not in (doc, "label"))
+    )
+    rows = chunks.select(
+        doc,
+        F.col("char_start").cast("int").alias("__at"),
+        F.lit(1).alias("__kind"),
+        F.lit(None).cast("string").alias("label"),
+        *(c for c in chunks.columns if c not in (doc, "label"))
+    )
     seen = Window.partitionBy(doc).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.unionByName(marks).withColumn("label", F.last("label", ignorenulls=True).over(seen)).where("__kind = 1").drop("__at", "__kind")
+    return rows.unionByName(marks).withColumn(
+        "label", F.last("label", ignorenulls=True).over(seen)
+    ).where("__kind = 1").drop("__at", "__kind")

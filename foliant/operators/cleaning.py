@@ -19,7 +19,10 @@ def front_matter(pages: DataFrame, doc: str = "doc_id", page: str = "page_number
     """per document the first page (0-based place) that reads as a cover, and whether there is one; else (0, false)."""
     at = F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
     seen = pages.select(doc, at.alias("at"), filing.is_cover(F.col(text)).alias("cover"))
-    return seen.groupBy(doc).agg(F.coalesce(F.min(F.when(F.col("cover"), F.col("at"))), F.lit(0)).alias("cutoff"), F.coalesce(F.bool_or("cover"), F.lit(False)).alias("found"))
+    return seen.groupBy(doc).agg(
+        F.coalesce(F.min(F.when(F.col("cover"), F.col("at"))), F.lit(0)).alias("cutoff"),
+        F.coalesce(F.bool_or("cover"), F.lit(False)).alias("found")
+    )
 
 
 def line_shares(pages: DataFrame, doc: str = "doc_id", text: str = "text", least: float = REPORTED) -> DataFrame:
@@ -41,17 +44,35 @@ def clean_page(text: Column, deglue: Callable[[Column], Column] | None = None) -
     return T.normalize_space(T.collapse_dots(deglue(out) if deglue else out))
 
 
-def clean_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_number", text: str = "text", deglue: Callable[[Column], Column] | None = None) -> DataFrame:
+def clean_pages(
+    pages: DataFrame,
+    doc: str = "doc_id",
+    page: str = "page_number",
+    text: str = "text",
+    deglue: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """F09, page by page: pages from the cutoff on with ``page_type`` (cover, toc, body) and ``clean``. The cover keeps its boilerplate; tables
     of contents are found before Unicode cleaning."""
-    rows = pages.withColumn("__at", F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1).withColumn("__t", F.coalesce(text, F.lit("")))
+    rows = pages.withColumn(
+        "__at", F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1
+    ).withColumn("__t", F.coalesce(text, F.lit("")))
     kept = rows.join(front_matter(pages, doc, page, text), doc).where(F.col("__at") >= F.col("cutoff"))
     repeated = line_shares(kept, doc, "__t", BOILERPLATE).groupBy(doc).agg(F.collect_set("line").alias("__drop"))
     joined = kept.join(repeated, doc, "left")
     cover = F.col("found") & (F.col("__at") == F.col("cutoff"))
     bare = F.when(cover, F.col("__t")).otherwise(without_lines(F.col("__t"), F.coalesce("__drop", F.array().cast("array<string>"))))
-    typed = joined.withColumn("__b", bare).withColumn("page_type", F.when(cover, "cover").when(T.is_toc(F.col("__b")), "toc").otherwise("body"))
-    return typed.select(doc, page, "cutoff", "found", "page_type", T.glued_count(F.col("__b")).alias("glued"), clean_page(F.col("__b"), deglue).alias("clean"))
+    typed = joined.withColumn("__b", bare).withColumn(
+        "page_type", F.when(cover, "cover").when(T.is_toc(F.col("__b")), "toc").otherwise("body")
+    )
+    return typed.select(
+        doc,
+        page,
+        "cutoff",
+        "found",
+        "page_type",
+        T.glued_count(F.col("__b")).alias("glued"),
+        clean_page(F.col("__b"), deglue).alias("clean")
+    )
 
 
 def clean_documents(cleaned: DataFrame, doc: str = "doc_id", page: str = "page_number") -> DataFrame:
@@ -61,16 +82,36 @@ def clean_documents(cleaned: DataFrame, doc: str = "doc_id", page: str = "page_n
         return F.array_join(F.transform(pages, lambda p: p["clean"]), "\n\n")
 
     ordered = F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), "page_type", "clean")))
-    by_doc = cleaned.groupBy(doc).agg(ordered.alias("p"), F.first("found").alias("cover_found"), F.first("cutoff").alias("cutoff"), F.sum("glued").alias("glued_words"), F.count("*").alias("n_pages"), F.count_if(F.col("page_type") == "toc").alias("n_toc_pages"))
+    by_doc = cleaned.groupBy(doc).agg(
+        ordered.alias("p"),
+        F.first("found").alias("cover_found"),
+        F.first("cutoff").alias("cutoff"),
+        F.sum("glued").alias("glued_words"),
+        F.count("*").alias("n_pages"),
+        F.count_if(F.col("page_type") == "toc").alias("n_toc_pages")
+    )
     full = joined(F.filter("p", lambda x: x["page_type"] == "body"))
     words = F.size(T.tokens(F.col("full_text")))
-    return by_doc.select(doc, full.alias("full_text"), joined(F.slice("p", 1, 8)).alias("cover_text"), "cover_found", "cutoff", "n_pages", "n_toc_pages", "glued_words").withColumns({"word_count": words, "glued_flag": F.col("glued_words") > GLUED_FLAG, "few_words_flag": words < FEW_WORDS})
+    return by_doc.select(
+        doc,
+        full.alias("full_text"),
+        joined(F.slice("p", 1, 8)).alias("cover_text"),
+        "cover_found",
+        "cutoff",
+        "n_pages",
+        "n_toc_pages",
+        "glued_words"
+    ).withColumns({"word_count": words, "glued_flag": F.col("glued_words") > GLUED_FLAG, "few_words_flag": words < FEW_WORDS})
 
 
 def mismatch_scan(pages: DataFrame, path: str = "path", page: str = "page_number", text: str = "text", first: int = 30) -> DataFrame:
     """name mismatches from the first pages alone."""
     docs = clean_documents(clean_pages(pages.where(F.col(page) <= first), path, page, text), path, page)
-    return docs.select(path, filing.registrant_name(F.col("cover_text")).alias("registrant_name"), filing.name_mismatch(filing.company(F.col(path)), F.col("cover_text")).alias("company_name_mismatch"))
+    return docs.select(
+        path,
+        filing.registrant_name(F.col("cover_text")).alias("registrant_name"),
+        filing.name_mismatch(filing.company(F.col(path)), F.col("cover_text")).alias("company_name_mismatch")
+    )
 
 
 def document_metadata(docs: DataFrame, path: str = "path", cover: str = "cover_text") -> DataFrame:
@@ -94,4 +135,8 @@ def document_metadata(docs: DataFrame, path: str = "path", cover: str = "cover_t
 def file_profile(pages: DataFrame, doc: str = "path", text: str = "text") -> DataFrame:
     """pages, words, paragraphs and windows of each file; a page without text counts as empty."""
     body = F.coalesce(text, F.lit(""))
-    return pages.groupBy(doc).agg(F.count("*").alias("pages"), F.sum(F.size(T.tokens(body))).alias("words"), F.sum(T.paragraph_count(body)).alias("paragraphs")).withColumn("windows", T.window_count(F.col("words")))
+    return pages.groupBy(doc).agg(
+        F.count("*").alias("pages"),
+        F.sum(F.size(T.tokens(body))).alias("words"),
+        F.sum(T.paragraph_count(body)).alias("paragraphs")
+    ).withColumn("windows", T.window_count(F.col("words")))

@@ -14,7 +14,11 @@ SEPARATOR = "\n---CHUNK---\n"
 
 def eligible(rows: DataFrame, only_ok: bool = False, only_resolved: bool = False) -> DataFrame:
     """P13."""
-    keep = ~F.coalesce(F.col("category"), F.lit("")).isin(*UNSCORED) & (F.coalesce(F.col("ground_truth_answer"), F.lit("")) != "") & (F.coalesce(F.col("confidence_flag"), F.lit("")) != "generation_error")
+    keep = ~F.coalesce(F.col("category"), F.lit("")).isin(*UNSCORED) & (
+        F.coalesce(F.col("ground_truth_answer"), F.lit("")) != ""
+    ) & (
+        F.coalesce(F.col("confidence_flag"), F.lit("")) != "generation_error"
+    )
     if only_ok:
         keep = keep & (F.col("confidence_flag") == "ok")
     if only_resolved:
@@ -43,14 +47,36 @@ def test_retest(a: DataFrame, b: DataFrame, metrics: Sequence[str], key: str = "
     pairs = one.join(two, [key, "metric"]).where("a IS NOT NULL AND b IS NOT NULL")
     d = F.abs(F.col("a") - F.col("b"))
     flips = ((F.col("a") >= midpoint) != (F.col("b") >= midpoint)).cast("double")
-    agg = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(d).alias("mad"), F.max(d).alias("max_diff"), F.covar_pop("a", "b").alias("cov"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.avg(flips).alias("flip_rate"))
+    agg = pairs.groupBy("metric").agg(
+        F.count("*").alias("n"),
+        F.avg("a").alias("mean_a"),
+        F.avg("b").alias("mean_b"),
+        F.avg(d).alias("mad"),
+        F.max(d).alias("max_diff"),
+        F.covar_pop("a", "b").alias("cov"),
+        F.stddev_pop("a").alias("sa"),
+        F.stddev_pop("b").alias("sb"),
+        F.avg(flips).alias("flip_rate")
+    )
     r = F.when((F.col("sa") > 0) & (F.col("sb") > 0), F.col("cov") / (F.col("sa") * F.col("sb")))
-    return agg.select("metric", "n", "mean_a", "mean_b", (F.col("mean_b") - F.col("mean_a")).alias("shift"), "mad", "max_diff", r.alias("r"), "flip_rate")
+    return agg.select(
+        "metric",
+        "n",
+        "mean_a",
+        "mean_b",
+        (F.col("mean_b") - F.col("mean_a")).alias("shift"),
+        "mad",
+        "max_diff",
+        r.alias("r"),
+        "flip_rate"
+    )
 
 
 def row_drift(a: DataFrame, b: DataFrame, metrics: Sequence[str], key: str = "id", limit: int = 8) -> DataFrame:
     """Rows by the sum of their changes; a missing metric changes nothing."""
-    left, right = a.select(key, *(_number(m).alias(f"a_{m}") for m in metrics)), b.select(key, *(_number(m).alias(f"b_{m}") for m in metrics))
+    left, right = a.select(
+        key, *(_number(m).alias(f"a_{m}") for m in metrics)
+    ), b.select(key, *(_number(m).alias(f"b_{m}") for m in metrics))
     drift = sum((F.coalesce(F.abs(F.col(f"a_{m}") - F.col(f"b_{m}")), F.lit(0.0)) for m in metrics), F.lit(0.0))
     return left.join(right, key).select(key, drift.alias("drift")).orderBy(F.col("drift").desc(), key).limit(limit)
 
@@ -63,7 +89,11 @@ def average_precision(verdicts: Column) -> Column:
 
 def joined_contexts(rows: DataFrame, key: str, order: str, content: str) -> DataFrame:
     """Chunks as one string, in order."""
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda s: s[content]), SEPARATOR).alias("contexts"))
+    return rows.groupBy(key).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda s: s[content]), SEPARATOR
+        ).alias("contexts")
+    )
 
 
 def split_contexts(contexts: Column) -> Column:

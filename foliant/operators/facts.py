@@ -21,12 +21,22 @@ KNOWN = {"MSFT": "Microsoft", "TSLA": "Tesla", "GOOGL": "Alphabet", "NVDA": "NVI
 def fact_lines(chunks: DataFrame, content: str = "content") -> DataFrame:
     """F32, P20: a row a statement line with ``label``, ``value`` of the first column, ``n_figures`` and ``source_line``."""
     kept = [c for c in chunks.columns if c != content]
-    lines = chunks.select(*kept, F.explode(F.split(content, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]")).alias("l")).withColumn("source_line", T.strip(F.col("l")))
-    sized = lines.where(F.length("source_line").between(10, 320) & ~F.col("source_line").rlike(NOT_AMOUNTS) & F.col("source_line").rlike(LINE))
-    parsed = sized.withColumn("label", T.label_name(F.regexp_extract("source_line", LINE, 1))).where("label IS NOT NULL").withColumn("c", F.regexp_extract_all(F.regexp_extract("source_line", LINE, 2), F.lit(_COL), F.lit(0)))
+    lines = chunks.select(
+        *kept, F.explode(F.split(content, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]")).alias("l")
+    ).withColumn("source_line", T.strip(F.col("l")))
+    sized = lines.where(
+        F.length("source_line").between(10, 320) & ~F.col("source_line").rlike(NOT_AMOUNTS) & F.col("source_line").rlike(LINE)
+    )
+    parsed = sized.withColumn(
+        "label", T.label_name(F.regexp_extract("source_line", LINE, 1))
+    ).where("label IS NOT NULL").withColumn(
+        "c", F.regexp_extract_all(F.regexp_extract("source_line", LINE, 2), F.lit(_COL), F.lit(0))
+    )
     first = F.trim(F.get("c", F.lit(0)))
     good = F.size("c").between(1, 6) & ~first.rlike(rf"^{_DASH}$") & (F.length(F.regexp_replace(first, r"[^\d]", "")) >= 3)
-    return parsed.where(good).select(*kept, "label", F.regexp_replace(first, r"\s+", "").alias("value"), F.size("c").alias("n_figures"), "source_line")
+    return parsed.where(good).select(
+        *kept, "label", F.regexp_replace(first, r"\s+", "").alias("value"), F.size("c").alias("n_figures"), "source_line"
+    )
 
 
 def year_specific(facts: DataFrame) -> DataFrame:
@@ -39,7 +49,9 @@ def year_specific(facts: DataFrame) -> DataFrame:
 def confusable(companies: DataFrame, company: str = "company") -> DataFrame:
     """Per first name part of four letters or more the first two companies that share it."""
     head = F.lower(F.get(F.split(company, "[-_ ]"), 0))
-    grouped = companies.select(company, head.alias("head")).where(F.length("head") >= 4).groupBy("head").agg(F.slice(F.array_sort(F.collect_set(company)), 1, 2).alias("two"))
+    grouped = companies.select(company, head.alias("head")).where(F.length("head") >= 4).groupBy("head").agg(
+        F.slice(F.array_sort(F.collect_set(company)), 1, 2).alias("two")
+    )
     return grouped.where(F.size("two") == 2).select("head", F.get("two", F.lit(0)).alias("first"), F.get("two", F.lit(1)).alias("second"))
 
 
@@ -47,7 +59,14 @@ def year_pairs(facts: DataFrame) -> DataFrame:
     """Per company its earliest and latest fact, where label agrees and years and values don't. Ties go by label, then value."""
     fact = F.struct("fiscal_year", "label", "value")
     pairs = facts.groupBy("company").agg(F.min(fact).alias("lo"), F.max(F.struct("fiscal_year", "label", "value")).alias("hi"))
-    return pairs.where("lo.label = hi.label AND lo.fiscal_year <> hi.fiscal_year AND lo.value <> hi.value").select("company", F.col("lo.label").alias("label"), F.col("lo.fiscal_year").alias("first_year"), F.col("lo.value").alias("first_value"), F.col("hi.fiscal_year").alias("last_year"), F.col("hi.value").alias("last_value"))
+    return pairs.where("lo.label = hi.label AND lo.fiscal_year <> hi.fiscal_year AND lo.value <> hi.value").select(
+        "company",
+        F.col("lo.label").alias("label"),
+        F.col("lo.fiscal_year").alias("first_year"),
+        F.col("lo.value").alias("first_value"),
+        F.col("hi.fiscal_year").alias("last_year"),
+        F.col("hi.value").alias("last_value")
+    )
 
 
 def stratified(facts: DataFrame, n: int, key: Column, seed: int = SEED, share: float = MAX_A_SHARE) -> DataFrame:
@@ -64,19 +83,45 @@ def stratified(facts: DataFrame, n: int, key: Column, seed: int = SEED, share: f
 def absent(spark: SparkSession, corpus: DataFrame, ticker: str = "ticker", limit: int = 4) -> DataFrame:
     """Known tickers that the corpus lacks."""
     known = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(KNOWN.items())], "place int, ticker string, name string")
-    return known.join(corpus.select(F.upper(ticker).alias("ticker")).distinct(), "ticker", "left_anti").orderBy("place").limit(limit).select("ticker", "name")
+    return known.join(
+        corpus.select(F.upper(ticker).alias("ticker")).distinct(), "ticker", "left_anti"
+    ).orderBy("place").limit(limit).select("ticker", "name")
 
 
 def questions(facts: DataFrame, category: str, template: str, source: str = "mined", truth: Column | None = None) -> DataFrame:
     """a question a fact. ``template`` may name {company}, {typo}, {ticker}, {label} and {year}."""
     name = T.display_name(F.col("company"))
-    parts = {"{company}": name, "{typo}": T.misspelt(name), "{ticker}": F.col("ticker"), "{label}": F.col("label"), "{year}": F.col("fiscal_year").cast("string")}
+    parts = {
+        "{company}": name,
+        "{typo}": T.misspelt(name),
+        "{ticker}": F.col("ticker"),
+        "{label}": F.col("label"),
+        "{year}": F.col("fiscal_year").cast("string")
+    }
     q = F.lit(template)
     for k, v in parts.items():
         if k in template:
             q = F.replace(q, F.lit(k), v)
-    fact = F.concat(F.upper(F.substring("label", 1, 1)), F.lower(F.substring("label", 2, 1000)), F.lit(": "), "value", F.lit(" ("), name, F.lit(", FY"), F.col("fiscal_year").cast("string"), F.lit(")"))
-    return facts.select(F.lit(category).alias("category"), q.alias("question"), "company", "ticker", "fiscal_year", (fact if truth is None else truth).alias("ground_truth_answer"), F.lit(source).alias("source"))
+    fact = F.concat(
+        F.upper(F.substring("label", 1, 1)),
+        F.lower(F.substring("label", 2, 1000)),
+        F.lit(": "),
+        "value",
+        F.lit(" ("),
+        name,
+        F.lit(", FY"),
+        F.col("fiscal_year").cast("string"),
+        F.lit(")")
+    )
+    return facts.select(
+        F.lit(category).alias("category"),
+        q.alias("question"),
+        "company",
+        "ticker",
+        "fiscal_year",
+        (fact if truth is None else truth).alias("ground_truth_answer"),
+        F.lit(source).alias("source")
+    )
 
 
 def question_set(parts: list[DataFrame], quotas: list[int]) -> DataFrame:
@@ -102,7 +147,12 @@ ASKED_OVER_YEARS = "How did {company}'s {label} change across the years shown in
 ASKED_IN_SPANISH = "¿Cuál fue el {label} de {company} en el año fiscal {year}?"
 #: Questions that aren't mined: names that exist nowhere, other topics, verdicts, and garbled wording.
 FICTIONAL = ("Zorvex Dynamics", "Halcyon Retort Industries", "Nimbus Vale Corp")
-OFF_TOPIC = ("What's a good recipe for lasagna?", "Explain how photosynthesis works.", "Write a Python function that reverses a string.", "Who won the 2022 FIFA World Cup?")
+OFF_TOPIC = (
+    "What's a good recipe for lasagna?",
+    "Explain how photosynthesis works.",
+    "Write a Python function that reverses a string.",
+    "Who won the 2022 FIFA World Cup?"
+)
 VERDICTS = (
     "Should I invest in Apple?", "Is Apple a good long-term holding?", "What would you recommend for my portfolio regarding Apple?",
     "¿Cuál es la mejor acción para invertir ahora?", "¿Conviene comprar acciones de Apple ahora?",
@@ -138,17 +188,36 @@ def evaluation_set(facts: DataFrame, corpus: DataFrame, quotas: dict[str, int] =
     mined("exact_fact", single.where(F.coalesce("ticker", F.lit("")) != ""), ASKED_BY_TICKER, "mined:ticker")
     mined("fuzzy_no_ticker", free(single), ASKED, "mined:name")
 
-    years = year_pairs(single).orderBy(F.md5(F.concat("company", F.lit(f"|{SEED}"))), "company").limit(-(-quotas["fiscal_year_discrimination"] // 2))
-    both = F.explode(F.array(F.struct(F.col("first_year").alias("fiscal_year"), F.col("first_value").alias("value")), F.struct(F.col("last_year").alias("fiscal_year"), F.col("last_value").alias("value"))))
+    years = year_pairs(single).orderBy(
+        F.md5(F.concat("company", F.lit(f"|{SEED}"))), "company"
+    ).limit(-(-quotas["fiscal_year_discrimination"] // 2))
+    both = F.explode(
+        F.array(
+            F.struct(F.col("first_year").alias("fiscal_year"), F.col("first_value").alias("value")),
+            F.struct(F.col("last_year").alias("fiscal_year"), F.col("last_value").alias("value"))
+        )
+    )
     ticker = single.groupBy("company").agg(F.min("ticker").alias("ticker"))
     pairs = years.select("company", "label", both.alias("y")).select("company", "label", "y.fiscal_year", "y.value").join(ticker, "company")
-    parts["fiscal_year_discrimination"] = questions(pairs, "fiscal_year_discrimination", ASKED, "mined:year-pair").limit(quotas["fiscal_year_discrimination"])
+    parts["fiscal_year_discrimination"] = questions(
+        pairs, "fiscal_year_discrimination", ASKED, "mined:year-pair"
+    ).limit(quotas["fiscal_year_discrimination"])
 
     alike = confusable(corpus).select(F.explode(F.array("first", "second")).alias("company"))
-    last = single.join(alike, "company", "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("company").orderBy(F.col("fiscal_year").desc(), "label", "value"))).where("__r = 1").drop("__r")
-    parts["disambiguation"] = questions(last.orderBy("company").limit(quotas["disambiguation"]), "disambiguation", ASKED, "mined:confusable")
+    last = single.join(alike, "company", "left_semi").withColumn(
+        "__r", F.row_number().over(Window.partitionBy("company").orderBy(F.col("fiscal_year").desc(), "label", "value"))
+    ).where("__r = 1").drop("__r")
+    parts["disambiguation"] = questions(
+        last.orderBy("company").limit(quotas["disambiguation"]), "disambiguation", ASKED, "mined:confusable"
+    )
     mined("typo_tolerance", free(single), ASKED_WITH_TYPO, "mined:typo")
-    mined("multi_year_comparison", multi, ASKED_OVER_YEARS, "mined:multiyear", truth=F.concat(F.lit("Most recent year first: "), "source_line"))
+    mined(
+        "multi_year_comparison",
+        multi,
+        ASKED_OVER_YEARS,
+        "mined:multiyear",
+        truth=F.concat(F.lit("Most recent year first: "), "source_line")
+    )
     mined("language_parity", free(single), ASKED_IN_SPANISH, "mined:es")
 
     def written(category: str, rows: list[tuple[str, str | None, str | None, int | None]]) -> None:

@@ -23,7 +23,14 @@ def clamped(k: int) -> int:
     return min(max(k, 1), MAX_K)
 
 
-def filtered(chunks: DataFrame, ticker: Sequence[str] | None = None, company: Sequence[str] | None = None, fiscal_year: int | None = None, length_cap: int = LENGTH_CAP, content: str = "content") -> DataFrame:
+def filtered(
+    chunks: DataFrame,
+    ticker: Sequence[str] | None = None,
+    company: Sequence[str] | None = None,
+    fiscal_year: int | None = None,
+    length_cap: int = LENGTH_CAP,
+    content: str = "content"
+) -> DataFrame:
     """An empty or missing list is no filter, year 0 is one; a cap of 0 is none."""
     rows = chunks
     if ticker:
@@ -39,7 +46,9 @@ def filtered(chunks: DataFrame, ticker: Sequence[str] | None = None, company: Se
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", key: str = "id") -> DataFrame:
     """Rows of ``rows`` (already filtered) with ``similarity``, best first, ties by key."""
-    return rows.withColumn("similarity", vectors.similarity_to(F.col(vector), query)).orderBy(F.col("similarity").desc_nulls_last(), key).limit(clamped(k))
+    return rows.withColumn(
+        "similarity", vectors.similarity_to(F.col(vector), query)
+    ).orderBy(F.col("similarity").desc_nulls_last(), key).limit(clamped(k))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -55,7 +64,9 @@ def _cosines(m: np.ndarray, unit: np.ndarray) -> np.ndarray:
     return np.divide(m @ unit.T, size, out=np.full((len(m), len(unit)), np.nan), where=size > 0)
 
 
-def top_k_scan(rows: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", key: str = "id", columns: Sequence[str] = ()) -> DataFrame:
+def top_k_scan(
+    rows: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", key: str = "id", columns: Sequence[str] = ()
+) -> DataFrame:
     """The same over a full scan, by matrix products: each batch keeps its best k, the last step the best of those."""
     n = clamped(k)
     q = np.array([query], float)
@@ -75,7 +86,15 @@ def top_k_scan(rows: DataFrame, query: Sequence[float], k: int = 5, vector: str
     return kept.mapInArrow(run, schema).orderBy(F.col("similarity").desc_nulls_last(), key).limit(n)
 
 
-def batch_scan(rows: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id", query_key: str = "query_id", block: int = 2_000) -> DataFrame:
+def batch_scan(
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    vector: str = "embedding",
+    key: str = "id",
+    query_key: str = "query_id",
+    block: int = 2_000
+) -> DataFrame:
     """V02 for a stated set of questions against all rows: (query_key, key, similarity, rank), ``block`` questions at a time.
 
     A block's vectors are sent to all executors, and each batch of rows keeps its best k for each question of the block, by one matrix product. So
@@ -123,7 +142,16 @@ def _best_of(vectors_: list[list[float]], n: int, names: list[str]) -> Callable[
     return run
 
 
-def top_k_approximate(rows: DataFrame, query: Sequence[float], k: int = 5, vector: str = "embedding", key: str = "id", bucket: float = 1.0, tables: int = 16, candidates: int = 200) -> DataFrame:
+def top_k_approximate(
+    rows: DataFrame,
+    query: Sequence[float],
+    k: int = 5,
+    vector: str = "embedding",
+    key: str = "id",
+    bucket: float = 1.0,
+    tables: int = 16,
+    candidates: int = 200
+) -> DataFrame:
     """V03 by random projections: LSH proposes ``candidates`` of the filtered rows, exact similarity orders them. Vectors are hashed at unit length,
     where the nearest by distance are the nearest by angle."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -140,7 +168,15 @@ def top_k_approximate(rows: DataFrame, query: Sequence[float], k: int = 5, vecto
     return top_k(near.drop("__v", "__h", "distCol"), query, k, vector, key)
 
 
-def batch_top_k(chunks: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id", query_key: str = "query_id", on: Sequence[str] = ()) -> DataFrame:
+def batch_top_k(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    vector: str = "embedding",
+    key: str = "id",
+    query_key: str = "query_id",
+    on: Sequence[str] = ()
+) -> DataFrame:
     """V02 for many questions at once: ``queries(query_key, query_vector, *on)`` meet the chunks that agree on ``on``, or all chunks. The best k of
     each are found by key and score alone; their other columns are joined to them."""
     if on:
@@ -160,23 +196,50 @@ def _by(part: str, key: str):
 
 def neighbours(chunks: DataFrame, anchor, window: int = 1, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Chunks of the anchor's document within ``window`` places, with their similarity to it; none for a missing anchor."""
-    a = chunks.where(F.col(key) == anchor).select(F.col("document_id").alias("__doc"), F.col("chunk_index").alias("__at"), F.col(vector).alias("__v"))
-    near = F.col("document_id").eqNullSafe(F.col("__doc")) & F.col("chunk_index").between(F.col("__at") - window, F.col("__at") + window) & (F.col(key) != anchor)
-    return chunks.join(F.broadcast(a), near).withColumn("similarity", vectors.cosine_similarity(F.col(vector), F.col("__v"))).drop("__doc", "__at", "__v").orderBy("chunk_index", key)
-
-
-SOURCE_FIELDS = ("company", "ticker", "fiscal_year", "form_type", "accounting_standard", "canonical_section", "source_file", "page_start", "page_end")
+    a = chunks.where(F.col(key) == anchor).select(
+        F.col("document_id").alias("__doc"), F.col("chunk_index").alias("__at"), F.col(vector).alias("__v")
+    )
+    near = F.col("document_id").eqNullSafe(F.col("__doc")) & F.col("chunk_index").between(
+        F.col("__at") - window, F.col("__at") + window
+    ) & (F.col(key) != anchor)
+    return chunks.join(F.broadcast(a), near).withColumn(
+        "similarity", vectors.cosine_similarity(F.col(vector), F.col("__v"))
+    ).drop("__doc", "__at", "__v").orderBy("chunk_index", key)
+
+
+SOURCE_FIELDS = (
+    "company",
+    "ticker",
+    "fiscal_year",
+    "form_type",
+    "accounting_standard",
+    "canonical_section",
+    "source_file",
+    "page_start",
+    "page_end"
+)
 
 
 def as_sources(hits: DataFrame, key: str = "id") -> DataFrame:
     """Hits in the form that the gate and the prompt take."""
-    return hits.select(F.col(key).alias("chunk_id"), *SOURCE_FIELDS, F.col("similarity").alias("relevance_score"), "content", snippet(F.col("content")).alias("text_snippet"), "company_name_mismatch")
+    return hits.select(
+        F.col(key).alias("chunk_id"),
+        *SOURCE_FIELDS,
+        F.col("similarity").alias("relevance_score"),
+        "content",
+        snippet(F.col("content")).alias("text_snippet"),
+        "company_name_mismatch"
+    )
 
 
 def retrieve(chunks: DataFrame, query: Sequence[float], model: str, k: int = 5, **filters) -> tuple[DataFrame, dict]:
     """The sources, and what was asked for; ``filters_applied`` is None without filters."""
     hits = top_k(filtered(chunks, **filters), query, k)
-    applied = {n: v for n, v in filters.items() if n in ("ticker", "company", "fiscal_year") and (v is not None if n == "fiscal_year" else v)}
+    applied = {
+        n: v for n, v in filters.items() if n in ("ticker", "company", "fiscal_year") and (
+            v is not None if n == "fiscal_year" else v
+        )
+    }
     return as_sources(hits), {"filters_applied": applied or None, "model": model, "k": clamped(k)}
 
 
@@ -185,7 +248,16 @@ MOCK_FOUND = (
     ("apple-annual-report-2025", "Apple mantiene una posición de liquidez sólida, fuerte flujo de caja operativo y márgenes estables en su negocio principal.", 0.92, "Apple Annual Report 2025", "annual_report", 2025),
     ("apple-investor-relations-summary", "La compañía continúa apoyándose en servicios, hardware premium y recompras de acciones para sostener valor para el accionista.", 0.84, "Apple Investor Relations Summary", "investor_relations", None),
 )
-MOCK_ELSE = (("general-financial-market-overview", "No se encontraron documentos específicos, pero el sistema puede responder con contexto genérico mientras se integra el índice real.", 0.5, "General Financial Market Overview", "fallback", None),)
+MOCK_ELSE = (
+    (
+        "general-financial-market-overview",
+        "No se encontraron documentos específicos, pero el sistema puede responder con contexto genérico mientras se integra el índice real.",
+        0.5,
+        "General Financial Market Overview",
+        "fallback",
+        None
+    ),
+)
 
 
 def mock_retrieve(queries: DataFrame, k: int = 4, query_key: str = "query_id") -> DataFrame:

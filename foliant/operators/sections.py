@@ -48,15 +48,23 @@ KEYWORDS = {
 
 def lookup(spark: SparkSession) -> DataFrame:
     """J04's table: a row a form, item and section, in the order of sections."""
-    rows = [(form, item.upper(), name, i) for i, (name, k, f) in enumerate(SECTIONS) for form, items in (("10-K", k), ("20-F", f)) for item in items.split()]
+    rows = [
+        (
+            form, item.upper(), name, i
+        ) for i, (name, k, f) in enumerate(SECTIONS) for form, items in (("10-K", k), ("20-F", f)) for item in items.split()
+    ]
     return spark.createDataFrame(rows, "form_type string, item string, section string, place int")
 
 
 def candidates(docs: DataFrame, form: str = "form_type", item: str = "item") -> DataFrame:
     """``docs`` with ``sections``, all that its form and item may mean, in order; empty for none."""
-    table = lookup(docs.sparkSession).groupBy(F.col("form_type").alias("__f"), F.col("item").alias("__i")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda s: s["section"]).alias("sections"))
+    table = lookup(docs.sparkSession).groupBy(F.col("form_type").alias("__f"), F.col("item").alias("__i")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "section"))), lambda s: s["section"]).alias("sections")
+    )
     key = (F.col(form) == F.col("__f")) & (F.upper(F.trim(F.col(item))) == F.col("__i"))
-    return docs.join(F.broadcast(table), key, "left").drop("__f", "__i").withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+    return docs.join(F.broadcast(table), key, "left").drop("__f", "__i").withColumn(
+        "sections", F.coalesce("sections", F.array().cast("array<string>"))
+    )
 
 
 def decided(sections: Column, text: Column) -> Column:

@@ -17,7 +17,16 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks; the year is made up from the id, and the mismatch is the label: absent is unchecked."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.join(labels.select("doc_id", (F.col("toxic") == 1).alias("company_name_mismatch")), "doc_id", "left")
-    return rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("company"), F.upper("source").alias("ticker"), F.col("lang").alias("canonical_section"), (F.col("doc_id") % 5 + 2018).cast("int").alias("fiscal_year"), "n_chars", "company_name_mismatch")
+    return rows.select(
+        F.col("doc_id").alias("id"),
+        F.col("text").alias("content"),
+        F.col("source").alias("company"),
+        F.upper("source").alias("ticker"),
+        F.col("lang").alias("canonical_section"),
+        (F.col("doc_id") % 5 + 2018).cast("int").alias("fiscal_year"),
+        "n_chars",
+        "company_name_mismatch"
+    )
 
 
 CHUNKS = "(SELECT d.doc_id AS id, d.text AS content, d.source AS company, upper(d.source) AS ticker, d.lang AS canonical_section, d.doc_id % 5 + 2018 AS fiscal_year, d.n_chars, l.toxic = 1 AS company_name_mismatch FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -55,7 +64,9 @@ def v03_lsh_topk(spark, sf_dir):
 def v02_batch_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
-    return search.batch_top_k(rows, asked, 5, key="vec_id", on=["label"]).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return search.batch_top_k(rows, asked, 5, key="vec_id", on=["label"]).select(
+        "query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank"
+    )
 
 
 @query(f"SELECT count(*) FILTER (label = 3) AS matching_rows, CAST(least(count(*) FILTER (label = 3), 5) AS BIGINT) AS prefilter_rows, (SELECT count(*) FILTER (label = 3) FROM (SELECT label FROM embeddings, {_Q} ORDER BY list_cosine_similarity({VECTOR}, q) DESC, vec_id LIMIT 5)) AS postfilter_rows FROM embeddings")
@@ -67,13 +78,20 @@ def v11_filter_diagnosis(spark, sf_dir):
 def v06_vector_codec(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.checked(F.col("embedding"), 64).alias("embedding"))
     decoded = rows.withColumn("back", V.from_text(V.to_text(F.col("embedding"))))
-    return decoded.select("vec_id", F.size("embedding").alias("dimension"), F.round(V.dot(F.col("back"), F.col("embedding")), 5).alias("squared"), F.size("back").alias("decoded"))
+    return decoded.select(
+        "vec_id",
+        F.size("embedding").alias("dimension"),
+        F.round(V.dot(F.col("back"), F.col("embedding")), 5).alias("squared"),
+        F.size("back").alias("decoded")
+    )
 
 
 @query(r"WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark) SELECT item_id, CAST(len(w) AS DOUBLE) AS n, CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) AS letters, CAST(list_sum(list_transform(string_split(array_to_string(w, ''), ''), lambda c: ord(c) % 1000)) AS DOUBLE) AS codes FROM t")
 def v08_token_statistics(spark, sf_dir):
     v = V.token_statistics(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).select("item_id", F.get("v", F.lit(0)).alias("n"), F.get("v", F.lit(1)).alias("letters"), F.get("v", F.lit(2)).alias("codes"))
+    return table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).select(
+        "item_id", F.get("v", F.lit(0)).alias("n"), F.get("v", F.lit(1)).alias("letters"), F.get("v", F.lit(2)).alias("codes")
+    )
 
 
 @query(r"SELECT item_id, 64 AS dimension, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END :: DOUBLE AS squared FROM benchmark")
@@ -85,7 +103,9 @@ def v07_embed(spark, sf_dir):
 
 @query("SELECT e.vec_id, e.vec_id // 10 AS document_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e, embeddings a WHERE a.vec_id = 14 AND e.vec_id <> 14 AND e.vec_id // 10 = 1 AND e.vec_id % 10 BETWEEN 2 AND 6")
 def j06_neighbors(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").withColumn("document_id", F.floor(F.col("vec_id") / 10)).withColumn("chunk_index", F.col("vec_id") % 10)
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "document_id", F.floor(F.col("vec_id") / 10)
+    ).withColumn("chunk_index", F.col("vec_id") % 10)
     return search.neighbours(rows, 14, 2, key="vec_id").select("vec_id", "document_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -193,7 +213,9 @@ def a10_worst_docs(spark, sf_dir):
 
 @query(f"SELECT company, canonical_section, fiscal_year, count(*) AS n FROM {CHUNKS} GROUP BY 1, 2, 3 HAVING count(*) FILTER (NOT {BAD}) = 0")
 def a11_all_bad_docs(spark, sf_dir):
-    return profile.all_bad_documents(chunks_of(spark, sf_dir), profile.is_bad(F.col("content")), ["company", "canonical_section", "fiscal_year"])
+    return profile.all_bad_documents(
+        chunks_of(spark, sf_dir), profile.is_bad(F.col("content")), ["company", "canonical_section", "fiscal_year"]
+    )
 
 
 @query(f"SELECT upper(substr(coalesce(nullif(canonical_section, ''), '?'), 1, 1)) AS letter, count(*) AS n FROM {CHUNKS} GROUP BY 1")
@@ -215,13 +237,17 @@ def a24_token_risk(spark, sf_dir):
 
 @query(f"SELECT company, fiscal_year, id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY company, fiscal_year ORDER BY n_chars DESC NULLS LAST, id) AS r FROM {CHUNKS}) WHERE r = 1")
 def w01_distinct_on(spark, sf_dir):
-    return profile.densest(chunks_of(spark, sf_dir), ["company", "fiscal_year"], "n_chars", "id").select("company", "fiscal_year", "id", "n_chars")
+    return profile.densest(
+        chunks_of(spark, sf_dir), ["company", "fiscal_year"], "n_chars", "id"
+    ).select("company", "fiscal_year", "id", "n_chars")
 
 
 @query(f"SELECT w.company, w.fiscal_year, coalesce(n_bad, 0) AS n_bad FROM (SELECT DISTINCT company, fiscal_year FROM {CHUNKS}) w LEFT JOIN (SELECT company, fiscal_year, count(*) AS n_bad FROM {CHUNKS} WHERE {BAD} GROUP BY 1, 2) b USING (company, fiscal_year)")
 def j11_bad_by_company(spark, sf_dir):
     rows = chunks_of(spark, sf_dir)
-    return profile.bad_by_key(rows.select("company", "fiscal_year").distinct(), rows, profile.is_bad(F.col("content")), ["company", "fiscal_year"])
+    return profile.bad_by_key(
+        rows.select("company", "fiscal_year").distinct(), rows, profile.is_bad(F.col("content")), ["company", "fiscal_year"]
+    )
 
 
 @query(f"SELECT company, count(*) AS n FROM {CHUNKS} WHERE NOT coalesce({BAD}, false) GROUP BY company")
@@ -249,27 +275,40 @@ def j09_loaded_semi(spark, sf_dir):
 
 @query("SELECT 'a' AS k, lang AS status, count(*) AS n FROM documents GROUP BY lang")
 def a17_status_counts(spark, sf_dir):
-    return batches.status_counts(table(spark, sf_dir, "documents"), "lang").select(F.lit("a").alias("k"), F.col("lang").alias("status"), "n")
+    return batches.status_counts(table(spark, sf_dir, "documents"), "lang").select(
+        F.lit("a").alias("k"), F.col("lang").alias("status"), "n"
+    )
 
 
 @query("SELECT user_id AS id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
 def s11_upsert(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     fresh = events.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
-    old = events.where("user_id % 2 = 0").select(F.col("user_id").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("last_event")).distinct()
+    old = events.where("user_id % 2 = 0").select(
+        F.col("user_id").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("last_event")
+    ).distinct()
     return batches.upserted(old, fresh, ["id"])
 
 
 @query("SELECT conv_id AS conversation_id, string_agg(role || ':' || length(text), ',' ORDER BY turn) AS turns FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' GROUP BY 1")
 def c03_history(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content")
+    )
     found = chatlog.history(chatlog.valid_messages(rows))
-    return found.select("conversation_id", F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]).cast("string"))), ",").alias("turns"))
+    return found.select(
+        "conversation_id",
+        F.array_join(
+            F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]).cast("string"))), ","
+        ).alias("turns")
+    )
 
 
 @query("SELECT conv_id AS conversation_id, turn AS id, md5(text) AS digest FROM conversations WHERE role = 'user'")
 def x04_user_questions(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("turn").alias("id"), F.col("conv_id").alias("conversation_id"), "role", F.col("text").alias("content")
+    )
     return chatlog.user_questions(rows).select("conversation_id", "id", F.md5("content").alias("digest"))
 
 
@@ -288,5 +327,11 @@ def t_event_sessions(spark, sf_dir):
 def x_revenue_by_nation(spark, sf_dir):
     """Extension: a relational smoke test of joins and aggregates."""
     t = lambda n: table(spark, sf_dir, n)
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    joined = t("lineitem").join(
+        t("orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        t("nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    return joined.groupBy("n_name").agg(
+        F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+    )

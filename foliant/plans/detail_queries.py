@@ -24,7 +24,9 @@ def a01_counts(spark, sf_dir):
 
 @query("SELECT event_type AS category, upper(substr(event_type, 1, 1)) AS letter, count(*) AS n FROM events GROUP BY 1, 2")
 def a25_category_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(c("event_type").alias("category"), F.upper(F.substring("event_type", 1, 1)).alias("letter")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy(
+        c("event_type").alias("category"), F.upper(F.substring("event_type", 1, 1)).alias("letter")
+    ).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id = 42")
@@ -46,7 +48,15 @@ def s04_to_download(spark, sf_dir):
     return readers.to_download(REMOTE.df(spark), LOCAL.df(spark))
 
 
-FILES = Fixture("source_file string,chunk_index string,text string,page_start double,page_end double,ticker string,company string,fiscal_year double,mismatch boolean", (("f1", "0", "a", 1.0, 2.0, "T", "c", 2020.0, None), ("f1", "10", "c", float("nan"), None, None, None, None, False), ("f1", "9", "b", 3.0, 3.0, "T", "c", float("nan"), True), ("f2", "x", None, None, None, "", "d", 2021.0, None)))
+FILES = Fixture(
+    "source_file string,chunk_index string,text string,page_start double,page_end double,ticker string,company string,fiscal_year double,mismatch boolean",
+    (
+        ("f1", "0", "a", 1.0, 2.0, "T", "c", 2020.0, None),
+        ("f1", "10", "c", float("nan"), None, None, None, None, False),
+        ("f1", "9", "b", 3.0, 3.0, "T", "c", float("nan"), True),
+        ("f2", "x", None, None, None, "", "d", 2021.0, None)
+    )
+)
 
 
 def _int_sql(c: str) -> str:
@@ -56,9 +66,36 @@ def _int_sql(c: str) -> str:
 @query(f"SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY TRY_CAST(chunk_index AS INTEGER) NULLS LAST, page_start, text) - 1 AS chunk_index, coalesce(text, '') AS content, {_int_sql('page_start')} AS page_start, {_int_sql('page_end')} AS page_end, coalesce(ticker, '') AS ticker, coalesce(company, '') AS company, coalesce({_int_sql('fiscal_year')}, 0) AS fiscal_year, mismatch AS company_name_mismatch FROM {FILES.sql}")
 def s05_chunk_files(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
-    meta = F.struct("company", "ticker", "fiscal_year", none("string").alias("form_type"), none("string").alias("accounting_standard"), none("string").alias("canonical_section"), c("mismatch").alias("company_name_mismatch"), none("double").alias("numeric_density"))
-    rows = FILES.df(spark).select("text", "source_file", "page_start", "page_end", none("array<float>").alias("embedding"), "chunk_index", meta.alias("metadata"))
-    return readers.as_chunks(rows).select("source_file", "chunk_index", "content", "page_start", "page_end", "ticker", "company", "fiscal_year", "company_name_mismatch")
+    meta = F.struct(
+        "company",
+        "ticker",
+        "fiscal_year",
+        none("string").alias("form_type"),
+        none("string").alias("accounting_standard"),
+        none("string").alias("canonical_section"),
+        c("mismatch").alias("company_name_mismatch"),
+        none("double").alias("numeric_density")
+    )
+    rows = FILES.df(spark).select(
+        "text",
+        "source_file",
+        "page_start",
+        "page_end",
+        none("array<float>").alias("embedding"),
+        "chunk_index",
+        meta.alias("metadata")
+    )
+    return readers.as_chunks(rows).select(
+        "source_file",
+        "chunk_index",
+        "content",
+        "page_start",
+        "page_end",
+        "ticker",
+        "company",
+        "fiscal_year",
+        "company_name_mismatch"
+    )
 
 
 @query(f"SELECT id FROM {ANSWERS.sql} WHERE trim(coalesce(confidence_flag, '')) <> ''")
@@ -73,17 +110,36 @@ def p12_usable(spark, sf_dir):
 
 @query("SELECT doc_id AS id, left(text, 300) AS snippet, length(text) / 4.0 AS tokens FROM documents")
 def p17_snippets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(c("doc_id").alias("id"), T.snippet(c("text")).alias("snippet"), T.token_estimate(F.length("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select(
+        c("doc_id").alias("id"), T.snippet(c("text")).alias("snippet"), T.token_estimate(F.length("text")).alias("tokens")
+    )
 
 
 @query("SELECT CAST(e.vec_id AS BIGINT) AS chunk_id, 'co3' AS company, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, 'text ' || e.vec_id AS text_snippet, '{''company'': [''co3''], ''fiscal_year'': 2020}' AS filters FROM embeddings e, embeddings q WHERE q.vec_id = 7 AND e.label = 3 ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 3")
 def v12_retrieve(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     rows = table(spark, sf_dir, "embeddings")
-    chunks = rows.select(c("vec_id").alias("id"), "embedding", F.concat(F.lit("text "), c("vec_id").cast("string")).alias("content"), F.concat(F.lit("co"), c("label").cast("string")).alias("company"), F.lit("").alias("ticker"), F.lit(2020).alias("fiscal_year"), *(none("string").alias(n) for n in ("form_type", "accounting_standard", "canonical_section", "source_file")), none("int").alias("page_start"), none("int").alias("page_end"), F.lit(False).alias("company_name_mismatch"))
+    chunks = rows.select(
+        c("vec_id").alias("id"),
+        "embedding",
+        F.concat(F.lit("text "), c("vec_id").cast("string")).alias("content"),
+        F.concat(F.lit("co"), c("label").cast("string")).alias("company"),
+        F.lit("").alias("ticker"),
+        F.lit(2020).alias("fiscal_year"),
+        *(none("string").alias(n) for n in ("form_type", "accounting_standard", "canonical_section", "source_file")),
+        none("int").alias("page_start"),
+        none("int").alias("page_end"),
+        F.lit(False).alias("company_name_mismatch")
+    )
     q = [float(x) for x in rows.where("vec_id = 7").first()["embedding"]]
     hits, meta = search.retrieve(chunks, q, "m", 3, company=["co3"], fiscal_year=2020)
-    return hits.select("chunk_id", "company", F.round("relevance_score", 6).alias("score"), "text_snippet", F.lit(str(meta["filters_applied"])).alias("filters"))
+    return hits.select(
+        "chunk_id",
+        "company",
+        F.round("relevance_score", 6).alias("score"),
+        "text_snippet",
+        F.lit(str(meta["filters_applied"])).alias("filters")
+    )
 
 
 @query(f"SELECT form_type, item, text, coalesce(string_agg(section, ',' ORDER BY place), '') AS sections FROM {ITEMS.sql} LEFT JOIN {_LOOKUP_SQL} ON form_type = f AND upper(trim(item)) = i GROUP BY 1, 2, 3")
@@ -96,13 +152,24 @@ def w03_section_spans(spark, sf_dir):
     return chunk.sections(STRUCTURED.df(spark), "doc").select("doc", "label", "start", "end")
 
 
-LABELS = Fixture("id int,raw string,name string", ((1, "Total Stockholders’ Equity", "Acme Holdings, Inc."), (2, "Net income (loss)", "group-holdings-inc"), (3, "Net income (loss) before taxes", "the_big/co.ltd"), (4, "NET  SALES", "inc"), (5, None, None)))
+LABELS = Fixture(
+    "id int,raw string,name string",
+    (
+        (1, "Total Stockholders’ Equity", "Acme Holdings, Inc."),
+        (2, "Net income (loss)", "group-holdings-inc"),
+        (3, "Net income (loss) before taxes", "the_big/co.ltd"),
+        (4, "NET  SALES", "inc"),
+        (5, None, None)
+    )
+)
 
 
 @query(rf"WITH n AS (SELECT *, {normal_name_sql('name')} AS normal FROM {LABELS.sql}) SELECT n.id, l.label, n.normal, array_to_string(list_filter(regexp_split_to_array(regexp_replace(trim(n.normal), '(\S)(?:\s+(?:{'|'.join(T.CORPORATE)}))+$', '\1'), '\s+'), lambda x: x <> ''), ' ') AS core FROM n LEFT JOIN {LABELS_SQL} l ON l.name = {label_key_sql('n.raw')}")
 def f31_labels_and_names(spark, sf_dir):
     normal = T.normal_name(c("name"))
-    return LABELS.df(spark).select("id", T.label_name(c("raw")).alias("label"), normal.alias("normal"), F.array_join(T.core_tokens(normal), " ").alias("core"))
+    return LABELS.df(spark).select(
+        "id", T.label_name(c("raw")).alias("label"), normal.alias("normal"), F.array_join(T.core_tokens(normal), " ").alias("core")
+    )
 
 
 @query(rf"SELECT question_id, TRY_CAST(regexp_extract(question, '\b((?:19|20)\d{{2}})\b', 1) AS BIGINT) AS year FROM {QUESTIONS.sql}")
@@ -113,7 +180,9 @@ def f36_first_year(spark, sf_dir):
 @query()
 def f35_sequence_ratio(spark, sf_dir):
     names = ENTITIES.df(spark).select("company")
-    pairs = names.select(c("company").alias("a")).join(names.select(c("company").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1))
+    pairs = names.select(c("company").alias("a")).join(
+        names.select(c("company").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1)
+    )
     return pairs.select("a", "b", F.round(sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
@@ -125,13 +194,20 @@ def f38_slashes(spark, sf_dir):
 @query(f"SELECT path, registrant AS name, array_to_string(list_sort({SIGNIFICANT.format('registrant')}), ' ') AS tokens, regexp_replace(lower(registrant), '[^a-z0-9]', '', 'g') AS collapsed FROM ({registrant_sql(PATHS.sql)})")
 def f22_registrant(spark, sf_dir):
     name = filing.registrant_name(c("cover"))
-    return PATHS.df(spark).select("path", name.alias("name"), F.array_join(F.array_sort(filing.significant_tokens(name)), " ").alias("tokens"), filing.collapsed(name).alias("collapsed"))
+    return PATHS.df(spark).select(
+        "path",
+        name.alias("name"),
+        F.array_join(F.array_sort(filing.significant_tokens(name)), " ").alias("tokens"),
+        filing.collapsed(name).alias("collapsed")
+    )
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso, substr(sha256(event_type || '#' || user_id), 1, 8) AS stable FROM events")
 def m02_iso_and_ids(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
-    return rows.select("event_id", T.iso_time(c("ts").cast("timestamp")).alias("iso"), T.stable_id(c("event_type"), c("user_id")).alias("stable"))
+    return rows.select(
+        "event_id", T.iso_time(c("ts").cast("timestamp")).alias("iso"), T.stable_id(c("event_type"), c("user_id")).alias("stable")
+    )
 
 
 NUMBERS = Fixture("id int,x double", ((1, 2020.0), (2, float("nan")), (3, None), (4, float("inf")), (5, 1.23456)))
@@ -167,13 +243,25 @@ def e10_degraded(spark, sf_dir):
 def e11_chat_prompt(spark, sf_dir):
     from foliant.plans.answer import chat_prompt
 
-    rows = table(spark, sf_dir, "conversations").select(c("turn").alias("id"), c("conv_id").alias("conversation_id"), "role", c("text").alias("content"))
+    rows = table(spark, sf_dir, "conversations").select(
+        c("turn").alias("id"), c("conv_id").alias("conversation_id"), "role", c("text").alias("content")
+    )
     found = chatlog.history(chatlog.valid_messages(rows))
     return found.select("conversation_id", F.md5(chat_prompt(c("history"), F.lit("why?"), F.lit("none"))).alias("prompt"))
 
 
-STORED = Fixture("id long,conversation_id string,role string,content string,confidence_flag string,created_at long", ((4, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "user", "old", None, 1),))
-TURNS = Fixture("conversation_id string,at long,question string,answer string,confidence_flag string", (("6F9619FF8B86D011B42D00C04FC964FF", 9, "q2", "a2", "ok"), ("6f9619ff-8b86-d011-b42d-00c04fc964ff", 5, "q1", "a1", "low_confidence"), ("nope", 6, "x", "y", "ok")))
+STORED = Fixture(
+    "id long,conversation_id string,role string,content string,confidence_flag string,created_at long",
+    ((4, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "user", "old", None, 1),)
+)
+TURNS = Fixture(
+    "conversation_id string,at long,question string,answer string,confidence_flag string",
+    (
+        ("6F9619FF8B86D011B42D00C04FC964FF", 9, "q2", "a2", "ok"),
+        ("6f9619ff-8b86-d011-b42d-00c04fc964ff", 5, "q1", "a1", "low_confidence"),
+        ("nope", 6, "x", "y", "ok")
+    )
+)
 
 
 @query(f"""WITH t AS (SELECT *, {uuid_sql('conversation_id')} AS conv FROM {TURNS.sql}), two AS (SELECT conv, "at" AS t, 0 AS k, 'user' AS role, question AS content, NULL AS flag FROM t WHERE conv IS NOT NULL UNION ALL SELECT conv, "at", 1, 'assistant', answer, confidence_flag FROM t WHERE conv IS NOT NULL)
@@ -184,15 +272,24 @@ def c04_save_turn(spark, sf_dir):
 
 @query("SELECT coalesce(lang, '') AS run_tag, count(*) AS n FROM documents GROUP BY 1")
 def p19_run_tags(spark, sf_dir):
-    return evals.tagged(table(spark, sf_dir, "documents").select("doc_id", "lang"), c("lang")).groupBy("run_tag").agg(F.count("*").alias("n"))
+    return evals.tagged(
+        table(spark, sf_dir, "documents").select("doc_id", "lang"), c("lang")
+    ).groupBy("run_tag").agg(F.count("*").alias("n"))
 
 
-SOURCES = Fixture("id int,title string,company string,section string,start int,stop int", ((1, "a/b/c.pdf", "Acme", "risk", 1, 3), (2, "x.pdf", "", None, 2, 2), (3, "", None, "mdna", None, None)))
+SOURCES = Fixture(
+    "id int,title string,company string,section string,start int,stop int",
+    ((1, "a/b/c.pdf", "Acme", "risk", 1, 3), (2, "x.pdf", "", None, 2, 2), (3, "", None, "mdna", None, None))
+)
 
 
 @query(f"SELECT id, regexp_replace(list_reverse(string_split(title, '/'))[1], '\\.pdf$', '') AS file, concat_ws(' · ', nullif(company, ''), nullif(section, ''), CASE WHEN start IS NULL THEN CAST(stop AS VARCHAR) WHEN stop IS NULL OR start = stop THEN CAST(start AS VARCHAR) ELSE start || '–' || stop END) AS preview FROM {SOURCES.sql}")
 def x03_source_previews(spark, sf_dir):
-    return SOURCES.df(spark).select("id", T.base_name(c("title")).alias("file"), T.dotted(c("company"), c("section"), T.page_range(c("start"), c("stop"))).alias("preview"))
+    return SOURCES.df(spark).select(
+        "id",
+        T.base_name(c("title")).alias("file"),
+        T.dotted(c("company"), c("section"), T.page_range(c("start"), c("stop"))).alias("preview")
+    )
 
 
 @query("SELECT source AS company, lang, count(*) AS n FROM documents WHERE NOT contains(text, '(cid:') GROUP BY 1, 2")
@@ -201,7 +298,15 @@ def p04_without_cid(spark, sf_dir):
     return rows.groupBy("company", c("canonical_section").alias("lang")).agg(F.count("*").alias("n"))
 
 
-SHOWN = Fixture("place int,chunk_id string,title string,source_file string,company string,fiscal_year double,content string,text_snippet string", ((0, "7", "T", "f.pdf", "c", 2020.0, "body", "snip"), (1, " ", "", "f.pdf", "c", float("nan"), "body", " "), (2, None, None, " ", "", float("inf"), None, None), (3, "k", None, None, None, None, "", "s")))
+SHOWN = Fixture(
+    "place int,chunk_id string,title string,source_file string,company string,fiscal_year double,content string,text_snippet string",
+    (
+        (0, "7", "T", "f.pdf", "c", 2020.0, "body", "snip"),
+        (1, " ", "", "f.pdf", "c", float("nan"), "body", " "),
+        (2, None, None, " ", "", float("inf"), None, None),
+        (3, "k", None, None, None, None, "", "s")
+    )
+)
 
 
 @query(f"""WITH s AS (SELECT place, nullif(trim(chunk_id), '') AS own, nullif(trim(title), '') AS title, nullif(trim(source_file), '') AS file, nullif(trim(company), '') AS company, fiscal_year, nullif(trim(content), '') AS content, nullif(trim(text_snippet), '') AS snip FROM {SHOWN.sql})
@@ -209,12 +314,23 @@ SELECT place, coalesce(own, 'source-' || place) AS chunk_id, coalesce(title, fil
 def x02_source_records(spark, sf_dir):
     none = F.lit(None).cast("string")
     rows = SHOWN.df(spark)
-    source = F.struct("chunk_id", "title", "source_file", "company", "fiscal_year", "content", "text_snippet", *(none.alias(n) for n in ("ticker", "form_type", "page_start", "page_end", "relevance_score")))
+    source = F.struct(
+        "chunk_id",
+        "title",
+        "source_file",
+        "company",
+        "fiscal_year",
+        "content",
+        "text_snippet",
+        *(none.alias(n) for n in ("ticker", "form_type", "page_start", "page_end", "relevance_score"))
+    )
     shown = rows.select("place", T.source_record(source, c("place")).alias("r"))
     return shown.select("place", "r.chunk_id", "r.title", "r.company", "r.fiscal_year", "r.text_snippet")
 
 
 @query("SELECT vec_id AS query_id, unnest(CASE WHEN embedding[1] * 100 >= 7 THEN ['apple-annual-report-2025', 'apple-investor-relations-summary'] ELSE ['general-financial-market-overview'] END) AS id FROM embeddings")
 def v09_mock_retriever(spark, sf_dir):
-    asked = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("query_id"), F.transform("embedding", lambda x: x * 100).alias("query_vector"))
+    asked = table(spark, sf_dir, "embeddings").select(
+        c("vec_id").alias("query_id"), F.transform("embedding", lambda x: x * 100).alias("query_vector")
+    )
     return search.mock_retrieve(asked).select("query_id", "id")

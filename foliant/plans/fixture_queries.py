@@ -62,7 +62,9 @@ def f07_nfkc(spark, sf_dir):
 
 @query(rf"WITH t AS (SELECT id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM {TEXTS.sql}) SELECT id, w, length(regexp_replace(w, '[$,%()\-.\s]', '', 'g')) > 0 AND length(regexp_replace(regexp_replace(w, '[$,%()\-.\s]', '', 'g'), '[^0-9]', '', 'g')) >= 0.6 * length(regexp_replace(w, '[$,%()\-.\s]', '', 'g')) AS numeric FROM t")
 def f16_numeric_tokens(spark, sf_dir):
-    return TEXTS.df(spark).select("id", F.explode(T.tokens(F.col("text"))).alias("w")).select("id", "w", T.is_numeric(F.col("w")).alias("numeric"))
+    return TEXTS.df(spark).select("id", F.explode(T.tokens(F.col("text"))).alias("w")).select(
+        "id", "w", T.is_numeric(F.col("w")).alias("numeric")
+    )
 
 
 PATHS = Fixture(
@@ -82,7 +84,13 @@ PATHS = Fixture(
 @query(rf"SELECT path, coalesce(list_reverse(string_split(replace(path, '\', '/'), '/'))[2], '') AS company, nullif(upper(regexp_extract(path, '(?i)NASDAQ_([A-Z]+)_(\d{{4}})', 1)), '') AS ticker, TRY_CAST(regexp_extract(path, '(?i)NASDAQ_([A-Z]+)_(\d{{4}})', 2) AS BIGINT) AS year, regexp_replace(regexp_extract(replace(path, '\', '/'), '([^/]*)$', 1), '\.pdf$', '') AS base FROM {PATHS.sql}")
 def f18_filename_meta(spark, sf_dir):
     p = F.col("path")
-    return PATHS.df(spark).select("path", filing.company(p).alias("company"), filing.ticker(p).alias("ticker"), filing.filename_year(p).alias("year"), T.base_name(p).alias("base"))
+    return PATHS.df(spark).select(
+        "path",
+        filing.company(p).alias("company"),
+        filing.ticker(p).alias("ticker"),
+        filing.filename_year(p).alias("year"),
+        T.base_name(p).alias("base")
+    )
 
 
 _FORM_SQL = r"nullif(upper(regexp_extract(cover, '(?is)FORM\s*(10-K|20-F).{0,400}?REPORT\s*PURSUANT\s*TO\s*SECTION\s*13\s*OR\s*15\(d\)', 1)), '')"
@@ -99,7 +107,11 @@ _FILE_YEAR_SQL = r"TRY_CAST(regexp_extract(path, '(?i)NASDAQ_([A-Z]+)_(\d{4})',
 
 @query(f"SELECT path, coalesce({_YEAR_SQL}, {_FILE_YEAR_SQL}) AS fiscal_year, {_YEAR_SQL} = {_FILE_YEAR_SQL} AS matches FROM {PATHS.sql}")
 def f20_fiscal_year(spark, sf_dir):
-    return PATHS.df(spark).select("path", filing.fiscal_year(F.col("cover"), F.col("path")).alias("fiscal_year"), (filing.cover_year(F.col("cover")) == filing.filename_year(F.col("path"))).alias("matches"))
+    return PATHS.df(spark).select(
+        "path",
+        filing.fiscal_year(F.col("cover"), F.col("path")).alias("fiscal_year"),
+        (filing.cover_year(F.col("cover")) == filing.filename_year(F.col("path"))).alias("matches")
+    )
 
 
 @query(rf"""WITH b AS (SELECT path, {_FORM_SQL} AS form, regexp_extract(cover, '(?is)basis of accounting.{{0,600}}') AS block FROM {PATHS.sql}),
@@ -111,7 +123,11 @@ def f21_accounting(spark, sf_dir):
 
 @query(registrant_sql(PATHS.sql))
 def f25_mismatch(spark, sf_dir):
-    return PATHS.df(spark).select("path", filing.registrant_name(F.col("cover")).alias("registrant"), filing.name_mismatch(filing.company(F.col("path")), F.col("cover")).alias("mismatch"))
+    return PATHS.df(spark).select(
+        "path",
+        filing.registrant_name(F.col("cover")).alias("registrant"),
+        filing.name_mismatch(filing.company(F.col("path")), F.col("cover")).alias("mismatch")
+    )
 
 
 @query(f"""SELECT path, a.company, a.ticker, b.form_type, c.fiscal_year, c.matches AS year_matches_file, d.standard AS accounting_standard, e.registrant AS registrant_name, e.mismatch AS company_name_mismatch
@@ -120,8 +136,25 @@ def f26_metadata(spark, sf_dir):
     return cleaning.document_metadata(PATHS.df(spark), "path", "cover")
 
 
-ITEMS = Fixture("form_type string,item string,text string", (("10-K", "1A", ""), ("20-F", "3.d", None), ("20-F", "7", "the Beneficial Owner table"), ("20-F", "7", "related party deals"), ("20-F", "7", "filler"), ("20-F", " 4 ", "x"), ("10-K", "99", "x"), ("8-K", "1", "x"), (None, None, None)))
-_LOOKUP_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{form}', '{item.upper()}', '{name}', {i})" for i, (name, k, f) in enumerate(sections.SECTIONS) for form, items in (("10-K", k), ("20-F", f)) for item in items.split()) + ") AS t(f, i, section, place))"
+ITEMS = Fixture(
+    "form_type string,item string,text string",
+    (
+        ("10-K", "1A", ""),
+        ("20-F", "3.d", None),
+        ("20-F", "7", "the Beneficial Owner table"),
+        ("20-F", "7", "related party deals"),
+        ("20-F", "7", "filler"),
+        ("20-F", " 4 ", "x"),
+        ("10-K", "99", "x"),
+        ("8-K", "1", "x"),
+        (None, None, None)
+    )
+)
+_LOOKUP_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"('{form}', '{item.upper()}', '{name}', {i})" for i, (name, k, f) in enumerate(sections.SECTIONS) for form, items in (
+        ("10-K", k), ("20-F", f)
+    ) for item in items.split()
+) + ") AS t(f, i, section, place))"
 
 
 @query(f"""WITH c AS (SELECT form_type, item, text, list(section ORDER BY place) FILTER (section IS NOT NULL) AS s FROM {ITEMS.sql} x LEFT JOIN {_LOOKUP_SQL} ON form_type = f AND upper(trim(item)) = i GROUP BY 1, 2, 3)
@@ -130,7 +163,9 @@ def j05_canonical_section(spark, sf_dir):
     return sections.canonical_section(ITEMS.df(spark))
 
 
-PAGES = Fixture("doc int,page_number int,text string", tuple((d, p, f"page {p} of {d} " + "word " * (p * d)) for d in (1, 2) for p in (1, 2, 3)))
+PAGES = Fixture(
+    "doc int,page_number int,text string", tuple((d, p, f"page {p} of {d} " + "word " * (p * d)) for d in (1, 2) for p in (1, 2, 3))
+)
 SPOTS = Fixture("doc int,char_start int,char_end int", ((1, 0, 5), (1, 15, 40), (1, 22, 30), (1, 40, 500), (2, 3, 60), (3, 0, 4)))
 _OFFSETS_SQL = f"(SELECT doc, page_number, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, length(text) AS n FROM {PAGES.sql})"
 
@@ -157,7 +192,17 @@ def j03_section_asof(spark, sf_dir):
     return chunk.with_label(SPOTS.df(spark), BOUNDS.df(spark), "doc")
 
 
-STRUCTURED = Fixture("doc int,text string", ((1, "PART I\n\nItem 1. Business\n" + "word " * 500 + "\n  ITEM 1A. Risk\n" + "risk " * 40 + "\nItem 2. Short\nfew words\nPART II\nItem 7. Results\n" + "sum " * 60), (2, "no headings " * 10), (3, "Items of note\nPART X marks\nItem 5 - end " + "tail " * 30)))
+STRUCTURED = Fixture(
+    "doc int,text string",
+    (
+        (
+            1,
+            "PART I\n\nItem 1. Business\n" + "word " * 500 + "\n  ITEM 1A. Risk\n" + "risk " * 40 + "\nItem 2. Short\nfew words\nPART II\nItem 7. Results\n" + "sum " * 60
+        ),
+        (2, "no headings " * 10),
+        (3, "Items of note\nPART X marks\nItem 5 - end " + "tail " * 30)
+    )
+)
 
 
 def _heads_sql(pattern: str, label: str) -> str:
@@ -166,7 +211,9 @@ def _heads_sql(pattern: str, label: str) -> str:
 FROM (SELECT doc, text, b, h, n, unnest(generate_series(1, len(h))) AS i FROM (SELECT doc, text, string_split_regex(text, '{pattern}') AS b, regexp_extract_all(text, '{pattern}') AS h, regexp_extract_all(text, '{pattern}', 1) AS n FROM {STRUCTURED.sql}))"""
 
 
-_HEADS = _heads_sql(r"(?im)^\s*ITEM\s*(\d+[A-Z]?(?:\.\d+)?(?:\.[A-Z])?)\.?[\s—-]", "Item") + " UNION ALL " + _heads_sql(r"(?im)^\s*PART\s*([IVX]+)\b", "Part")
+_HEADS = _heads_sql(
+    r"(?im)^\s*ITEM\s*(\d+[A-Z]?(?:\.\d+)?(?:\.[A-Z])?)\.?[\s—-]", "Item"
+) + " UNION ALL " + _heads_sql(r"(?im)^\s*PART\s*([IVX]+)\b", "Part")
 SECTIONS_CTE = f"""heads AS ({_HEADS}),
 ended AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start), length(text)) AS "end" FROM heads),
 sections AS (SELECT doc, text, start, "end", label FROM ended WHERE len({words_sql('substr(text, start + 1, "end" - start)')}) >= 30)"""
@@ -183,10 +230,21 @@ w AS (SELECT *, unnest(generate_series(0, CAST(greatest(ceil((len(u) - 350) / 30
 SELECT doc, label, CASE WHEN label LIKE 'Item%' THEN trim(replace(label, 'Item', '')) END AS item, CASE WHEN label LIKE 'Part%' THEN trim(replace(label, 'Part', '')) END AS part, section_start, i AS chunk_index, length(array_to_string(u[i * 300 + 1:i * 300 + 350], ' ')) + CASE WHEN i * 300 + 350 < len(u) THEN 1 ELSE 0 END AS n FROM w""")
 def f13_structure_chunks(spark, sf_dir):
     rows = chunk.structure_chunks(STRUCTURED.df(spark), "doc")
-    return rows.select("doc", "label", chunk.item_number(F.col("label")).alias("item"), chunk.part_number(F.col("label")).alias("part"), "section_start", "chunk_index", F.length("content").alias("n"))
-
-
-NAMES = Fixture("company string,year int,i int", (("apple-inc", 2020, 0), ("9f-inc", None, 1), ("AMD-corp", 2021, 2), ("group-holdings", 2022, 3)))
+    return rows.select(
+        "doc",
+        "label",
+        chunk.item_number(F.col("label")).alias("item"),
+        chunk.part_number(F.col("label")).alias("part"),
+        "section_start",
+        "chunk_index",
+        F.length("content").alias("n")
+    )
+
+
+NAMES = Fixture(
+    "company string,year int,i int",
+    (("apple-inc", 2020, 0), ("9f-inc", None, 1), ("AMD-corp", 2021, 2), ("group-holdings", 2022, 3))
+)
 
 
 @query(f"SELECT company, concat_ws('_', company, coalesce(CAST(year AS VARCHAR), 'unk'), CAST(i AS VARCHAR)) AS chunk_id FROM {NAMES.sql}")
@@ -225,7 +283,16 @@ def f32_fact_lines(spark, sf_dir):
     return facts.fact_lines(FILED.df(spark)).drop("source_line")
 
 
-FACTS = Fixture("company string,ticker string,fiscal_year int,label string,value string", tuple((f"{n}-co{i}", f"{n[0].upper()}{i}", y, "net income", str(1000 + i * 7 + y * (i % 3))) for i, n in enumerate(("alpha", "axis", "acorn", "apex", "beta", "bolt", "core", "crane", "delta", "dawn")) for y in (2019, 2020)))
+FACTS = Fixture(
+    "company string,ticker string,fiscal_year int,label string,value string",
+    tuple(
+        (
+            f"{n}-co{i}", f"{n[0].upper()}{i}", y, "net income", str(1000 + i * 7 + y * (i % 3))
+        ) for i, n in enumerate(
+            ("alpha", "axis", "acorn", "apex", "beta", "bolt", "core", "crane", "delta", "dawn")
+        ) for y in (2019, 2020)
+    )
+)
 
 
 @query(f"SELECT * FROM {FACTS.sql} f WHERE NOT EXISTS (SELECT 1 FROM {FACTS.sql} g WHERE g.company = f.company AND g.label = f.label AND g.value = f.value AND g.fiscal_year <> f.fiscal_year)")
@@ -277,7 +344,9 @@ def f42_questions(spark, sf_dir):
 
 @query()
 def f42_evaluation_set(spark, sf_dir):
-    rows = FACTS.df(spark).withColumns({"n_figures": (F.col("fiscal_year") - 2017).cast("int"), "source_line": F.concat("label", F.lit(" "), "value")})
+    rows = FACTS.df(spark).withColumns(
+        {"n_figures": (F.col("fiscal_year") - 2017).cast("int"), "source_line": F.concat("label", F.lit(" "), "value")}
+    )
     return facts.evaluation_set(rows, FACTS.df(spark).select("company", "ticker").distinct())
 
 
@@ -307,7 +376,14 @@ def p14_complete(spark, sf_dir):
     return evals.complete(SCORES_A.df(spark), ["m1", "m2"])
 
 
-RANKED = Fixture("id int,rank int,v double", tuple((i, r, v) for i, vs in enumerate(([0.0, 0.0, 0.0, 1.0], [1.0, 1.0], [0.0], [1.0, 0.0, 1.0], [0.0, 1.0, 1.0, 0.0, 1.0])) for r, v in enumerate(vs, 1)))
+RANKED = Fixture(
+    "id int,rank int,v double",
+    tuple(
+        (i, r, v) for i, vs in enumerate(
+            ([0.0, 0.0, 0.0, 1.0], [1.0, 1.0], [0.0], [1.0, 0.0, 1.0], [0.0, 1.0, 1.0, 0.0, 1.0])
+        ) for r, v in enumerate(vs, 1)
+    )
+)
 
 
 @query(f"SELECT id, round(coalesce(sum(hits / rank) FILTER (v = 1), 0) / (sum(v) + 1e-10), 6) AS ap FROM (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY rank) AS hits FROM {RANKED.sql}) GROUP BY id")
@@ -316,8 +392,14 @@ def a27_average_precision(spark, sf_dir):
     return rows.select("id", F.round(evals.average_precision(F.col("v")), 6).alias("ap"))
 
 
-ANSWERS = Fixture("id string,question string,answer string,confidence_flag string", (("1", "q1", "a", "ok"), ("2", "q2", "", "ok"), ("3", "q3", "b", "pipeline_error"), ("4", "q4", "c", None)))
-LIVE = Fixture("id string,question string,answer string,confidence_flag string", (("1", "q1", "A", "ok"), ("2", "q2x", "B", "low_confidence"), ("3", "q3", "", "ok")))
+ANSWERS = Fixture(
+    "id string,question string,answer string,confidence_flag string",
+    (("1", "q1", "a", "ok"), ("2", "q2", "", "ok"), ("3", "q3", "b", "pipeline_error"), ("4", "q4", "c", None))
+)
+LIVE = Fixture(
+    "id string,question string,answer string,confidence_flag string",
+    (("1", "q1", "A", "ok"), ("2", "q2x", "B", "low_confidence"), ("3", "q3", "", "ok"))
+)
 _USABLE = "answer IS NOT NULL AND answer <> '' AND coalesce(confidence_flag, '') NOT IN ('pipeline_error', 'generation_error')"
 
 
@@ -336,7 +418,17 @@ def j10_reusable(spark, sf_dir):
     return batches.reusable(ANSWERS.df(spark), LIVE.df(spark))
 
 
-ELIGIBLE = Fixture("id int,category string,ground_truth_answer string,confidence_flag string,resolved_company string", ((1, "exact_fact", "x", "ok", "a"), (2, "off_topic", "x", "ok", "a"), (3, "exact_fact", "", "ok", "a"), (4, "exact_fact", "x", "generation_error", "a"), (5, "exact_fact", "x", "low_confidence", ""), (6, "exact_fact", "x", "ok", None)))
+ELIGIBLE = Fixture(
+    "id int,category string,ground_truth_answer string,confidence_flag string,resolved_company string",
+    (
+        (1, "exact_fact", "x", "ok", "a"),
+        (2, "off_topic", "x", "ok", "a"),
+        (3, "exact_fact", "", "ok", "a"),
+        (4, "exact_fact", "x", "generation_error", "a"),
+        (5, "exact_fact", "x", "low_confidence", ""),
+        (6, "exact_fact", "x", "ok", None)
+    )
+)
 
 
 @query(f"SELECT id FROM {ELIGIBLE.sql} WHERE category = 'exact_fact' AND ground_truth_answer <> '' AND confidence_flag = 'ok' AND coalesce(resolved_company, '') <> ''")
@@ -351,7 +443,16 @@ QUESTIONS = Fixture(
         (6, "¿Cuál es la mejor acción este año?"), (7, "What happened in the market in 2022?"), (8, "What are general trends in the pharma industry?"), (9, "Applied Optoelectronics margins 2019"), (10, "Applied Materials margins"), (11, "Is AAPL a good buy?"), (12, "Should I invest in Aple?"), (13, None), (14, ""),
     ),
 )
-ENTITIES = Fixture("company string,ticker string", (("antares-pharma-inc", None), ("applied-optoelectronics-inc", "AAOI"), ("american-airlines-group-inc", "AAL"), ("apple-inc", "AAPL"), ("applied-materials-inc", "AMAT")))
+ENTITIES = Fixture(
+    "company string,ticker string",
+    (
+        ("antares-pharma-inc", None),
+        ("applied-optoelectronics-inc", "AAOI"),
+        ("american-airlines-group-inc", "AAL"),
+        ("apple-inc", "AAPL"),
+        ("applied-materials-inc", "AMAT")
+    )
+)
 
 
 @query(rf"WITH w AS (SELECT DISTINCT question_id, unnest(regexp_split_to_array(upper(question), '[^\w]+')) AS t FROM {QUESTIONS.sql}) SELECT question_id, min(company) AS company FROM w JOIN {ENTITIES.sql} ON t = ticker GROUP BY 1")
@@ -361,7 +462,13 @@ def e01_resolve_ticker(spark, sf_dir):
 
 @query()
 def e01_resolve_fuzzy(spark, sf_dir):
-    return resolve.resolve(QUESTIONS.df(spark), ENTITIES.df(spark)).select("question_id", "company", "fiscal_year", F.round("score", 6).alias("score"), F.to_json(resolve.filters(F.col("company"), F.col("fiscal_year"))).alias("filters"))
+    return resolve.resolve(QUESTIONS.df(spark), ENTITIES.df(spark)).select(
+        "question_id",
+        "company",
+        "fiscal_year",
+        F.round("score", 6).alias("score"),
+        F.to_json(resolve.filters(F.col("company"), F.col("fiscal_year"))).alias("filters")
+    )
 
 
 @query(f"SELECT question_id, coalesce(list_any_value(list_filter([{', '.join(repr(m) for m in gate.SUBJECTIVE)}], lambda m: contains(lower(question), m))) IS NOT NULL, false) AS subjective FROM {QUESTIONS.sql}")
@@ -380,8 +487,20 @@ SOURCE = "company string, ticker string, fiscal_year int, canonical_section stri
 
 
 def _cases(spark):
-    s = F.struct(F.col("rank"), F.col("company"), F.lit("TICK").alias("ticker"), F.lit(2020).alias("fiscal_year"), F.lit(None).cast("string").alias("canonical_section"), F.col("relevance_score"), F.lit("").alias("content"), F.concat(F.lit("about "), F.coalesce("company", F.lit("nobody"))).alias("text_snippet"), F.col("company_name_mismatch"))
-    return FOUND.df(spark).groupBy("case_id", "question").agg(F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), s))).alias("sources"))
+    s = F.struct(
+        F.col("rank"),
+        F.col("company"),
+        F.lit("TICK").alias("ticker"),
+        F.lit(2020).alias("fiscal_year"),
+        F.lit(None).cast("string").alias("canonical_section"),
+        F.col("relevance_score"),
+        F.lit("").alias("content"),
+        F.concat(F.lit("about "), F.coalesce("company", F.lit("nobody"))).alias("text_snippet"),
+        F.col("company_name_mismatch")
+    )
+    return FOUND.df(spark).groupBy("case_id", "question").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), s))).alias("sources")
+    )
 
 
 _SUBJ = " OR ".join(f"contains(lower(question), '{m}')" for m in gate.SUBJECTIVE)
@@ -395,13 +514,26 @@ def e04_confidence_flag(spark, sf_dir):
     return _cases(spark).select("case_id", gate.confidence_flag(F.col("question"), F.col("sources")).alias("flag"))
 
 
-REPLIES = Fixture("id int,answer string", ((1, "NOT_IN_CONTEXT"), (2, "  NOT_IN_CONTEXT: only FY2019 is there. "), (3, "Revenue was 5."), (4, "The context does NOT CONTAIN it"), (5, "x" * 401 + " cannot be determined"), (6, "No encontré nada"), (7, None)))
+REPLIES = Fixture(
+    "id int,answer string",
+    (
+        (1, "NOT_IN_CONTEXT"),
+        (2, "  NOT_IN_CONTEXT: only FY2019 is there. "),
+        (3, "Revenue was 5."),
+        (4, "The context does NOT CONTAIN it"),
+        (5, "x" * 401 + " cannot be determined"),
+        (6, "No encontré nada"),
+        (7, None)
+    )
+)
 
 
 @query(rf"""SELECT id, coalesce(contains(answer, 'NOT_IN_CONTEXT') OR list_any_value(list_filter([{', '.join(repr(m) for m in gate.REFUSALS)}], lambda m: contains(lower(left(trim(answer), 400)), m))) IS NOT NULL, false) AS refusal,
 CASE WHEN contains(answer, 'NOT_IN_CONTEXT') THEN trim('{gate.NOT_IN_FILINGS}' || ltrim(regexp_replace(answer, 'NOT_IN_CONTEXT', ''), ' :.-' || chr(10))) ELSE answer END AS clean FROM {REPLIES.sql}""")
 def e05_refusal(spark, sf_dir):
-    return REPLIES.df(spark).select("id", gate.is_refusal(F.col("answer")).alias("refusal"), gate.without_sentinel(F.col("answer")).alias("clean"))
+    return REPLIES.df(spark).select(
+        "id", gate.is_refusal(F.col("answer")).alias("refusal"), gate.without_sentinel(F.col("answer")).alias("clean")
+    )
 
 
 @query(f"""SELECT case_id, 'CONTEXT' || chr(10) || coalesce(string_agg('[' || (rank + 1) || '] ' || coalesce(company, '?') || ' (TICK) FY2020 - ?' || chr(10) || 'about ' || coalesce(company, 'nobody'), chr(10) || chr(10) ORDER BY rank) FILTER (rank IS NOT NULL), '') || chr(10) || chr(10) || 'QUESTION' || chr(10) || any_value(question) AS prompt FROM {FOUND.sql} GROUP BY case_id""")
@@ -412,10 +544,23 @@ def e07_prompt(spark, sf_dir):
 @query(_FLAG_SQL + f" SELECT case_id, flag, CASE flag WHEN 'entity_not_found' THEN '{gate.NOT_FOUND_ANSWER}' WHEN 'subjective_no_verdict' THEN '{gate.NO_VERDICT_ANSWER}' WHEN 'low_confidence' THEN '{gate.WEAK_ANSWER}' || chr(10) || chr(10) || '{gate.LOW_NOTICE}' WHEN 'unverified_source' THEN '{gate.NO_PROVIDER_ANSWER}' || chr(10) || chr(10) || '{gate.UNVERIFIED_NOTICE}' ELSE '{gate.NO_PROVIDER_ANSWER}' END AS answer FROM f")
 def e09_answers(spark, sf_dir):
     rows = _cases(spark).withColumn("flag", gate.confidence_flag(F.col("question"), F.col("sources")))
-    return rows.select("case_id", gate.answered(F.col("flag"), F.lit(None).cast("string")).alias("a")).select("case_id", "a.flag", "a.answer")
+    return rows.select(
+        "case_id", gate.answered(F.col("flag"), F.lit(None).cast("string")).alias("a")
+    ).select("case_id", "a.flag", "a.answer")
 
 
-IDS = Fixture("id int,raw string", ((1, "6F9619FF-8B86-D011-B42D-00C04FC964FF"), (2, "{6f9619ff-8b86-d011-b42d-00c04fc964ff}"), (3, "urn:uuid:6f9619ff-8b86-d011-b42d-00c04fc964ff"), (4, "6f9619ff8b86d011b42d00c04fc964ff"), (5, "not-a-uuid"), (6, ""), (7, None)))
+IDS = Fixture(
+    "id int,raw string",
+    (
+        (1, "6F9619FF-8B86-D011-B42D-00C04FC964FF"),
+        (2, "{6f9619ff-8b86-d011-b42d-00c04fc964ff}"),
+        (3, "urn:uuid:6f9619ff-8b86-d011-b42d-00c04fc964ff"),
+        (4, "6f9619ff8b86d011b42d00c04fc964ff"),
+        (5, "not-a-uuid"),
+        (6, ""),
+        (7, None)
+    )
+)
 
 
 @query(f"SELECT id, CASE WHEN id <= 4 THEN '6f9619ff-8b86-d011-b42d-00c04fc964ff' END AS uuid FROM {IDS.sql}")
@@ -423,8 +568,19 @@ def c01_uuid(spark, sf_dir):
     return IDS.df(spark).select("id", T.canonical_uuid(F.col("raw")).alias("uuid"))
 
 
-KNOWN_CHATS = Fixture("id string,user_id long,title string,created_at long,updated_at long", (("6f9619ff-8b86-d011-b42d-00c04fc964ff", None, "old", 1, 1), ("00000000-0000-0000-0000-000000000001", 5, "kept", 2, 2)))
-ASKED = Fixture("id string,user_id long,title string,at long", (("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7, "new", 10), ("00000000-0000-0000-0000-000000000001", 8, "new", 11), ("00000000-0000-0000-0000-000000000002", None, "fresh", 12), ("bad", 1, "x", 13)))
+KNOWN_CHATS = Fixture(
+    "id string,user_id long,title string,created_at long,updated_at long",
+    (("6f9619ff-8b86-d011-b42d-00c04fc964ff", None, "old", 1, 1), ("00000000-0000-0000-0000-000000000001", 5, "kept", 2, 2))
+)
+ASKED = Fixture(
+    "id string,user_id long,title string,at long",
+    (
+        ("6F9619FF-8B86-D011-B42D-00C04FC964FF", 7, "new", 10),
+        ("00000000-0000-0000-0000-000000000001", 8, "new", 11),
+        ("00000000-0000-0000-0000-000000000002", None, "fresh", 12),
+        ("bad", 1, "x", 13)
+    )
+)
 
 
 @query(f"""WITH a AS (SELECT {uuid_sql('id')} AS id, user_id, title, "at" AS t FROM {ASKED.sql}), n AS (SELECT id, arg_min(user_id, t) AS user_id, arg_min(title, t) AS title, min(t) AS first_at, max(t) AS last_at FROM a WHERE id IS NOT NULL GROUP BY id)
@@ -433,7 +589,15 @@ def c02_ensure_conversation(spark, sf_dir):
     return chatlog.ensured(KNOWN_CHATS.df(spark), ASKED.df(spark))
 
 
-FEEDBACK = Fixture("id long,message_id long,conversation_id string,rating string", ((1, 1, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "up"), (2, 1, "x", "up"), (3, 2, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "meh"), (4, None, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "down")))
+FEEDBACK = Fixture(
+    "id long,message_id long,conversation_id string,rating string",
+    (
+        (1, 1, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "up"),
+        (2, 1, "x", "up"),
+        (3, 2, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "meh"),
+        (4, None, "6f9619ff-8b86-d011-b42d-00c04fc964ff", "down")
+    )
+)
 
 
 @query(f"SELECT * FROM {FEEDBACK.sql} WHERE id = 1")
@@ -450,19 +614,37 @@ def c08_source_detail(spark, sf_dir):
     return chatlog.source_detail(chunks, WANTED.df(spark), "doc_id").select("chunk_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-TITLES = Fixture("id int,title string,source_file string,company string,page_start int,page_end int", ((1, "A", "f.pdf", "c", 1, 3), (2, "", "f.pdf", "c", 2, 2), (3, "unknown", "", "c", None, 4), (4, None, "", "Unknown", None, None), (5, " ", None, "c", 7, None)))
+TITLES = Fixture(
+    "id int,title string,source_file string,company string,page_start int,page_end int",
+    (
+        (1, "A", "f.pdf", "c", 1, 3),
+        (2, "", "f.pdf", "c", 2, 2),
+        (3, "unknown", "", "c", None, 4),
+        (4, None, "", "Unknown", None, None),
+        (5, " ", None, "c", 7, None)
+    )
+)
 
 
 @query(f"SELECT id, coalesce(CASE WHEN lower(title) <> 'unknown' THEN nullif(title, '') END, nullif(source_file, ''), CASE WHEN lower(company) <> 'unknown' THEN nullif(company, '') END, 'Unknown source') AS title, CASE WHEN page_start IS NULL THEN CAST(page_end AS VARCHAR) WHEN page_end IS NULL OR page_start = page_end THEN CAST(page_start AS VARCHAR) ELSE page_start || '–' || page_end END AS pages, nullif(trim(title), '') AS named FROM {TITLES.sql}")
 def p18_titles(spark, sf_dir):
     c = F.col
-    return TITLES.df(spark).select("id", T.title(c("title"), c("source_file"), c("company")).alias("title"), T.page_range(c("page_start"), c("page_end")).alias("pages"), T.as_string(c("title")).alias("named"))
+    return TITLES.df(spark).select(
+        "id",
+        T.title(c("title"), c("source_file"), c("company")).alias("title"),
+        T.page_range(c("page_start"), c("page_end")).alias("pages"),
+        T.as_string(c("title")).alias("named")
+    )
 
 
 @query("SELECT doc_id, string_split(array_to_string([lang, source, CAST(n_chars AS VARCHAR)], chr(10) || '---CHUNK---' || chr(10)), chr(10) || '---CHUNK---' || chr(10))[2] AS second FROM documents")
 def a26_joined_contexts(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.array("lang", "source", F.col("n_chars").cast("string"))).alias("i", "content"))
-    return evals.joined_contexts(parts, "doc_id", "i", "content").select("doc_id", F.get(evals.split_contexts(F.col("contexts")), F.lit(1)).alias("second"))
+    parts = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.array("lang", "source", F.col("n_chars").cast("string"))).alias("i", "content")
+    )
+    return evals.joined_contexts(parts, "doc_id", "i", "content").select(
+        "doc_id", F.get(evals.split_contexts(F.col("contexts")), F.lit(1)).alias("second")
+    )
 
 
 _COVER = "UNITED STATES SECURITIES AND EXCHANGE COMMISSION\nFORM 10-K\nANNUAL REPORT PURSUANT TO SECTION 13 OR 15(d)\nfor the fiscal year ended December 31, 2019\nAcme, Inc.\n(Exact Name of Registrant as Specified in its Charter)"
@@ -528,7 +710,27 @@ def c07_answers(spark, sf_dir):
 
     embed = vectors.embed(lambda: vectors.hashing_encoder(64))
     names = spark.createDataFrame([("apple-inc", 0), ("antares-pharma-inc", 1), ("applied-materials-inc", 2)], "company string, r int")
-    docs = table(spark, sf_dir, "documents").withColumn("r", (F.col("doc_id") % 7).cast("int")).join(F.broadcast(names), "r", "left").withColumn("company", F.coalesce("company", "source"))
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "r", (F.col("doc_id") % 7).cast("int")
+    ).join(F.broadcast(names), "r", "left").withColumn(
+        "company", F.coalesce("company", "source")
+    )
     none = lambda t: F.lit(None).cast(t)
-    chunks = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "company", F.lit("").alias("ticker"), F.lit(2022).alias("fiscal_year"), none("string").alias("form_type"), none("string").alias("accounting_standard"), F.col("lang").alias("canonical_section"), F.col("source").alias("source_file"), none("int").alias("page_start"), none("int").alias("page_end"), F.lit(False).alias("company_name_mismatch"), embed(F.col("text")).alias("embedding"))
-    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), chunks, embed).select("question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources"))
+    chunks = docs.select(
+        F.col("doc_id").alias("id"),
+        F.col("text").alias("content"),
+        "company",
+        F.lit("").alias("ticker"),
+        F.lit(2022).alias("fiscal_year"),
+        none("string").alias("form_type"),
+        none("string").alias("accounting_standard"),
+        F.col("lang").alias("canonical_section"),
+        F.col("source").alias("source_file"),
+        none("int").alias("page_start"),
+        none("int").alias("page_end"),
+        F.lit(False).alias("company_name_mismatch"),
+        embed(F.col("text")).alias("embedding")
+    )
+    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), chunks, embed).select(
+        "question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources")
+    )

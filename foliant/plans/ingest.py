@@ -21,11 +21,15 @@ def chunk_pages(pages: DataFrame, deglue: Callable[[Column], Column] | None = No
     cleaned = cleaning.clean_pages(pages, "path", deglue=deglue)
     body = cleaned.where("page_type = 'body'")
     docs = cleaning.clean_documents(cleaned, "path")
-    meta = cleaning.document_metadata(docs, "path", "cover_text").join(docs.select("path", "cover_text", "glued_flag", "few_words_flag"), "path")
+    meta = cleaning.document_metadata(docs, "path", "cover_text").join(
+        docs.select("path", "cover_text", "glued_flag", "few_words_flag"), "path"
+    )
     chunks = chunk.word_chunks(docs.select("path", F.col("full_text").alias("text")))
     placed = chunk.with_pages(chunks, chunk.page_offsets(body, "path", text="clean"), "path")
     heads = docs.select("path", F.explode(chunk.boundaries(F.col("full_text"))).alias("b")).select("path", "b.start", "b.label")
-    labelled = chunk.with_label(placed, heads, "path").withColumns({"item_number": chunk.item_number(F.col("label")), "part_number": chunk.part_number(F.col("label"))})
+    labelled = chunk.with_label(placed, heads, "path").withColumns(
+        {"item_number": chunk.item_number(F.col("label")), "part_number": chunk.part_number(F.col("label"))}
+    )
     joined = labelled.join(meta, "path")
     named = sections.canonical_section(joined, "form_type", "item_number", "cover_text").withColumnRenamed("section", "canonical_section")
     density = T.numeric_density(F.col("content"))
@@ -42,7 +46,12 @@ def chunk_pages(pages: DataFrame, deglue: Callable[[Column], Column] | None = No
 
 def document_report(chunks: DataFrame) -> DataFrame:
     """Per document its chunks, dense chunks, and chunks with an item."""
-    return chunks.groupBy("path").agg(F.count("*").alias("n_chunks"), F.count_if("numeric_dense").alias("n_dense"), F.count("item_number").alias("n_items"), F.count_if(F.coalesce("ticker", F.lit("")) == "").alias("n_ticker_missing"))
+    return chunks.groupBy("path").agg(
+        F.count("*").alias("n_chunks"),
+        F.count_if("numeric_dense").alias("n_dense"),
+        F.count("item_number").alias("n_items"),
+        F.count_if(F.coalesce("ticker", F.lit("")) == "").alias("n_ticker_missing")
+    )
 
 
 def registrant(path: Column, cover: Column) -> Column:

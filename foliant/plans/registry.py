@@ -19,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as long, so that types don't hang on which function gave them."""
-    return df.select(*(F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes))
+    return df.select(
+        *(F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes)
+    )
 
 
 def query(sql: str | None = None) -> Callable:

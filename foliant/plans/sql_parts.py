@@ -30,7 +30,9 @@ def label_key_sql(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({bare}, '[(),.&/-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-LABELS_SQL = "(SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in T.LABELS.items()) + ") AS t(name, label))"
+LABELS_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in T.LABELS.items()
+) + ") AS t(name, label))"
 
 
 def display_sql(slug: str) -> str:

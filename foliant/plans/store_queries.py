@@ -53,12 +53,16 @@ def s01_pdf_files(spark, sf_dir):
     for r in _long_items(spark, sf_dir):
         sinks.write_file(spark, f"{folder}/sub{len(r.item_id) % 2}/b{r.item_id}.pdf", b"%PDF-")
         sinks.write_file(spark, f"{folder}/b{r.item_id}.PDF", b"%PDF-")
-    return readers.pdf_files(spark, folder).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), (c("length") == 5).alias("has_size"))
+    return readers.pdf_files(spark, folder).select(
+        F.regexp_extract("path", "([^/]*)$", 1).alias("file"), (c("length") == 5).alias("has_size")
+    )
 
 
 def _long_items(spark: SparkSession, sf_dir: str) -> list:
     """Benchmark items of over 300 letters: a few, as the benchmark doesn't grow with the corpus."""
-    return table(spark, sf_dir, "benchmark").where("length(text) > 300").select(c("item_id").cast("string").alias("item_id"), "text").collect()
+    return table(spark, sf_dir, "benchmark").where("length(text) > 300").select(
+        c("item_id").cast("string").alias("item_id"), "text"
+    ).collect()
 
 
 @query("SELECT 'b' || item_id || '.pdf' AS file, p AS page_number, regexp_replace(substr(text, (p - 1) * 100 + 1, 100), '[^ -~]', '', 'g') AS text FROM (SELECT *, unnest([1, 2, 3]) AS p FROM benchmark WHERE length(text) > 300) WHERE p >= 2")
@@ -75,7 +79,10 @@ def s02_pdf_pages(spark, sf_dir):
 @query("SELECT source AS path, doc_id AS page_number, md5(text) AS digest FROM documents")
 def s03_page_cache(spark, sf_dir):
     path = fresh_path(spark, "pages")
-    sinks.write_json(table(spark, sf_dir, "documents").select(c("source").alias("path"), c("doc_id").cast("int").alias("page_number"), "text"), path)
+    sinks.write_json(
+        table(spark, sf_dir, "documents").select(c("source").alias("path"), c("doc_id").cast("int").alias("page_number"), "text"),
+        path
+    )
     return readers.page_cache(spark, path).select("path", "page_number", F.md5("text").alias("digest"))
 
 
@@ -84,7 +91,10 @@ def s06_csv_logs(spark, sf_dir):
     """Two runs append to one log, each file with its header; texts have quotes and newlines. CSV keeps no empty text."""
     path = fresh_path(spark, "log")
     sinks.append_log(table(spark, sf_dir, "documents").where("text <> ''").select(c("doc_id").cast("string").alias("id"), "text"), path)
-    sinks.append_log(table(spark, sf_dir, "labels").select(c("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("text")), path)
+    sinks.append_log(
+        table(spark, sf_dir, "labels").select(c("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("text")),
+        path
+    )
     return readers.csv(spark, path, "id string, text string").select("id", F.md5("text").alias("digest"))
 
 
@@ -98,7 +108,9 @@ def s10_load_chunks(spark, sf_dir):
     some = _vector_chunks(spark, sf_dir).where("source_file IN ('f0', 'f1', 'f2') AND chunk_index % 2 = 0")
     sinks.load_chunks(spark, folder, some, 64)
     docs = readers.stored(spark, folder, "documents").select(c("id").alias("document_id"), c("indexed_at").isNotNull().alias("known"))
-    return readers.stored(spark, folder, "rag_chunks").join(docs, "document_id").select("id", "document_id", "source_file", "chunk_index", (c("created_at").isNotNull() & c("known")).alias("stamped"))
+    return readers.stored(spark, folder, "rag_chunks").join(docs, "document_id").select(
+        "id", "document_id", "source_file", "chunk_index", (c("created_at").isNotNull() & c("known")).alias("stamped")
+    )
 
 
 @query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang")
@@ -167,7 +179,12 @@ _DENSE = r"(len(list_filter(w, lambda x: length(regexp_replace(x, '[$,%()\-.]',
 @query(rf"SELECT source AS path, count(*) AS n_chunks, count(*) FILTER ({_DENSE}) AS n_dense, count(*) FILTER (lang = 'en') AS n_items, count(*) FILTER (lang = 'fr') AS n_ticker_missing FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) GROUP BY source")
 def a15_document_report(spark, sf_dir):
     """A15, A16 over documents as chunks: English ones have an item, French ones lack a ticker."""
-    rows = table(spark, sf_dir, "documents").select(c("source").alias("path"), (T.numeric_density(c("text")) >= 0.1).alias("numeric_dense"), F.when(c("lang") == "en", "1").alias("item_number"), F.when(c("lang") != "fr", "T").otherwise("").alias("ticker"))
+    rows = table(spark, sf_dir, "documents").select(
+        c("source").alias("path"),
+        (T.numeric_density(c("text")) >= 0.1).alias("numeric_dense"),
+        F.when(c("lang") == "en", "1").alias("item_number"),
+        F.when(c("lang") != "fr", "T").otherwise("").alias("ticker")
+    )
     return document_report(rows)
 
 
@@ -179,7 +196,14 @@ def t01_process_new(spark, sf_dir):
     for lot in (0, 1, 2):
         if lot < 2:
             docs.where(F.pmod(F.hash("doc_id"), F.lit(2)) == lot).write.mode("append").parquet(f"{base}/in")
-        incremental.process_new(spark, f"{base}/in", docs.schema, lambda d: d.select("lang", (2 * F.length("text")).alias("twice")), f"{base}/out", f"{base}/mark").awaitTermination()
+        incremental.process_new(
+            spark,
+            f"{base}/in",
+            docs.schema,
+            lambda d: d.select("lang", (2 * F.length("text")).alias("twice")),
+            f"{base}/out",
+            f"{base}/mark"
+        ).awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("lang").agg(F.count("*").alias("n"), F.sum("twice").alias("twice"))
 
 
@@ -190,7 +214,9 @@ def t02_resumed_load(spark, sf_dir):
     rows = _vector_chunks(spark, sf_dir)
     schemas.bootstrap(spark, f"{base}/store")
     rows.where("chunk_index % 2 = 0").coalesce(2).write.mode("append").parquet(f"{base}/in")
-    incremental.ingest(spark, f"{base}/in", rows.schema, lambda d, _: sinks.load_chunks(spark, f"{base}/store", d, 64), f"{base}/mark").awaitTermination()
+    incremental.ingest(
+        spark, f"{base}/in", rows.schema, lambda d, _: sinks.load_chunks(spark, f"{base}/store", d, 64), f"{base}/mark"
+    ).awaitTermination()
     counts = rows.groupBy("source_file").agg(F.count("*").alias("n_chunks"))
     loaded = batches.fully_loaded(counts, readers.stored(spark, f"{base}/store", "rag_chunks"))
     todo = batches.remaining(counts, loaded, ["source_file"])
@@ -203,8 +229,14 @@ def t03_backup_and_merge(spark, sf_dir):
     """Outputs are kept aside before they are written anew; of both the usable rows stay, the live one first."""
     path = fresh_path(spark, "outputs")
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    docs.select(c("doc_id").cast("string").alias("id"), F.lit("backup").alias("answer"), F.lit("ok").alias("confidence_flag")).write.parquet(f"{path}/prev")
-    labels.select(c("doc_id").cast("string").alias("id"), F.when(c("quality") == 1, "live").otherwise("").alias("answer"), F.lit("ok").alias("confidence_flag")).write.parquet(f"{path}/live")
+    docs.select(
+        c("doc_id").cast("string").alias("id"), F.lit("backup").alias("answer"), F.lit("ok").alias("confidence_flag")
+    ).write.parquet(f"{path}/prev")
+    labels.select(
+        c("doc_id").cast("string").alias("id"),
+        F.when(c("quality") == 1, "live").otherwise("").alias("answer"),
+        F.lit("ok").alias("confidence_flag")
+    ).write.parquet(f"{path}/live")
     return batches.merged(spark.read.parquet(f"{path}/prev"), spark.read.parquet(f"{path}/live")).select("id", "answer")
 
 
@@ -230,7 +262,9 @@ def t04_limited_batches(spark, sf_dir):
         o = incremental.run_batches(spark, f"{base}/in", "doc_id long", load, f"{base}/mark")
         rows.append((run, o["done"], o["skipped"], o["quota"]))
     missing = batches.remaining(labels, spark.read.parquet(f"{base}/out"), ["doc_id"]).count()
-    return spark.createDataFrame([(*r, missing if r[0] == 2 else 0) for r in rows], "run int, done int, skipped int, quota boolean, missing long")
+    return spark.createDataFrame(
+        [(*r, missing if r[0] == 2 else 0) for r in rows], "run int, done int, skipped int, quota boolean, missing long"
+    )
 
 
 @query("SELECT 'good.parquet' AS file, count(*) AS n_rows, false AS failed FROM embeddings UNION ALL SELECT 'broken.parquet', NULL, true UNION ALL SELECT 'other.parquet', count(*), true FROM labels")
@@ -245,12 +279,16 @@ def t05_file_status(spark, sf_dir):
         store.rename(at, sinks._place(spark, f"{base}/{name}.parquet")[0])
         store.delete(sinks._place(spark, f"{base}/{name}")[0], True)
     sinks.write_file(spark, f"{base}/broken.parquet", b"PAR1 not really PAR1")
-    return readers.chunk_file_status(spark, base).select(F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "n_rows", c("error").isNotNull().alias("failed"))
+    return readers.chunk_file_status(spark, base).select(
+        F.regexp_extract("file", "([^/]*)$", 1).alias("file"), "n_rows", c("error").isNotNull().alias("failed")
+    )
 
 
 @query("SELECT lang AS run_tag, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def p19_stored_runs(spark, sf_dir):
     """Results stored by tag: a tag is a folder."""
     path = fresh_path(spark, "runs")
-    evals.tagged(table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang"), c("lang")).drop("lang").write.partitionBy("run_tag").parquet(path)
+    evals.tagged(
+        table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang"), c("lang")
+    ).drop("lang").write.partitionBy("run_tag").parquet(path)
     return spark.read.schema("doc_id long, run_tag string").parquet(path).groupBy("run_tag").agg(F.count("*").alias("n"))

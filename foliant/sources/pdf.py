@@ -85,7 +85,9 @@ class _File:
         for body in self.objects.values():
             if re.search(rb"/Type\s*/Catalog\b", body) and (root := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", body)):
                 walk(int(root[1]), b"")
-        return found or [(b, self.value(b, b"Resources")) for _, b in sorted(self.objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)]
+        return found or [
+            (b, self.value(b, b"Resources")) for _, b in sorted(self.objects.items()) if re.search(rb"/Type\s*/Page\b(?!s)", b)
+        ]
 
     def content(self, page: bytes) -> bytes:
         m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)

@@ -50,7 +50,9 @@ def to_download(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 def chunk_files(spark: SparkSession, path: str) -> DataFrame:
     """Chunk files as written, with the file each row came from. Files that can't be read are passed over."""
-    return spark.read.schema(CHUNK_FILE).option("ignoreCorruptFiles", True).parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
+    return spark.read.schema(CHUNK_FILE).option("ignoreCorruptFiles", True).parquet(path).select(
+        "*", F.col("_metadata.file_path").alias("file")
+    )
 
 
 def chunk_file_status(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +84,9 @@ def as_chunks(rows: DataFrame) -> DataFrame:
     are numbered by their stored number, then page and text, from 0 in each file."""
     m = "metadata"
     text = lambda c: F.coalesce(c, F.lit(""))
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy(F.col("chunk_index").try_cast("int").asc_nulls_last(), "page_start", "text")) - 1
+    place = F.row_number().over(
+        Window.partitionBy("source_file").orderBy(F.col("chunk_index").try_cast("int").asc_nulls_last(), "page_start", "text")
+    ) - 1
     return rows.select(
         text(F.col("source_file")).alias("source_file"),
         place.alias("chunk_index"),

@@ -89,7 +89,9 @@ def load_chunks(spark: SparkSession, folder: str, chunks: DataFrame, dimension:
 
 def _filled(rows: DataFrame, like: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``like``; missing ones are null."""
-    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields))
+    return rows.select(
+        *((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields)
+    )
 
 
 def delete_all(spark: SparkSession, folder: str) -> int:
@@ -147,7 +149,9 @@ def write_file(spark: SparkSession, path: str, content: bytes) -> None:
 
 def laid_out(chunks: DataFrame, path: str) -> None:
     """The layout that stands in for indexes: a folder a year, files sorted by company, so filters prune both."""
-    chunks.repartitionByRange("fiscal_year", "company").sortWithinPartitions("fiscal_year", "company", "ticker").write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
+    chunks.repartitionByRange("fiscal_year", "company").sortWithinPartitions(
+        "fiscal_year", "company", "ticker"
+    ).write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
 
 
 def analyzed(spark: SparkSession, table: str, columns: Sequence[str] = ()) -> None:

@@ -14,13 +14,29 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
-def process_new(spark: SparkSession, source: str, schema: StructType | str, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+def process_new(
+    spark: SparkSession,
+    source: str,
+    schema: StructType | str,
+    transform: Callable[[DataFrame], DataFrame],
+    target: str,
+    checkpoint: str
+) -> StreamingQuery:
     """Applies ``transform`` to the Parquet files that came since the last run, appends the result, and ends."""
     rows = spark.readStream.schema(schema).parquet(source)
-    return transform(rows).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def ingest(spark: SparkSession, source: str, schema: StructType | str, load: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
+    return transform(rows).writeStream.format("parquet").option("path", target).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
+
+
+def ingest(
+    spark: SparkSession,
+    source: str,
+    schema: StructType | str,
+    load: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    files_per_batch: int = 100
+) -> StreamingQuery:
     """Hands each batch of new files to ``load``, which must give the same store when a batch comes again; ``files_per_batch`` of 1 is
     for loads that an outside limit may stop."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
@@ -49,7 +65,14 @@ def kind_of(error: BaseException) -> str:
     return "error"
 
 
-def run_batches(spark: SparkSession, source: str, schema: StructType | str, load: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 1) -> dict[str, int | bool]:
+def run_batches(
+    spark: SparkSession,
+    source: str,
+    schema: StructType | str,
+    load: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    files_per_batch: int = 1
+) -> dict[str, int | bool]:
     """``ingest`` to its end, for loads that call a service with limits. A spent quota ends the run, and its batch comes first in the next
     one; a batch that times out is passed over, and put back to ``source`` for the next run; any other error is raised. How many batches were
     done and passed over, and whether a quota ended the run."""
@@ -77,14 +100,20 @@ def run_batches(spark: SparkSession, source: str, schema: StructType | str, load
     return outcome
 
 
-def event_windows(events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour", ts: str = "ts", key: str = "event_type") -> DataFrame:
+def event_windows(
+    events: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 hour", ts: str = "ts", key: str = "event_type"
+) -> DataFrame:
     """Extension: counts and sums by event-time window; rows later than ``late`` are dropped when streaming."""
     timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
     w = F.window("__ts", width, slide) if slide else F.window("__ts", width)
-    return timed.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total")
+    return timed.groupBy(w.alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "total"
+    )
 
 
 def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", ts: str = "ts", key: str = "user_id") -> DataFrame:
     """Extension: sessions of a user, ended by a gap."""
     timed = events.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
-    return timed.groupBy(F.session_window("__ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+    return timed.groupBy(F.session_window("__ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(
+        key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"
+    )

@@ -49,7 +49,10 @@ def test_answers_search_every_document(spark, tmp_path):
     encode = hashing_encoder(64)
     asked = {5: "What is the capital of France?", 7: "What happened in the market in 2022?"}
     texts = ["plain words", "of other things", "and more", asked[5] + " Paris", asked[7] + " nothing", "last"]
-    spark.createDataFrame([(i, t, "en", "src0" if i else None, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", "src0" if i else None, len(t)) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.question_id: r for r in QUERIES["c07_answers"](spark, str(tmp_path)).collect()}
     for i, question in asked.items():
         best = (encode(texts) @ encode([question])[0]).max()

@@ -14,7 +14,11 @@ from foliant.streaming import incremental
 
 
 def chunk_rows(spark, docs):
-    rows = [(d, i, f"text {d} {i}", 6, [float(i + 1), 1.0], "T", "c", 2020 + n, None, None, None, None, None, 0.1, None) for n, (d, k) in enumerate(docs) for i in range(k)]
+    rows = [
+        (
+            d, i, f"text {d} {i}", 6, [float(i + 1), 1.0], "T", "c", 2020 + n, None, None, None, None, None, 0.1, None
+        ) for n, (d, k) in enumerate(docs) for i in range(k)
+    ]
     return spark.createDataFrame(rows, "source_file string, chunk_index int, content string, n_chars int, embedding array<float>, ticker string, company string, fiscal_year int, form_type string, accounting_standard string, canonical_section string, page_start int, page_end int, numeric_density float, company_name_mismatch boolean")
 
 
@@ -25,7 +29,9 @@ def test_load_replaces_and_deletes(spark, tmp_path):
     sinks.load_chunks(spark, folder, chunk_rows(spark, [("a", 3), ("b", 2)]), 2)
     sinks.load_chunks(spark, folder, chunk_rows(spark, [("a", 2), ("c", 1)]), 2)
     chunks = readers.stored(spark, folder, "rag_chunks")
-    assert {(r.source_file, r.n) for r in chunks.groupBy("source_file").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 2), ("c", 1)}
+    assert {
+        (r.source_file, r.n) for r in chunks.groupBy("source_file").agg(F.count("*").alias("n")).collect()
+    } == {("a", 2), ("b", 2), ("c", 1)}
     assert chunks.select("id").distinct().count() == 5
     assert sinks.delete_where(spark, folder, "rag_chunks", F.col("company_name_mismatch")) == 0
     assert sinks.delete_where(spark, folder, "rag_chunks", F.col("source_file") == "b") == 2
@@ -42,10 +48,14 @@ def test_wrong_dimension_fails(spark, tmp_path):
 
 @pytest.mark.parametrize("parts", [1, 8])
 def test_filter_comes_before_search(spark, parts):
-    rows = spark.range(400).select("id", (F.col("id") % 40).alias("company"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding")).repartition(parts)
+    rows = spark.range(400).select(
+        "id", (F.col("id") % 40).alias("company"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding")
+    ).repartition(parts)
     hits = search.top_k(rows.where("company = 39"), [1.0, 0.0], 5).collect()
     assert len(hits) == 5 and [h.id for h in hits] == sorted((h.id for h in hits), key=lambda i: (i % 3, i))
-    assert [h.id for h in search.top_k_scan(rows, [1.0, 0.0], 5).collect()] == [h.id for h in search.top_k(rows, [1.0, 0.0], 5).collect()] == [0, 3, 6, 9, 12]
+    assert [
+        h.id for h in search.top_k_scan(rows, [1.0, 0.0], 5).collect()
+    ] == [h.id for h in search.top_k(rows, [1.0, 0.0], 5).collect()] == [0, 3, 6, 9, 12]
     asked = spark.createDataFrame([(i, [1.0, float(i % 3)]) for i in range(7)], "query_id long, query_vector array<double>")
     assert search.batch_top_k(rows, asked, 2).count() == 14
     blocks = search.batch_scan(rows, asked, 2, block=3)
@@ -57,7 +67,9 @@ def test_a_batch_of_questions_gets_what_each_gets_alone(spark):
     rng = np.random.default_rng(4)
     m = rng.normal(size=(300, 8)).round(1)
     m[7] = 0
-    rows = spark.createDataFrame([(i, m[i].tolist() if i != 9 else None, f"text {i}") for i in range(300)], "id long, embedding array<float>, content string").repartition(5)
+    rows = spark.createDataFrame(
+        [(i, m[i].tolist() if i != 9 else None, f"text {i}") for i in range(300)], "id long, embedding array<float>, content string"
+    ).repartition(5)
     q = [*rng.normal(size=(5, 8)).tolist(), [0.0] * 8]
     asked = spark.createDataFrame([(f"q{j}", v) for j, v in enumerate(q)] + [("none", None)], "query_id string, query_vector array<double>")
     got = search.batch_top_k(rows, asked, 4).collect()
@@ -65,7 +77,9 @@ def test_a_batch_of_questions_gets_what_each_gets_alone(spark):
         alone = [(r.id, round(r.similarity, 9)) for r in search.top_k(rows, v, 4).collect()]
         assert [(r.id, round(r.similarity, 9)) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == f"q{j}"] == alone
     assert all(r.content == f"text {r.id}" for r in got)
-    scoped = search.batch_top_k(rows.withColumn("g", F.col("id") % 2), asked.withColumn("g", F.lit(1).cast("long")), 3, on=["g"]).where("query_id = 'q0'").collect()
+    scoped = search.batch_top_k(
+        rows.withColumn("g", F.col("id") % 2), asked.withColumn("g", F.lit(1).cast("long")), 3, on=["g"]
+    ).where("query_id = 'q0'").collect()
     assert len(scoped) == 3 and all(r.id % 2 for r in scoped)
 
 
@@ -77,7 +91,11 @@ def test_approximate_search_finds_nine_of_ten(spark):
     hits = 0
     for i in range(0, 2000, 200):
         q = m[i].tolist()
-        hits += len({r.id for r in search.top_k_approximate(rows, q, 10).collect()} & {r.id for r in search.top_k_scan(rows, q, 10).collect()})
+        hits += len(
+            {
+                r.id for r in search.top_k_approximate(rows, q, 10).collect()
+            } & {r.id for r in search.top_k_scan(rows, q, 10).collect()}
+        )
     assert hits >= 90, hits
 
 
@@ -96,7 +114,13 @@ def test_a_table_comes_back_after_a_run_that_died_between_renames(spark, tmp_pat
 
 
 def test_errors_of_services_are_told_apart():
-    kinds = [(incremental.QuotaSpent("x"), "quota"), (ValueError("HTTP 429"), "quota"), (TimeoutError(), "timeout"), (ValueError("read timeout"), "timeout"), (ValueError("broken"), "error")]
+    kinds = [
+        (incremental.QuotaSpent("x"), "quota"),
+        (ValueError("HTTP 429"), "quota"),
+        (TimeoutError(), "timeout"),
+        (ValueError("read timeout"), "timeout"),
+        (ValueError("broken"), "error")
+    ]
     assert [incremental.kind_of(e) for e, _ in kinds] == [k for _, k in kinds]
 
 
@@ -118,7 +142,11 @@ def test_texts_of_pdf_pages():
     table = b"1 beginbfchar <0041> <00C9> endbfchar 1 beginbfrange <0100> <0102> <0061> endbfrange"
     raw = b"%%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Type/Pages/Kids[3 0 R]/Resources<</Font<</F1 4 0 R>>>>>> endobj 3 0 obj <</Type/Page/Contents [5 0 R]>> endobj 4 0 obj <</Type/Font/Subtype/Type1>> endobj 5 0 obj <</Length %d>> stream\n%s\nendstream endobj" % (len(page), page)
     assert pdf.page_texts(raw) == ["Revenue grew\n\x00A\nA(x)"]
-    wide = raw.replace(b"/Subtype/Type1>>", b"/Subtype/Type0/ToUnicode 6 0 R>>").replace(page, page.replace(b"(\\101\\(x\\)) '", b"<00410101> '")) + b" 6 0 obj <</Length 9>> stream\n" + table + b"\nendstream endobj"
+    wide = raw.replace(
+        b"/Subtype/Type1>>", b"/Subtype/Type0/ToUnicode 6 0 R>>"
+    ).replace(
+        page, page.replace(b"(\\101\\(x\\)) '", b"<00410101> '")
+    ) + b" 6 0 obj <</Length 9>> stream\n" + table + b"\nendstream endobj"
     assert pdf.page_texts(wide)[0].endswith("É\nÉb")
     for bad in (b"", b"plain", b"%PDF-1.4 /Encrypt 3 0 R"):
         with pytest.raises(ValueError):
@@ -127,20 +155,38 @@ def test_texts_of_pdf_pages():
 
 def test_the_evaluation_set_has_all_categories(spark):
     names = ["acme", *(f"{chr(97 + i % 26)}{'orth' if i < 26 else 'elta'}" for i in range(45))]
-    rows = [(f"{n}-tools-inc", n[:3].upper() if i % 4 else None, y, "net income", str(1000 * i + y), 2, f"net income {1000 * i + y} {y}") for i, n in enumerate(names) for y in (2019, 2020)]
+    rows = [
+        (
+            f"{n}-tools-inc",
+            n[:3].upper() if i % 4 else None,
+            y,
+            "net income",
+            str(1000 * i + y),
+            2,
+            f"net income {1000 * i + y} {y}"
+        ) for i, n in enumerate(names) for y in (2019, 2020)
+    ]
     rows += [("acme-works", "ACW", 2020, "gross profit", "77", 1, "gross profit 77")]
     facts_ = spark.createDataFrame(rows, "company string, ticker string, fiscal_year int, label string, value string, n_figures int, source_line string")
     got = facts.evaluation_set(facts_, facts_.select("company", "ticker").distinct()).collect()
     by = collections.Counter(r.category for r in got)
-    assert list(dict.fromkeys(r.category for r in sorted(got, key=lambda r: r.id))) == list(facts.QUOTAS) and [r.id for r in sorted(got, key=lambda r: r.id)] == list(range(1, len(got) + 1))
-    assert all(by[k] <= n for k, n in facts.QUOTAS.items()) and by["exact_fact"] == 13 and by["off_topic"] == 4 and by["fiscal_year_discrimination"] == 8 and by["disambiguation"] == 2
+    assert list(
+        dict.fromkeys(r.category for r in sorted(got, key=lambda r: r.id))
+    ) == list(facts.QUOTAS) and [r.id for r in sorted(got, key=lambda r: r.id)] == list(range(1, len(got) + 1))
+    assert all(
+        by[k] <= n for k, n in facts.QUOTAS.items()
+    ) and by["exact_fact"] == 13 and by["off_topic"] == 4 and by["fiscal_year_discrimination"] == 8 and by["disambiguation"] == 2
     taken = [{r.company for r in got if r.category == k} for k in ("exact_fact", "fuzzy_no_ticker", "typo_tolerance", "language_parity")]
     assert all(not a & b for i, a in enumerate(taken) for b in taken[:i])
 
 
 def test_filter_reaches_the_scan(spark, tmp_path):
-    spark.range(10).select("id", (F.col("id") % 2).cast("string").alias("company"), F.lit(2020).alias("fiscal_year")).write.parquet(f"{tmp_path}/t")
-    plan = search.filtered(spark.read.parquet(f"{tmp_path}/t"), company=["1"], fiscal_year=2020)._jdf.queryExecution().executedPlan().toString()
+    spark.range(10).select(
+        "id", (F.col("id") % 2).cast("string").alias("company"), F.lit(2020).alias("fiscal_year")
+    ).write.parquet(f"{tmp_path}/t")
+    plan = search.filtered(
+        spark.read.parquet(f"{tmp_path}/t"), company=["1"], fiscal_year=2020
+    )._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(fiscal_year,2020)" in plan and ("In(company, [1])" in plan or "EqualTo(company,1)" in plan)
 
 
@@ -164,7 +210,9 @@ def test_bad_files_are_rows(spark, tmp_path):
         return raw.decode().split("|")
 
     rows = readers.pages_of(readers.pdf_files(spark, str(tmp_path), content=True), extract).collect()
-    assert sorted((r.path.rsplit("/", 1)[1], r.page_number, r.text) for r in rows if not r.error) == [("a.pdf", 1, "one"), ("a.pdf", 2, "two")]
+    assert sorted(
+        (r.path.rsplit("/", 1)[1], r.page_number, r.text) for r in rows if not r.error
+    ) == [("a.pdf", 1, "one"), ("a.pdf", 2, "two")]
     assert [r.error for r in rows if r.error] == ["ValueError: broken"]
 
 

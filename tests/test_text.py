@@ -18,7 +18,15 @@ ODD = st.text(alphabet=st.sampled_from(list("ab Zé1-.\n\t,$%()’'·½  ")),
 @given(st.lists(ODD, min_size=20, max_size=40))
 def test_expressions_follow_re(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("t", T.collapse_dots(F.col("t")).alias("dots"), T.dehyphenate(F.col("t")).alias("hyphen"), T.tokens(F.col("t")).alias("tokens"), T.normal_label(F.col("t")).alias("label"), T.strip(F.col("t")).alias("strip"), T.numeric_density(F.col("t")).alias("d")).collect()
+    rows = df.select(
+        "t",
+        T.collapse_dots(F.col("t")).alias("dots"),
+        T.dehyphenate(F.col("t")).alias("hyphen"),
+        T.tokens(F.col("t")).alias("tokens"),
+        T.normal_label(F.col("t")).alias("label"),
+        T.strip(F.col("t")).alias("strip"),
+        T.numeric_density(F.col("t")).alias("d")
+    ).collect()
     for r in rows:
         assert r.hyphen == re.sub(r"([a-z])-\n([a-z])", r"\1\2", r.t)
         assert r.tokens == r.t.split()
@@ -30,12 +38,16 @@ def test_expressions_follow_re(spark, texts):
 
 def test_chunks_cover_and_overlap(spark):
     words = [f"w{i}" for i in range(1000)]
-    df = spark.createDataFrame([(1, " ".join(words)), (2, "one"), (3, ""), (4, " ".join(words[:350])), (5, " ".join(words[:351]))], "d int, text string")
+    df = spark.createDataFrame(
+        [(1, " ".join(words)), (2, "one"), (3, ""), (4, " ".join(words[:350])), (5, " ".join(words[:351]))], "d int, text string"
+    )
     rows = chunk.word_chunks(df).orderBy("d", "chunk_index").collect()
     by = {d: [r for r in rows if r.d == d] for d in range(1, 6)}
     assert [len(by[d]) for d in range(1, 6)] == [1 + -(-(1000 - 350) // 300), 1, 0, 1, 2]
     parts = by[1]
-    assert "".join(p.content[: (parts[i + 1].char_start - p.char_start) if i + 1 < len(parts) else None] for i, p in enumerate(parts)) == " ".join(words)
+    assert "".join(
+        p.content[: (parts[i + 1].char_start - p.char_start) if i + 1 < len(parts) else None] for i, p in enumerate(parts)
+    ) == " ".join(words)
     for a, b in zip(parts, parts[1:]):
         assert a.content.split()[-50:] == b.content.split()[:50]
 
@@ -44,7 +56,12 @@ def test_boundaries_are_where_re_finds_them(spark):
     text = "PART I\n\n Item 1. A\nx Item 2. no\nITEM 1A - b\n\npart iv\nItem 7.1.B. c\n"
     item = re.compile(r"^\s*ITEM\s*(\d+[A-Z]?(?:\.\d+)?(?:\.[A-Z])?)\.?[\s—-]", re.I | re.M)
     part = re.compile(r"^\s*PART\s*([IVX]+)\b", re.I | re.M)
-    want = sorted([(m.start(), f"Item {m[1].upper()}") for m in item.finditer(text)] + [(m.start(), f"Part {m[1].upper()}") for m in part.finditer(text)], key=lambda x: x[0])
+    want = sorted(
+        [
+            (m.start(), f"Item {m[1].upper()}") for m in item.finditer(text)
+        ] + [(m.start(), f"Part {m[1].upper()}") for m in part.finditer(text)],
+        key=lambda x: x[0]
+    )
     got = spark.createDataFrame([(text,)], "t string").select(chunk.boundaries(F.col("t")).alias("b")).first().b
     assert [(b.start, b.label) for b in got] == want
 
@@ -66,16 +83,34 @@ def test_chunks_of_a_long_document(spark):
 
 
 def test_tickers_with_signs(spark):
-    q = spark.createDataFrame([(1, "How did BRK.B do in 2020?"), (2, "brk.b, then"), (3, "BRKXB or BRK"), (4, "the BF-B share"), (5, "AAL in 2022"), (6, "AALX")], "question_id int, question string")
-    e = spark.createDataFrame([("berkshire", "BRK.B"), ("brown-forman", "BF-B"), ("american", "AAL"), ("odd", ".")], "company string, ticker string")
-    assert {r.question_id: r.company for r in resolve.by_ticker(q, e).collect()} == {1: "berkshire", 2: "berkshire", 4: "brown-forman", 5: "american"}
-    pairs = q.crossJoin(e.where("company <> 'odd'")).select("question_id", "company", T.names_ticker(F.col("question"), F.col("ticker")).alias("named")).where("named").collect()
+    q = spark.createDataFrame(
+        [
+            (1, "How did BRK.B do in 2020?"),
+            (2, "brk.b, then"),
+            (3, "BRKXB or BRK"),
+            (4, "the BF-B share"),
+            (5, "AAL in 2022"),
+            (6, "AALX")
+        ],
+        "question_id int, question string"
+    )
+    e = spark.createDataFrame(
+        [("berkshire", "BRK.B"), ("brown-forman", "BF-B"), ("american", "AAL"), ("odd", ".")], "company string, ticker string"
+    )
+    assert {
+        r.question_id: r.company for r in resolve.by_ticker(q, e).collect()
+    } == {1: "berkshire", 2: "berkshire", 4: "brown-forman", 5: "american"}
+    pairs = q.crossJoin(e.where("company <> 'odd'")).select(
+        "question_id", "company", T.names_ticker(F.col("question"), F.col("ticker")).alias("named")
+    ).where("named").collect()
     assert {(r.question_id, r.company) for r in pairs} == {(1, "berkshire"), (2, "berkshire"), (4, "brown-forman"), (5, "american")}
 
 
 def test_white_space_is_that_of_every_script(spark):
     codes = [c for c in range(0x3100) if not 0xD800 <= c < 0xE000]
-    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, t string").select("c", F.size(T.tokens(F.col("t"))).alias("n"), T.strip(F.substring("t", 2, 1)).alias("s")).collect()
+    rows = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, t string").select(
+        "c", F.size(T.tokens(F.col("t"))).alias("n"), T.strip(F.substring("t", 2, 1)).alias("s")
+    ).collect()
     assert {r.c for r in rows if r.n == 2} == {r.c for r in rows if r.s == ""} == {c for c in codes if chr(c).isspace()}
 
 
@@ -96,7 +131,10 @@ def test_ratio_and_unicode(spark):
 
 
 def test_resolver_fails_open(spark):
-    q = spark.createDataFrame([(1, "What are general trends in the pharma industry?"), (2, "Antares Pharma in 2014"), (3, "growth in 2022")], "question_id int, question string")
+    q = spark.createDataFrame(
+        [(1, "What are general trends in the pharma industry?"), (2, "Antares Pharma in 2014"), (3, "growth in 2022")],
+        "question_id int, question string"
+    )
     e = spark.createDataFrame([("antares-pharma-inc", None)], "company string, ticker string")
     got = {r.question_id: (r.company, r.fiscal_year) for r in resolve.resolve(q, e).collect()}
     assert got == {1: (None, None), 2: ("antares-pharma-inc", 2014), 3: (None, None)}
