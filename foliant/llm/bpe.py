@@ -81,9 +81,13 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        steps = [x.get("normalizers", x) for x in [spec["normalizer"] or {}]] + [(spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["decoder"], spec["post_processor"]]
+        steps = [x.get("normalizers", x) for x in [spec["normalizer"] or {}]] + [
+            (spec["pre_tokenizer"] or {}).get("pretokenizers"), spec["decoder"], spec["post_processor"]
+        ]
         odd = {"byte_fallback": False, "ignore_merges": False, "dropout": None, "continuing_subword_prefix": None, "unk_token": None}
-        if steps != STEPS or any(model.get(k, v) != v for k, v in odd.items()) or any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]):
+        if steps != STEPS or any(model.get(k, v) != v for k, v in odd.items()) or any(
+            x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"]
+        ):
             raise ValueError(f"{path}: a tokenizer of another kind; its steps are {steps}")
         self.suffix = model["end_of_word_suffix"] or ""
         vocab: dict[str, int] = model["vocab"]
@@ -100,7 +104,9 @@ class WordBpe:
         for word, i in [*vocab.items(), *self.special.items()]:
             self.token[i] = word
         self._words, self._common = regex.compile(WORDS), re.compile(WORDS_COMMON)
-        self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._marks = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        ) if self.special else None
         self.cache = PieceCache(lambda pieces: flattened(map(self.merge, pieces)), CACHED)
 
     def merge(self, piece: str) -> list[int]:

@@ -48,7 +48,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 100, at: list[str]
         down = sound(large)
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = _star(down, "u", least)
-        pairs = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        pairs = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
+            least.select(F.col("u").alias("a"), F.col("m").alias("b"))
+        )
         before = kept[:]
         kept.clear()
         now = written(sound(pairs), "edges", kept, 16 * seen[0])
@@ -62,4 +64,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100, at: list[str]
     if at is not None:
         at.extend(kept)
     tops = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
+    return now.select(
+        F.col("u").alias("node"), F.col("v").alias("component")
+    ).unionByName(tops.select("node", F.col("node").alias("component")))

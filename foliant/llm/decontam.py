@@ -51,14 +51,20 @@ def _grams(words: Column, sizes: list[int]) -> Column:
 
 def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Distinct windows: ``words``, ``n`` (their number), ``size`` (of shingle) and the ``items`` that have them."""
-    rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(text_of(text)).alias("all")).where(F.size("all") > 0)
+    rows = items.select(
+        F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(text_of(text)).alias("all")
+    ).where(F.size("all") > 0)
     n = F.least(F.size("all"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("all") - n + 1)
     each = rows.select("item", n.alias("n"), F.explode(F.transform(starts, lambda s: F.slice("all", s, n))).alias("words"))
-    return each.groupBy("words").agg(F.first("n").alias("n"), F.collect_set("item").alias("items")).withColumn("size", F.least("n", F.lit(GRAM)))
+    return each.groupBy("words").agg(
+        F.first("n").alias("n"), F.collect_set("item").alias("items")
+    ).withColumn("size", F.least("n", F.lit(GRAM)))
 
 
-def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, max_broadcast: int = 100_000) -> DataFrame:
+def find_windows(
+    docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, max_broadcast: int = 100_000
+) -> DataFrame:
     """``docs`` without its text, with ``n_words``, ``n_hit`` (words inside a window), and ``hit_items`` (sorted).
 
     Up to ``max_broadcast`` shingles, of windows of ``BROADCAST_BYTES`` with the items that have them, are sent to all executors."""
@@ -72,9 +78,18 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int,
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # three values at most
     kept = [c for c in docs.columns if c not in (text, "n_words", "n_hit", "hit_items")]
     content = F.col(f"`{text}`")
-    own = spread(docs).select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), digest_of(content).alias("digest"), words_of(F.coalesce(content, F.lit(""))).alias("words"))
+    own = spread(docs).select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"),
+        digest_of(content).alias("digest"),
+        words_of(F.coalesce(content, F.lit(""))).alias("words")
+    )
     if not sizes:
-        return own.select("doc.*", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("hit_items"))
+        return own.select(
+            "doc.*",
+            F.size("words").cast("long").alias("n_words"),
+            F.lit(0).cast("long").alias("n_hit"),
+            F.array().cast("array<string>").alias("hit_items")
+        )
 
     parts = windows.select("words", "n", "items", "size", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("offset"))
     gram = F.when(F.col("size") == sizes[0], _gram(F.col("words"), F.col("offset"), sizes[0]))
@@ -98,14 +113,26 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int,
 
     # Each window under its rarest shingle; a window with a shingle that no document has is in none.
     counts = spots.groupBy("gram").count()
-    rarest = parts.join(counts, "gram", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "gram")).alias("p"), F.first("n").alias("n"), F.first("items").alias("items"))
-    prefixes = written(rarest.where("p.count > 0").select("p.gram", "p.offset", F.col("words").alias("window"), "n", "items"), "prefixes", at, size)
+    rarest = parts.join(counts, "gram", "left").groupBy("words").agg(
+        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "gram")).alias("p"),
+        F.first("n").alias("n"),
+        F.first("items").alias("items")
+    )
+    prefixes = written(
+        rarest.where("p.count > 0").select("p.gram", "p.offset", F.col("words").alias("window"), "n", "items"), "prefixes", at, size
+    )
 
     # Texts with such a shingle are read again, by digest; its places carry only the words around them.
-    places = spots.join(sent(prefixes.select("gram").distinct()), "gram").groupBy("digest").agg(F.collect_set(F.struct("at", "gram")).alias("places"))
+    places = spots.join(sent(prefixes.select("gram").distinct()), "gram").groupBy("digest").agg(
+        F.collect_set(F.struct("at", "gram")).alias("places")
+    )
     places = written(places, "places", at)
     wanted = F.broadcast(places) if fits(places) else places.hint("rebalance")
-    texts = spread(docs.select(content.alias("__text"))).select(digest_of(F.col("__text")).alias("digest"), "__text").join(wanted, "digest").select("digest", words_of(F.col("__text")).alias("words"), "places")
+    texts = spread(docs.select(content.alias("__text"))).select(
+        digest_of(F.col("__text")).alias("digest"), "__text"
+    ).join(wanted, "digest").select(
+        "digest", words_of(F.col("__text")).alias("words"), "places"
+    )
     around = 2 * window - 1
 
     def context(words: Column, place: Column) -> Column:
@@ -113,12 +140,19 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int,
         return F.struct(place.alias("at"), low.alias("low"), F.slice(words, low + 1, around).alias("near"))
 
     each = F.explode(F.transform("places", lambda g: F.struct(g["gram"].alias("gram"), context(F.col("words"), g["at"]).alias("c"))))
-    joined = texts.select("digest", F.size("words").alias("n_words"), each.alias("g")).select("digest", "n_words", "g.gram", "g.c").join(sent(prefixes), "gram")
+    joined = texts.select(
+        "digest", F.size("words").alias("n_words"), each.alias("g")
+    ).select("digest", "n_words", "g.gram", "g.c").join(sent(prefixes), "gram")
     start = F.col("c.at") - F.col("offset")
     inside = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
     same = F.slice(F.col("c.near"), F.greatest(start - F.col("c.low") + 1, F.lit(1)), F.col("n")) == F.col("window")
-    found = joined.where(inside & same).select("digest", F.struct(start.alias("start"), (start + F.col("n")).alias("end")).alias("hit"), "items")
-    by_text = found.groupBy("digest").agg(F.sort_array(F.collect_set("hit")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
+    found = joined.where(inside & same).select(
+        "digest", F.struct(start.alias("start"), (start + F.col("n")).alias("end")).alias("hit"), "items"
+    )
+    by_text = found.groupBy("digest").agg(
+        F.sort_array(F.collect_set("hit")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items")
+    )
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum")),
@@ -129,7 +163,12 @@ def _found(docs: DataFrame, items: DataFrame, text: str, item: str, window: int,
     # Rows of a hot text are split where verdicts aren't sent to all.
     verdicts = F.broadcast(judged) if fits(judged) else judged.hint("rebalance")
     none = F.array().cast("array<string>")
-    return rows.join(verdicts, "digest", "left").select("doc.*", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("hit_items", none).alias("hit_items"))
+    return rows.join(verdicts, "digest", "left").select(
+        "doc.*",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("hit_items", none).alias("hit_items")
+    )
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:

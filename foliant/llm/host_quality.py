@@ -47,7 +47,13 @@ def measures(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
     content = text_of(text)
     words = F.array_remove(F.split(content, SPACE), "")
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    one = spread(docs.select(key, host, text)).select(F.col(key), F.col(host).alias("host"), words.alias("words"), lines.alias("lines"), F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    one = spread(docs.select(key, host, text)).select(
+        F.col(key),
+        F.col(host).alias("host"),
+        words.alias("words"),
+        lines.alias("lines"),
+        F.regexp_count(content, F.lit(SYMBOLS)).cast("long").alias("n_symbols")
+    )
     two = one.select(
         key,
         "host",
@@ -59,7 +65,11 @@ def measures(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
     ).withColumn("windows", _sorted(F.col("hashes"))).drop("hashes")
     # One walk over the sorted windows keeps the places of those whose hash stands next to an equal one.
     first = F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("at"))
-    twice = F.zip_with(F.concat(F.array(first), "windows"), F.concat("windows", F.array(first)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])))
+    twice = F.zip_with(
+        F.concat(F.array(first), "windows"),
+        F.concat("windows", F.array(first)),
+        lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"]))
+    )
     three = two.withColumn("places", F.sort_array(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))).drop("windows")
     covered = F.aggregate(
         "places",
@@ -76,7 +86,9 @@ def prior(hosts: DataFrame) -> tuple[float, float]:
     """Alpha and beta of hosts' failure rates by moments, from ``hosts(n, failed)``; (1, 1) where rates don't vary."""
     # Rates are weighed alike, and the spread that n draws give by chance is taken off.
     rate = F.col("failed") / F.col("n")
-    row = hosts.agg(F.count("*").alias("k"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
+    row = hosts.agg(
+        F.count("*").alias("k"), F.avg(rate).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inv")
+    ).first()
     if not row["k"] or row["var"] is None:
         return 1.0, 1.0
     mean, chance = row["mean"], row["mean"] * (1 - row["mean"])

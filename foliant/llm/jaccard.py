@@ -114,7 +114,9 @@ def _paths(rows: DataFrame, t: int, threshold: float, runs: int) -> DataFrame:
                 part = batch.slice(a, 4096)
                 ids, sketches = part.column("id").to_numpy(), _matrix(part.column("sketch"), t)
                 for r in range(1 if on else runs):
-                    before = part.column("path").to_numpy().view(np.uint64) if on else np.full(len(ids), mixed(np.array([r + 1], np.uint64))[0])
+                    before = part.column("path").to_numpy().view(np.uint64) if on else np.full(
+                        len(ids), mixed(np.array([r + 1], np.uint64))[0]
+                    )
                     row, new = _chosen(sketches, before, threshold)
                     if len(row):
                         yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(ids[row])], names=["path", "id"])
@@ -127,7 +129,9 @@ def _paired(rows: DataFrame, group: Column) -> DataFrame:
     Two rows of a group meet in exactly one ``g``."""
     spread = rows.withColumn("other", F.explode("others"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return spread.withColumn("g", F.xxhash64(group, low, high)).withColumn("cross", F.col("block") != F.col("other")).drop("others", "other")
+    return spread.withColumn("g", F.xxhash64(group, low, high)).withColumn(
+        "cross", F.col("block") != F.col("other")
+    ).drop("others", "other")
 
 
 def _place(blocks: Column) -> Column:
@@ -150,10 +154,19 @@ def _layout(members: DataFrame, threshold: float) -> DataFrame:
     blocks grow with their cluster, from an eighth of ``CLUSTER_BLOCK`` to twice that: a small one has groups for many tasks, a large one few copies.
     """
     sizes = members.groupBy("cluster", _band(threshold).alias("band")).agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    whole = sizes.groupBy(F.col("cluster").alias("__cluster")).agg(F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles"), F.collect_list(F.struct("band", "texts", "shingles")).alias("bands"))
+    whole = sizes.groupBy(F.col("cluster").alias("__cluster")).agg(
+        F.sum("texts").alias("texts"),
+        F.sum("shingles").alias("shingles"),
+        F.collect_list(F.struct("band", "texts", "shingles")).alias("bands")
+    )
     block = F.least(F.lit(2 * CLUSTER_BLOCK), F.greatest(F.lit(max(1, CLUSTER_BLOCK // 8)), F.ceil(F.col("texts") / 32)))
-    parts = F.transform("bands", lambda b: F.struct(b["band"], F.greatest(F.ceil(b["texts"] / block), F.ceil(b["shingles"] / CLUSTER_SHINGLES)).cast("long")))
-    return whole.where((F.col("texts") > CLUSTER_BLOCK) | (F.col("shingles") > CLUSTER_SHINGLES)).select("__cluster", F.map_from_entries(parts).alias("bands"))
+    parts = F.transform(
+        "bands",
+        lambda b: F.struct(b["band"], F.greatest(F.ceil(b["texts"] / block), F.ceil(b["shingles"] / CLUSTER_SHINGLES)).cast("long"))
+    )
+    return whole.where(
+        (F.col("texts") > CLUSTER_BLOCK) | (F.col("shingles") > CLUSTER_SHINGLES)
+    ).select("__cluster", F.map_from_entries(parts).alias("bands"))
 
 
 def _band(threshold: float) -> Column:
@@ -304,29 +317,55 @@ def classes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     return _classed(docs, key=key, **options).select(key, "class_id", "n_links")
 
 
-def _classed(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, recall: float = 0.999, depth: int = 3, small: int = 512, t: int = SKETCH, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+def _classed(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    k: int = SHINGLE,
+    recall: float = 0.999,
+    depth: int = 3,
+    small: int = 512,
+    t: int = SKETCH,
+    key: str = "doc_id",
+    text: str = "text",
+    max_broadcast: int = BROADCAST_BYTES
+) -> DataFrame:
     """``classes`` with the text's ``digest`` and ``top``, the digest of the text that stands for the class under its least key (null for a
     text without words). Tables of up to ``max_broadcast`` bytes are sent to all executors."""
     spark = ship(docs.sparkSession)
     n_rows = docs.count()
     with passing(spark) as at:
-        grouped = _sketched(docs, key, text, t, k).groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+        grouped = _sketched(docs, key, text, t, k).groupBy("digest").agg(
+            F.min("key").alias("first_key"),
+            F.count("*").alias("copies"),
+            F.first("sketch").alias("sketch"),
+            F.first("n").alias("n")
+        )
         # Numbers are given once, in a written table, so they stay.
         texts = written(grouped.withColumn("id", F.monotonically_increasing_id()), "texts", at, n_rows * (80 + 4 * t))
         worded = texts.where("n > 0")
         clusters = _clusters(worded.select("id", "sketch"), threshold, runs_for(recall, depth, threshold, t), depth, small, t, at)
-        members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(texts.select("id", F.col("digest").alias("__digest"), "first_key", "copies", "n"), "id")
+        members = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(
+            texts.select("id", F.col("digest").alias("__digest"), "first_key", "copies", "n"), "id"
+        )
         wanted = F.broadcast(members) if fits(members, max_broadcast) else members.hint("shuffle_hash")
         source = docs.select(F.col(key).alias("__key"), digest_of(F.col(text)).alias("digest"), text_of(text).alias("text"))
-        found = source.join(wanted, (F.col("digest") == F.col("__digest")) & F.col("__key").eqNullSafe(F.col("first_key"))).select("id", "cluster", "copies", "n", "text")
+        found = source.join(
+            wanted, (F.col("digest") == F.col("__digest")) & F.col("__key").eqNullSafe(F.col("first_key"))
+        ).select("id", "cluster", "copies", "n", "text")
         layout = _layout(members, threshold)
         # Dealt anew where it isn't sent to all, so that a hot cluster is split.
         layout = F.broadcast(layout) if fits(layout, max_broadcast) else layout.hint("rebalance")
         links = _verified(_cluster_blocks(_sets(found, k), layout, threshold), threshold)
-        links = written(links.groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("top").alias("tops")), "links", at, n_rows * 40)
+        links = written(
+            links.groupBy("id").agg(F.sum("links").alias("links"), F.collect_set("top").alias("tops")), "links", at, n_rows * 40
+        )
         tops = connected_components(links.select(F.col("id").alias("a"), F.explode("tops").alias("b")), at=at, about=n_rows)
         per_text = links.select("id", "links").join(tops.select(F.col("node").alias("id"), "component"), "id")
-        full = written(texts.select("id", "digest", "first_key", "copies", (F.col("n") > 0).alias("worded")).join(per_text, "id", "left"), "members", size=n_rows * 80)
+        full = written(
+            texts.select("id", "digest", "first_key", "copies", (F.col("n") > 0).alias("worded")).join(per_text, "id", "left"),
+            "members",
+            size=n_rows * 80
+        )
 
     # The class's least key, and the least digest that has it; nulls stand last.
     least = F.min(F.struct(F.col("first_key").isNull().alias("none"), F.col("first_key").alias("name"), F.col("digest").alias("top")))
@@ -334,8 +373,16 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, re
     names = linked.groupBy("component").agg(least.alias("least"))
     names = F.broadcast(names) if fits(names, max_broadcast) else names.hint("rebalance")
     # Texts without links are nearly all, and have no part in this join.
-    of_class = linked.join(names, "component").select("digest", "worded", F.col("least.name").alias("name"), F.col("least.top").alias("top"), (F.col("links") + F.col("copies") - 1).alias("n"))
-    alone = full.where("component IS NULL").select("digest", "worded", F.col("first_key").alias("name"), F.col("digest").alias("top"), (F.col("copies") - 1).alias("n"))
+    of_class = linked.join(names, "component").select(
+        "digest",
+        "worded",
+        F.col("least.name").alias("name"),
+        F.col("least.top").alias("top"),
+        (F.col("links") + F.col("copies") - 1).alias("n")
+    )
+    alone = full.where("component IS NULL").select(
+        "digest", "worded", F.col("first_key").alias("name"), F.col("digest").alias("top"), (F.col("copies") - 1).alias("n")
+    )
     rows = docs.select(F.col(key).alias("key"), digest_of(F.col(text)).alias("digest")).join(of_class.unionByName(alone), "digest")
     own = F.col("worded")
     return rows.select(
@@ -375,7 +422,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broad
     stands = F.col(key).eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("top"))
     marks = judged.where("top IS NOT NULL").groupBy(key, "digest").agg(F.count("*").alias("rows"), F.bool_and(stands).alias("stands"))
     # Rows that simply stay have no mark, and most do.
-    marked = written(marks.where("NOT stands OR rows > 1").select(F.col(key).alias("__key"), F.col("digest").alias("__digest"), "stands"), "marks", size=48 * docs.count())
+    marked = written(
+        marks.where("NOT stands OR rows > 1").select(F.col(key).alias("__key"), F.col("digest").alias("__digest"), "stands"),
+        "marks",
+        size=48 * docs.count()
+    )
     sent = F.broadcast if fits(marked, max_broadcast) else (lambda df: df)
     same = docs[key].eqNullSafe(marked["__key"]) & (digest_of(docs[text]) == marked["__digest"])
     kept = docs.join(sent(marked), same, "left_anti")
@@ -385,5 +436,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broad
     whole = docs.join(sent(repeated), same, "left_semi")
     plain = [f"`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = whole.groupBy(F.col(f"`{key}`").alias("__key"), digest_of(F.col(f"`{text}`")).alias("__digest")).agg(F.min_by(row, F.xxhash64(*plain)).alias("__row"))
+    one = whole.groupBy(
+        F.col(f"`{key}`").alias("__key"), digest_of(F.col(f"`{text}`")).alias("__digest")
+    ).agg(F.min_by(row, F.xxhash64(*plain)).alias("__row"))
     return kept.unionByName(one.select("__row.*"))

@@ -125,7 +125,15 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc0": ("CC0", "CC0 1.0 Universal", "CC0-1.0", "Creative Commons Zero"),
 }
 #: How notices bring a name in.
-PHRASES = ("Licensed under the {}.", "Released under the {}.", "This project is licensed under the terms of the {}.", "Distributed under {}", "available under the {}", "License: {}", "SPDX-License-Identifier: {}")
+PHRASES = (
+    "Licensed under the {}.",
+    "Released under the {}.",
+    "This project is licensed under the terms of the {}.",
+    "Distributed under {}",
+    "available under the {}",
+    "License: {}",
+    "SPDX-License-Identifier: {}"
+)
 TEMPLATES: dict[str, tuple[str, ...]] = {f: (*TEXTS[f], *(p.format(n) for n in NAMES.get(f, ()) for p in PHRASES)) for f in TEXTS}
 #: Sentences with the same words that grant nothing.
 OTHERS = (
@@ -230,7 +238,9 @@ def trained(copies: int = 5, l2: float = 1e-4, rounds: int = 300) -> Classifier:
     held = logits()[apart]
     temperature = min(np.linspace(0.5, 3, 26), key=lambda t: -np.log((_softmax(held / t) * y[apart]).sum(1) + 1e-12).sum())
     keep = np.abs(w).sum(1) > 0
-    return Classifier(families, telling, tuple(g for g, k in zip(grams, keep, strict=True) if k), np.round(w[keep], 6), b, float(temperature))
+    return Classifier(
+        families, telling, tuple(g for g, k in zip(grams, keep, strict=True) if k), np.round(w[keep], 6), b, float(temperature)
+    )
 
 
 def _summed(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -273,7 +283,10 @@ def _template_table(spark: SparkSession, c: Classifier) -> DataFrame:
             own = pairs_of(words_of(t), c.telling)
             for pair in own:
                 rows.setdefault((pair, k), []).append((i, len(own)))
-    return spark.createDataFrame([(g, k, found) for (g, k), found in sorted(rows.items())], "gram string, best int, templates array<struct<t: int, size: int>>")
+    return spark.createDataFrame(
+        [(g, k, found) for (g, k), found in sorted(rows.items())],
+        "gram string, best int, templates array<struct<t: int, size: int>>"
+    )
 
 
 def _has_anchor(text: Column) -> Column:
@@ -285,41 +298,90 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
     """A written row a row: ``row``, its other columns as ``doc``, ``n_paragraphs``, and ``units``: paragraphs and lines with an anchor."""
     kept = [F.col(f"`{x}`") for x in docs.columns if x != text]
     paragraphs = F.filter(F.split(text_of(f"`{text}`"), PARAGRAPH_END), lambda x: x.rlike(r"\S"))
-    rows = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.struct(*kept, F.lit(None).cast("int").alias("__none")).alias("doc"), paragraphs.alias("paragraphs"))
-    named = F.filter(F.transform("paragraphs", lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda s: _has_anchor(s["text"]))
+    rows = spread(docs).select(
+        F.monotonically_increasing_id().alias("row"),
+        F.struct(*kept, F.lit(None).cast("int").alias("__none")).alias("doc"),
+        paragraphs.alias("paragraphs")
+    )
+    named = F.filter(
+        F.transform("paragraphs", lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda s: _has_anchor(s["text"])
+    )
 
     def lines(s: Column) -> Column:
-        own = F.transform(F.split(s["text"], "\n"), lambda x, j: F.struct(s["paragraph"].alias("paragraph"), (j + 1).alias("line"), x.alias("text")))
+        own = F.transform(
+            F.split(s["text"], "\n"),
+            lambda x, j: F.struct(s["paragraph"].alias("paragraph"), (j + 1).alias("line"), x.alias("text"))
+        )
         whole = F.array(F.struct(s["paragraph"].alias("paragraph"), F.lit(0).alias("line"), s["text"].alias("text")))
         return F.when(F.size(own) > 1, F.concat(whole, F.filter(own, lambda x: _has_anchor(x["text"])))).otherwise(whole)
 
-    return written(rows.select("row", "doc", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.flatten(F.transform(named, lines)).alias("units")), "paragraphs")
+    return written(
+        rows.select(
+            "row",
+            "doc",
+            F.size("paragraphs").cast("long").alias("n_paragraphs"),
+            F.flatten(F.transform(named, lines)).alias("units")
+        ),
+        "paragraphs"
+    )
 
 
 def _judged(numbered: DataFrame, least_p: float, least_cover: float) -> DataFrame:
     c = trained()
     spark, k = numbered.sparkSession, len(c.families)
     telling = F.array(*(F.lit(w) for w in sorted(c.telling)))
-    units = numbered.select("row", F.explode("units").alias("u")).select("row", "u.paragraph", "u.line", _words(F.col("u.text")).alias("words"))
-    neighbours = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    units = numbered.select("row", F.explode("units").alias("u")).select(
+        "row", "u.paragraph", "u.line", _words(F.col("u.text")).alias("words")
+    )
+    neighbours = F.zip_with(
+        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
+        F.slice("words", 2, F.size("words")),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    )
     marked = units.select("row", "paragraph", "line", F.array_intersect("words", telling).alias("own"), neighbours.alias("next"))
-    pairs = F.array_distinct(F.transform(F.filter("next", lambda p: F.array_contains("own", p["a"]) | F.array_contains("own", p["b"])), lambda p: F.concat_ws(" ", p["a"], p["b"])))
+    pairs = F.array_distinct(
+        F.transform(
+            F.filter("next", lambda p: F.array_contains("own", p["a"]) | F.array_contains("own", p["b"])),
+            lambda p: F.concat_ws(" ", p["a"], p["b"])
+        )
+    )
     unit = ["row", "paragraph", "line"]
-    grams = marked.select(*unit, "own", pairs.alias("pairs")).select(*unit, F.size("pairs").alias("n_pairs"), F.explode(F.concat("own", "pairs")).alias("gram"))
+    grams = marked.select(*unit, "own", pairs.alias("pairs")).select(
+        *unit, F.size("pairs").alias("n_pairs"), F.explode(F.concat("own", "pairs")).alias("gram")
+    )
     sums = [F.round(F.sum(F.get("w", F.lit(i))), 9).alias(f"z{i}") for i in range(k + 1)]
-    scored = grams.join(F.broadcast(_model_table(spark, c)), "gram").groupBy(*unit).agg(F.first("n_pairs").alias("n_pairs"), F.collect_list("gram").alias("grams"), *sums)
+    scored = grams.join(F.broadcast(_model_table(spark, c)), "gram").groupBy(*unit).agg(
+        F.first("n_pairs").alias("n_pairs"), F.collect_list("gram").alias("grams"), *sums
+    )
     logits = F.array(*((F.col(f"z{i}") + float(c.bias[i])) / c.temperature for i in range(k + 1)))
     top = scored.withColumn("logits", logits).withColumn("top", F.array_max("logits"))
     p = 1 / F.aggregate("logits", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))
-    named = top.select(*unit, "n_pairs", "grams", (F.array_position("logits", F.col("top")).cast("int") - 1).alias("best"), F.round(p, 6).alias("p"))
+    named = top.select(
+        *unit,
+        "n_pairs",
+        "grams",
+        (F.array_position("logits", F.col("top")).cast("int") - 1).alias("best"),
+        F.round(p, 6).alias("p")
+    )
     sure = (F.col("best") < k) & (F.col("p") >= least_p)
     family = F.when(sure, F.get(F.array(*map(F.lit, c.families)), F.col("best"))).otherwise(UNKNOWN)
-    shared = named.where(sure).select(*unit, "n_pairs", "best", F.explode("grams").alias("gram")).join(F.broadcast(_template_table(spark, c)), ["gram", "best"])
-    each = shared.select(*unit, "n_pairs", F.explode("templates").alias("t")).groupBy(*unit, "t").agg(F.count("*").alias("n"), F.first("n_pairs").alias("n_pairs"))
+    shared = named.where(sure).select(
+        *unit, "n_pairs", "best", F.explode("grams").alias("gram")
+    ).join(F.broadcast(_template_table(spark, c)), ["gram", "best"])
+    each = shared.select(*unit, "n_pairs", F.explode("templates").alias("t")).groupBy(*unit, "t").agg(
+        F.count("*").alias("n"), F.first("n_pairs").alias("n_pairs")
+    )
     best = each.groupBy(*unit).agg(F.max(F.col("n") / F.col("t.size")).alias("cover"), F.max(F.col("n") / F.col("n_pairs")).alias("inside"))
     joined = named.select(*unit, family.alias("family"), "p").join(best, unit, "left")
     cover, inside = F.coalesce("cover", F.lit(0.0)), F.coalesce("inside", F.lit(0.0))
-    return joined.select(*unit, "family", "p", F.round(cover, 6).alias("cover"), F.round(inside, 6).alias("inside"), ((cover >= least_cover) | (inside >= least_cover)).alias("confirmed"))
+    return joined.select(
+        *unit,
+        "family",
+        "p",
+        F.round(cover, 6).alias("cover"),
+        F.round(inside, 6).alias("inside"),
+        ((cover >= least_cover) | (inside >= least_cover)).alias("confirmed")
+    )
 
 
 def paragraph_licences(docs: DataFrame, least_p: float = 0.6, least_cover: float = 0.6, text: str = "text") -> DataFrame:
@@ -327,14 +389,28 @@ def paragraph_licences(docs: DataFrame, least_p: float = 0.6, least_cover: float
     whole, else that line of a paragraph of several), ``family`` (``unknown`` below ``least_p``), ``p``, ``cover`` and ``inside`` (the best shares of one
     template's telling pairs, and of its own) and ``confirmed``."""
     numbered = _numbered(docs, text)
-    return _judged(numbered, least_p, least_cover).join(numbered.select("row", F.col("doc").dropFields("__none").alias("doc") if len(docs.columns) > 1 else F.col("doc")), "row")
+    return _judged(numbered, least_p, least_cover).join(
+        numbered.select("row", F.col("doc").dropFields("__none").alias("doc") if len(docs.columns) > 1 else F.col("doc")), "row"
+    )
 
 
-def document_licences(docs: DataFrame, key: str = "doc_id", text: str = "text", least_p: float = 0.6, least_cover: float = 0.6) -> DataFrame:
+def document_licences(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least_p: float = 0.6, least_cover: float = 0.6
+) -> DataFrame:
     """Per row: ``key``, ``n_paragraphs`` (with text), ``n_licences`` (paragraphs and families confirmed in them), ``licences`` (those families, sorted,
     joined by commas) and ``best_p`` (null without any)."""
     numbered = _numbered(docs.select(F.col(key), F.col(text)), text)
     confirmed = _judged(numbered, least_p, least_cover).where("confirmed")
-    found = confirmed.groupBy("row").agg(F.size(F.collect_set(F.struct("paragraph", "family"))).cast("long").alias("n_licences"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"), F.max("p").alias("best_p"))
+    found = confirmed.groupBy("row").agg(
+        F.size(F.collect_set(F.struct("paragraph", "family"))).cast("long").alias("n_licences"),
+        F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licences"),
+        F.max("p").alias("best_p")
+    )
     base = numbered.select("row", F.col("doc")[key].alias(key), "n_paragraphs")
-    return base.join(found, "row", "left").select(key, "n_paragraphs", F.coalesce("n_licences", F.lit(0).cast("long")).alias("n_licences"), F.coalesce("licences", F.lit("")).alias("licences"), "best_p")
+    return base.join(found, "row", "left").select(
+        key,
+        "n_paragraphs",
+        F.coalesce("n_licences", F.lit(0).cast("long")).alias("n_licences"),
+        F.coalesce("licences", F.lit("")).alias("licences"),
+        "best_p"
+    )

@@ -27,7 +27,9 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), token_counts.run_cache(spark))
+    counts = token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), token_counts.run_cache(spark)
+    )
     return counts.withColumn("over_limit", counts["n_tokens"] > 4096)
 
 
@@ -39,7 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.select("doc_id", "text"), labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", "toxic"))
     scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= REJECT_AT).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= REJECT_AT).cast("int").alias("predicted")
+    )
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +77,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("hit_items", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), listed.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        listed.alias("items_sha256"),
+        decontam.contaminated().alias("contaminated")
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filters, op2_token_counts, op3_secrets, op4_toxicity, op5_licenses, op6_bpe, op7_host_quality, op8_sst_shards, op9_jaccard, op10_decontamination)
+    found = (
+        op1_url_filters,
+        op2_token_counts,
+        op3_secrets,
+        op4_toxicity,
+        op5_licenses,
+        op6_bpe,
+        op7_host_quality,
+        op8_sst_shards,
+        op9_jaccard,
+        op10_decontamination
+    )
     return {f.__name__: f for f in found}
 
 

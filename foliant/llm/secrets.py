@@ -458,10 +458,17 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for value in batch.column(1):
                 base, spans, layers, refused = find(value.as_py())
                 kinds = [s[2] for s in base]
-                for column, x in zip(out, (*map(kinds.count, KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), layers, refused), strict=True):
+                for column, x in zip(
+                    out,
+                    (*map(kinds.count, KINDS), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans), layers, refused),
+                    strict=True
+                ):
                     column.append(x)
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_refused"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(x, t) for x, t in zip(out, types, strict=True))],
+                names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_refused"]
+            )
 
     return rows.mapInArrow(released(run), f"`{key}` {kind}, {RESULT}")
 

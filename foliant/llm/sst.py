@@ -84,7 +84,11 @@ class ByteBpe:
         those pieces, and a token's bytes tell which of them it belongs to. Other pieces are encoded one by one."""
         joint = [i for i, p in enumerate(new) if p[0] == " " and p[1:].isalpha() and not UNCOMMON.search(p)]
         chunks = [joint[i : i + _AT_ONCE] for i in range(0, len(joint), _AT_ONCE)]
-        found = [np.array(x.ids, np.uint32) for x in self._library.encode_batch_fast(["".join([new[i] for i in c]) for c in chunks], add_special_tokens=False)]
+        found = [
+            np.array(x.ids, np.uint32) for x in self._library.encode_batch_fast(
+                ["".join([new[i] for i in c]) for c in chunks], add_special_tokens=False
+            )
+        ]
         alone = sorted(set(range(len(new))) - set(joint))
         lens, order = np.zeros(len(new), np.int64), np.array(joint + alone, np.int64)
         for chunk, ids in zip(chunks, found, strict=True):
@@ -210,7 +214,11 @@ class ShardWriter:
                 bloom[p >> 3] |= 1 << (p & 7)
         filled = struct.pack("<Q", bits) + bloom.tobytes()
         self._out.write(index + filled)
-        self._out.write(FOOTER.pack(self._at, len(index), self._at + len(index), len(filled), self.n_docs, self.n_ids, self.width, HASHES, MAGIC))
+        self._out.write(
+            FOOTER.pack(
+                self._at, len(index), self._at + len(index), len(filled), self.n_docs, self.n_ids, self.width, HASHES, MAGIC
+            )
+        )
         self._out.close()
         return self._keys[0], self._keys[-1]
 
@@ -221,7 +229,9 @@ class ShardReader:
     def __init__(self, file):
         self._file = file
         size = file.size()
-        ia, il, ba, bl, self.n_docs, self.n_ids, self.width, self._hashes, magic = FOOTER.unpack(file.read_at(FOOTER.size, size - FOOTER.size))
+        ia, il, ba, bl, self.n_docs, self.n_ids, self.width, self._hashes, magic = FOOTER.unpack(
+            file.read_at(FOOTER.size, size - FOOTER.size)
+        )
         if magic != MAGIC:
             raise ValueError("not a shard file")
         raw, at, self.index = file.read_at(il, ia), 0, []
@@ -269,7 +279,17 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2, block_bytes: int = 64 << 10, shard_bytes: int = 256 << 20) -> DataFrame:
+def write_shards(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = 2,
+    block_bytes: int = 64 << 10,
+    shard_bytes: int = 256 << 20
+) -> DataFrame:
     """Writes ``docs`` as shards under ``folder`` (a URI that all executors reach) and returns the manifest,
     which is also written there. ``width``: bytes an id; an id that doesn't fit raises."""
     ship(docs.sparkSession)
@@ -283,7 +303,20 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
         def closed() -> pa.RecordBatch:
             first, last = out.close()
             row = {"part": part, "seq": seq, "file": name, "n_docs": out.n_docs, "n_ids": out.n_ids, "first_key": first, "last_key": last}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
+            return pa.RecordBatch.from_pylist(
+                [row],
+                pa.schema(
+                    [
+                        ("part", pa.int64()),
+                        ("seq", pa.int64()),
+                        ("file", pa.string()),
+                        ("n_docs", pa.int64()),
+                        ("n_ids", pa.int64()),
+                        ("first_key", pa.binary()),
+                        ("last_key", pa.binary())
+                    ]
+                )
+            )
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -304,7 +337,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
 
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(
+        F.col(f"`{key}`").cast("long").alias("key"), text_of(f"`{text}`").alias("text")
+    ).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     ordered.mapInArrow(released(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")

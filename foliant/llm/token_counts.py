@@ -63,7 +63,9 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path)
 
 
-def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, model: str, cache: str, key: str = "doc_id", text: str = "text", max_broadcast: int = BROADCAST_BYTES
+) -> DataFrame:
     """``key``, ``n_bytes`` (UTF-8) and ``n_tokens`` of every row; ``cache`` is the folder of stored counts. Up to ``max_broadcast`` bytes of
     missing digests and their keys are sent to all executors."""
     spark, version = ship(docs.sparkSession), tokenizer_version(model)
@@ -75,11 +77,19 @@ def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", t
         # One row for each missing digest: the least key that has it (null keys stand last), and how many rows have both.
         same = rows.groupBy("digest", key).agg(F.count("*").alias("n"))
         least = same.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "n")).alias("least"))
-        missing = written(least.join(stored, "digest", "left_anti").select("digest", F.col("least.key").alias("__key"), (F.col("least.n") > 1).alias("__more")), "missing", at)
+        missing = written(
+            least.join(stored, "digest", "left_anti").select(
+                "digest", F.col("least.key").alias("__key"), (F.col("least.n") > 1).alias("__more")
+            ),
+            "missing",
+            at
+        )
         texts = spread(docs.select(F.col(key).alias("__key"), content.alias("__text"), digest.alias("digest")))
         # Where they aren't sent, the missing digests are the built side, so texts aren't sorted.
         sent = F.broadcast(missing) if fits(missing, max_broadcast) else missing.hint("shuffle_hash")
-        wanted = texts.join(sent, texts["__key"].eqNullSafe(missing["__key"]) & (texts["digest"] == missing["digest"])).select(texts["digest"], "__text", "__more")
+        wanted = texts.join(
+            sent, texts["__key"].eqNullSafe(missing["__key"]) & (texts["digest"] == missing["digest"])
+        ).select(texts["digest"], "__text", "__more")
         if missing.where("__more").isEmpty():
             dealt = wanted.select("digest", "__text")
         else:
@@ -90,7 +100,12 @@ def count_tokens(docs: DataFrame, model: str, cache: str, key: str = "doc_id", t
         new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # A cache that two runs append to may hold a digest twice, with the same count.
     # They are written, so that a digest of many rows is split where the rows are joined.
-    counts = written(spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    counts = written(
+        spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(
+            F.max("n_tokens").alias("n_tokens")
+        ),
+        "counts"
+    )
     return rows.join(counts, "digest").select(key, "n_bytes", "n_tokens")
 
 

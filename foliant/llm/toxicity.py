@@ -112,11 +112,25 @@ def _sample(docs: DataFrame, labels: DataFrame, max_train: int, key: str, text:
     """(label, text) of at most ``max_train`` labelled documents, one of each distinct text."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     picked = known.orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(max_train)  # ids and labels only
-    rows = docs.join(F.broadcast(picked) if max_train <= 200_000 else picked, key).select("__y", text_of(text).alias("text"), F.sha2(text_of(text), 256).alias("d"))
+    rows = docs.join(F.broadcast(picked) if max_train <= 200_000 else picked, key).select(
+        "__y", text_of(text).alias("text"), F.sha2(text_of(text), 256).alias("d")
+    )
     return rows.groupBy("d").agg(F.max("__y").alias("y"), F.first("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_features: int = 20_000, least_z: float = 4.0, least_docs: int = 3, penalty: float = 1.0, l2: float = 0.01, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    max_train: int = 20_000,
+    max_features: int = 20_000,
+    least_z: float = 4.0,
+    least_docs: int = 3,
+    penalty: float = 1.0,
+    l2: float = 0.01,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic"
+) -> Model:
     """A model of ``label``; the caller leaves out of ``labels`` what it must not see. ``penalty`` weighs the change of
     score between a text and its twins; ``l2`` the size of weights."""
     ship(docs.sparkSession)
@@ -149,7 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_feature
             for y, d, whole in zip(*(batch.column(c).to_pylist() for c in ("y", "d", "text")), strict=True):
                 changes = [(numbered(gone), numbered(new)) for gone, new in twin_changes(whole)]
                 changes = [c for c in changes if c[0] or c[1]]
-                out.append({"y": y, "d": d, "x": numbered(features_of(set(WORD.findall(whole.lower())))), "gone": [c[0] for c in changes], "new": [c[1] for c in changes]})
+                out.append(
+                    {
+                        "y": y,
+                        "d": d,
+                        "x": numbered(features_of(set(WORD.findall(whole.lower())))),
+                        "gone": [c[0] for c in changes],
+                        "new": [c[1] for c in changes]
+                    }
+                )
             yield pa.RecordBatch.from_pylist(out, schema)
 
     kinds = "y int, d string, x array<int>, gone array<array<int>>, new array<array<int>>"
@@ -178,7 +200,9 @@ class _Loss:
     ``changes`` are (row, features lost, features gained): a twin's score is its text's, with what it loses and gains.
     """
 
-    def __init__(self, xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int], list[int]]], m: int, penalty: float, l2: float):
+    def __init__(
+        self, xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int], list[int]]], m: int, penalty: float, l2: float
+    ):
         self.row, self.col = _flat(xs)
         self.of = np.array([r for r, _, _ in changes], np.int64)
         self.lost_row, self.lost = _flat([gone for _, gone, _ in changes])
@@ -193,7 +217,9 @@ class _Loss:
         loss = float(-np.log(np.clip(np.where(self.y == 1, s, 1 - s), 1e-300, None)).mean() + self.l2 / n * (w @ w))
         g = 2 * self.l2 / n * w
         if p:
-            sa, sb = s[self.of], _sigmoid(z[self.of] + np.bincount(self.won_row, w[self.won], p) - np.bincount(self.lost_row, w[self.lost], p))
+            sa, sb = s[self.of], _sigmoid(
+                z[self.of] + np.bincount(self.won_row, w[self.won], p) - np.bincount(self.lost_row, w[self.lost], p)
+            )
             loss += float(self.penalty * ((sa - sb) ** 2).mean())
             d = 2 * self.penalty * (sa - sb) / p
             db = -d * sb * (1 - sb)
@@ -206,7 +232,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _fit(xs: list[list[int]], y: np.ndarray, changes: list[tuple[int, list[int], list[int]]], m: int, flat: float, penalty: float, l2: float, rounds: int = 1000) -> tuple[np.ndarray, float]:
+def _fit(
+    xs: list[list[int]],
+    y: np.ndarray,
+    changes: list[tuple[int, list[int], list[int]]],
+    m: int,
+    flat: float,
+    penalty: float,
+    l2: float,
+    rounds: int = 1000
+) -> tuple[np.ndarray, float]:
     """Full-batch Adam on ``_Loss``; the same for the same rows."""
     loss = _Loss(xs, y, changes, m, penalty, l2)
     w, b = np.zeros(m), flat

@@ -75,12 +75,25 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         return F.regexp_extract("tag", rf"(?is)\s{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
 
     # Tags are looked for only in pages that hold one of the two words; no other page can have an edge.
-    some = pages.select(node_of(F.col(url)).alias("a"), F.col(html).alias("h")).where(F.col("a").isNotNull() & F.col("h").rlike("(?i)canonical|refresh"))
+    some = pages.select(node_of(F.col(url)).alias("a"), F.col(html).alias("h")).where(
+        F.col("a").isNotNull() & F.col("h").rlike("(?i)canonical|refresh")
+    )
     tags = some.select("a", F.explode(F.regexp_extract_all(F.regexp_replace("h", _HIDDEN, " "), F.lit(_TAG), F.lit(0))).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b") & F.col("tag").rlike(r"(?is)\srel\s*=\s*(?:canonical\b|\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b)"), attribute("href"))
-    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\shttp-equiv\s*=\s*[\"']?\s*refresh\b"), F.regexp_extract("tag", r"(?is)\scontent\s*=\s*[\"']?[^\"'>;,]*[;,]\s*url\s*=\s*[\"']?([^\"'>]+)", 1))
+    canonical = F.when(
+        F.col("tag").rlike(r"(?is)^<link\b") & F.col("tag").rlike(
+            r"(?is)\srel\s*=\s*(?:canonical\b|\"[^\">]*\bcanonical\b|'[^'>]*\bcanonical\b)"
+        ),
+        attribute("href")
+    )
+    refresh = F.when(
+        F.col("tag").rlike(r"(?is)^<meta\b.*\shttp-equiv\s*=\s*[\"']?\s*refresh\b"),
+        F.regexp_extract("tag", r"(?is)\scontent\s*=\s*[\"']?[^\"'>;,]*[;,]\s*url\s*=\s*[\"']?([^\"'>]+)", 1)
+    )
     # The few targets are a written table, so that the long expressions below aren't repeated in one another.
-    found = written(tags.select("a", F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&").alias("target")).where("target <> ''"), "targets")
+    found = written(
+        tags.select("a", F.regexp_replace(F.coalesce(canonical, refresh), "&amp;", "&").alias("target")).where("target <> ''"),
+        "targets"
+    )
     return found.select("a", _once(_resolved(F.col("a"), F.col("target")), node_of).alias("b")).where("b IS NOT NULL")
 
 
@@ -102,25 +115,48 @@ def with_rule(urls: DataFrame, rules: list[Rule]) -> DataFrame:
             rule, decision = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(decision)
         return urls.withColumns({"rule": rule, "decision": decision})
     spark = urls.sparkSession
-    table = spark.createDataFrame([(-i, *r) for i, r in enumerate(ordered)], "rank long, rule_host string, rule_path string, verdict string")
+    table = spark.createDataFrame(
+        [(-i, *r) for i, r in enumerate(ordered)], "rank long, rule_host string, rule_path string, verdict string"
+    )
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     keyed = urls.select("host", "path").distinct()
     fits = keyed.withColumn("rule_host", F.explode(suffixes)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("decision"))).alias("best"))
+    best = fits.groupBy("host", "path").agg(
+        F.max(F.struct("rank", F.concat("rule_host", "rule_path").alias("rule"), F.col("verdict").alias("decision"))).alias("best")
+    )
     return urls.join(best.select("host", "path", "best.rule", "best.decision"), ["host", "path"], "left")
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, default: str = ALLOW, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge_urls(
+    pages: DataFrame,
+    rules: list[Rule],
+    redirects: DataFrame | None = None,
+    default: str = ALLOW,
+    key: str = "page_id",
+    url: str = "url",
+    html: str = "html"
+) -> DataFrame:
     """``key``, ``host``, ``path``, ``rule`` and ``verdict`` of every page. ``redirects``: (source, target) URLs."""
     edges = page_edges(pages, url, html)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")))
     classes = written(connected_components(edges), "aliases")
-    members = with_rule(classes.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules)
-    decided = members.groupBy("component").agg(F.max(F.when(F.col("decision") == ALLOW, 2).when(F.col("decision") == BLOCK, 1).otherwise(0)).alias("said"))
-    alias = classes.join(decided.where("said > 0"), "component").select("node", F.when(F.col("said") == 2, ALLOW).otherwise(BLOCK).alias("inherited"))
-    rows = with_rule(pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node")), rules)
+    members = with_rule(
+        classes.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), rules
+    )
+    decided = members.groupBy("component").agg(
+        F.max(F.when(F.col("decision") == ALLOW, 2).when(F.col("decision") == BLOCK, 1).otherwise(0)).alias("said")
+    )
+    alias = classes.join(decided.where("said > 0"), "component").select(
+        "node", F.when(F.col("said") == 2, ALLOW).otherwise(BLOCK).alias("inherited")
+    )
+    rows = with_rule(
+        pages.select(
+            F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), node_of(F.col(url)).alias("node")
+        ),
+        rules
+    )
     if fits(alias):
         joined = rows.join(F.broadcast(alias), "node", "left")
     else:  # pages without a node are dealt by a key of their own, which no alias has; a hot node is split

@@ -80,7 +80,9 @@ def test_shingle_hashes_stand_for_shingles(monkeypatch):
     assert (shingles.shingle_hashes("A b c d e f") == shingles.shingle_hashes("a,B\nc d;e f")).all()
     long = " ".join(f"v{i}" for i in range(250_000))
     whole = shingles.shingle_hashes(long)
-    assert len(whole) == 249_996 and (whole[150_000:150_003] == shingles.shingle_hashes(" ".join(f"v{i}" for i in range(150_000, 150_007)))).all()
+    assert len(whole) == 249_996 and (
+        whole[150_000:150_003] == shingles.shingle_hashes(" ".join(f"v{i}" for i in range(150_000, 150_007)))
+    ).all()
     before = [shingles.shingle_hashes(t).tolist() for t in texts]
     for part in (8, 40):  # texts, and single shingles, longer than a part
         monkeypatch.setattr(shingles, "_PART", part)
@@ -104,14 +106,18 @@ def test_classes_without_broadcast_and_with_odd_ids(spark, docs_of):
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df, max_broadcast=0).collect()), key=repr)
     assert got == sorted([(None, 3, 3), (7, 3, 3), (7, 3, 3), (3, 3, 3), (None, None, 0), (9, 9, 0), (None, None, 0)], key=repr)
     kept = jaccard.keep_one(df, max_broadcast=0)
-    assert sorted(((r.doc_id, r.text, r.class_id) for r in kept.collect()), key=repr) == sorted([(3, a + " x", "clash"), (None, b, "clash"), (9, None, "clash"), (None, None, "clash")], key=repr)
+    assert sorted(((r.doc_id, r.text, r.class_id) for r in kept.collect()), key=repr) == sorted(
+        [(3, a + " x", "clash"), (None, b, "clash"), (9, None, "clash"), (None, None, "clash")], key=repr
+    )
     assert jaccard.classes(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("few", [1 << 20, 0])
 def test_one_row_of_repeated_rows_stays(spark, few):
     a, b = prose(random.Random(1), 50), prose(random.Random(2), 50)
-    rows = [(None, a, 1, {"k": 1})] * 30 + [(None, a, 2, {"k": 2})] * 3 + [(5, b, 1, None), (5, b + " x", 1, None), (None, "", 1, None), (None, None, 1, None)]
+    rows = [(None, a, 1, {"k": 1})] * 30 + [(None, a, 2, {"k": 2})] * 3 + [
+        (5, b, 1, None), (5, b + " x", 1, None), (None, "", 1, None), (None, None, 1, None)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, __key int, top map<string, int>").repartition(7)
     got = [(r.class_id, r.n_links) for r in jaccard.classes(df, max_broadcast=few).collect() if r.n_links]
     assert sorted(got, key=repr) == [(5, 1)] * 2 + [(None, 32)] * 33
@@ -130,7 +136,9 @@ def test_blocks_of_a_large_cluster_are_cut_by_size(spark, docs_of, monkeypatch):
     members = spark.createDataFrame([(1, n) for n in (10, 12, 100, 101, 102, 103, 104, 5000)], "cluster long, n long")
     assert jaccard._layout(members, 0.8).first().bands == {10: 1, 11: 1, 20: 5, 38: 1}
     monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 512)
-    many = spark.range(3000).select(F.lit(1).alias("cluster"), F.lit(100).alias("n")).unionByName(spark.range(100_000).select(F.lit(2), F.lit(3)).toDF("cluster", "n")).unionByName(spark.range(500).select(F.lit(3), F.lit(9)).toDF("cluster", "n"))
+    many = spark.range(3000).select(F.lit(1).alias("cluster"), F.lit(100).alias("n")).unionByName(
+        spark.range(100_000).select(F.lit(2), F.lit(3)).toDF("cluster", "n")
+    ).unionByName(spark.range(500).select(F.lit(3), F.lit(9)).toDF("cluster", "n"))
     assert {r[0]: r.bands for r in jaccard._layout(many, 0.8).collect()} == {1: {20: 32}, 2: {4: 98}}
 
 
@@ -188,12 +196,24 @@ def brute_windows(docs, items):
 def test_windows_are_those_of_all_places(spark, docs_of, few, short):
     rng = random.Random(8)
     passages = [prose(rng, n, 60) for n in (13, 14, 30, 200)]
-    items = list(enumerate([*passages, passages[0], "", None, "..."])) + ([(20, "w1 w2"), (21, "w7"), (22, "W3 w4, w5 w6")] if short else [])
+    items = list(enumerate([*passages, passages[0], "", None, "..."])) + (
+        [(20, "w1 w2"), (21, "w7"), (22, "W3 w4, w5 w6")] if short else []
+    )
     texts = [prose(rng, rng.randint(0, 80), 60) for _ in range(40)] + [None, "", "w1", "w7 w7"]
-    texts += [f"{prose(rng, 20)} {passages[1].upper()} {prose(rng, 5)}", passages[0], passages[0] + "; " + passages[0], " ".join(passages[3].split()[50:70]), " ".join(passages[2].split()[:12])]
+    texts += [
+        f"{prose(rng, 20)} {passages[1].upper()} {prose(rng, 5)}",
+        passages[0],
+        passages[0] + "; " + passages[0],
+        " ".join(passages[3].split()[50:70]),
+        " ".join(passages[2].split()[:12])
+    ]
     texts.append(prose(rng, 4000) + " " + passages[0])  # found, but under a twentieth
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
-    found = decontam.find_windows(docs_of(texts).withColumn("n_hit", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("gram", F.lit(1)), table, max_broadcast=few)
+    found = decontam.find_windows(
+        docs_of(texts).withColumn("n_hit", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("gram", F.lit(1)),
+        table,
+        max_broadcast=few
+    )
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.hit_items) for r in found.collect())
     assert got == sorted(brute_windows(enumerate(texts), items))
     flags = {r.doc_id: r.bad for r in found.withColumn("bad", decontam.contaminated()).collect()}
@@ -219,7 +239,11 @@ def brute_base(text):
         "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16, 0),
         "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 32, 0),
     }
-    found = [(m.start(), i, m.end(), k) for i, (k, (p, ok, flags)) in enumerate(kinds.items()) for m in re.finditer(p, text, flags) if ok(m)]
+    found = [
+        (
+            m.start(), i, m.end(), k
+        ) for i, (k, (p, ok, flags)) in enumerate(kinds.items()) for m in re.finditer(p, text, flags) if ok(m)
+    ]
     return [(s, e, k) for s, _, e, k in sorted(found)]
 
 
@@ -237,7 +261,27 @@ def wrapped():
 
 def test_base_spans_are_kept():
     rng = random.Random(4)
-    parts = ["token", "TOKEN = ", "secret:", "'", '"', "abc", "deadbeef" * 5, "AKIA", "AKIA1234567890ABCD", "api_key=", "apikey", " ", "=", "ſecret=abcdefghij", "passwd: 12345678", "é", "%41", "&#65;", "ToKen='aaaa.bbbb-cc"]
+    parts = [
+        "token",
+        "TOKEN = ",
+        "secret:",
+        "'",
+        '"',
+        "abc",
+        "deadbeef" * 5,
+        "AKIA",
+        "AKIA1234567890ABCD",
+        "api_key=",
+        "apikey",
+        " ",
+        "=",
+        "ſecret=abcdefghij",
+        "passwd: 12345678",
+        "é",
+        "%41",
+        "&#65;",
+        "ToKen='aaaa.bbbb-cc"
+    ]
     for _ in range(300):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         base, spans, _, _ = secrets.find(text)
@@ -335,7 +379,10 @@ def test_large_layers_are_scanned_to_their_end(monkeypatch):
     monkeypatch.setattr(secrets, "OVERLAP", 100)
     far = b"x y " * 20_000
     for at in (0, 977, 985, 70_000):
-        for raw in (gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]), gzip.compress(gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]))):
+        for raw in (
+            gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]),
+            gzip.compress(gzip.compress(far[:at] + b" " + SECRET.encode() + b" " + far[at:]))
+        ):
             _, spans, _, n = secrets.find("see " + base64.b64encode(raw).decode())
             assert [k for *_, k in spans] == ["assign"] and n == 1
     held = "see " + base64.b64encode(gzip.compress(far)).decode()  # nothing is found, but a layer in it could be cut
@@ -403,12 +450,18 @@ def brute_twins(text, each=2):
 def test_twins_are_told_by_what_they_lose_and_gain():
     rng = random.Random(4)
     vocabulary = ["women", "men", "girls", "muslim", "muslims", "womanly", "mental", "dog", "sang", "the", "frauen", "."]
-    texts = ["The Women sang. A dog ran.", "No group here.", *(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(200))]
+    texts = [
+        "The Women sang. A dog ran.",
+        "No group here.",
+        *(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(200))
+    ]
     for t in texts:
         whole = toxicity.features_of(set(toxicity.WORD.findall(t.lower())))
         got = [whole - gone | new for gone, new in toxicity.twin_changes(t)]
         assert got == [x for x in brute_twins(t) if x != whole], t
-    assert {"men", "girls"} == {w for _, new in toxicity.twin_changes(texts[0]) for w in new if w[0] != "^"} and toxicity.twin_changes(texts[1]) == []
+    assert {"men", "girls"} == {
+        w for _, new in toxicity.twin_changes(texts[0]) for w in new if w[0] != "^"
+    } and toxicity.twin_changes(texts[1]) == []
     long = "The women met the muslims. " * 20_000
     assert sum(len(a) + len(b) for a, b in toxicity.twin_changes(long)) <= 40_000 * 12
 
@@ -468,7 +521,10 @@ def test_families_are_named_and_others_unknown(spark, docs_of):
 
 
 def test_cut_notices_are_found_and_rows_stay(spark, docs_of):
-    texts = ["Released under the MIT License\nx\nLicensed under CC BY-NC 4.0.", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0 by Acme\n\nother"]
+    texts = [
+        "Released under the MIT License\nx\nLicensed under CC BY-NC 4.0.",
+        "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0 by Acme\n\nother"
+    ]
     docs = docs_of(texts).withColumn("licences", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("units", F.lit(1))
     docs = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).limit(1))
     got = sorted(((r.doc_id, r.licences, r.n_licences, r.n_paragraphs) for r in licenses.document_licences(docs).collect()), key=repr)
@@ -518,7 +574,11 @@ def test_paragraphs_are_judged_as_by_plain_python(spark, docs_of):
     rng = random.Random(8)
     texts = [t for _, t in UNSEEN] + list(NEUTRAL) + [t for ts in licenses.TEMPLATES.values() for t in ts[::3]]
     texts += [" ".join(prose(rng, 5).split() + [w for w in rng.choice(texts).split() if rng.random() < 0.8]) for _ in range(60)]
-    got = {r.doc.doc_id: (r.family, round(r.p, 5), round(r.cover, 5), round(r["inside"], 5)) for r in licenses.paragraph_licences(docs_of([t.replace(". ", " ") for t in texts])).collect()}
+    got = {
+        r.doc.doc_id: (
+            r.family, round(r.p, 5), round(r.cover, 5), round(r["inside"], 5)
+        ) for r in licenses.paragraph_licences(docs_of([t.replace(". ", " ") for t in texts])).collect()
+    }
     want = {i: brute_paragraph(t.replace(". ", " ")) for i, t in enumerate(texts)}
     assert got.keys() == {i for i, v in want.items() if v}
     for i, v in got.items():
@@ -549,14 +609,22 @@ def brute_measures(text):
 def test_measures_are_those_of_plain_loops(spark, docs_of):
     rng = random.Random(6)
     texts = [None, "", " ", "a", "a a a a a", "a a a a a a", "x y z\nx y z\n \n\n x y z", "é#ñ\x0b$\x0c|\r\n<>", "a\xa0b c"]
-    texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["\n".join(prose(rng, 3, 3) for _ in range(20)) for _ in range(10)]
-    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in host_quality.measures(docs_of(texts)).collect()}
+    texts += [
+        " ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(60)
+    ] + ["\n".join(prose(rng, 3, 3) for _ in range(20)) for _ in range(10)]
+    got = {
+        r.doc_id: (
+            r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words
+        ) for r in host_quality.measures(docs_of(texts)).collect()
+    }
     assert got == {i: brute_measures(t) for i, t in enumerate(texts)}
 
 
 def test_bad_hosts_lose_good_documents(spark):
     rng = random.Random(3)
-    rows = [(i, prose(rng, 30) if i % 10 == 0 else "short", "bad") for i in range(100)] + [(100 + i, prose(rng, 30), f"good{i % 20}") for i in range(400)] + [(900, "short", "tiny"), (901, prose(rng, 30), None)]
+    rows = [
+        (i, prose(rng, 30) if i % 10 == 0 else "short", "bad") for i in range(100)
+    ] + [(100 + i, prose(rng, 30), f"good{i % 20}") for i in range(400)] + [(900, "short", "tiny"), (901, prose(rng, 30), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit(1))
     kept = {r.doc_id for r in host_quality.judge_documents(df).where("kept").collect()}
     assert kept == {*range(100, 500), 901}

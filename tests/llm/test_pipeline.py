@@ -52,7 +52,10 @@ def test_run_gives_the_last_stage(spark, stages):
 
 
 def test_odd_documents_pass(spark, stages):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "plain words here", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit("clash"))
+    docs = spark.createDataFrame(
+        [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "plain words here", "en", "s", 16)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    ).withColumn("score", F.lit("clash"))
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert sorted(r.n_tokens for r in docs.collect()) == [0, 0, 0, 3]
@@ -64,10 +67,23 @@ def test_odd_documents_pass(spark, stages):
 
 @pytest.mark.parametrize("few", [1_000_000, 0])
 def test_no_row_goes_for_another_of_its_id(spark, few):
-    a, b, bad = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50)), table(spark, DATA, "benchmark").where("length(text) > 200").first().text
-    rows = [(None, a), (7, a), (7, b + " tail"), (3, a + " x"), (None, None), (9, None), (9, b + " other words that end it"), (None, "alone of its kind here now")]
+    a, b, bad = " ".join(
+        f"a{i}" for i in range(50)
+    ), " ".join(f"b{i}" for i in range(50)), table(spark, DATA, "benchmark").where("length(text) > 200").first().text
+    rows = [
+        (None, a),
+        (7, a),
+        (7, b + " tail"),
+        (3, a + " x"),
+        (None, None),
+        (9, None),
+        (9, b + " other words that end it"),
+        (None, "alone of its kind here now")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, jaccard.keep_one(df, max_broadcast=few).collect()), key=repr) == sorted([rows[2], *rows[3:6], rows[7]], key=repr)
+    assert sorted(
+        map(tuple, jaccard.keep_one(df, max_broadcast=few).collect()), key=repr
+    ) == sorted([rows[2], *rows[3:6], rows[7]], key=repr)
     rows = [(None, a), (None, None), (None, bad), (4, bad), (4, b)]
     left = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[0], rows[1], rows[4]], key=repr)
@@ -112,11 +128,15 @@ def test_very_long_texts_and_clashing_columns(spark, tmp_path):
     long = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(200_000)) + " password=hunter2hunter2 Released under the MIT License."
     texts = [long, "short text", None, long + " end"]
     names = ["digest", "n_tokens", "key", "row", "words", "start", "score", "units", "sketch", "hits", "__text", "__key", "tie", "host"]
-    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").select("*", *(F.lit("clash").alias(n) for n in names))
+    docs = spark.createDataFrame(
+        [(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"
+    ).select("*", *(F.lit("clash").alias(n) for n in names))
     by = lambda df, c: [r[c] for r in df.orderBy("doc_id").collect()]
     assert by(bpe.encode_documents(docs, P.path("word_bpe_49k.json"), ids=False), "n_tokens")[1] == 2
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    assert by(bpe.encode_documents(docs, P.path("word_bpe_49k.json"), ids=False), "n_tokens")[0] == len(library.encode(long, add_special_tokens=False).ids)
+    assert by(
+        bpe.encode_documents(docs, P.path("word_bpe_49k.json"), ids=False), "n_tokens"
+    )[0] == len(library.encode(long, add_special_tokens=False).ids)
     counts = by(token_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"), "n_tokens")
     assert counts[2] == 0 and counts[3] > counts[0] > 200_000
     assert by(secrets.find_secrets(docs), "n_assign") == [1, 0, 0, 1]

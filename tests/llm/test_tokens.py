@@ -34,7 +34,9 @@ def test_counts_follow_the_library_and_the_cache_is_used(spark, docs_of, tmp_pat
     assert stored.count() == len({t or "" for t in texts})
     # A stored count is taken as it is: the text isn't encoded again.
     digest = hashlib.sha256(b"planted").digest()
-    spark.createDataFrame([(token_counts.tokenizer_version(model), bytearray(digest), 4321)], token_counts.CACHE).write.mode("append").parquet(cache)
+    spark.createDataFrame(
+        [(token_counts.tokenizer_version(model), bytearray(digest), 4321)], token_counts.CACHE
+    ).write.mode("append").parquet(cache)
     again = token_counts.count_tokens(docs_of(["planted", "dup text"]), model, cache).orderBy("doc_id").collect()
     assert [r.n_tokens for r in again] == [4321, len(sp.encode("dup text"))]
     assert spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 1

@@ -11,7 +11,9 @@ from foliant.llm.queries import RULES
 
 def test_components_are_those_of_a_walk(spark):
     rng = random.Random(1)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(100)] + [(7, 7), (None, 3)]
+    edges = [
+        (rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)
+    ] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(100)] + [(7, 7), (None, 3)]
     top = {}
 
     def find(x):
@@ -52,19 +54,43 @@ def test_blocks_reach_aliases_and_allows_come_first(spark):
     rows = u.judge_urls(df, RULES).collect()
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert len(rows) == len(PAGES)
-    assert {k: v[3] for k, v in got.items()} == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block", 8: "block", 9: "allow", 10: "allow", 11: "allow", 12: "block", 13: "block", 14: "allow"}
+    assert {k: v[3] for k, v in got.items()} == {
+        1: "block",
+        2: "block",
+        3: "block",
+        4: "allow",
+        5: "allow",
+        6: "allow",
+        7: "block",
+        8: "block",
+        9: "allow",
+        10: "allow",
+        11: "allow",
+        12: "block",
+        13: "block",
+        14: "allow"
+    }
     assert got[12] == ("x.example.com", "/en/p", "example.com/en/", "block") and got[5] == ("", "", None, "allow") and got[13][0] == "net"
     assert u.judge_urls(df.limit(0), RULES).count() == 0
 
 
 def test_redirect_tables_make_edges(spark):
     df = spark.createDataFrame([(1, "http://p.org/1", None), (2, "http://q.org/", None)], "page_id long, url string, html string")
-    moves = spark.createDataFrame([("http://p.org/1", "http://m.org/"), ("http://m.org", "http://z.net/fr/x"), (None, "http://q.org/")], "source string, target string")
+    moves = spark.createDataFrame(
+        [("http://p.org/1", "http://m.org/"), ("http://m.org", "http://z.net/fr/x"), (None, "http://q.org/")],
+        "source string, target string"
+    )
     assert {r.page_id: r.verdict for r in u.judge_urls(df, RULES, moves).collect()} == {1: "block", 2: "allow"}
 
 
 def test_many_rules_give_what_few_give(spark, monkeypatch):
-    urls = [(i, f"http://{h}{p}", None) for i, (h, p) in enumerate((h, p) for h in ("com", "example.com", "www.example.com", "a.www.example.com", "x.net", "net.org") for p in ("", "/", "/en/", "/en/1", "/es/2", "/fr"))]
+    urls = [
+        (i, f"http://{h}{p}", None) for i, (h, p) in enumerate(
+            (h, p) for h in (
+                "com", "example.com", "www.example.com", "a.www.example.com", "x.net", "net.org"
+            ) for p in ("", "/", "/en/", "/en/1", "/es/2", "/fr")
+        )
+    ]
     df = spark.createDataFrame(urls, "page_id long, url string, html string")
     few = {r.page_id: (r.rule, r.verdict) for r in u.judge_urls(df, RULES).collect()}
     monkeypatch.setattr(u, "MAX_INLINE", 2)
