@@ -69,3 +69,26 @@ def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str], keep_when_n
     held = both.withColumns({f"__k_{c}": F.first(c, ignorenulls=True).over(first) for c in keep_when_null})
     rows = held.withColumn("__r", F.row_number().over(last)).where("__r = 1")
     return rows.withColumns({c: F.col(f"__k_{c}") for c in keep_when_null}).select(*(c for c in both.columns if c != "__new"))
+
+
+def changed(before: DataFrame, after: DataFrame, key: str = "name") -> DataFrame:
+    """Names that one list of definitions has and the other lacks, as (key, ``added`` or ``removed``)."""
+    old, new = before.select(key).distinct(), after.select(key).distinct()
+    return new.join(old, key, "left_anti").withColumn("change", F.lit("added")).unionByName(
+        old.join(new, key, "left_anti").withColumn("change", F.lit("removed"))
+    )
+
+
+def progress(log: DataFrame, total: int, at: str = "at", width: str = "1 minute", status: str = "status") -> DataFrame:
+    """By stretch of time the entries of a log, those that failed, and how many of ``total`` are done until then."""
+    parts = log.groupBy(F.window(F.col(at).cast("timestamp"), width)["start"].alias("since")).agg(
+        F.count("*").alias("n"), F.count_if(F.col(status) == "error").alias("errors")
+    )
+    so_far = Window.orderBy("since").rowsBetween(Window.unboundedPreceding, 0)  # a row a stretch
+    return parts.select(
+        "since",
+        "n",
+        "errors",
+        F.sum("n").over(so_far).alias("done"),
+        F.round(100.0 * F.sum("n").over(so_far) / F.lit(float(total)), 4).alias("pct")
+    )

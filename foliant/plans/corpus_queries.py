@@ -335,3 +335,16 @@ def x_revenue_by_nation(spark, sf_dir):
     return joined.groupBy("n_name").agg(
         F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
     )
+
+
+@query("SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS since, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(count(*)) OVER (ORDER BY time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS done, round(100.0 * sum(count(*)) OVER (ORDER BY time_bucket(INTERVAL 1 DAY, ts)) / 1000000.0, 4) AS pct FROM events GROUP BY time_bucket(INTERVAL 1 DAY, ts)")
+def w08_progress(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("status"))
+    return batches.progress(rows, 1_000_000, width="1 day").withColumn("since", F.unix_timestamp("since"))
+
+
+@query("SELECT coalesce(a.lang, b.lang) AS name, CASE WHEN b.lang IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT source || lang AS lang FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT DISTINCT source || lang AS lang FROM documents WHERE doc_id % 2 = 1) b ON a.lang = b.lang WHERE a.lang IS NULL OR b.lang IS NULL")
+def u06_changed(spark, sf_dir):
+    """Two halves of the documents as two lists of definitions."""
+    rows = table(spark, sf_dir, "documents").select(F.concat("source", "lang").alias("name"), (F.col("doc_id") % 2).alias("half"))
+    return batches.changed(rows.where("half = 1"), rows.where("half = 0"))

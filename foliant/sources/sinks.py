@@ -20,6 +20,10 @@ from foliant.session import fresh_path
 from foliant.sources.readers import stored
 
 
+#: Quotes are doubled and spaces kept, as ``readers.csv`` and others read them.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _place(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -117,7 +121,7 @@ def delete_where(spark: SparkSession, folder: str, table: str, condition: Column
 
 def append_log(rows: DataFrame, path: str) -> None:
     """Each run's rows as files of their own, each with a header."""
-    rows.write.mode("append").option("header", True).csv(path)
+    rows.write.mode("append").options(**CSV).csv(path)
 
 
 def write_json(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -127,7 +131,7 @@ def write_json(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 def write_report(rows: DataFrame, path: str) -> None:
     """A small result as one CSV file."""
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:

@@ -39,6 +39,42 @@ def test_load_replaces_and_deletes(spark, tmp_path):
     assert readers.stored(spark, folder, "rag_chunks").count() == 0
 
 
+def test_a_service_answers_keeps_and_rates(spark, tmp_path):
+    from foliant.functions import vectors
+    from foliant.plans.service import Invalid, NotFound, Service
+
+    embed = vectors.embed(lambda: vectors.hashing_encoder(16))
+    service = Service(spark, f"file://{tmp_path}/store", embed, dimension=16)
+    assert service.health()["status"] == "unavailable" and service.chat("hello there")["confidence_flag"] == "system_unavailable"
+    assert service.start().health() == {"status": "ok", "chunks": 0} and service.welcome()
+    rows = chunk_rows(spark, [("a", 3), ("b", 2)]).withColumn(
+        "content", F.concat(F.lit("Revenue of apple inc in part "), F.col("chunk_index").cast("string"))
+    )
+    rows = rows.withColumns(
+        {"company": F.lit("apple-inc"), "ticker": F.lit("AAPL"), "company_name_mismatch": F.lit(False)}
+    ).withColumn("embedding", embed(F.col("content")))
+    assert service.ingest(rows) == 5
+    hits, meta = service.search("Revenue of apple inc in part 1", 2, company=["apple-inc"])
+    assert hits.count() == 2 and meta["filters_applied"] == {"company": ["apple-inc"]}
+    first = service.chat("What was the revenue of AAPL in 2020?", user_id=7)
+    again = service.chat("And of AAPL in 2021?", first["conversation_id"].upper())
+    assert first["sources"] and again["conversation_id"] == first["conversation_id"] and again["message_id"] == first["message_id"] + 2
+    assert [r.role for r in service.history(first["conversation_id"]).collect()] == ["user", "assistant"] * 2
+    assert service.save_feedback(first["conversation_id"], first["message_id"], "up", "good") == 1
+    assert [r.rating for r in service.feedback(first["conversation_id"]).collect()] == ["up"]
+    assert service.source(first["sources"][0]["chunk_id"])["company"] == "apple-inc"
+    for wrong in (lambda: service.chat("  "), lambda: service.save_feedback(first["conversation_id"], first["message_id"], "meh")):
+        with pytest.raises(Invalid):
+            wrong()
+    for wrong in (
+        lambda: service.source("x"),
+        lambda: service.source("999"),
+        lambda: service.save_feedback(first["conversation_id"], 999, "up")
+    ):
+        with pytest.raises(NotFound):
+            wrong()
+
+
 def test_wrong_dimension_fails(spark, tmp_path):
     folder = f"file://{tmp_path}/store"
     schemas.bootstrap(spark, folder)
