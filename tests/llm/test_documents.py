@@ -165,6 +165,21 @@ def test_runs_reach_the_recall():
     assert abs(found / tries - (1 - jaccard.missed(2, 5))) < 0.03
 
 
+@pytest.mark.parametrize("small", [1, 512])
+def test_recall_of_pairs_at_the_threshold(spark, docs_of, small):
+    """Pairs of a similarity from 0.80 to 0.83 against all pairs; with ``small`` 1 every bucket is split to full depth."""
+    rng, texts = random.Random(12), []
+    for _ in range(400):
+        base = prose(rng, 94, 10**6).split()  # 90 shingles
+        texts += [" ".join(base), " ".join(base[: -rng.choice((9, 10))] + prose(rng, 10, 10**6).split()[: rng.choice((9, 10))])]
+    sets = [shingle_set(t) for t in texts]
+    near = [i for i in range(0, 800, 2) if (both := len(sets[i] & sets[i + 1])) >= 0.8 * (len(sets[i]) + len(sets[i + 1]) - both) - 1e-9]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs_of(texts), small=small).collect()}
+    found = sum(got[i] == got[i + 1] == (i, 1) for i in near)
+    assert len(near) > 150 and found >= 0.99 * len(near), (found, len(near))
+    assert all(got[i][1] == 0 for i in range(800) if i // 2 * 2 not in near)
+
+
 def test_keep_one_keeps_what_is_alone(spark, docs_of):
     texts = near_texts()
     want = {top for _, top, _ in brute_classes(texts)}
