@@ -11,7 +11,7 @@ from foliant.operators import batches, chatlog, chunk, evals, profile, resolve,
 from foliant.plans.corpus_queries import CHUNKS, chunks_of
 from foliant.plans.fixture_queries import ANSWERS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, QUESTIONS, REPLIES, SECTIONS_CTE, STRUCTURED
 from foliant.plans.registry import Fixture, query, table
-from foliant.plans.sql_parts import LABELS_SQL, SIGNIFICANT, label_key_sql, normal_name_sql, registrant_sql, uuid_sql
+from foliant.plans.sql_parts import LABELS_SQL, SIGNIFICANT, label_key_sql, normal_name_sql, ratios_sql, registrant_sql, uuid_sql
 from foliant.sources import readers
 
 c = F.col
@@ -177,7 +177,7 @@ def f36_first_year(spark, sf_dir):
     return QUESTIONS.df(spark).select("question_id", T.first_year(c("question")).alias("year"))
 
 
-@query()
+@query(f"WITH RECURSIVE names AS (SELECT DISTINCT company FROM {ENTITIES.sql}), pairs AS (SELECT x.company AS pa, y.company AS pb FROM names x JOIN names y ON left(x.company, 1) = left(y.company, 1)), {ratios_sql('pairs')} SELECT pa AS a, pb AS b, round(ratio, 6) AS ratio FROM ratios")
 def f35_sequence_ratio(spark, sf_dir):
     names = ENTITIES.df(spark).select("company")
     pairs = names.select(c("company").alias("a")).join(

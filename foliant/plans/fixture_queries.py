@@ -8,7 +8,7 @@ from foliant.functions import filing, gate, udfs
 from foliant.functions import text as T
 from foliant.operators import batches, chatlog, chunk, cleaning, evals, facts, resolve, sections
 from foliant.plans.registry import SQL, Fixture, query, table
-from foliant.plans.sql_parts import LABELS_SQL, display_sql, label_key_sql, registrant_sql, typo_sql, uuid_sql, words_sql
+from foliant.plans.sql_parts import LABELS_SQL, core_tokens_sql, display_sql, label_key_sql, normal_name_sql, ratios_sql, registrant_sql, typo_sql, uuid_sql, words_sql
 
 TEXTS = Fixture(
     "id int,text string",
@@ -460,7 +460,16 @@ def e01_resolve_ticker(spark, sf_dir):
     return resolve.by_ticker(QUESTIONS.df(spark), ENTITIES.df(spark)).select("question_id", "company")
 
 
-@query()
+@query(rf"""WITH RECURSIVE q AS MATERIALIZED (SELECT question_id, question, list_distinct({words_sql(normal_name_sql('question'))}) AS w FROM {QUESTIONS.sql}),
+n AS MATERIALIZED (SELECT DISTINCT company, list_distinct({core_tokens_sql(normal_name_sql('company'))}) AS parts FROM {ENTITIES.sql}),
+words AS MATERIALIZED (SELECT question_id, unnest(w) AS pb FROM q), named AS MATERIALIZED (SELECT company, len(parts) AS n, unnest(parts) AS pa FROM n),
+pairs AS MATERIALIZED (SELECT DISTINCT pa, pb FROM named, words), {ratios_sql('pairs')},
+best AS (SELECT question_id, company, n, pa, max(ratio) AS ratio FROM words JOIN named ON true JOIN ratios USING (pa, pb) GROUP BY ALL),
+whole AS (SELECT question_id, company, min(ratio) AS score FROM best WHERE ratio >= 0.8 GROUP BY question_id, company, n HAVING count(*) = n),
+tickers AS (SELECT question_id, min(company) AS company FROM (SELECT DISTINCT question_id, unnest(regexp_split_to_array(upper(question), '[^\w]+')) AS t FROM q) JOIN {ENTITIES.sql} ON t = ticker GROUP BY 1),
+found AS (SELECT question_id, company, CAST(1 AS DOUBLE) AS score FROM tickers UNION ALL SELECT question_id, arg_min(company, {{'s': -score, 'c': company}}), max(score) FROM whole WHERE question_id NOT IN (SELECT question_id FROM tickers) GROUP BY 1),
+dated AS (SELECT question_id, company, round(score, 6) AS score, CASE WHEN company IS NOT NULL THEN TRY_CAST(regexp_extract(question, '\b((?:19|20)\d{{2}})\b', 1) AS BIGINT) END AS fiscal_year FROM q LEFT JOIN found USING (question_id))
+SELECT *, '{{' || concat_ws(',', '"company":"' || company || '"', '"fiscal_year":"' || fiscal_year || '"') || '}}' AS filters FROM dated""")
 def e01_resolve_fuzzy(spark, sf_dir):
     return resolve.resolve(QUESTIONS.df(spark), ENTITIES.df(spark)).select(
         "question_id",

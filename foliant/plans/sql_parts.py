@@ -53,6 +53,25 @@ def typo_sql(name: str) -> str:
     return f"CASE WHEN {longest} > 4 THEN left({name}, CAST({cut} - 1 AS BIGINT)) || substr({name}, {cut} + 1) ELSE {name} || 'e' END"
 
 
+def core_tokens_sql(normal: str) -> str:
+    """F34, of a normal name."""
+    return words_sql(rf"regexp_replace(trim({normal}), '(\S)(?:\s+(?:{'|'.join(T.CORPORATE)}))+$', '\1')")
+
+
+def ratios_sql(pairs: str) -> str:
+    """F35 as CTEs that end in ``ratios(pa, pb, ratio)``, for ``pairs(pa, pb)``: the longest common block, the first of equals, and then the same to its
+    left and to its right."""
+    prefix = "len(list_filter(range(1, CAST(least(length(a) - i, length(b) - j) + 2 AS BIGINT)), lambda k: substr(a, i, k) = substr(b, j, k)))"
+    blocks = f"flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: {{'k': {prefix}, 'i': -i, 'j': -j}})))"
+    best = f"list_reverse_sort({blocks})[1]"
+    return f"""parts(pa, pb, a, b, m) AS (
+  SELECT pa, pb, pa, pb, {best.replace('length(a)', 'length(pa)').replace('length(b)', 'length(pb)').replace('substr(a,', 'substr(pa,').replace('substr(b,', 'substr(pb,')} FROM {pairs}
+  UNION ALL
+  SELECT pa, pb, a, b, {best} FROM (
+    SELECT pa, pb, unnest([left(a, CAST(-m.i - 1 AS BIGINT)), substr(a, -m.i + m.k)]) AS a, unnest([left(b, CAST(-m.j - 1 AS BIGINT)), substr(b, -m.j + m.k)]) AS b FROM parts WHERE m.k > 0) WHERE a <> '' AND b <> ''),
+ratios AS (SELECT pa, pb, coalesce(2.0 * sum(m.k) / nullif(length(pa) + length(pb), 0), 1.0) AS ratio FROM parts GROUP BY pa, pb)"""
+
+
 SIGNIFICANT = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace({}, '(?i)\b(inc|incorporated|corp|corporation|co|company|ltd|limited|llc|lp|l\.p|plc|holdings|group|the)\b\.?', ' ', 'g')), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda t: length(t) >= 3))"
 PROSE = "['and', 'the', 'of', 'to', 'by', 'or', 'in', 'for', 'from', 'as', 'other', 'a', 'an', 'with']"
 
