@@ -135,15 +135,18 @@ twice AS (SELECT doc_id, s FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id,
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + 4)) AS p FROM twice) GROUP BY doc_id),
 m AS MATERIALIZED (
   SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
   FROM d LEFT JOIN covered USING (doc_id)),
 f AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-hosts AS MATERIALIZED (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f GROUP BY source),
-p AS (SELECT avg(failed / n) AS mean, var_samp(failed / n) AS v, avg(1 / n) AS inv FROM hosts),
-q AS (SELECT mean, CASE WHEN v IS NULL THEN NULL WHEN mean * (1 - mean) <= 0 OR v - mean * (1 - mean) * inv <= 0 THEN 1000.0
+sums AS MATERIALIZED (
+  SELECT source, count(*) AS n, [count(*) FILTER (base_failed), count(*) FILTER (100 * n_symbols > 10 * n_words), count(*) FILTER (100 * n_dup_lines > 30 * n_lines)] AS fails
+  FROM f GROUP BY source),
+hosts AS MATERIALIZED (SELECT source, n, rule, fails[rule] AS failed FROM sums, (SELECT unnest([1, 2, 3]) AS rule)),
+p AS (SELECT rule, avg(failed / n) AS mean, var_samp(failed / n) AS v, avg(1 / n) AS inv FROM hosts GROUP BY rule),
+q AS (SELECT rule, mean, CASE WHEN v IS NULL THEN NULL WHEN mean * (1 - mean) <= 0 OR v - mean * (1 - mean) * inv <= 0 THEN 1000.0
   ELSE least(greatest(mean * (1 - mean) / ((v - mean * (1 - mean) * inv) / greatest(1 - inv, 1e-9)) - 1, 1e-3), 1000.0) END AS strength FROM p),
-ab AS (SELECT CASE WHEN strength IS NULL THEN 1.0 ELSE greatest(mean * strength, 1e-6) END AS a, CASE WHEN strength IS NULL THEN 1.0 ELSE greatest((1 - mean) * strength, 1e-6) END AS b FROM q),
-verdicts AS (SELECT source, (failed + a) / (n + a + b) <= 0.5 AS ok FROM hosts, ab)
+ab AS (SELECT rule, CASE WHEN strength IS NULL THEN 1.0 ELSE greatest(mean * strength, 1e-6) END AS a, CASE WHEN strength IS NULL THEN 1.0 ELSE greatest((1 - mean) * strength, 1e-6) END AS b FROM q),
+verdicts AS (SELECT source, bool_and((failed + a) / (n + a + b) <= 0.5) AS ok FROM hosts JOIN ab USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """

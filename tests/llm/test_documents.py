@@ -644,6 +644,27 @@ def test_bad_hosts_lose_good_documents(spark):
     kept = {r.doc_id for r in host_quality.judge_documents(df).where("kept").collect()}
     assert kept == {*range(100, 500), 901}
     assert host_quality.judge_documents(df.limit(0)).count() == 0
-    a, b = host_quality.prior(spark.createDataFrame([(10, 1), (10, 9)], "n long, failed long"))
-    assert 0 < a < 10 and 0 < b < 10
-    assert host_quality.prior(spark.createDataFrame([], "n long, failed long")) == (1.0, 1.0)
+    got = host_quality.priors(spark.createDataFrame([(10, 1, 0), (10, 9, 0)], "n long, x long, y long"), ["x", "y"])
+    assert 0 < got["x"][0] < 10 and 0 < got["x"][1] < 10 and got["y"] == (1e-6, 1000.0)
+    assert host_quality.priors(spark.createDataFrame([], "n long, x long"), ["x"]) == {"x": (1.0, 1.0)}
+
+
+def test_hosts_are_judged_by_each_rule(spark):
+    rng = random.Random(5)
+    fine, signs, lines = (lambda: prose(rng, 30)), (lambda: prose(rng, 30) + " # # $ % | <"), (
+        lambda: "one two\n" * 3 + prose(rng, 30, 10**6)
+    )
+    rows = [(i, (signs if i % 4 else fine)(), "signs") for i in range(100)] + [
+        (100 + i, (lines if i % 4 else fine)(), "lines") for i in range(100)
+    ]
+    rows += [(200 + i, (signs if i % 4 == 0 else lines if i % 4 == 1 else fine)(), f"mixed{i % 10}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    judged = host_quality.judge_documents(df)
+    assert {r.doc_id for r in judged.where("kept").collect()} == set(range(200, 600)) - {
+        r.doc_id for r in judged.where("base_failed").collect()
+    }
+    assert {r.doc_id for r in host_quality.judge_documents(df, rules=["base"]).where("kept OR base_failed").collect()} == set(range(600))
+    verdicts = {r.host: r for r in host_quality.host_verdicts(host_quality.measures(df)).collect()}
+    assert verdicts[
+        "signs"
+    ].symbols == 75 and verdicts["signs"].symbols_rate > 0.5 > verdicts["signs"].lines_rate and not verdicts["lines"].host_ok
