@@ -65,6 +65,24 @@ def _long_items(spark: SparkSession, sf_dir: str) -> list:
     ).collect()
 
 
+@query("SELECT CASE WHEN strlen(text) % 2 = 0 THEN 'even/' ELSE '' END || item_id || '.txt' AS key, strlen(text) AS size, strlen(text) % 3 <> 0 AS copied FROM benchmark WHERE length(text) > 300")
+def s04_download(spark, sf_dir):
+    """A folder of files, of which another has some already and some cut short; then both are alike, and a second run copies nothing."""
+    base = fresh_path(spark, "mirror")
+    for r in _long_items(spark, sf_dir):
+        raw = r.text.encode()
+        key = f"{'even/' if len(raw) % 2 == 0 else ''}{r.item_id}.txt"
+        sinks.write_file(spark, f"{base}/remote/{key}", raw)
+        if len(raw) % 3 != 1:
+            sinks.write_file(spark, f"{base}/local/{key}", raw if len(raw) % 3 == 0 else raw[:9])
+    done = sinks.downloaded(spark, f"{base}/remote", f"{base}/local").where("error IS NULL")
+    if not sinks.downloaded(spark, f"{base}/remote", f"{base}/local").isEmpty():
+        raise RuntimeError("a second run copied files again")
+    return readers.listing(spark, f"{base}/local").join(
+        done.select("key", F.lit(True).alias("copied")), "key", "left"
+    ).withColumn("copied", F.coalesce("copied", F.lit(False)))
+
+
 @query("SELECT 'b' || item_id || '.pdf' AS file, p AS page_number, regexp_replace(substr(text, (p - 1) * 100 + 1, 100), '[^ -~]', '', 'g') AS text FROM (SELECT *, unnest([1, 2, 3]) AS p FROM benchmark WHERE length(text) > 300) WHERE p >= 2")
 def s02_pdf_pages(spark, sf_dir):
     """Three pages of each item, one PDF an item, from the second on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,6 +44,16 @@ def page_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).json(path).orderBy("path", "page_number")
 
 
+def listing(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """Files under a folder of any store as (key, size), a key being the path below the folder; with their content if asked for."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    below = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+    prefix = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/") + "/"
+    return rows.select(
+        F.substring(below, len(prefix) + 1, 1 << 30).alias("key"), F.col("length").alias("size"), *(["content"] if content else [])
+    )
+
+
 def to_download(remote: DataFrame, local: DataFrame) -> DataFrame:
     """Remote objects (key, size) without a local file of their size."""
     return remote.join(local.select("key", "size"), ["key", "size"], "left_anti")

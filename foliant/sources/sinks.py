@@ -8,16 +8,17 @@ renames. A run that dies before them leaves the old table; one that dies between
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import checked
 from foliant.operators.batches import latest, upserted
 from foliant.operators.numbering import numbered
-from foliant.session import fresh_path
-from foliant.sources.readers import stored
+from foliant.session import fresh_path, ship
+from foliant.sources.readers import listing, stored, to_download
 
 
 #: Quotes are doubled and spaces kept, as ``readers.csv`` and others read them.
@@ -151,6 +152,39 @@ def write_file(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def downloaded(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copies the files of ``source`` that ``target`` (a URI that all executors reach) lacks or has with another size, in parallel; (key, size, error)
+    of what was to be copied, as a written table. A second run copies nothing."""
+    ship(spark)
+    todo = to_download(
+        listing(spark, source),
+        listing(spark, target) if _place(spark, target)[1].exists(_place(spark, target)[0]) else spark.createDataFrame(
+            [], "key string, size long"
+        )
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            rows = []
+            for key, size, content in zip(batch["key"], batch["size"], batch["content"], strict=True):
+                try:
+                    store.create_dir(f"{base}/{key}".rsplit("/", 1)[0], recursive=True)
+                    with store.open_output_stream(f"{base}/{key}") as out:
+                        out.write(content)
+                    rows.append((key, size, None))
+                except Exception as e:  # a file's failure is a row of the result
+                    rows.append((key, size, f"{type(e).__name__}: {str(e)[:500]}"))
+            yield pd.DataFrame(rows, columns=["key", "size", "error"])
+
+    path = fresh_path(spark, "downloaded")
+    files = listing(spark, source, content=True).join(F.broadcast(todo) if todo.count() <= 100_000 else todo, ["key", "size"], "left_semi")
+    files.select("key", "size", "content").mapInPandas(run, "key string, size long, error string").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def laid_out(chunks: DataFrame, path: str) -> None:
     """The layout that stands in for indexes: a folder a year, files sorted by company, so filters prune both."""
     chunks.repartitionByRange("fiscal_year", "company").sortWithinPartitions(
