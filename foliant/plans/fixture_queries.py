@@ -712,12 +712,42 @@ def p_ingest_filing(spark, sf_dir):
     return chunk_pages(FILING.df(spark)).drop("content")
 
 
-@query()
+def _statistics_sql(text: str) -> str:
+    """V08 as a list."""
+    words = words_sql(f"lower({text})")
+    return f"[CAST(len({words}) AS DOUBLE), coalesce(list_sum(list_transform({words}, lambda x: length(x))), 0), coalesce(list_sum(list_transform(string_split(array_to_string({words}, ''), ''), lambda x: ord(x) % 1000)), 0)]"
+
+
+@query(f"""WITH r AS MATERIALIZED ({SQL["e01_resolve_fuzzy"]}),
+q AS MATERIALIZED (SELECT question_id, question, company, fiscal_year, {_statistics_sql('question')} AS qv FROM {QUESTIONS.sql} JOIN r USING (question_id) WHERE trim(coalesce(question, '')) <> ''),
+d AS MATERIALIZED (SELECT CASE doc_id % 7 WHEN 0 THEN 'apple-inc' WHEN 1 THEN 'antares-pharma-inc' WHEN 2 THEN 'applied-materials-inc' ELSE source END AS company, {_statistics_sql('text')} AS dv FROM documents WHERE length(text) < 20000),
+s AS (SELECT question_id, count(*) AS n, max(CASE WHEN dv[1] > 0 THEN list_cosine_similarity(dv, qv) END) AS top FROM q JOIN d ON q.company IS NULL OR (d.company = q.company AND coalesce(q.fiscal_year, 2022) = 2022) GROUP BY question_id),
+f AS (SELECT q.question_id, company, fiscal_year, n, CASE WHEN {_SUBJ} THEN 'subjective_no_verdict' WHEN n IS NULL THEN 'entity_not_found' WHEN top < 0.4 THEN 'low_confidence' ELSE 'ok' END AS flag FROM q LEFT JOIN s ON s.question_id = q.question_id)
+SELECT question_id, company, fiscal_year, flag, CASE flag WHEN 'entity_not_found' THEN '{gate.NOT_FOUND_ANSWER}' WHEN 'subjective_no_verdict' THEN '{gate.NO_VERDICT_ANSWER}' WHEN 'low_confidence' THEN '{gate.WEAK_ANSWER}' || chr(10) || chr(10) || '{gate.LOW_NOTICE}' ELSE '{gate.NO_PROVIDER_ANSWER}' END AS answer, CASE WHEN n IS NOT NULL THEN least(n, 5) END AS n_sources FROM f""")
 def c07_answers(spark, sf_dir):
+    """Questions against all documents, by an encoder that SQL can express; the years are all 2022."""
+    from foliant.functions.vectors import token_statistics
+    from foliant.plans.answer import answer
+
+    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), _answer_chunks(spark, sf_dir, token_statistics), token_statistics).select(
+        "question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources")
+    )
+
+
+@query()
+def c07_hashed_answers(spark, sf_dir):
+    """The same with the hashing encoder."""
     from foliant.functions import vectors
     from foliant.plans.answer import answer
 
     embed = vectors.embed(lambda: vectors.hashing_encoder(64))
+    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), _answer_chunks(spark, sf_dir, embed), embed).select(
+        "question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources")
+    )
+
+
+def _answer_chunks(spark, sf_dir, embed):
+    """Documents as chunks: three sevenths belong to companies that questions name, the others to their source."""
     names = spark.createDataFrame([("apple-inc", 0), ("antares-pharma-inc", 1), ("applied-materials-inc", 2)], "company string, r int")
     docs = table(spark, sf_dir, "documents").withColumn(
         "r", (F.col("doc_id") % 7).cast("int")
@@ -725,7 +755,7 @@ def c07_answers(spark, sf_dir):
         "company", F.coalesce("company", "source")
     )
     none = lambda t: F.lit(None).cast(t)
-    chunks = docs.select(
+    return docs.select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("content"),
         "company",
@@ -740,6 +770,4 @@ def c07_answers(spark, sf_dir):
         F.lit(False).alias("company_name_mismatch"),
         embed(F.col("text")).alias("embedding")
     )
-    return answer(QUESTIONS.df(spark), ENTITIES.df(spark), chunks, embed).select(
-        "question_id", "company", "fiscal_year", "flag", "answer", F.size("sources").alias("n_sources")
-    )
+

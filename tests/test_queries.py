@@ -53,7 +53,7 @@ def test_answers_search_every_document(spark, tmp_path):
         [(i, t, "en", "src0" if i else None, len(t)) for i, t in enumerate(texts)],
         "doc_id long, text string, lang string, source string, n_chars long"
     ).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.question_id: r for r in QUERIES["c07_answers"](spark, str(tmp_path)).collect()}
+    got = {r.question_id: r for r in QUERIES["c07_hashed_answers"](spark, str(tmp_path)).collect()}
     for i, question in asked.items():
         best = (encode(texts) @ encode([question])[0]).max()
         assert got[i].n_sources == 5 and (got[i].flag != "low_confidence") == (best >= 0.4)
