@@ -85,10 +85,14 @@ def is_numeric(token: Column, ratio: float = 0.6) -> Column:
 
 
 def numeric_density(text: Column) -> Column:
-    """the share of numeric tokens; 0 for no tokens. Only tokens with a digit are looked at one by one."""
-    digits = F.regexp_extract_all(text, F.lit(rf"(?<![^{SPACES}])[^{SPACES}\p{{Nd}}]*+\p{{Nd}}[^{SPACES}]*+"), F.lit(0))
-    numeric = F.size(F.filter(digits, lambda t: is_numeric(t))).cast("double")
-    return F.coalesce(F.try_divide(numeric, F.regexp_count(text, F.lit(f"[^{SPACES}]+"))), F.lit(0.0))
+    """the share of numeric tokens; 0 for no tokens. Only tokens with a digit are looked at closely."""
+
+    def share(all_tokens: Column) -> Column:
+        numeric = F.filter(all_tokens, lambda t: t.rlike(r"\p{Nd}") & is_numeric(t))
+        return F.coalesce(F.try_divide(F.size(numeric).cast("double"), F.size(all_tokens)), F.lit(0.0))
+
+    # An array of one, so that the text is split once.
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(tokens(text)), share), 0)).otherwise(F.lit(0.0))
 
 
 def paragraph_count(text: Column) -> Column:
