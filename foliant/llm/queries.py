@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontam, host_quality, jaccard, licenses, secrets, sst, token_counts, toxicity, url_filters
+from foliant.llm import bpe, decontam, fill_middle, host_quality, jaccard, licenses, secrets, simhash, sst, target_encoding, token_counts, toxicity, url_filters
 from foliant.llm.common import table
+from foliant.llm.shop_sql import OP11_SQL, OP13_SQL
 from foliant.session import fresh_path
 
 RULES = [
@@ -87,6 +88,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_encoding.encode_lines(*(table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(text, 256).alias("restored_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filters,
@@ -98,7 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_host_quality,
         op8_sst_shards,
         op9_jaccard,
-        op10_decontamination
+        op10_decontamination,
+        op11_target_encoding,
+        op12_simhash,
+        op13_fill_middle
     )
     return {f.__name__: f for f in found}
 
@@ -196,4 +222,11 @@ FROM d LEFT JOIN tops ON tops.a = doc_id LEFT JOIN counts ON counts.a = doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op9_jaccard": OP9_SQL, "op7_host_quality": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {
+        "op1_url_filters": OP1_SQL,
+        "op9_jaccard": OP9_SQL,
+        "op7_host_quality": OP7_SQL,
+        "op10_decontamination": OP10_SQL,
+        "op11_target_encoding": OP11_SQL,
+        "op13_fill_middle": OP13_SQL
+    }
