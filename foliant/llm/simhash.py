@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import passing, written
@@ -181,13 +181,13 @@ def shared_values(prints: DataFrame, n: int, radius: int, at: list[str], block:
             asked = np.unique(np.concatenate(asked))
             fps = group.column("fp").to_numpy()[np.array(group.column("wanted").is_null())].view(np.uint64)
             for i in range(0, len(fps), 256):
-                values = _balls(fps[i : i + 256], masks)
-                short = values >> drop
+                short = _balls(fps[i : i + 256], masks) >> drop
                 places = np.minimum(np.searchsorted(asked, short), len(asked) - 1)
                 row, column = np.nonzero(asked[places] == short)
                 if len(row):
+                    own = fps[i : i + 256][row]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(values[row, column].view(np.int64)), pa.array(fps[i : i + 256][row].view(np.int64))], names=["value", "fp"]
+                        [pa.array((own ^ masks[column]).view(np.int64)), pa.array(own.view(np.int64))], names=["value", "fp"]
                     )
 
     both = dealt.select("block", "fp", F.lit(None).cast("binary").alias("wanted")).unionByName(wanted)
@@ -195,12 +195,27 @@ def shared_values(prints: DataFrame, n: int, radius: int, at: list[str], block:
     return written(found, "shared", at)
 
 
+def without_lowest(bits: Column, n: int) -> Column:
+    """A long without its ``n`` lowest ones; the least long less one would be too small, and stands for the greatest."""
+    for _ in range(n):
+        bits = bits.bitwiseAND(F.coalesce(F.try_subtract(bits, F.lit(1)), F.lit((1 << 63) - 1)))
+    return bits
+
+
 def links(prints: DataFrame, n: int, radius: int, at: list[str], block: int = BLOCK, part: int = PART) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints at most ``2 * radius`` bits apart: of those that share a value, each with the least."""
+    """Edges (a, b) between distinct fingerprints at most ``2 * radius`` bits apart, each once: of those that share a value, the others with the least, if the value
+    is the one where this pair is judged, that is if the least differs from it in the pair's lowest bits.
+
+    Two that are near are still linked by some path: where the pair (x, y), x < y, is judged, either x is the least, or there is a lesser z that is
+    near to both, and the pairs (z, x) and (z, y) come before (x, y) in the order of the greater and then the lesser member.
+    """
     shared = shared_values(prints, n, radius, at, block, part)
     least = shared.groupBy("value").agg(F.min("fp").alias("a"), F.count("*").alias("held")).where("held > 1").drop("held")
-    pairs = shared.join(least, "value").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius)
+    apart = F.col("a").bitwiseXOR(F.col("fp"))
+    judged = (F.col("fp") != F.col("a")) & (F.bit_count(apart) <= 2 * radius) & (
+        F.col("value") == F.col("fp").bitwiseXOR(without_lowest(apart, radius))
+    )
+    return shared.join(least, "value").where(judged).select("a", F.col("fp").alias("b"))
 
 
 def near_duplicates(
