@@ -87,17 +87,17 @@ def spread_bits(h: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted values as gaps of 16 bits; a larger gap is 65,535 once for each time it holds that, and the rest."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    over = (gaps // np.uint64(0xFFFF)).astype(np.int64)
-    out = np.full(len(gaps) + int(over.sum()), 0xFFFF, "<u2")
-    out[np.cumsum(over + 1) - 1] = (gaps % np.uint64(0xFFFF)).astype("<u2")
-    return out.tobytes()
+    """Sorted values as gaps of as few bytes as the largest takes; the first byte tells how many."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, -(-int(gaps.max()).bit_length() // 8))
+    return bytes([width]) + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    gaps = np.frombuffer(raw, "<u2")
-    return np.cumsum(gaps, dtype=np.uint64)[gaps != 0xFFFF]
+    width = raw[0]
+    gaps = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    gaps[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
 def _balls(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
@@ -118,13 +118,15 @@ def shared_values(prints: DataFrame, n: int, radius: int, at: list[str], block:
     kept_bits = min(64 - part_bits, max(8, (n * len(masks)).bit_length() + SPARE - part_bits))
     drop, low = np.uint64(64 - part_bits - kept_bits), np.uint64((1 << kept_bits) - 1)
     blocks = max(1, -(-n // block))
+    # A block is long work for few bytes, so tasks are told by number: else they would be joined until they hold bytes enough.
+    tasks = max(1, min(blocks, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Blocks by a hash of the fingerprint, so a run that is repeated makes the same ones.
     dealt = written(
-        prints.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(blocks))).repartition("block").sortWithinPartitions("block", "fp"),
+        prints.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(blocks))).repartition(tasks, "block").sortWithinPartitions("block", "fp"),
         "blocks",
         at
     )
-    grouped = dealt.repartition("block").sortWithinPartitions("block", "fp")
+    grouped = dealt.repartition(tasks, "block").sortWithinPartitions("block", "fp")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in by_group(batches, "block"):
@@ -191,7 +193,7 @@ def shared_values(prints: DataFrame, n: int, radius: int, at: list[str], block:
                     )
 
     both = dealt.select("block", "fp", F.lit(None).cast("binary").alias("wanted")).unionByName(wanted)
-    found = both.repartition("block").sortWithinPartitions("block").mapInArrow(released(answer), "value long, fp long")
+    found = both.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(released(answer), "value long, fp long")
     return written(found, "shared", at)
 
 
