@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from foliant.functions import vectors
 from foliant.functions.text import snippet
+from foliant.operators import blocks
 from foliant.session import ship
 
 LENGTH_CAP = 20_000
@@ -29,14 +30,15 @@ def filtered(
     company: Sequence[str] | None = None,
     fiscal_year: int | None = None,
     length_cap: int = LENGTH_CAP,
-    content: str = "content"
+    content: str = "content",
+    empty_matches_nothing: bool = False
 ) -> DataFrame:
-    """An empty or missing list is no filter, year 0 is one; a cap of 0 is none."""
+    """An empty or missing list is no filter, year 0 is one; a cap of 0 is none. Where ``empty_matches_nothing``, as in the store's
+    function (S09), only a missing list is no filter."""
     rows = chunks
-    if ticker:
-        rows = rows.where(F.col("ticker").isin(list(ticker)))
-    if company:
-        rows = rows.where(F.col("company").isin(list(company)))
+    for name, wanted in (("ticker", ticker), ("company", company)):
+        if wanted or (empty_matches_nothing and wanted is not None):
+            rows = rows.where(F.col(name).isin(list(wanted)))
     if fiscal_year is not None:
         rows = rows.where(F.col("fiscal_year") == fiscal_year)
     if length_cap and content in chunks.columns:
@@ -178,11 +180,10 @@ def batch_top_k(
     on: Sequence[str] = ()
 ) -> DataFrame:
     """V02 for many questions at once: ``queries(query_key, query_vector, *on)`` meet the chunks that agree on ``on``, or all chunks. The best k of
-    each are found by key and score alone; their other columns are joined to them."""
+    each are found by key and score alone; their other columns are joined to them. Chunks without a vector, or null in ``on``, are no hits."""
     if on:
-        pairs = chunks.select(key, vector, *on).join(queries.select(query_key, "query_vector", *on), list(on))
-        scored = pairs.select(query_key, key, vectors.cosine_similarity(F.col(vector), F.col("query_vector")).alias("similarity"))
-        best = scored.withColumn("rank", F.row_number().over(_by(query_key, key))).where(F.col("rank") <= clamped(k))
+        asked = blocks.packed(queries, on, query_key, "query_vector", blocks.QUESTIONS)
+        best = blocks.best_pairs(blocks.packed(chunks, on, key, vector), asked, on, clamped(k), key, query_key)
     else:
         best = batch_scan(chunks, queries, k, vector, key, query_key)
     return best.join(queries.drop(*on), query_key).join(chunks, key)
@@ -233,14 +234,16 @@ def as_sources(hits: DataFrame, key: str = "id") -> DataFrame:
 
 
 def retrieve(chunks: DataFrame, query: Sequence[float], model: str, k: int = 5, **filters) -> tuple[DataFrame, dict]:
-    """The sources, and what was asked for; ``filters_applied`` is None without filters."""
-    hits = top_k(filtered(chunks, **filters), query, k)
+    """The sources, and what was asked for; ``filters_applied`` is None without filters, and ``chunks_considered`` the number of hits."""
+    sources = as_sources(top_k(filtered(chunks, **filters), query, k))
+    found = sources.collect()  # MAX_K rows at most
     applied = {
         n: v for n, v in filters.items() if n in ("ticker", "company", "fiscal_year") and (
             v is not None if n == "fiscal_year" else v
         )
     }
-    return as_sources(hits), {"filters_applied": applied or None, "model": model, "k": clamped(k)}
+    meta = {"filters_applied": applied or None, "model": model, "k": clamped(k), "chunks_considered": len(found)}
+    return chunks.sparkSession.createDataFrame(found, sources.schema), meta
 
 
 #: What the stand-in of a store finds: id, content, score, title, source, year.

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions import vectors as V
-from foliant.operators import batches, chatlog, chunk, cleaning, profile, search
+from foliant.operators import batches, chatlog, chunk, cleaning, profile, search, vector_index
 from foliant.plans.registry import query, table
-from foliant.session import spread
+from foliant.session import fresh_path, spread
 from foliant.streaming.incremental import event_sessions, event_windows
 
 
@@ -69,6 +69,28 @@ def v02_batch_topk(spark, sf_dir):
     )
 
 
+@query(f"SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10")
+def v03_index_topk(spark, sf_dir):
+    """An index over all embeddings, and what a full scan would find of each hundredth, from the cells that can hold it."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.build_index(rows, fresh_path(spark, "vector-index"), "vec_id")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector_index.search_exact(index, asked, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"SELECT 'missing' AS asked, count(*) AS n FROM documents UNION ALL SELECT 'empty', 0 UNION ALL SELECT 'one', count(*) FILTER (source = (SELECT min(source) FROM documents)) FROM documents")
+def s09_list_filters(spark, sf_dir):
+    """Lists as the store's function takes them: a missing one is no filter, an empty one matches nothing."""
+    chunks = chunks_of(spark, sf_dir)
+    one = [chunks.agg(F.min("company")).first()[0]]
+    asked = (("missing", None), ("empty", []), ("one", one))
+    counts = [
+        search.filtered(chunks, company=given, length_cap=0, empty_matches_nothing=True).agg(F.lit(name).alias("asked"), F.count("*").alias("n"))
+        for name, given in asked
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query(f"SELECT count(*) FILTER (label = 3) AS matching_rows, CAST(least(count(*) FILTER (label = 3), 5) AS BIGINT) AS prefilter_rows, (SELECT count(*) FILTER (label = 3) FROM (SELECT label FROM embeddings, {_Q} ORDER BY list_cosine_similarity({VECTOR}, q) DESC, vec_id LIMIT 5)) AS postfilter_rows FROM embeddings")
 def v11_filter_diagnosis(spark, sf_dir):
     return search.filter_diagnosis(table(spark, sf_dir, "embeddings"), F.col("label") == 3, _seventh(spark, sf_dir), 5, key="vec_id")
