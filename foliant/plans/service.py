@@ -1,23 +1,27 @@
 """What the chat and the retrieval service offer, as calls on a store's tables; a web layer of any kind can sit on top.
 
-A call is a small batch: it reads what it needs by key and appends what it adds, so many processes can serve one store. Ids of messages are numbered by
-a single writer, as the reference's database does; services that share a store hand turns over as batches to ``chatlog.turn``.
+A call is a small batch: it reads what it needs by key and appends one event, so many processes can serve one store, and no call rewrites a table. A turn is one
+event, so a question is never kept without its answer. Messages and ratings are numbered within their conversation. ``tidied`` joins the small files that
+calls leave; it can run beside them.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import chatlog, search
+from foliant.operators import chat_events, chatlog, search
 from foliant.plans.answer import answer, degraded
 from foliant.sources import schemas, sinks
+from foliant.sources.buckets import BucketTable
 from foliant.sources.readers import companies, stored
 
 WELCOME = "Ask about a company's annual reports: name the company and the year."
@@ -44,19 +48,29 @@ class Service:
     def start(self) -> Service:
         """Makes the tables that the store lacks."""
         schemas.bootstrap(self.spark, self.folder)
+        self._events().create()
         return self
 
+    def _events(self) -> BucketTable:
+        return schemas.in_buckets(self.spark, self.folder, "chat_events")
+
+    def _of(self, conversation: str) -> DataFrame:
+        """A conversation's events, from its bucket."""
+        log = self._events()
+        return log.read([log.bucket_of(conversation)]).where(F.col("conversation_id") == conversation)
+
+    def _add(self, kind: str, conversation: str, now: datetime, **fields) -> str:
+        event = {"event_id": str(uuid.uuid4()), "conversation_id": conversation, "kind": kind, "at": now} | fields
+        self._events().append(self.spark.createDataFrame([event], schemas.CHAT_EVENTS))
+        return event["event_id"]
+
+    def tidied(self) -> None:
+        """Joins the parts of buckets that have many, and the commits."""
+        self._events().compact()
+
     def _table(self, name: str) -> DataFrame:
         return stored(self.spark, self.folder, name)
 
-    def _append(self, name: str, rows: list[tuple], columns: Sequence[str]) -> None:
-        like = self._table(name)
-        made = self.spark.createDataFrame(rows, like.select(*columns).schema)
-        filled = made.select(
-            *((F.col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields)
-        )
-        filled.coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
-
     def health(self) -> dict[str, object]:
         """Whether the store can be read, and how many chunks it has."""
         try:
@@ -94,7 +108,7 @@ class Service:
         try:
             chunks = self._table("rag_chunks")
             found = answer(asked, companies(chunks).select("company", "ticker"), chunks, self.embed, generate=self.generate).first()
-        except Exception:  # the store or the encoder is away: say so, and make nothing up
+        except (PySparkException, Py4JError, OSError):  # the store or the encoder is away: say so, and make nothing up
             row = degraded(asked).first()
             return {
                 "conversation_id": conversation,
@@ -103,8 +117,9 @@ class Service:
                 "confidence_flag": row["flag"],
                 "sources": []
             }
-        self._ensure(conversation, user_id, message, now)
-        message_id = self._keep(conversation, message, found["answer"], found["flag"], now)
+        said = [("user", message, None), ("assistant", found["answer"], found["flag"])]
+        event = self._add("turn", conversation, now, user_id=user_id, messages=said)
+        message_id = self._last_of(conversation, event)
         sources = [s.asDict() for s in found["sources"] or []]
         return {
             "conversation_id": conversation,
@@ -114,41 +129,45 @@ class Service:
             "sources": sources
         }
 
-    def _ensure(self, conversation: str, user_id: int | None, title: str, now: datetime) -> None:
-        old = self._table("conversations")
-        asked = self.spark.createDataFrame(
-            [(conversation, user_id, title[:80], now)], "id string, user_id long, title string, at timestamp"
-        )
-        sinks.replace_table(chatlog.ensured(old, asked).select(*old.columns), f"{self.folder}/conversations")
-
-    def _keep(self, conversation: str, question: str, reply: str, flag: str, now: datetime) -> int:
-        last = self._table("chat_messages").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        rows = [(last + 1, conversation, "user", question, None, now), (last + 2, conversation, "assistant", reply, flag, now)]
-        self._append("chat_messages", rows, ("id", "conversation_id", "role", "content", "confidence_flag", "created_at"))
-        return last + 2
+    def _last_of(self, conversation: str, event: str) -> int:
+        """The place of an event's last message. Turns count two, so only their order is asked for."""
+        own = chat_events.once(self._of(conversation).where("kind = 'turn'")).select("at", "event_id", "messages")
+        mark = own.where(F.col("event_id") == event).select(F.col("at").alias("__at"), F.col("event_id").alias("__id"))
+        before = own.join(F.broadcast(mark), F.struct("at", "event_id") <= F.struct("__at", "__id"))
+        return before.agg(F.sum(F.size("messages"))).first()[0]
 
     def history(self, conversation_id: str) -> DataFrame:
-        return chatlog.history(self._table("chat_messages"), conversation_id)
+        """(role, content) of a conversation, in order."""
+        return chat_events.messages(self._of(conversation_id)).orderBy("message_id").select("role", "content")
+
+    def conversation(self, conversation_id: str) -> dict[str, object]:
+        """A conversation's user, title and times."""
+        row = chat_events.conversations(self._of(conversation_id)).first()
+        if row is None:
+            raise NotFound(f"conversation {conversation_id}")
+        return row.asDict()
 
     def save_feedback(
         self, conversation_id: str, message_id: int, rating: str, reason: str | None = None, user_id: int | None = None
     ) -> int:
         """Keeps a rating of an answer; its id."""
-        now, last = datetime.now(timezone.utc).replace(tzinfo=None), self._table("message_feedback").agg(
-            F.coalesce(F.max("id"), F.lit(0))
-        ).first()[0]
-        rows = [(last + 1, message_id, conversation_id, rating, reason, user_id, now)]
-        columns = ("id", "message_id", "conversation_id", "rating", "reason", "user_id", "created_at")
-        given = self.spark.createDataFrame(rows, self._table("message_feedback").select(*columns).schema)
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        given = self.spark.createDataFrame(
+            [(message_id, conversation_id, rating)], "message_id long, conversation_id string, rating string"
+        )
         if chatlog.valid_feedback(given).isEmpty():
             raise Invalid("feedback needs a known rating, a message and a conversation")
-        if self._table("chat_messages").where((F.col("id") == message_id) & (F.col("conversation_id") == conversation_id)).isEmpty():
+        own = self._of(conversation_id)
+        held = chat_events.once(own.where("kind = 'turn'")).agg(F.sum(F.size("messages"))).first()[0] or 0
+        if not 1 <= message_id <= held:
             raise NotFound(f"message {message_id}")
-        self._append("message_feedback", rows, columns)
-        return last + 1
+        event = self._add("feedback", conversation_id, now, user_id=user_id, message_id=message_id, rating=rating, reason=reason)
+        return chat_events.once(self._of(conversation_id).where("kind = 'feedback'")).where(
+            (F.col("at") < now) | ((F.col("at") == now) & (F.col("event_id") <= event))
+        ).count()
 
     def feedback(self, conversation_id: str) -> DataFrame:
-        return chatlog.feedback_of(self._table("message_feedback"), conversation_id)
+        return chat_events.feedback(self._of(conversation_id)).orderBy("id")
 
     def source(self, chunk_id: str) -> dict[str, object]:
         """A source's chunk by its id."""

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import batches, evals
+from foliant.operators import batches, chat_events, evals
 from foliant.plans.ingest import document_report
 from foliant.plans.registry import query, table
 from foliant.session import fresh_path
 from foliant.sources import pdf, readers, schemas, sinks
+from foliant.sources.buckets import BucketTable
 from foliant.streaming import incremental
 
 c = F.col
@@ -131,6 +132,50 @@ def s10_load_chunks(spark, sf_dir):
     )
 
 
+def _chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of ``conversations`` as events, added in three lots, of which the last repeats what the first has; then tidied up."""
+    log = BucketTable(spark, fresh_path(spark, "chat"), schemas.CHAT_EVENTS, *schemas.BUCKETED["chat_events"])
+    log.create()
+    at = F.timestamp_seconds("turn")
+    said = F.array(F.struct("role", c("text").alias("content"), F.lit(None).cast("string").alias("confidence_flag")))
+    id_ = F.concat_ws("-", "conv_id", "turn")
+    rows = table(spark, sf_dir, "conversations").select(
+        id_.alias("event_id"), c("conv_id").cast("string").alias("conversation_id"), F.lit("turn").alias("kind"), at.alias("at"),
+        F.when(c("turn") % 2 == 1, c("turn")).alias("user_id"), said.alias("messages"), F.lit(None).cast("long").alias("message_id"),
+        *(F.lit(None).cast("string").alias(n) for n in ("rating", "reason"))
+    )
+    for lot in (0, 1, 0):
+        log.append(rows.where(F.pmod(F.hash("event_id"), F.lit(2)) == lot))
+    log.compact(2)
+    return log.read()
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS id, min(turn) FILTER (turn % 2 = 1) AS user_id, left(arg_min(text, turn), 80) AS title, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_messages FROM conversations GROUP BY conv_id")
+def c02_event_log(spark, sf_dir):
+    return chat_events.conversations(_chat_log(spark, sf_dir)).select(
+        "id", "user_id", "title", F.unix_seconds("created_at").alias("first_turn"), F.unix_seconds("updated_at").alias("last_turn"), "n_messages"
+    )
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS message_id, role, md5(text) AS digest, turn FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+def c04_event_messages(spark, sf_dir):
+    return chat_events.messages(_chat_log(spark, sf_dir)).select(
+        "conversation_id", "message_id", "role", F.md5("content").alias("digest"), F.unix_seconds("created_at").alias("turn")
+    )
+
+
+@query("SELECT 'f' || label AS source_file, count(*) AS n_chunks FROM embeddings WHERE label <> 2 GROUP BY label UNION ALL SELECT 'f2', count(*) FILTER (vec_id % 2 = 0) FROM embeddings WHERE label = 2 HAVING count(*) FILTER (vec_id % 2 = 0) > 0")
+def s11_one_document_again(spark, sf_dir):
+    """A document that comes again with half its chunks: its bucket is rewritten, and no part of another bucket."""
+    folder = _store(spark, sf_dir, "store")
+    chunks = schemas.in_buckets(spark, folder, "rag_chunks")
+    before = {*chunks.parts()}
+    hit = sinks.load_chunks(spark, folder, _vector_chunks(spark, sf_dir).where("source_file = 'f2' AND chunk_index % 2 = 0"), 64)
+    if hit != [chunks.bucket_of("f2")] or {p for p in before - {*chunks.parts()}} != {p for p in before if p.endswith(f"={hit[0]}")}:
+        raise RuntimeError("other buckets were rewritten than that of the document")
+    return chunks.read().groupBy("source_file").agg(F.count("*").alias("n_chunks"))
+
+
 @query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang")
 def s12_json_report(spark, sf_dir):
     path = fresh_path(spark, "report")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import clean_int
 from foliant.session import ship
-from foliant.sources.schemas import CHUNK_FILE, PAGES, TABLES
+from foliant.sources.schemas import BUCKETED, CHUNK_FILE, PAGES, TABLES, in_buckets
 
 
 def pdf_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -124,6 +124,8 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def stored(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table of the store."""
+    if table in BUCKETED:
+        return in_buckets(spark, folder, table).read()
     return spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
 
 

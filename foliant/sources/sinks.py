@@ -1,8 +1,8 @@
 """Sinks: staged table writes, chunk loads, deletes, logs and reports.
 
-Parquet tables know no transactions. A table is written to a folder of its own beside the old one and then takes its place by two
-renames. A run that dies before them leaves the old table; one that dies between them leaves it under its ``.old-`` name, from which
-``recovered`` (called by each load and delete) brings it back. Repeating a load gives the same table.
+Documents, chunks and chat events are kept in buckets (``buckets``), where a change is one commit. The other tables are single folders: a table is
+written to a folder of its own beside the old one and then takes its place by two renames. A run that dies before them leaves the old table; one that dies between them leaves it under its ``.old-`` name, from which
+``recovered`` (called by each delete) brings it back. Repeating a load gives the same table.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.vectors import checked
-from foliant.operators.batches import latest, upserted
+from foliant.operators.batches import latest
 from foliant.operators.numbering import numbered
 from foliant.session import fresh_path, ship
 from foliant.sources.readers import listing, stored, to_download
+from foliant.sources.schemas import BUCKETED, in_buckets
 
 
 #: Quotes are doubled and spaces kept, as ``readers.csv`` and others read them.
@@ -53,16 +54,13 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     store.delete(_place(spark, old)[0], True)
 
 
-def load_chunks(spark: SparkSession, folder: str, chunks: DataFrame, dimension: int) -> None:
+def load_chunks(spark: SparkSession, folder: str, chunks: DataFrame, dimension: int) -> list[int]:
     """Chunks of any number of documents. A document that comes again replaces its row and all its chunks. Numbers of documents and
-    chunks follow the order of source file and place, after those that are kept.
+    chunks follow the order of source file and place, after those that are kept. The buckets of chunks that were rewritten: those of documents that
+    came again; where all are new both tables are appended to.
 
-    Where all documents are new, as in most loads, both tables are appended to and nothing stored is read but ids and files. Chunks
-    are written before documents, so a run that dies between them is one whose documents aren't loaded yet; loading them again
-    replaces the chunks.
+    Chunks are committed before documents, so a run that dies between them is one whose documents aren't loaded yet; loading them again replaces the chunks.
     """
-    for name in ("documents", "rag_chunks"):
-        recovered(spark, f"{folder}/{name}")
     stages = [fresh_path(spark, what) for what in ("numbered", "numbered", "known")]
     good = chunks.withColumn("embedding", checked(F.col("embedding"), dimension))
     docs, old = stored(spark, folder, "documents"), stored(spark, folder, "rag_chunks")
@@ -72,24 +70,16 @@ def load_chunks(spark: SparkSession, folder: str, chunks: DataFrame, dimension:
     known = spark.read.parquet(stages[2])  # what is loaded may hang on the store, so it is settled before that changes
     top = docs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fresh = numbered(known.where("id IS NULL").drop("id"), ["source_file"], top + 1, stage=stages[0])
-    again = known.where("id IS NOT NULL")
-    ids = again.unionByName(fresh).select("source_file", F.col("id").alias("document_id"))
-    kept = old.join(known.select("source_file"), "source_file", "left_anti")
+    ids = known.where("id IS NOT NULL").unionByName(fresh)
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    added = good.join(ids, "source_file").withColumn("created_at", F.current_timestamp())
+    added = good.join(ids.select("source_file", F.col("id").alias("document_id")), "source_file").withColumn("created_at", F.current_timestamp())
     rows = _filled(numbered(added, ["source_file", "chunk_index"], top + 1, stage=stages[1]), old)
-    replaced = not old.join(known.select("source_file"), "source_file", "left_semi").isEmpty()
-    if replaced:
-        replace_table(kept.unionByName(rows), f"{folder}/rag_chunks")
-    else:
-        rows.write.mode("append").parquet(f"{folder}/rag_chunks")
-    if again.isEmpty():
-        _filled(fresh, docs).write.mode("append").parquet(f"{folder}/documents")
-    else:
-        replace_table(upserted(docs, again.unionByName(fresh), ["source_file"]).select(*docs.columns), f"{folder}/documents")
+    hit = in_buckets(spark, folder, "rag_chunks").upsert(rows)
+    in_buckets(spark, folder, "documents").upsert(_filled(ids, docs))
     for path in stages:
         at, store = _place(spark, path)
         store.delete(at, True)
+    return hit
 
 
 def _filled(rows: DataFrame, like: DataFrame) -> DataFrame:
@@ -101,17 +91,16 @@ def _filled(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 def delete_all(spark: SparkSession, folder: str) -> int:
     """Empties documents and chunks; the number of documents there were."""
-    for name in ("rag_chunks", "documents"):
-        recovered(spark, f"{folder}/{name}")
     n = stored(spark, folder, "documents").count()
     for name in ("rag_chunks", "documents"):
-        rows = stored(spark, folder, name)
-        replace_table(spark.createDataFrame([], rows.schema), f"{folder}/{name}")
+        in_buckets(spark, folder, name).clear()
     return n
 
 
 def delete_where(spark: SparkSession, folder: str, table: str, condition: Column) -> int:
-    """Drops the rows for which the condition holds (a null keeps a row); how many."""
+    """Drops the rows for which the condition holds (a null keeps a row); how many. Of a table in buckets only those that hold such rows are rewritten."""
+    if table in BUCKETED:
+        return in_buckets(spark, folder, table).delete_where(condition)
     recovered(spark, f"{folder}/{table}")
     rows = stored(spark, folder, table)
     gone = F.coalesce(condition, F.lit(False))
@@ -136,8 +125,10 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small result as a table of text."""
-    head = rows.limit(limit).collect()
+    """A small result as a table of text; one of more than ``limit`` rows is an error."""
+    head = rows.limit(limit + 1).collect()
+    if len(head) > limit:
+        raise ValueError(f"a result of over {limit} rows is no small one")
     line = lambda xs: "| " + " | ".join(str(x).replace("|", "\\|") for x in xs) + " |"
     return "\n".join([line(rows.columns), line("---" for _ in rows.columns), *(line(r) for r in head)])
 
