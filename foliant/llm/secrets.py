@@ -12,7 +12,8 @@ that the match was decoded from, through base64 to the whole run.
 A base64 run is decoded at each of its four alignments, by itself and joined with the runs of the lines around it, so a
 layer is found behind letters that aren't part of it. Where not all bytes are text, the stretches of ASCII among them are layers (all that
 a pattern can match is ASCII), mapped to the characters that they were decoded from. Compressed streams are looked for at every byte, and
-unpacked member after member as far as they are sound.
+unpacked member after member as far as they are sound, and so is what they hold, to any depth: in a run at one alignment each content is unpacked once, from the
+first place that leads to it, as all that comes from a place reaches to the run's end.
 
 A layer that unpacks to more than ``MOST_BYTES`` isn't held whole: it is scanned to its end in overlapping blocks and counted in
 ``n_refused``, and ``mask_secrets`` masks all that it comes from, as a layer in it that is longer than the overlap may be cut. The time is that of what
@@ -69,6 +70,8 @@ STRETCH = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
 #: How gzip, zlib, bzip2, xz and Zstandard begin.
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|\x28\xb5\x2f\xfd")
 LONGEST_MAGIC = 10
+#: Large layers, each in the one before, that are opened: reading one more opens all before it again.
+MOST_LARGE = 100
 #: Bytes of a large layer that are scanned at once, and that each scan has in common with the one before.
 BLOCK, OVERLAP = 4 << 20, 1 << 20
 
@@ -358,47 +361,54 @@ def _found(text: str) -> tuple[list[Span], list[Span], int, set[tuple[int, int]]
             if inner:
                 push(Layer(inner, [0], [(*origin, False)]), origin)
 
-    def unpack(stream: Callable[[], Iterator[bytes]], origin: tuple[int, int], marks: frozenset = frozenset()) -> None:
-        """What a compressed stream holds, and what is compressed in that, until it comes round. A stream is opened again for what is in it."""
+    def unpack(stream: Callable[[], Iterator[bytes]], origin: tuple[int, int], seen: set[bytes]) -> None:
+        """What a compressed stream holds, and what is compressed in that, however deep, until it comes round or to what another stream of the run held.
+        A large stream is opened again for what is in it."""
         nonlocal n_large
-        held, blocks = bytearray(), _unpacked(stream())
-        for block in blocks:
-            held += block
-            if len(held) > MOST_BYTES:
-                break
-        whole, mark = len(held) <= MOST_BYTES, hashlib.blake2b(held, digest_size=16).digest()
-        if mark in marks:
-            return
-        inside = MAGIC.match(held) is not None
-        if whole:
-            raw = bytes(held)
-            push_whole(raw, origin)
-            if inside:
-                unpack(lambda: _pieces(raw), origin, marks | {mark})
-            return
-        n_large += 1
-        large.add(origin)
-        step, tail = min(BLOCK, MOST_BYTES), b""
-        first, held = [bytes(held[a : a + step]) for a in range(0, len(held), step)], bytearray()
-        while block := first.pop(0) if first else next(blocks, b""):
-            part = tail + block
-            for m in STRETCH.finditer(part):
-                push(Layer(m[0].decode("ascii"), [0], [(*origin, False)]), origin)
-            drain()  # so that only one block is held
-            tail = part[-OVERLAP:]
-        if inside:
-            unpack(lambda: _unpacked(stream()), origin, marks | {mark})
+        again = 0
+        while True:
+            held, blocks = bytearray(), _unpacked(stream())
+            for block in blocks:
+                held += block
+                if len(held) > MOST_BYTES:
+                    break
+            whole, mark = len(held) <= MOST_BYTES, hashlib.blake2b(held, digest_size=16).digest()
+            if mark in seen:
+                return
+            seen.add(mark)
+            inside = MAGIC.match(held) is not None
+            if whole:
+                raw = bytes(held)
+                push_whole(raw, origin)
+                if not inside:
+                    return
+                stream = lambda raw=raw: _pieces(raw)
+                continue
+            n_large += 1
+            large.add(origin)
+            step, tail = min(BLOCK, MOST_BYTES), b""
+            first, held = [bytes(held[a : a + step]) for a in range(0, len(held), step)], bytearray()
+            while block := first.pop(0) if first else next(blocks, b""):
+                part = tail + block
+                for m in STRETCH.finditer(part):
+                    push(Layer(m[0].decode("ascii"), [0], [(*origin, False)]), origin)
+                drain()  # so that only one block is held
+                tail = part[-OVERLAP:]
+            again += 1
+            if not inside or again > MOST_LARGE:
+                return
+            stream = lambda outer=stream: _unpacked(outer())
 
     def unwrap(run: Run, wrapped: bool) -> None:
         for shift in range(4):
-            raw = run.decoded(shift)
+            raw, seen = run.decoded(shift), set()
             if shift == 0 and not wrapped and _is_text(raw) and len(run.body) % 4 != 1:
                 push_whole(raw, run.origin(0, len(run.body)))
             else:
                 for m in STRETCH.finditer(raw):
                     push(run.part(shift, m), run.origin(shift, len(run.body)))
             for m in MAGIC.finditer(raw):
-                unpack(lambda raw=raw, at=m.start(): _pieces(memoryview(raw)[at:]), run.origin(shift + 4 * (m.start() // 3), len(run.body)))
+                unpack(lambda raw=raw, at=m.start(): _pieces(memoryview(raw)[at:]), run.origin(shift + 4 * (m.start() // 3), len(run.body)), seen)
 
     def drain() -> None:
         while work:

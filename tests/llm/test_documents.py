@@ -348,6 +348,34 @@ def test_layers_of_any_nesting_are_found():
         assert spans and all(len(before) < a < b <= len(before) + 1 + len(inner) for a, b in spans), seed
 
 
+def test_thousands_of_nested_streams(spark, docs_of):
+    """Depth is no limit, and neither is the cost of each header that shows through all layers around it."""
+    for depth, pack in ((5000, lambda raw: gzip.compress(raw, 1, mtime=0)), (1500, lambda raw: zlib.compress(raw, 0))):
+        raw = b"password=hunter2hunter2"
+        for _ in range(depth):
+            raw = pack(raw)
+        body = base64.b64encode(raw).decode()
+        _, spans, layers, refused = secrets.find(f"see {body} end")
+        assert ("assign" in {k for *_, k in spans}) and refused == 0 and min(s for s, *_ in spans) == 4, spans
+        assert max(e for _, e, _ in spans) == 4 + len(body)
+    kept = secrets.mask_secrets(docs_of([f"see {body} end"])).first().text
+    assert body[:40] not in kept and kept.startswith("see ") and kept.endswith(" end")
+
+
+def test_a_stream_that_holds_itself(monkeypatch):
+    raw = gzip.compress(b"password=hunter2hunter2")
+    monkeypatch.setattr(secrets, "_unpacked", lambda chunks: iter([b"".join(chunks)]))
+    assert secrets.find(base64.b64encode(raw).decode())[3] == 0
+    monkeypatch.setattr(secrets, "MOST_BYTES", 10)  # and where it counts as large
+    assert secrets.find(base64.b64encode(raw).decode())[3] == 1
+
+
+def test_copies_in_one_run_are_all_masked():
+    one = gzip.compress(b"password=hunter2hunter2")
+    body = base64.b64encode(one + b"\0" * 30 + one + b"\0" * 30).decode()
+    assert secrets.masked(f"a {body} z", "*") == "a * z"
+
+
 def test_escapes_nested_deep_are_decoded_in_one_walk():
     def passes(t):
         while True:
