@@ -330,6 +330,33 @@ def t04_limited_batches(spark, sf_dir):
     )
 
 
+@query("SELECT doc_id % 4 AS lot, CASE doc_id % 4 WHEN 1 THEN 'dead' ELSE 'done' END AS outcome, count(*) AS n, count(DISTINCT doc_id) AS n_ids FROM labels GROUP BY 1, 2")
+def t04_attempts(spark, sf_dir):
+    """Files of ``labels`` in four lots against a service that never answers for one and not at first for another: in three runs the first is given up
+    and all others are done, once each; the source has the rows that it had."""
+    base = fresh_path(spark, "attempts")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    for lot in range(4):
+        labels.where(F.pmod("doc_id", F.lit(4)) == lot).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    refused = []
+
+    def load(batch: DataFrame, _: int) -> None:
+        lot = batch.agg(F.min(F.pmod("doc_id", F.lit(4)))).first()[0]
+        if lot == 1 or (lot == 2 and lot not in refused):
+            refused.append(lot)
+            raise incremental.TimedOut("no answer")
+        batch.write.mode("append").parquet(f"{base}/out")
+
+    before = spark.read.parquet(f"{base}/in").count()
+    for _ in range(3):
+        incremental.run_batches(spark, f"{base}/in", "doc_id long", load, f"{base}/mark")
+    if spark.read.parquet(f"{base}/in").count() != before or refused.count(1) != 3:
+        raise RuntimeError("the source was written, or a batch was tried more or less often than three times")
+    dead = incremental.dead_letters(spark, f"{base}/mark", "doc_id long")
+    ends = spark.read.parquet(f"{base}/out").withColumn("outcome", F.lit("done")).unionByName(dead.withColumn("outcome", F.lit("dead")))
+    return ends.groupBy(F.pmod("doc_id", F.lit(4)).alias("lot"), "outcome").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_ids"))
+
+
 @query("SELECT 'good.parquet' AS file, count(*) AS n_rows, false AS failed FROM embeddings UNION ALL SELECT 'broken.parquet', NULL, true UNION ALL SELECT 'other.parquet', count(*), true FROM labels")
 def t05_file_status(spark, sf_dir):
     """A chunk file, one that is no Parquet, and one with other columns: two failures are two rows."""

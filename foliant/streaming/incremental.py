@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from foliant.sources.buckets import BucketTable
+
 
 def process_new(
     spark: SparkSession,
@@ -65,30 +68,90 @@ def kind_of(error: BaseException) -> str:
     return "error"
 
 
+ATTEMPTS = "item STRING, at TIMESTAMP, outcome STRING"
+
+
+def _attempts(spark: SparkSession, checkpoint: str) -> BucketTable:
+    log = BucketTable(spark, f"{checkpoint}-attempts/log", ATTEMPTS, "item", ("at",), 8)
+    log.create()
+    return log
+
+
+def attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(item, attempts, outcome) of every batch that has timed out: how often it was tried, and how that ended last (``timeout``, ``done`` or ``dead``)."""
+    tried = F.count_if(F.col("outcome") != "dead").alias("attempts")
+    # A batch that is given up is so for good, at whatever moment.
+    last = F.max_by("outcome", F.struct(F.col("outcome") == "dead", "at", F.col("outcome") == "done")).alias("outcome")
+    return _attempts(spark, checkpoint).read().groupBy("item").agg(tried, last)
+
+
+def _held(spark: SparkSession, checkpoint: str, schema: StructType | str, items: list[str]) -> DataFrame:
+    if not items:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{checkpoint}-attempts/held/{i}" for i in items))
+
+
+def dead_letters(spark: SparkSession, checkpoint: str, schema: StructType | str) -> DataFrame:
+    """Rows of the batches that were given up."""
+    return _held(spark, checkpoint, schema, [r.item for r in attempts(spark, checkpoint).where("outcome = 'dead'").collect()])
+
+
 def run_batches(
     spark: SparkSession,
     source: str,
     schema: StructType | str,
     load: Callable[[DataFrame, int], None],
     checkpoint: str,
-    files_per_batch: int = 1
+    files_per_batch: int = 1,
+    max_attempts: int = 3
 ) -> dict[str, int | bool]:
     """``ingest`` to its end, for loads that call a service with limits. A spent quota ends the run, and its batch comes first in the next
-    one; a batch that times out is passed over, and put back to ``source`` for the next run; any other error is raised. How many batches were
-    done and passed over, and whether a quota ended the run."""
-    outcome: dict[str, int | bool] = {"done": 0, "skipped": 0, "quota": False}
+    one; a batch that times out is passed over and kept beside the checkpoint, with a log of its attempts, and comes first in the next run. One that has timed out
+    ``max_attempts`` times is given up, and its rows are ``dead_letters``. ``source`` is only read. Any other error is raised. How many batches were
+    done, passed over and given up, and whether a quota ended the run."""
+    outcome: dict[str, int | bool] = {"done": 0, "skipped": 0, "dead": 0, "quota": False}
+    log = _attempts(spark, checkpoint)
+
+    def note(item: str, what: str) -> None:
+        log.append(spark.createDataFrame([(item, datetime.now(timezone.utc).replace(tzinfo=None), what)], ATTEMPTS))
+
+    def timed_out(error: Exception) -> bool:
+        kind = kind_of(error)
+        outcome["quota"] = kind == "quota"
+        return kind == "timeout"
+
+    waiting = attempts(spark, checkpoint).where("outcome = 'timeout'").collect()
+    for r in sorted(waiting, key=lambda r: int(r.item)):  # one for each batch that has timed out
+        if r.attempts >= max_attempts:
+            note(r.item, "dead")  # a run that died before it could say so
+            outcome["dead"] += 1
+            continue
+        try:
+            load(_held(spark, checkpoint, schema, [r.item]), int(r.item))
+        except Exception as e:
+            if not timed_out(e):
+                if outcome["quota"]:
+                    return outcome
+                raise
+            note(r.item, "timeout")
+            outcome["skipped"] += 1
+            if r.attempts + 1 >= max_attempts:
+                note(r.item, "dead")
+                outcome["dead"] += 1
+            continue
+        note(r.item, "done")
+        outcome["done"] += 1
 
     def guarded(batch: DataFrame, number: int) -> None:
         try:
             load(batch, number)
         except Exception as e:
-            kind = kind_of(e)
-            if kind == "timeout":
-                batch.write.mode("append").parquet(source)  # a run takes only the files that were there when it began
-                outcome["skipped"] += 1
-                return
-            outcome["quota"] = kind == "quota"
-            raise
+            if not timed_out(e):
+                raise
+            batch.write.mode("overwrite").parquet(f"{checkpoint}-attempts/held/{number}")
+            note(str(number), "timeout")
+            outcome["skipped"] += 1
+            return
         outcome["done"] += 1
 
     query = ingest(spark, source, schema, guarded, checkpoint, files_per_batch)
