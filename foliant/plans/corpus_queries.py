@@ -147,8 +147,10 @@ def f10_word_chunks(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len(list_filter(list_transform(w, lambda x: regexp_replace(x, '[$,%()\-.\s]', '', 'g')), lambda x: length(x) > 0 AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 0.6 * length(x))) AS k FROM t)
-SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE k / n END, 4) AS density, CASE WHEN n = 0 THEN false ELSE k / n >= 0.1 END AS dense FROM c""")
+c AS (SELECT doc_id, len(w) AS n, len(list_filter(list_transform(w, lambda x: regexp_replace(x, '[$,%()\-.\s]', '', 'g')), lambda x: length(x) > 0 AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 0.6 * length(x))) AS k FROM t),
+e AS (SELECT *, 10000 * k // n AS q, 2 * (10000 * k % n) AS r, k / n AS x, (k / n) * 134217729 AS t FROM c),
+s AS (SELECT *, ((t - (t - x)) * 20000 - (2 * q + 1)) + (x - (t - (t - x))) * 20000 AS over FROM e)
+SELECT doc_id, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE (q + CASE WHEN r < n OR (r = n AND (over < 0 OR (over = 0 AND q % 2 = 0))) THEN 0 ELSE 1 END) / 1e4 END AS density, CASE WHEN n = 0 THEN false ELSE k / n >= 0.1 END AS dense FROM s""")
 def f17_numeric_density(spark, sf_dir):
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.numeric_density(F.col("text")).alias("d"))
     return rows.select("doc_id", T.rounded(F.col("d")).alias("density"), (F.col("d") >= 0.1).alias("dense"))

@@ -140,3 +140,19 @@ def test_resolver_fails_open(spark):
     assert got == {1: (None, None), 2: ("antares-pharma-inc", 2014), 3: (None, None)}
     none = spark.createDataFrame([], "company string, ticker string")
     assert all(r.company is None for r in resolve.resolve(q, none).collect())
+
+
+def test_rounding_is_that_of_the_number_itself(spark):
+    import random
+
+    from foliant.functions import text as T
+
+    rng = random.Random(6)
+    numbers = [k / n for n in (1, 3, 7, 32, 64, 160, 800, 2000, 20000) for k in range(0, 60)] + [(2 * k + 1) / 20000 for k in range(3000)]
+    numbers += [rng.uniform(-50, 50) for _ in range(2000)] + [-1 / 32, -3 / 32, -0.00625, 1e-9, 123456.00005, 2.675, 1e15 + 0.3]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for n in (1, 2, 4):
+        got = [r.y for r in df.select(T.rounded(df.x, n).alias("y")).collect()]
+        assert [(x, y) for x, y in zip(numbers, got, strict=True) if round(x, n) != y] == []
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double")
+    assert str([r.y for r in odd.select(T.rounded(odd.x).alias("y")).collect()]) == "[None, inf, nan]"
