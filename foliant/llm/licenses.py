@@ -8,9 +8,10 @@ temperature fitted on copies kept apart calibrates the probabilities; a family c
 telling word pairs, or else all but 1 - ``least_cover`` of its own telling pairs must stand in one.
 
 A paragraph ends at a blank line, or at a line that ends a sentence, so a notice that is wrapped over lines is seen whole. Each line of a
-paragraph of several is judged by itself too, as lists of notices are often lines. Only paragraphs and lines with an anchor word are cut into
-grams. Texts are read once, and not shuffled: a written table holds a numbered row for each document, with its paragraphs that have an anchor.
-Their grams are joined to the model (a table as large as the templates, the same for any corpus) and summed by paragraph.
+paragraph of several is judged by itself too, as lists of notices are often lines. All are cut into grams; those whose grams together can't lift any
+family to ``least_p`` against ``unknown``, by the model's own weights, go no further, which changes no result. Texts are read once, and not shuffled: a written
+table holds a numbered row for each document, with the grams of what is left. They are joined to the model (a table as large as the templates, the same for any
+corpus) and summed by paragraph.
 
 Everything on the documents is DataFrame expressions. Null and empty texts have no paragraphs. Rows that repeat an id each get a row with
 their own paragraphs; null ids are kept. An empty table gives an empty result; extra columns, whatever their names, aren't read by
@@ -19,8 +20,10 @@ their own paragraphs; null ids are kept. An empty table gives an empty result; e
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -151,12 +154,6 @@ OTHERS = (
     "Her rights were waived in the settlement.", "The proprietary recipe is kept in a safe.", "Confidential talks were held in Geneva.", "The warranty does not cover water damage.",
     "A licensed plumber must do the work.", "The gun was licensed to his brother.", "The terms of the agreement were not released.", "Unauthorized entry is prohibited.", "The museum has a public domain collection of maps.", "The band released an album under a new name.",
 )
-#: A notice has one of these words, or a word with one of them as a part.
-ANCHORS = frozenset(
-    "license licensed licenses licence licensing licensor sublicense unlicense copyright copyleft warranty warranties permission permissions merchantability noninfringement liable redistribution redistributions redistribute redistributed "
-    "spdx gnu gpl gplv2 gplv3 lgpl lgplv3 agpl agplv3 affero mit expat apache bsd mozilla mpl isc zlib boost bsl eclipse epl creative commons cc cc0 proprietary confidential unauthorized unencumbered misrepresented domain waived reserved "
-    "endorse contributors anyone hereby".split()
-)
 #: Words that tell nothing alone.
 PLAIN = frozenset("the of to and a in is it you that he was for on are with as his they at be this from i have or by one had not but what all were when we there can an your which their if do will each about how up out them then she some her would other into has more two see could no make than been its who did get come made may part over new after also back any good give most very just form long line small so such him my own under used work use file found first last week second public free person persons possible extent law related prior version later without these those where while during before only same 1 2 3 4 2.0 3.0 4.0 1.0 1.1 2.1 0".split())
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -267,12 +264,15 @@ def _words(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(_TOKEN_SQL), F.lit(0))
 
 
-def _model_table(spark: SparkSession, c: Classifier) -> DataFrame:
-    """A row a gram: its weights. Pairs of templates without a weight are there too, to be compared."""
+def _model_grams(c: Classifier) -> dict[str, list[float]]:
+    """Weights by gram. Pairs of templates without a weight are there too, to be compared."""
     weighted = {g: [float(x) for x in w] for g, w in zip(c.grams, c.weights, strict=True)}
     rest = set().union(*(pairs_of(words_of(t), c.telling) for ts in TEMPLATES.values() for t in ts)) - weighted.keys()
-    rows = [*weighted.items(), *((g, [0.0] * (len(c.families) + 1)) for g in sorted(rest))]
-    return spark.createDataFrame(rows, "gram string, w array<double>")
+    return weighted | {g: [0.0] * (len(c.families) + 1) for g in sorted(rest)}
+
+
+def _model_table(spark: SparkSession, c: Classifier) -> DataFrame:
+    return spark.createDataFrame(list(_model_grams(c).items()), "gram string, w array<double>")
 
 
 def _template_table(spark: SparkSession, c: Classifier) -> DataFrame:
@@ -289,38 +289,89 @@ def _template_table(spark: SparkSession, c: Classifier) -> DataFrame:
     )
 
 
-def _has_anchor(text: Column) -> Column:
-    """Whether a run of letters and digits is an anchor."""
-    return F.arrays_overlap(F.split(F.lower(text), "[^a-z0-9]+"), F.array(*(F.lit(w) for w in sorted(ANCHORS))))
+def _with(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _margin_levels(c: Classifier, steps: int = 16) -> tuple[float, list[list[str]]]:
+    """A step, and the grams whose weight for a family is above the one for ``unknown`` by at most 1, 2, ... steps. (Those that speak for no family are in none.)"""
+    margin = c.weights[:, :-1].max(1) - c.weights[:, -1]
+    step = float(margin.max()) / steps
+    level = np.clip(np.ceil(margin / step).astype(int), 0, steps)
+    return step, [[c.grams[i] for i in np.flatnonzero(level == k)] for k in range(1, steps + 1)]
+
 
+def _least_margin(c: Classifier, least_p: float) -> float:
+    """How far the grams of a text must speak for a family against ``unknown``, at the least, for a probability of ``least_p`` (to six places): ``unknown`` has what is
+    left or less of it."""
+    p = min(max(least_p - 1e-6, 0.0), 1 - 1e-9)
+    return -math.inf if p <= 0 else c.temperature * math.log(p / (1 - p)) + float(c.bias[-1] - c.bias[:-1].max()) - 1e-6
+
+
+def _features(text: Column, c: Classifier, known: list[str], least: float) -> Column:
+    """(``n_pairs``, ``grams``: those that the model has) of a text; null if it has none, or if the sum of what its grams can say for any family at all, each by its best
+    one and rounded up, is below ``least``. So a text is passed over only where the classifier would not name it."""
+    step, levels = _margin_levels(c)
+    telling = sorted(c.telling)
+
+    def says(gram: Column) -> Column:
+        out = F.lit(0)
+        for k, names in enumerate(levels, 1):
+            if names:
+                out = F.when(gram.isin(names), F.lit(k)).otherwise(out)
+        return out
+
+    def judged(own: Column, pairs: Column) -> Column:
+        found = F.filter(F.concat(own, pairs), lambda g: g.isin(known))
+
+        def kept(grams: Column) -> Column:
+            enough = F.lit(True) if least == -math.inf else F.aggregate(grams, F.lit(0), lambda a, g: a + says(g)) * F.lit(step) >= least
+            return F.when((F.size(grams) > 0) & enough, F.struct(F.size(pairs).alias("n_pairs"), grams.alias("grams")))
+
+        return _with(found, kept)
+
+    def pairs_in(words: Column) -> Column:
+        n = F.size(words)
+        both = F.zip_with(
+            F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))),
+            F.slice(words, F.lit(2), n),
+            lambda a, b: F.when(a.isin(telling) | b.isin(telling), F.concat_ws(" ", a, b))
+        )
+        return F.array_distinct(F.array_compact(both))
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    """A written row a row: ``row``, its other columns as ``doc``, ``n_paragraphs``, and ``units``: paragraphs and lines with an anchor."""
+    def of_words(words: Column) -> Column:
+        own = F.array_distinct(F.filter(words, lambda w: w.isin(telling)))
+        return _with(own, lambda o: F.when(F.size(o) > 0, _with(pairs_in(words), lambda pairs: judged(o, pairs))))
+
+    return _with(_words(text), of_words)
+
+
+def _numbered(docs: DataFrame, text: str, least_p: float | None) -> DataFrame:
+    """A written row a row: ``row``, its other columns as ``doc``, ``n_paragraphs``, and ``units``: the grams of paragraphs and lines that may reach ``least_p`` (None:
+    of all that have any)."""
+    c = trained()
+    known, least = sorted(_model_grams(c)), -math.inf if least_p is None else _least_margin(c, least_p)
     kept = [F.col(f"`{x}`") for x in docs.columns if x != text]
     paragraphs = F.filter(F.split(text_of(f"`{text}`"), PARAGRAPH_END), lambda x: x.rlike(r"\S"))
+
+    def units(x: Column, i: Column) -> Column:
+        # The whole first, then each line of several.
+        own = F.split(x, "\n")
+        texts = F.when(F.size(own) > 1, F.concat(F.array(x), own)).otherwise(F.array(x))
+        return F.filter(
+            F.transform(texts, lambda t, j: F.struct(i.alias("paragraph"), j.alias("line"), _features(t, c, known, least).alias("f"))),
+            lambda u: u["f"].isNotNull()
+        )
+
     rows = spread(docs).select(
         F.monotonically_increasing_id().alias("row"),
         F.struct(*kept, F.lit(None).cast("int").alias("__none")).alias("doc"),
         paragraphs.alias("paragraphs")
     )
-    named = F.filter(
-        F.transform("paragraphs", lambda x, i: F.struct(i.alias("paragraph"), x.alias("text"))), lambda s: _has_anchor(s["text"])
-    )
-
-    def lines(s: Column) -> Column:
-        own = F.transform(
-            F.split(s["text"], "\n"),
-            lambda x, j: F.struct(s["paragraph"].alias("paragraph"), (j + 1).alias("line"), x.alias("text"))
-        )
-        whole = F.array(F.struct(s["paragraph"].alias("paragraph"), F.lit(0).alias("line"), s["text"].alias("text")))
-        return F.when(F.size(own) > 1, F.concat(whole, F.filter(own, lambda x: _has_anchor(x["text"])))).otherwise(whole)
-
     return written(
         rows.select(
-            "row",
-            "doc",
-            F.size("paragraphs").cast("long").alias("n_paragraphs"),
-            F.flatten(F.transform(named, lines)).alias("units")
+            "row", "doc", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.flatten(F.transform("paragraphs", units)).alias("units")
         ),
         "paragraphs"
     )
@@ -329,25 +380,9 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
 def _judged(numbered: DataFrame, least_p: float, least_cover: float) -> DataFrame:
     c = trained()
     spark, k = numbered.sparkSession, len(c.families)
-    telling = F.array(*(F.lit(w) for w in sorted(c.telling)))
-    units = numbered.select("row", F.explode("units").alias("u")).select(
-        "row", "u.paragraph", "u.line", _words(F.col("u.text")).alias("words")
-    )
-    neighbours = F.zip_with(
-        F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
-        F.slice("words", 2, F.size("words")),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    )
-    marked = units.select("row", "paragraph", "line", F.array_intersect("words", telling).alias("own"), neighbours.alias("next"))
-    pairs = F.array_distinct(
-        F.transform(
-            F.filter("next", lambda p: F.array_contains("own", p["a"]) | F.array_contains("own", p["b"])),
-            lambda p: F.concat_ws(" ", p["a"], p["b"])
-        )
-    )
     unit = ["row", "paragraph", "line"]
-    grams = marked.select(*unit, "own", pairs.alias("pairs")).select(
-        *unit, F.size("pairs").alias("n_pairs"), F.explode(F.concat("own", "pairs")).alias("gram")
+    grams = numbered.select("row", F.explode("units").alias("u")).select(
+        "row", "u.paragraph", "u.line", "u.f.n_pairs", F.explode("u.f.grams").alias("gram")
     )
     sums = [F.round(F.sum(F.get("w", F.lit(i))), 9).alias(f"z{i}") for i in range(k + 1)]
     scored = grams.join(F.broadcast(_model_table(spark, c)), "gram").groupBy(*unit).agg(
@@ -385,10 +420,10 @@ def _judged(numbered: DataFrame, least_p: float, least_cover: float) -> DataFram
 
 
 def paragraph_licences(docs: DataFrame, least_p: float = 0.6, least_cover: float = 0.6, text: str = "text") -> DataFrame:
-    """For each paragraph of ``docs`` with an anchor and a gram of the model: the row's other columns as ``doc``, ``row``, ``paragraph``, ``line`` (0 for the
+    """For each paragraph of ``docs`` with a gram of the model: the row's other columns as ``doc``, ``row``, ``paragraph``, ``line`` (0 for the
     whole, else that line of a paragraph of several), ``family`` (``unknown`` below ``least_p``), ``p``, ``cover`` and ``inside`` (the best shares of one
     template's telling pairs, and of its own) and ``confirmed``."""
-    numbered = _numbered(docs, text)
+    numbered = _numbered(docs, text, None)
     return _judged(numbered, least_p, least_cover).join(
         numbered.select("row", F.col("doc").dropFields("__none").alias("doc") if len(docs.columns) > 1 else F.col("doc")), "row"
     )
@@ -399,7 +434,7 @@ def document_licences(
 ) -> DataFrame:
     """Per row: ``key``, ``n_paragraphs`` (with text), ``n_licences`` (paragraphs and families confirmed in them), ``licences`` (those families, sorted,
     joined by commas) and ``best_p`` (null without any)."""
-    numbered = _numbered(docs.select(F.col(key), F.col(text)), text)
+    numbered = _numbered(docs.select(F.col(key), F.col(text)), text, least_p)
     confirmed = _judged(numbered, least_p, least_cover).where("confirmed")
     found = confirmed.groupBy("row").agg(
         F.size(F.collect_set(F.struct("paragraph", "family"))).cast("long").alias("n_licences"),
