@@ -68,27 +68,36 @@ def boundaries(text: Column) -> Column:
     )
 
 
+def section_bodies(text: Column, least: int = LEAST_SECTION) -> Column:
+    """(start, end, label, body) of each section of a text, cut before rows are made; sections of under ``least`` words are no sections, and the
+    next raw heading ends one."""
+
+    def cut(found: Column) -> Column:
+        def section(b: Column, i: Column) -> Column:
+            end = F.coalesce(F.get(found, i + 1)["start"], F.length(text))
+            return F.struct(b["start"].alias("start"), end.alias("end"), b["label"].alias("label"), F.substring(text, b["start"] + 1, end - b["start"]).alias("body"))
+
+        return F.filter(F.transform(found, section), lambda s: F.size(F.filter(F.split(s["body"], r"(?U)\s+"), lambda w: w != "")) >= least)
+
+    # An array of one, so that the headings are found once.
+    return F.get(F.transform(F.array(boundaries(text)), cut), 0)
+
+
 def sections(docs: DataFrame, key: str, text: str = "text", least: int = LEAST_SECTION) -> DataFrame:
-    """A row a section (``start``, ``end``, ``label``); sections of under ``least`` words are no sections, and the next raw heading ends one."""
-    rows = docs.select(
-        key, F.col(text).alias("__t"), F.posexplode(boundaries(F.col(text))).alias("n", "b")
-    ).select(key, "__t", "n", "b.start", "b.label")
-    end = F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("n")), F.length("__t"))
-    words = F.size(F.filter(F.split(F.substring("__t", F.col("start") + 1, F.col("end") - F.col("start")), r"(?U)\s+"), lambda w: w != ""))
-    return rows.withColumn("end", end).where(words >= least).select(key, "start", "end", "label")
+    """A row a section (``start``, ``end``, ``label``), as ``section_bodies`` finds them."""
+    spans = F.transform(section_bodies(F.col(text), least), lambda s: s.dropFields("body"))
+    return spread(docs).select(key, F.explode(spans).alias("s")).select(key, "s.start", "s.end", "s.label")
 
 
 def structure_chunks(docs: DataFrame, key: str, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """sections cut into word windows; a document without sections is one without label."""
-    cut = docs.join(sections(docs, key, text), key, "left")
-    body = F.when(F.col("label").isNull(), F.col(text)).otherwise(
-        F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
-    )
+    """sections cut into word windows; a document without sections is one without label. Each row of ``docs`` is cut by itself, so nothing is shuffled and a
+    row carries its own section only."""
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), F.col(text).alias("body")))
+    own = F.transform(section_bodies(F.col(text)), lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["body"].alias("body")))
+    parts = F.get(F.transform(F.array(own), lambda p: F.when(F.size(p) > 0, p).otherwise(whole)), 0)
+    rows = spread(docs).select(key, F.explode(parts).alias("s"))
     return word_chunks(
-        cut.select(key, "label", F.coalesce("start", F.lit(0)).alias("section_start"), strip(body).alias("__body")),
-        "__body",
-        window,
-        overlap
+        rows.select(key, "s.label", F.col("s.start").alias("section_start"), strip(F.col("s.body")).alias("__body")), "__body", window, overlap
     )
 
 

@@ -9,7 +9,8 @@ from foliant.functions import text as T
 from foliant.functions.udfs import sequence_ratio
 from foliant.operators import batches, chatlog, chunk, evals, profile, resolve, search, sections
 from foliant.plans.corpus_queries import CHUNKS, chunks_of
-from foliant.plans.fixture_queries import ANSWERS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, QUESTIONS, REPLIES, SECTIONS_CTE, STRUCTURED
+from foliant.plans.fixture_queries import ANSWERS, CHATS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, REPLIES, SECTIONS_CTE, STRUCTURED
+from foliant.plans import derived
 from foliant.plans.registry import Fixture, query, table
 from foliant.plans.sql_parts import LABELS_SQL, SIGNIFICANT, label_key_sql, normal_name_sql, ratios_sql, registrant_sql, uuid_sql
 from foliant.sources import readers
@@ -39,13 +40,13 @@ def s08_company_list(spark, sf_dir):
     return readers.companies(chunks_of(spark, sf_dir), 10)
 
 
-REMOTE = Fixture("key string,size long", (("a.pdf", 10), ("b.pdf", 20), ("c.pdf", 30)))
-LOCAL = Fixture("key string,size long", (("a.pdf", 10), ("b.pdf", 19)))
+REMOTE = Fixture("key string,size long", (("a.pdf", 10), ("b.pdf", 20), ("c.pdf", 30)), derived.REMOTE)
+LOCAL = Fixture("key string,size long", (("a.pdf", 10), ("b.pdf", 19)), derived.LOCAL)
 
 
 @query(f"SELECT * FROM {REMOTE.sql} EXCEPT SELECT * FROM {LOCAL.sql}")
 def s04_to_download(spark, sf_dir):
-    return readers.to_download(REMOTE.df(spark), LOCAL.df(spark))
+    return readers.to_download(REMOTE.df(spark, sf_dir), LOCAL.df(spark, sf_dir))
 
 
 FILES = Fixture(
@@ -55,7 +56,8 @@ FILES = Fixture(
         ("f1", "10", "c", float("nan"), None, None, None, None, False),
         ("f1", "9", "b", 3.0, 3.0, "T", "c", float("nan"), True),
         ("f2", "x", None, None, None, "", "d", 2021.0, None)
-    )
+    ),
+    derived.FILES
 )
 
 
@@ -76,7 +78,7 @@ def s05_chunk_files(spark, sf_dir):
         c("mismatch").alias("company_name_mismatch"),
         none("double").alias("numeric_density")
     )
-    rows = FILES.df(spark).select(
+    rows = FILES.df(spark, sf_dir).select(
         "text",
         "source_file",
         "page_start",
@@ -100,12 +102,12 @@ def s05_chunk_files(spark, sf_dir):
 
 @query(f"SELECT id FROM {ANSWERS.sql} WHERE trim(coalesce(confidence_flag, '')) <> ''")
 def p11_diverted(spark, sf_dir):
-    return batches.diverted(ANSWERS.df(spark), "confidence_flag")[1].select("id")
+    return batches.diverted(ANSWERS.df(spark, sf_dir), "confidence_flag")[1].select("id")
 
 
 @query(f"SELECT id, coalesce(answer, '') <> '' AND coalesce(confidence_flag, '') NOT IN ('pipeline_error', 'generation_error') AS usable FROM {ANSWERS.sql}")
 def p12_usable(spark, sf_dir):
-    return ANSWERS.df(spark).select("id", batches.is_usable(c("answer"), c("confidence_flag")).alias("usable"))
+    return ANSWERS.df(spark, sf_dir).select("id", batches.is_usable(c("answer"), c("confidence_flag")).alias("usable"))
 
 
 @query("SELECT doc_id AS id, left(text, 300) AS snippet, length(text) / 4.0 AS tokens FROM documents")
@@ -144,42 +146,46 @@ def v12_retrieve(spark, sf_dir):
 
 @query(f"SELECT form_type, item, text, coalesce(string_agg(section, ',' ORDER BY place), '') AS sections FROM {ITEMS.sql} LEFT JOIN {_LOOKUP_SQL} ON form_type = f AND upper(trim(item)) = i GROUP BY 1, 2, 3")
 def j04_section_candidates(spark, sf_dir):
-    return sections.candidates(ITEMS.df(spark)).select("form_type", "item", "text", F.array_join("sections", ",").alias("sections"))
+    return sections.candidates(ITEMS.df(spark, sf_dir)).select("form_type", "item", "text", F.array_join("sections", ",").alias("sections"))
 
 
 @query(f"WITH {SECTIONS_CTE} SELECT doc, label, start, \"end\" FROM sections")
 def w03_section_spans(spark, sf_dir):
-    return chunk.sections(STRUCTURED.df(spark), "doc").select("doc", "label", "start", "end")
+    return chunk.sections(STRUCTURED.df(spark, sf_dir), "doc").select("doc", "label", "start", "end")
 
 
 LABELS = Fixture(
-    "id int,raw string,name string",
+    "id long,raw string,name string",
     (
         (1, "Total Stockholders’ Equity", "Acme Holdings, Inc."),
         (2, "Net income (loss)", "group-holdings-inc"),
         (3, "Net income (loss) before taxes", "the_big/co.ltd"),
         (4, "NET  SALES", "inc"),
         (5, None, None)
-    )
+    ),
+    derived.LABELS
 )
 
 
 @query(rf"WITH n AS (SELECT *, {normal_name_sql('name')} AS normal FROM {LABELS.sql}) SELECT n.id, l.label, n.normal, array_to_string(list_filter(regexp_split_to_array(regexp_replace(trim(n.normal), '(\S)(?:\s+(?:{'|'.join(T.CORPORATE)}))+$', '\1'), '\s+'), lambda x: x <> ''), ' ') AS core FROM n LEFT JOIN {LABELS_SQL} l ON l.name = {label_key_sql('n.raw')}")
 def f31_labels_and_names(spark, sf_dir):
     normal = T.normal_name(c("name"))
-    return LABELS.df(spark).select(
+    return LABELS.df(spark, sf_dir).select(
         "id", T.label_name(c("raw")).alias("label"), normal.alias("normal"), F.array_join(T.core_tokens(normal), " ").alias("core")
     )
 
 
-@query(rf"SELECT question_id, TRY_CAST(regexp_extract(question, '\b((?:19|20)\d{{2}})\b', 1) AS BIGINT) AS year FROM {QUESTIONS.sql}")
+@query(rf"SELECT question_id, TRY_CAST(regexp_extract(question, '\b((?:19|20)\d{{2}})\b', 1) AS BIGINT) AS year FROM {CHATS.sql}")
 def f36_first_year(spark, sf_dir):
-    return QUESTIONS.df(spark).select("question_id", T.first_year(c("question")).alias("year"))
+    return CHATS.df(spark, sf_dir).select("question_id", T.first_year(c("question")).alias("year"))
+
 
+SPELT = Fixture(ENTITIES.schema, ENTITIES.rows, derived.NATIONS)
 
-@query(f"WITH RECURSIVE names AS (SELECT DISTINCT company FROM {ENTITIES.sql}), pairs AS (SELECT x.company AS pa, y.company AS pb FROM names x JOIN names y ON left(x.company, 1) = left(y.company, 1)), {ratios_sql('pairs')} SELECT pa AS a, pb AS b, round(ratio, 6) AS ratio FROM ratios")
+
+@query(f"WITH RECURSIVE names AS (SELECT DISTINCT company FROM {SPELT.sql}), pairs AS (SELECT x.company AS pa, y.company AS pb FROM names x JOIN names y ON left(x.company, 1) = left(y.company, 1)), {ratios_sql('pairs')} SELECT pa AS a, pb AS b, round(ratio, 6) AS ratio FROM ratios")
 def f35_sequence_ratio(spark, sf_dir):
-    names = ENTITIES.df(spark).select("company")
+    names = SPELT.df(spark, sf_dir).select("company")
     pairs = names.select(c("company").alias("a")).join(
         names.select(c("company").alias("b")), F.substring("a", 1, 1) == F.substring("b", 1, 1)
     )
@@ -188,13 +194,13 @@ def f35_sequence_ratio(spark, sf_dir):
 
 @query(rf"SELECT path, replace(path, '\', '/') AS slashed FROM {PATHS.sql}")
 def f38_slashes(spark, sf_dir):
-    return PATHS.df(spark).select("path", T.slashes(c("path")).alias("slashed"))
+    return PATHS.df(spark, sf_dir).select("path", T.slashes(c("path")).alias("slashed"))
 
 
 @query(f"SELECT path, registrant AS name, array_to_string(list_sort({SIGNIFICANT.format('registrant')}), ' ') AS tokens, regexp_replace(lower(registrant), '[^a-z0-9]', '', 'g') AS collapsed FROM ({registrant_sql(PATHS.sql)})")
 def f22_registrant(spark, sf_dir):
     name = filing.registrant_name(c("cover"))
-    return PATHS.df(spark).select(
+    return PATHS.df(spark, sf_dir).select(
         "path",
         name.alias("name"),
         F.array_join(F.array_sort(filing.significant_tokens(name)), " ").alias("tokens"),
@@ -210,33 +216,33 @@ def m02_iso_and_ids(spark, sf_dir):
     )
 
 
-NUMBERS = Fixture("id int,x double", ((1, 2020.0), (2, float("nan")), (3, None), (4, float("inf")), (5, 1.23456)))
+NUMBERS = Fixture("id long,x double", ((1, 2020.0), (2, float("nan")), (3, None), (4, float("inf")), (5, 1.23456)), derived.NUMBERS)
 
 
 @query(f"SELECT id, CASE WHEN isfinite(x) THEN x END AS finite, round(CASE WHEN isfinite(x) THEN x END, 4) AS rounded FROM {NUMBERS.sql}")
 def m04_numbers(spark, sf_dir):
     finite = T.as_number(c("x"))
-    return NUMBERS.df(spark).select("id", finite.alias("finite"), T.rounded(finite).alias("rounded"))
+    return NUMBERS.df(spark, sf_dir).select("id", finite.alias("finite"), T.rounded(finite).alias("rounded"))
 
 
 @query(f"SELECT id, CASE WHEN contains(answer, '{gate.LOW_NOTICE}') THEN answer ELSE answer || chr(10) || chr(10) || '{gate.LOW_NOTICE}' END AS noted FROM {REPLIES.sql}")
 def e08_notices(spark, sf_dir):
-    return REPLIES.df(spark).select("id", gate.with_notice(gate.with_notice(c("answer"), gate.LOW_NOTICE), gate.LOW_NOTICE).alias("noted"))
+    return REPLIES.df(spark, sf_dir).select("id", gate.with_notice(gate.with_notice(c("answer"), gate.LOW_NOTICE), gate.LOW_NOTICE).alias("noted"))
 
 
-FILTERS = Fixture("company string,fiscal_year int", (("a", 2020), ("b", None), (None, None), (None, 0)))
+FILTERS = Fixture("company string,fiscal_year int", (("a", 2020), ("b", None), (None, None), (None, 0)), derived.FILTERS)
 
 
 @query(f"""SELECT company, fiscal_year, '{{' || concat_ws(',', '"company":"' || company || '"', '"fiscal_year":"' || fiscal_year || '"') || '}}' AS filters FROM {FILTERS.sql}""")
 def e02_filters(spark, sf_dir):
-    return FILTERS.df(spark).select("company", "fiscal_year", F.to_json(resolve.filters(c("company"), c("fiscal_year"))).alias("filters"))
+    return FILTERS.df(spark, sf_dir).select("company", "fiscal_year", F.to_json(resolve.filters(c("company"), c("fiscal_year"))).alias("filters"))
 
 
-@query(f"SELECT question_id, question, 'system_unavailable' AS flag, 0::BIGINT AS n_sources FROM {QUESTIONS.sql}")
+@query(f"SELECT question_id, question, 'system_unavailable' AS flag, 0::BIGINT AS n_sources FROM {CHATS.sql}")
 def e10_degraded(spark, sf_dir):
     from foliant.plans.answer import degraded
 
-    return degraded(QUESTIONS.df(spark)).select("question_id", "question", "flag", F.size("sources").alias("n_sources"))
+    return degraded(CHATS.df(spark, sf_dir)).select("question_id", "question", "flag", F.size("sources").alias("n_sources"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '') SELECT conv_id AS conversation_id, md5('HISTORY' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || chr(10) || 'CONTEXT' || chr(10) || 'none' || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'why?') AS prompt FROM t WHERE r <= 6 GROUP BY 1")
@@ -260,14 +266,15 @@ TURNS = Fixture(
         ("6F9619FF8B86D011B42D00C04FC964FF", 9, "q2", "a2", "ok"),
         ("6f9619ff-8b86-d011-b42d-00c04fc964ff", 5, "q1", "a1", "low_confidence"),
         ("nope", 6, "x", "y", "ok")
-    )
+    ),
+    derived.TURNS
 )
 
 
 @query(f"""WITH t AS (SELECT *, {uuid_sql('conversation_id')} AS conv FROM {TURNS.sql}), two AS (SELECT conv, "at" AS t, 0 AS k, 'user' AS role, question AS content, NULL AS flag FROM t WHERE conv IS NOT NULL UNION ALL SELECT conv, "at", 1, 'assistant', answer, confidence_flag FROM t WHERE conv IS NOT NULL)
 SELECT id, role, content, confidence_flag, created_at FROM {STORED.sql} UNION ALL SELECT (SELECT max(id) FROM {STORED.sql}) + row_number() OVER (ORDER BY t, conv, k), role, content, flag, t FROM two""")
 def c04_save_turn(spark, sf_dir):
-    return chatlog.turn(STORED.df(spark), TURNS.df(spark)).select("id", "role", "content", "confidence_flag", "created_at")
+    return chatlog.turn(STORED.df(spark, sf_dir), TURNS.df(spark, sf_dir)).select("id", "role", "content", "confidence_flag", "created_at")
 
 
 @query("SELECT coalesce(lang, '') AS run_tag, count(*) AS n FROM documents GROUP BY 1")
@@ -278,14 +285,15 @@ def p19_run_tags(spark, sf_dir):
 
 
 SOURCES = Fixture(
-    "id int,title string,company string,section string,start int,stop int",
-    ((1, "a/b/c.pdf", "Acme", "risk", 1, 3), (2, "x.pdf", "", None, 2, 2), (3, "", None, "mdna", None, None))
+    "id long,title string,company string,section string,start int,stop int",
+    ((1, "a/b/c.pdf", "Acme", "risk", 1, 3), (2, "x.pdf", "", None, 2, 2), (3, "", None, "mdna", None, None)),
+    derived.SOURCES
 )
 
 
 @query(f"SELECT id, regexp_replace(list_reverse(string_split(title, '/'))[1], '\\.pdf$', '') AS file, concat_ws(' · ', nullif(company, ''), nullif(section, ''), CASE WHEN start IS NULL THEN CAST(stop AS VARCHAR) WHEN stop IS NULL OR start = stop THEN CAST(start AS VARCHAR) ELSE start || '–' || stop END) AS preview FROM {SOURCES.sql}")
 def x03_source_previews(spark, sf_dir):
-    return SOURCES.df(spark).select(
+    return SOURCES.df(spark, sf_dir).select(
         "id",
         T.base_name(c("title")).alias("file"),
         T.dotted(c("company"), c("section"), T.page_range(c("start"), c("stop"))).alias("preview")
@@ -299,13 +307,14 @@ def p04_without_cid(spark, sf_dir):
 
 
 SHOWN = Fixture(
-    "place int,chunk_id string,title string,source_file string,company string,fiscal_year double,content string,text_snippet string",
+    "place long,chunk_id string,title string,source_file string,company string,fiscal_year double,content string,text_snippet string",
     (
         (0, "7", "T", "f.pdf", "c", 2020.0, "body", "snip"),
         (1, " ", "", "f.pdf", "c", float("nan"), "body", " "),
         (2, None, None, " ", "", float("inf"), None, None),
         (3, "k", None, None, None, None, "", "s")
-    )
+    ),
+    derived.SHOWN
 )
 
 
@@ -313,7 +322,7 @@ SHOWN = Fixture(
 SELECT place, coalesce(own, 'source-' || place) AS chunk_id, coalesce(title, file, company, own, 'source-' || place) AS title, company, CASE WHEN isfinite(fiscal_year) THEN fiscal_year END AS fiscal_year, coalesce(snip, content) AS text_snippet FROM s""")
 def x02_source_records(spark, sf_dir):
     none = F.lit(None).cast("string")
-    rows = SHOWN.df(spark)
+    rows = SHOWN.df(spark, sf_dir)
     source = F.struct(
         "chunk_id",
         "title",

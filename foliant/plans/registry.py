@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,20 @@ def query(sql: str | None = None) -> Callable:
 
 @dataclass(frozen=True)
 class Fixture:
-    """A few rows that trigger what the shared tables don't, the same for Spark and for SQL."""
+    """A few typed rows that trigger what the shared tables don't, and the rows that ``derived``, SQL for both engines with tables in braces, makes of the
+    tables, by place; the same for Spark and for SQL."""
 
     schema: str
     rows: tuple[tuple, ...]
+    derived: str | None = None
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), self.schema)
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        typed = spark.createDataFrame(list(self.rows), self.schema)
+        if self.derived is None:
+            return typed
+        names = {n for _, n, _, _ in Formatter().parse(self.derived) if n}
+        made = spark.sql(self.derived, **{n: table(spark, sf_dir, n) for n in names})
+        return typed.unionAll(made.toDF(*typed.columns).select(*(F.col(f.name).cast(f.dataType) for f in typed.schema)))
 
     @property
     def sql(self) -> str:
@@ -61,6 +69,9 @@ class Fixture:
                 return f"'{v}'::DOUBLE"
             return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
-        body = ", ".join("(" + ", ".join(map(value, r)) + ")" for r in self.rows)
+        body = "VALUES " + ", ".join("(" + ", ".join(map(value, r)) + ")" for r in self.rows)
+        if self.derived is not None:
+            tables = {n: n for _, n, _, _ in Formatter().parse(self.derived) if n}
+            body += f" UNION ALL ({self.derived.format(**tables)})"
         casts = ", ".join(f"CAST({c} AS {types[s.split()[1]]}) AS {c}" for c, s in zip(columns, self.schema.split(","), strict=True))
-        return f"(SELECT {casts} FROM (VALUES {body}) AS v({', '.join(columns)}))"
+        return f"(SELECT {casts} FROM ({body}) AS v({', '.join(columns)}))"

@@ -13,6 +13,11 @@ def words_sql(text: str) -> str:
     return rf"list_filter(regexp_split_to_array({text}, '\s+'), lambda x: x <> '')"
 
 
+def glued_sql(text: str) -> str:
+    """F04's count, of words in any script."""
+    return rf"len(list_filter(regexp_split_to_array({text}, '[^\pL\pM\pN_]+'), lambda x: length(x) >= 15))"
+
+
 def uuid_sql(c: str) -> str:
     """C01."""
     bare = f"lower(replace(replace(replace(replace(replace({c}, 'urn:uuid:', ''), '{{', ''), '}}', ''), '-', ''), 'uuid:', ''))"

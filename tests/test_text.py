@@ -1,6 +1,7 @@
 """Regex expressions against Python's ``re``, chunker invariants, and cases that the fixtures name."""
 
 import re
+import unicodedata
 from difflib import SequenceMatcher
 
 from hypothesis import HealthCheck, given, settings
@@ -156,3 +157,17 @@ def test_rounding_is_that_of_the_number_itself(spark):
         assert [(x, y) for x, y in zip(numbers, got, strict=True) if round(x, n) != y] == []
     odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),)], "x double")
     assert str([r.y for r in odd.select(T.rounded(odd.x).alias("y")).collect()]) == "[None, inf, nan]"
+
+
+def test_nfkc_over_the_documents_is_that_of_unicodedata(spark):
+    from foliant.plans.catalog import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+    def plain(i, t):
+        odd = "ﬁne ½\x00\x07\t" if i % 3 == 0 else "plain\x0b "
+        return None if t is None else "".join(c for c in unicodedata.normalize("NFKC", odd + t) if c.isprintable() or c in "\n\t")
+
+    got = {r.doc_id: r.text for r in QUERIES["f07_nfkc"](spark, data).collect()}
+    assert got == {i: plain(i, t) for i, t in texts.items()}
