@@ -145,19 +145,19 @@ ASKED_BY_TICKER = "What was {ticker}'s {label} in fiscal {year}?"
 ASKED_WITH_TYPO = "What was {typo}'s {label} in fiscal {year}?"
 ASKED_OVER_YEARS = "How did {company}'s {label} change across the years shown in its FY{year} filing?"
 ASKED_IN_SPANISH = "¿Cuál fue el {label} de {company} en el año fiscal {year}?"
-#: Questions that aren't mined: names that exist nowhere, other topics, verdicts, and garbled wording.
-FICTIONAL = ("Zorvex Dynamics", "Halcyon Retort Industries", "Nimbus Vale Corp")
+#: Our own questions that aren't mined: names that exist nowhere, other topics, verdicts, and garbled wording.
+FICTIONAL = ("Quillmark Foundries", "Ostrava Lumen Works", "Peltry & Vane Group")
 OFF_TOPIC = (
-    "What's a good recipe for lasagna?",
-    "Explain how photosynthesis works.",
-    "Write a Python function that reverses a string.",
-    "Who won the 2022 FIFA World Cup?"
+    "How long should rye bread rest before it is baked?",
+    "Why do tides come twice a day?",
+    "Show me how to sort a list of dates in Java.",
+    "Which country hosted the winter games of 1994?"
 )
 VERDICTS = (
-    "Should I invest in Apple?", "Is Apple a good long-term holding?", "What would you recommend for my portfolio regarding Apple?",
-    "¿Cuál es la mejor acción para invertir ahora?", "¿Conviene comprar acciones de Apple ahora?",
+    "Is now the moment to buy Apple shares?", "Would you keep Apple in a pension fund for twenty years?", "How much Apple stock ought I to own?",
+    "¿Qué empresa me conviene más para mis ahorros?", "¿Debería vender mis acciones de Apple este mes?",
 )
-GARBLED = ("aple inc revenu fiscal 2022 wat was it", "AAPL 2022 2021 2020 net sales???")
+GARBLED = ("appel totl revnue in fy 2022 how mch", "AAPL sales 2022 / 2021 ?? totl")
 #: Our own wording of what is expected of them.
 EXPECTED = {
     "not_found_structural": "A real company that the corpus lacks: the answer says so and uses no other company's filing.", "not_found_fictional": "No such company: nothing is resolved.",

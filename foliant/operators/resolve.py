@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.functions.udfs import sequence_ratio
-from foliant.session import ship
+from foliant.operators.similar import similar_words
 
 THRESHOLD = 0.8
 _BETWEEN = r"(?U)\W+"
@@ -34,17 +33,12 @@ def by_name(
 ) -> DataFrame:
     """E01, second path: the entity whose weakest name part has the best match in the question, if that reaches ``threshold``.
 
-    Distinct words are compared once. A pair can't reach the threshold unless the shorter of the two has threshold / (2 - threshold) of the
-    longer one's letters, and a name with a part that matches nothing is no candidate: both are cut before any comparison."""
-    ship(questions.sparkSession)
+    Distinct words are compared once, and only those that share a piece that the threshold asks for (``similar``); a name with a part that matches
+    nothing is no candidate."""
     words = questions.select(key, F.explode(F.array_distinct(T.tokens(T.normal_name(F.col(question))))).alias("q"))
     names = entities.select("company", F.array_distinct(T.core_tokens(T.normal_name(F.col("company")))).alias("parts")).distinct()
     parts = names.select("company", F.size("parts").alias("n"), F.explode("parts").alias("p"))
-    a, b = parts.select("p").distinct(), words.select("q").distinct()
-    short = threshold / (2 - threshold)
-    sizes = F.explode(F.sequence(F.ceil(F.length("p") * short).cast("int"), F.floor(F.length("p") / short).cast("int")))
-    close = a.withColumn("len", sizes).join(b.withColumn("len", F.length("q")), "len").select("p", "q")
-    scored = close.withColumn("ratio", sequence_ratio("p", "q")).where(F.col("ratio") >= threshold)
+    scored = similar_words(parts, words, threshold)
     best = words.join(scored, "q").groupBy(key, "p").agg(F.max("ratio").alias("ratio"))
     whole = best.join(parts, "p").groupBy(key, "company", "n").agg(
         F.min("ratio").alias("score"), F.count("*").alias("hit")

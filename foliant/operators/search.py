@@ -246,15 +246,15 @@ def retrieve(chunks: DataFrame, query: Sequence[float], model: str, k: int = 5,
     return chunks.sparkSession.createDataFrame(found, sources.schema), meta
 
 
-#: What the stand-in of a store finds: id, content, score, title, source, year.
+#: What the stand-in of a store finds: id, content (our own wording), score, title, source, year; ids, scores, titles, sources and years are fixed values.
 MOCK_FOUND = (
-    ("apple-annual-report-2025", "Apple mantiene una posición de liquidez sólida, fuerte flujo de caja operativo y márgenes estables en su negocio principal.", 0.92, "Apple Annual Report 2025", "annual_report", 2025),
-    ("apple-investor-relations-summary", "La compañía continúa apoyándose en servicios, hardware premium y recompras de acciones para sostener valor para el accionista.", 0.84, "Apple Investor Relations Summary", "investor_relations", None),
+    ("apple-annual-report-2025", "Stand-in text about one company's cash, margins and main business.", 0.92, "Apple Annual Report 2025", "annual_report", 2025),
+    ("apple-investor-relations-summary", "Stand-in text about the same company's products and what it pays its owners.", 0.84, "Apple Investor Relations Summary", "investor_relations", None),
 )
 MOCK_ELSE = (
     (
         "general-financial-market-overview",
-        "No se encontraron documentos específicos, pero el sistema puede responder con contexto genérico mientras se integra el índice real.",
+        "Stand-in text for questions that name nothing that is known.",
         0.5,
         "General Financial Market Overview",
         "fallback",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import filing, gate
 from foliant.functions import text as T
 from foliant.functions.udfs import sequence_ratio
-from foliant.operators import batches, chatlog, chunk, evals, profile, resolve, search, sections
+from foliant.operators import batches, chatlog, chunk, evals, profile, resolve, search, sections, similar
 from foliant.plans.corpus_queries import CHUNKS, chunks_of
 from foliant.plans.fixture_queries import ANSWERS, CHATS, ENTITIES, ITEMS, _LOOKUP_SQL, PATHS, REPLIES, SECTIONS_CTE, STRUCTURED
 from foliant.plans import derived
@@ -192,6 +192,17 @@ def f35_sequence_ratio(spark, sf_dir):
     return pairs.select("a", "b", F.round(sequence_ratio("a", "b"), 6).alias("ratio"))
 
 
+@query(f"""WITH RECURSIVE words AS MATERIALIZED (SELECT DISTINCT unnest(string_split(lower(name), ' ')) AS w FROM clients),
+pairs AS MATERIALIZED (SELECT x.w AS pa, y.w AS pb FROM words x JOIN words y ON x.w < y.w AND length(x.w) * 3 >= length(y.w) * 2 AND length(y.w) * 3 >= length(x.w) * 2
+WHERE x.w <> '' AND list_sum(list_transform(list_distinct(string_split(x.w, '')), lambda l: least(length(x.w) - length(replace(x.w, l, '')), length(y.w) - length(replace(y.w, l, ''))))) * 2 >= 0.8 * (length(x.w) + length(y.w))), {ratios_sql('pairs')}
+SELECT pa AS a, pb AS b, round(ratio, 6) AS ratio FROM ratios WHERE ratio >= 0.8""")
+def j01_similar_names(spark, sf_dir):
+    """All two different words of the clients' names that are spelt alike."""
+    words = table(spark, sf_dir, "clients").select(F.explode(F.split(F.lower("name"), " ")).alias("w")).where("w <> ''")
+    found = similar.similar_words(words.select(c("w").alias("p")), words.select(c("w").alias("q")), resolve.THRESHOLD, distinct_from=True)
+    return found.select(c("p").alias("a"), c("q").alias("b"), F.round("ratio", 6).alias("ratio"))
+
+
 @query(rf"SELECT path, replace(path, '\', '/') AS slashed FROM {PATHS.sql}")
 def f38_slashes(spark, sf_dir):
     return PATHS.df(spark, sf_dir).select("path", T.slashes(c("path")).alias("slashed"))

@@ -9,7 +9,7 @@ import pytest
 from foliant.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clients sales sale_lines items".split()
 
 
 @pytest.fixture(scope="module")
