@@ -57,35 +57,56 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float, distinct_fro
     if not 0 < threshold <= 1:
         raise ValueError("a threshold lies over 0 and is 1 at most")
     p, q, n, m = (F.col(x) for x in ("p", "q", "n", "m"))
-    a = left.select("p").where("p IS NOT NULL").distinct().withColumn("n", F.length("p"))
-    b = right.select("q").where("q IS NOT NULL").distinct().withColumn("m", F.length("q"))
+    a = left.select("p").where("p IS NOT NULL").distinct().withColumn("n", F.length("p")).withColumn("has_p", _marks(p))
+    b = right.select("q").where("q IS NOT NULL").distinct().withColumn("m", F.length("q")).withColumn("has_q", _marks(q))
     met = _by_pieces(a, b, threshold).unionByName(_by_length(a, b, threshold))
     if distinct_from:
         met = met.where(p < q)
-    return met.distinct().where(shared_letters(p, q) >= _least(n, m, threshold)).select("p", "q")
+    least = _least(n, m, threshold)
+    lacks = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    met = met.where((lacks("has_p", "has_q") <= n - least) & (lacks("has_q", "has_p") <= m - least)).select("p", "q", "n", "m")
+    once = met.repartition(_tasks(left), "p", "q").dropDuplicates(["p", "q"])
+    return once.where(shared_letters(p, q) >= least).select("p", "q")
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks for what is small in bytes and long in work, which adaptive execution would put into one."""
+    spark = rows.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _marks(word: Column) -> Column:
+    """A bit for each letter and each time that it comes, of 64; letters may fall on one bit, so words differ in as many letters as in bits or in more."""
+    letters = F.filter(F.split(F.when(F.length(word) <= LONG, word).otherwise(""), ""), lambda c: c != "")
+    nth = lambda i: F.size(F.filter(F.slice(letters, 1, i), lambda c: c == F.get(letters, i - 1)))
+    bit = lambda i: F.pmod(F.hash(F.get(letters, i - 1), nth(i)), F.lit(64))
+    # a word without letters has no mark; Spark counts a sequence from 1 to 0 downwards
+    places = F.when(F.size(letters) > 0, F.sequence(F.lit(1), F.size(letters))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda x, i: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(i))))
 
 
 def _by_pieces(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(p, q, n, m) of words up to ``LONG`` that share a piece, a pair once for each."""
-    n, m = F.col("n"), F.col("m")
+    """Words up to ``LONG`` that share a piece, a pair once for each."""
+    n, m, keys = F.col("n"), F.col("m"), ["n", "m", "i", "piece"]
     a = a.where(n <= LONG).withColumn("m", F.explode(_partners(n, threshold))).withColumn("s", F.explode(_pieces(n, m, threshold)))
-    a = a.select("p", "n", "m", "s.i", F.substring("p", F.col("s.start") + 1, F.col("s.size")).alias("piece"))
+    a = a.select("p", "has_p", "n", "m", "s.i", F.substring("p", F.col("s.start") + 1, F.col("s.size")).alias("piece"))
     b = b.where(m <= LONG).withColumn("n", F.explode(_partners(m, threshold))).withColumn("s", F.explode(_pieces(n, m, threshold)))
     start, size, least = F.col("s.start"), F.col("s.size"), _least(n, m, threshold)
     low, high = F.greatest(F.lit(0), start - (n - least)), F.least(m - size, start + (m - least))
     places = F.when(size == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
-    b = b.withColumn("at", F.explode(places)).select("q", "n", "m", "s.i", F.substring("q", F.col("at") + 1, size).alias("piece")).distinct()
-    return a.join(b, ["n", "m", "i", "piece"]).select("p", "q", "n", "m")
+    pieces = F.array_distinct(F.transform(places, lambda at: F.substring(F.col("q"), at + 1, size)))
+    b = b.select("q", "has_q", "n", "m", "s.i", F.explode(pieces).alias("piece"))
+    return a.repartition(_tasks(a), *keys).join(b.repartition(_tasks(a), *keys), keys).select("p", "q", "n", "m", "has_p", "has_q")
 
 
 def _by_length(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """(p, q, n, m) of words of which one at least is longer than ``LONG``, in bands of length."""
+    """Words of which one at least is longer than ``LONG``, in bands of length."""
     n, m, short = F.col("n"), F.col("m"), threshold / (2 - threshold)
     band = lambda x: F.floor(F.log(x) / F.log(F.lit(max(1 / short, 1.5) * 1.001)))
     a = a.where(n > LONG * short - 1).withColumn("band", band(n))
     b = b.where(m > LONG * short - 1).withColumn("band", F.explode(F.array(*(band(m) + i for i in (-1, 0, 1)))))
     near = (F.greatest("n", "m") > LONG) & (F.least("n", "m") >= F.greatest("n", "m") * short - _EPS)
-    return a.join(b, "band").where(near).select("p", "q", "n", "m")
+    return a.join(b, "band").where(near).select("p", "q", "n", "m", F.lit(0).cast("long").alias("has_p"), F.lit(0).cast("long").alias("has_q"))
 
 
 def similar_words(left: DataFrame, right: DataFrame, threshold: float, distinct_from: bool = False) -> DataFrame:
