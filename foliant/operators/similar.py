@@ -1,8 +1,8 @@
 """Pairs of words whose Ratcliff-Obershelp similarity reaches a threshold, without comparing all words with all.
 
 The similarity of words of n and m letters is 2 * M / (n + m), M being the letters in their matching blocks, which lie in the same order in both. So a
-threshold sets the least M for each pair of lengths, and what isn't matched, d = n + m - 2 * M letters at most, can break d of d + 1 pieces of the
-first word: one of them stands whole in the second, moved by no more than the letters left out or put in before it. Words meet by (lengths, number of the
+threshold sets the least M for each pair of lengths, and what isn't matched, d = n + m - 2 * M letters at most, can break d of d + 1 pieces of
+either word: one of them stands whole in the other, moved by no more than the letters left out or put in before it. Words meet by (lengths, number of the
 piece, piece). Those that met also need M letters in common, in any order, before their blocks are looked for. No pair that reaches the threshold is lost.
 
 Null words meet nothing; the empty word is like itself alone. Words that come again count once. Where d + 1 pieces would be more than the word's letters
@@ -77,25 +77,29 @@ def _tasks(rows: DataFrame) -> int:
 
 def _marks(word: Column) -> Column:
     """A bit for each letter and each time that it comes, of 64; letters may fall on one bit, so words differ in as many letters as in bits or in more."""
-    letters = F.filter(F.split(F.when(F.length(word) <= LONG, word).otherwise(""), ""), lambda c: c != "")
-    nth = lambda i: F.size(F.filter(F.slice(letters, 1, i), lambda c: c == F.get(letters, i - 1)))
-    bit = lambda i: F.pmod(F.hash(F.get(letters, i - 1), nth(i)), F.lit(64))
-    # a word without letters has no mark; Spark counts a sequence from 1 to 0 downwards
-    places = F.when(F.size(letters) > 0, F.sequence(F.lit(1), F.size(letters))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(0).cast("long"), lambda x, i: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(i))))
+    letters = F.array_sort(F.filter(F.split(F.when(F.length(word) <= LONG, word).otherwise(""), ""), lambda c: c != ""))
+    bit = lambda of, c, i: F.pmod(F.hash(c, i - F.array_position(of, c)), F.lit(64))
+    one = F.lit(1).cast("long")
+    marked = lambda of: F.aggregate(
+        F.transform(of, lambda c, i: F.call_function("shiftleft", one, bit(of, c, i))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)
+    )
+    return F.get(F.transform(F.array(letters), marked), 0)  # sorted once a word
 
 
 def _by_pieces(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
-    """Words up to ``LONG`` that share a piece, a pair once for each."""
+    """Words up to ``LONG`` that share a piece, a pair once for each. The words ``q``, which are the more where names meet a vocabulary, are cut; of the words
+    ``p`` all places of a piece are listed. Lengths that no ``p`` has are left out: there are ``LONG`` of them at most to broadcast."""
     n, m, keys = F.col("n"), F.col("m"), ["n", "m", "i", "piece"]
-    a = a.where(n <= LONG).withColumn("m", F.explode(_partners(n, threshold))).withColumn("s", F.explode(_pieces(n, m, threshold)))
-    a = a.select("p", "has_p", "n", "m", "s.i", F.substring("p", F.col("s.start") + 1, F.col("s.size")).alias("piece"))
-    b = b.where(m <= LONG).withColumn("n", F.explode(_partners(m, threshold))).withColumn("s", F.explode(_pieces(n, m, threshold)))
+    a, b = a.where(n <= LONG), b.where(m <= LONG)
+    b = b.withColumn("n", F.explode(_partners(m, threshold))).join(F.broadcast(a.select("n").distinct()), "n", "left_semi")
+    b = b.withColumn("s", F.explode(_pieces(m, n, threshold)))
+    b = b.select("q", "has_q", "n", "m", "s.i", F.substring("q", F.col("s.start") + 1, F.col("s.size")).alias("piece"))
+    a = a.withColumn("m", F.explode(_partners(n, threshold))).withColumn("s", F.explode(_pieces(m, n, threshold)))
     start, size, least = F.col("s.start"), F.col("s.size"), _least(n, m, threshold)
-    low, high = F.greatest(F.lit(0), start - (n - least)), F.least(m - size, start + (m - least))
+    low, high = F.greatest(F.lit(0), start - (m - least)), F.least(n - size, start + (n - least))
     places = F.when(size == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high))
-    pieces = F.array_distinct(F.transform(places, lambda at: F.substring(F.col("q"), at + 1, size)))
-    b = b.select("q", "has_q", "n", "m", "s.i", F.explode(pieces).alias("piece"))
+    pieces = F.array_distinct(F.transform(places, lambda at: F.substring(F.col("p"), at + 1, size)))
+    a = a.select("p", "has_p", "n", "m", "s.i", F.explode(pieces).alias("piece"))
     return a.repartition(_tasks(a), *keys).join(b.repartition(_tasks(a), *keys), keys).select("p", "q", "n", "m", "has_p", "has_q")
 
 
