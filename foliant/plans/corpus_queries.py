@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.functions import vectors as V
-from foliant.operators import batches, chatlog, chunk, cleaning, profile, search, vector_index
+from foliant.operators import batches, chatlog, chunk, cleaning, profile, search, sketches, vector_index
 from foliant.plans.registry import query, table
 from foliant.session import fresh_path, spread
 from foliant.streaming.incremental import event_sessions, event_windows
@@ -247,6 +247,15 @@ def a12_first_letters(spark, sf_dir):
     return profile.first_letters(chunks_of(spark, sf_dir), "canonical_section")
 
 
+@query()
+def a02_merged_profile(spark, sf_dir):
+    """Sales lines a flag, from sketches a month: distinct sales are an estimate, as is the median amount. No SQL says what a sketch estimates."""
+    path, lines = fresh_path(spark, "sketches"), table(spark, sf_dir, "sale_lines").withColumn("month", F.date_trunc("month", "shipped_at"))
+    sketches.keep(sketches.sketched(lines, ["month", "flag"], ["sale_id"], ["amount"]), path, "lines")
+    whole = sketches.merged(sketches.kept(spark, path), ["flag"], ["sale_id"], ["amount"])
+    return sketches.estimates(whole, ["flag"], ["sale_id"], ["amount"])
+
+
 @query("SELECT 'n_chars' AS name, CAST(sum(n_chars) AS DOUBLE) AS total, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, CAST(min(n_chars) AS DOUBLE) AS least, CAST(max(n_chars) AS DOUBLE) AS most FROM documents")
 def a14_corpus_stats(spark, sf_dir):
     return profile.statistics(table(spark, sf_dir, "documents"), ["n_chars"]).withColumn("mean", F.round("mean", 6))
