@@ -210,12 +210,12 @@ def f38_slashes(spark, sf_dir):
 
 @query(f"SELECT path, registrant AS name, array_to_string(list_sort({SIGNIFICANT.format('registrant')}), ' ') AS tokens, regexp_replace(lower(registrant), '[^a-z0-9]', '', 'g') AS collapsed FROM ({registrant_sql(PATHS.sql)})")
 def f22_registrant(spark, sf_dir):
-    name = filing.registrant_name(c("cover"))
-    return PATHS.df(spark, sf_dir).select(
+    named = PATHS.df(spark, sf_dir).select("path", filing.registrant_name(c("cover")).alias("name"))
+    return named.select(
         "path",
-        name.alias("name"),
-        F.array_join(F.array_sort(filing.significant_tokens(name)), " ").alias("tokens"),
-        filing.collapsed(name).alias("collapsed")
+        "name",
+        F.array_join(F.array_sort(filing.significant_tokens(c("name"))), " ").alias("tokens"),
+        filing.collapsed(c("name")).alias("collapsed")
     )
 
 
