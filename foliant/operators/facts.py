@@ -71,10 +71,10 @@ def year_pairs(facts: DataFrame) -> DataFrame:
 
 def stratified(facts: DataFrame, n: int, key: Column, seed: int = SEED, share: float = MAX_A_SHARE) -> DataFrame:
     """``n`` facts, one a company, in turns over first letters; ``A`` gets at most ``share``. The order within a letter is that of the MD5 of ``key``
-    and the seed: alike in distribution to a shuffle, and the same on each run."""
+    and the seed: alike in distribution to a shuffle, and the same on each run; facts of a company that agree in it go by label, value, year and ticker."""
     letter = F.upper(F.substring(F.coalesce(F.nullif("ticker", F.lit("")), F.col("company")), 1, 1))
     rows = facts.withColumn("letter", letter).withColumn("__h", F.md5(F.concat(key, F.lit(f"|{seed}"))))
-    one = rows.withColumn("__c", F.row_number().over(Window.partitionBy("company").orderBy("__h", "label", "value"))).where("__c = 1")
+    one = rows.withColumn("__c", F.row_number().over(Window.partitionBy("company").orderBy("__h", "label", "value", "fiscal_year", "ticker"))).where("__c = 1")
     turn = one.withColumn("turn", F.row_number().over(Window.partitionBy("letter").orderBy("__h", "company")))
     capped = turn.where((F.col("letter") != "A") | (F.col("turn") <= int(n * share)))
     return capped.orderBy("turn", "letter").limit(n).drop("__h", "__c")
