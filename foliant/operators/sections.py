@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import once
+
 #: Section, items of a 10-K, items of a 20-F.
 SECTIONS = (
     ("business_overview", "1", "4"),
@@ -67,17 +69,22 @@ def candidates(docs: DataFrame, form: str = "form_type", item: str = "item") ->
     )
 
 
-def decided(sections: Column, text: Column) -> Column:
-    """The only candidate, else the first that has a keyword in the text, else null."""
-    low, said = F.lower(F.coalesce(text, F.lit(""))), F.lit(None).cast("string")
-    for name, words in reversed(KEYWORDS.items()):
-        any_word = F.lit(False)
-        for w in words:
-            any_word = any_word | low.contains(w)
-        said = F.when(F.array_contains(sections, name) & any_word, name).otherwise(said)
-    return F.when(F.size(sections) <= 1, F.get(sections, 0)).otherwise(said)
+def said(text: Column) -> Column:
+    """The sections of ``KEYWORDS`` that have a keyword in the text, in order."""
+
+    def named(low: Column) -> Column:
+        hits = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), F.lit(name)) for name, words in KEYWORDS.items()]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), named)
+
+
+def decided(sections: Column, named: Column) -> Column:
+    """The only candidate, else the first that the text names (``said``), else null."""
+    return F.when(F.size(sections) <= 1, F.get(sections, 0)).otherwise(F.get(F.filter(named, lambda n: F.array_contains(sections, n)), 0))
 
 
-def canonical_section(docs: DataFrame, form: str = "form_type", item: str = "item", text: str = "text") -> DataFrame:
+def canonical_section(docs: DataFrame, form: str = "form_type", item: str = "item", text: str = "text", named: str | None = None) -> DataFrame:
+    """J05; ``named`` is a column of what the text says, where ``said`` of it is known already."""
     found = candidates(docs, form, item)
-    return found.withColumn("section", decided(F.col("sections"), F.col(text))).drop("sections")
+    return found.withColumn("section", decided(F.col("sections"), said(F.col(text)) if named is None else F.col(named))).drop("sections")
