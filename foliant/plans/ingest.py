@@ -16,24 +16,21 @@ def chunk_pages(pages: DataFrame, deglue: Callable[[Column], Column] | None = No
     """Cleaned, chunked, placed and described: ``pages(path, page_number, text)`` to a row a chunk, ready to embed.
 
     The order of steps is that of the page plan: cover, boilerplate, contents, text, then windows with pages and headings. Whole documents stay
-    together after one shuffle by path.
+    together after one shuffle by path, and a document's metadata, page places and headings are found once, before it is cut: its chunks carry those, not
+    its cover, and nothing is joined to them but the table of sections.
     """
-    cleaned = cleaning.clean_pages(pages, "path", deglue=deglue)
-    body = cleaned.where("page_type = 'body'")
-    docs = cleaning.clean_documents(cleaned, "path")
-    meta = cleaning.document_metadata(docs, "path", "cover_text").join(
-        docs.select("path", "cover_text", "glued_flag", "few_words_flag"), "path"
-    )
-    chunks = chunk.word_chunks(docs.select("path", F.col("full_text").alias("text")))
-    placed = chunk.with_pages(chunks, chunk.page_offsets(body, "path", text="clean"), "path")
-    heads = docs.select("path", F.explode(chunk.boundaries(F.col("full_text"))).alias("b")).select("path", "b.start", "b.label")
-    labelled = chunk.with_label(placed, heads, "path").withColumns(
-        {"item_number": chunk.item_number(F.col("label")), "part_number": chunk.part_number(F.col("label"))}
-    )
-    joined = labelled.join(meta, "path")
-    named = sections.canonical_section(joined, "form_type", "item_number", "cover_text").withColumnRenamed("section", "canonical_section")
-    density = T.numeric_density(F.col("content"))
-    return named.withColumns(
+    docs = cleaning.clean_documents(cleaning.clean_pages(pages, "path", deglue=deglue), "path", spans=True)
+    meta = cleaning.document_metadata(docs, "path", "cover_text", [
+        "glued_flag", "few_words_flag", "spans", "full_text", sections.said(F.col("cover_text")).alias("__said"), chunk.boundaries(F.col("full_text")).alias("__heads")
+    ])
+    chunks = chunk.word_chunks(meta.withColumnRenamed("full_text", "text"))
+    start, end, pages_ = F.col("char_start"), F.col("char_end"), F.col("spans")
+    joined = chunks.withColumns({
+        "page_start": chunk.page_of(pages_, start), "page_end": chunk.page_of(pages_, end - 1), "label": chunk.label_of(F.col("__heads"), start)
+    }).withColumns({"item_number": chunk.item_number(F.col("label")), "part_number": chunk.part_number(F.col("label"))}).drop("spans", "__heads")
+    named = sections.canonical_section(joined, "form_type", "item_number", named="__said").withColumnRenamed("section", "canonical_section")
+    density = F.col("__density")
+    return named.withColumn("__density", T.numeric_density(F.col("content"))).withColumns(
         {
             "source_file": T.slashes(F.col("path")),
             "chunk_id": chunk.chunk_id(F.col("company"), F.col("fiscal_year"), F.col("chunk_index")),
@@ -41,7 +38,7 @@ def chunk_pages(pages: DataFrame, deglue: Callable[[Column], Column] | None = No
             "numeric_dense": density >= 0.10,
             "n_chars": F.length("content"),
         }
-    ).drop("cover_text")
+    ).drop("__said", "__density")
 
 
 def document_report(chunks: DataFrame) -> DataFrame:
