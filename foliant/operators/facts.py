@@ -13,6 +13,8 @@ _NUM = r"\$?\s*\(?\s*\d[\d,]*(?:\.\d+)?\s*\)?"
 _DASH = r"(?:[—–-]+|n/?a)"
 _COL = rf"(?:{_NUM}|{_DASH})"
 LINE = rf"^([A-Za-z][A-Za-z'’()&/,.\s-]{{2,60}}?)\s*[:.]?\s*({_COL}(?:\s+{_COL}){{0,7}})\s*$"
+#: What a stripped line that ``LINE`` takes can end in, and what parts lines: the empty lines that CR LF makes are too short to be any.
+ENDS, BREAKS = "0123456789,)—–-a", r"[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029]"
 NOT_AMOUNTS = r"(?i)per share|per diluted|%|percent"
 #: Well-known companies to look for among those that the corpus lacks, and names that exist nowhere.
 KNOWN = {"MSFT": "Microsoft", "TSLA": "Tesla", "GOOGL": "Alphabet", "NVDA": "NVIDIA", "JPM": "JPMorgan Chase"}
@@ -21,12 +23,11 @@ KNOWN = {"MSFT": "Microsoft", "TSLA": "Tesla", "GOOGL": "Alphabet", "NVDA": "NVI
 def fact_lines(chunks: DataFrame, content: str = "content") -> DataFrame:
     """F32, P20: a row a statement line with ``label``, ``value`` of the first column, ``n_figures`` and ``source_line``."""
     kept = [c for c in chunks.columns if c != content]
-    lines = chunks.select(
-        *kept, F.explode(F.split(content, r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]")).alias("l")
-    ).withColumn("source_line", T.strip(F.col("l")))
-    sized = lines.where(
-        F.length("source_line").between(10, 320) & ~F.col("source_line").rlike(NOT_AMOUNTS) & F.col("source_line").rlike(LINE)
-    )
+    # Stripped once; most lines of prose end in none of ``ENDS`` and never become rows.
+    stripped = F.transform(F.split(content, BREAKS), T.strip)
+    likely = F.filter(stripped, lambda x: F.length(x).between(10, 320) & F.substring(x, -1, 1).isin(*ENDS))
+    lines = chunks.select(*kept, F.explode(likely).alias("source_line"))
+    sized = lines.where(F.col("source_line").rlike(LINE) & ~F.col("source_line").rlike(NOT_AMOUNTS))
     parsed = sized.withColumn(
         "label", T.label_name(F.regexp_extract("source_line", LINE, 1))
     ).where("label IS NOT NULL").withColumn(
